@@ -13,6 +13,7 @@ from .language import identify_documents
 from .licenses import scan_licenses
 from .packing import pack_documents
 from .shards import shard_documents
+from .vectors import near_duplicate_vectors
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
@@ -33,5 +34,9 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_language_id, op7_packing, op8_license_scan, op9_sharding)}
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
