@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -77,7 +78,7 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 20)
     for b in batches:
         if not b.num_rows:
             continue
-        sizes = np.array([0 if s is None else s for s in pa.compute.binary_length(b.column(column)).to_pylist()], dtype=np.int64)
+        sizes = np.array([0 if s is None else s for s in pc.binary_length(b.column(column)).to_pylist()], dtype=np.int64)
         cut = np.flatnonzero(np.diff(np.cumsum(sizes) // chars)) + 1
         for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
             if hi > lo:

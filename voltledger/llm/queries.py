@@ -11,6 +11,7 @@ from . import oracle
 from .common import read
 from .language import identify_documents
 from .licenses import scan_licenses
+from .neardup import near_duplicates
 from .packing import pack_documents
 from .shards import shard_documents
 from .vectors import near_duplicate_vectors
@@ -18,6 +19,10 @@ from .vectors import near_duplicate_vectors
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents"))
 
@@ -38,5 +43,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
