@@ -56,16 +56,18 @@ def signatures(elements: np.ndarray, of: np.ndarray, weights: np.ndarray, n: int
     while len(e):
         turn += 1
         r = mix(e + np.uint64((turn * BASE) % 2**64))
-        at = at - np.log1p(-(r >> np.uint64(11)) / 2.0**53) / w
+        at = at - np.log1p(-((r >> np.uint64(11)).astype(float) / 2.0**53)) / w
         alive = at < latest[t]
         if not alive.all():
             e, w, t, at, r = e[alive], w[alive], t[alive], at[alive], r[alive]
         where = t * registers + (mix(r ^ np.uint64(BASE)) % np.uint64(registers)).astype(np.int64)
         better = np.flatnonzero(at < first[where])
         better = better[np.argsort(-at[better], kind="stable")]  # of several at a register, the earliest is written last
-        first[where[better]] = at[better]
-        winner[where[better]] = e[better]
-        latest = first.reshape(n, registers).max(axis=1)
+        if len(better):
+            first[where[better]] = at[better]
+            winner[where[better]] = e[better]
+            changed = np.flatnonzero(np.bincount(t[better], minlength=n))
+            latest[changed] = first.reshape(n, registers)[changed].max(axis=1)
     return winner.reshape(n, registers)
 
 
