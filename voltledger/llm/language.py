@@ -146,10 +146,10 @@ def train(labelled: DataFrame, max_documents: int = 20_000, least_rate: float =
     rate = [F.col(f"n{i}") / F.lit(float(max(totals[i] or 0, 1))) for i in range(len(languages))]
     most = F.greatest(*rate, F.lit(0.0))
     mask = sum((F.when((r >= least_rate) & (r >= contrast * most), F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")) for i, r in enumerate(rate)), F.lit(0).cast("long"))
-    kept = counted.select("gram", mask.alias("mask")).where("mask != 0").toPandas()
+    kept = counted.select("gram", mask.alias("mask")).where("mask != 0").toArrow()
     scratch.clear()
     found = LanguageFilter(languages, np.zeros(1 << bits, np.uint64), hashes, np.zeros(len(languages)))
-    h, masks = kept["gram"].to_numpy(np.int64).view(np.uint64), kept["mask"].to_numpy(np.int64).view(np.uint64)
+    h, masks = kept["gram"].to_numpy().view(np.uint64), kept["mask"].to_numpy().view(np.uint64)
     for at in found.places(h):
         np.bitwise_or.at(found.slices, at, masks)
     fill = np.array([float(((found.slices >> np.uint64(i)) & np.uint64(1)).mean()) for i in range(len(languages))])

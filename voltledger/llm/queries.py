@@ -13,6 +13,7 @@ from .language import identify_documents
 from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
+from .scoring import score_documents
 from .shards import shard_documents
 from .vectors import near_duplicate_vectors
 
@@ -23,6 +24,10 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(read(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
