@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
 from .common import read
+from .decontam import contaminated
 from .language import identify_documents
 from .licenses import scan_licenses
 from .neardup import near_duplicates
@@ -32,6 +33,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read(spark, sf_dir, "documents"), PACK_TOKENIZER)
 
@@ -48,5 +53,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op4_language_id, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op4_language_id, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
