@@ -16,9 +16,11 @@ from .neardup import near_duplicates
 from .packing import pack_documents
 from .scoring import score_documents
 from .shards import shard_documents
+from .tokencount import count_with_edits, derived_edits
 from .vectors import near_duplicate_vectors
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+COUNT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +31,10 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(read(spark, sf_dir, "documents"))
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_with_edits(derived_edits(read(spark, sf_dir, "documents")), "edits", COUNT_RANKS, public_tokenizers.PATTERN)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_documents(read(spark, sf_dir, "documents"))
 
@@ -53,5 +59,5 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op4_language_id, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
