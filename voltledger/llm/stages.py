@@ -3,6 +3,7 @@
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Scratch
 from .decontam import find_leaks
@@ -36,7 +37,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     return without(kept, twice, "doc_id").union(again).select(docs.columns)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(data: pd.Series) -> pd.Series:
     return data.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
 

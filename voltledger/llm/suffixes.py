@@ -30,20 +30,24 @@ def suffix_ranks(seq: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     the sequences of names (one of class 1 and one of class 2 for each run) are ordered the same way. The others are
     merged in by two sorts: against class 1 by (symbol, rank of the next suffix), against class 2 by (symbol, next symbol,
     rank of the next but one)."""
+    # a symbol for each run's end, its own and below all others; the sequences of names keep it, so ties fall alike at all depths
+    return _ranks(seq.select("run", "i", "sym", (-F.shiftrightunsigned(F.xxhash64("run"), 1) - 1).alias("end")), scratch, depth)
+
+
+def _ranks(seq: DataFrame, scratch: Scratch, depth: int) -> DataFrame:
     one = F.lit(1).cast("long")
     of_run = Window.partitionBy("run").orderBy("i")
-    end = -F.shiftrightunsigned(F.xxhash64("run"), 1) - 1  # a symbol for a run's end, its own and below all others
-    seq = scratch.put(seq.select("run", "i", "sym", F.coalesce(F.lead("sym", 1).over(of_run), end).alias("s1"), F.coalesce(F.lead("sym", 2).over(of_run), end).alias("s2")), "triples")
+    seq = scratch.put(seq.select("run", "i", "sym", "end", F.coalesce(F.lead("sym", 1).over(of_run), "end").alias("s1"), F.coalesce(F.lead("sym", 2).over(of_run), "end").alias("s2")), "triples")
     sample = seq.where("i % 3 != 0")
     names = scratch.put(running(sample.select("sym", "s1", "s2").distinct(), ["sym", "s1", "s2"], {"name": one}, scratch), "names")
-    named = scratch.put(sample.join(names.hint("merge"), ["sym", "s1", "s2"]).select("run", "i", "name"), "named")
+    named = scratch.put(sample.join(names.hint("merge"), ["sym", "s1", "s2"]).select("run", "i", "name", "end"), "named")
     if depth > 1 and named.count() > names.count():
-        deeper = named.select(F.xxhash64("run", F.col("i") % 3).alias("run"), F.expr("i div 3").alias("i"), F.col("name").alias("sym"))
-        ranks = suffix_ranks(deeper, scratch, depth - 1)
+        deeper = named.select(F.xxhash64("run", F.col("i") % 3).alias("run"), F.expr("i div 3").alias("i"), F.col("name").alias("sym"), "end")
+        ranks = _ranks(deeper, scratch, depth - 1)
         ranked = named.select("run", "i", F.xxhash64("run", F.col("i") % 3).alias("r"), F.expr("i div 3").alias("k")).join(ranks.select(F.col("run").alias("r"), F.col("i").alias("k"), "rank").hint("merge"), ["r", "k"]).select("run", "i", "rank")
     else:
         ranked = running(named, ["name", "run", "i"], {"rank": one}, scratch).select("run", "i", "rank")
-    after = lambda k: F.coalesce(F.lead("rank", k).over(of_run), end)
+    after = lambda k: F.coalesce(F.lead("rank", k).over(of_run), "end")
     keyed = seq.join(ranked.hint("merge"), ["run", "i"], "left")
     keyed = scratch.put(keyed.select("run", "i", "sym", "s1", "rank", (F.col("i") % 3).alias("c"), after(1).alias("r1"), after(2).alias("r2")), "keyed")
     is_ = lambda k: F.when(F.col("c") == k, 1).otherwise(0)
