@@ -11,22 +11,21 @@ from .common import Scratch
 def components(links: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """node, component (the smallest node reachable) for every node of links (columns a, b).
 
-    Each round maps a node to the one of the smallest hash among itself and its neighbours, twice over, and replaces the
-    links by those between the images; links inside an image vanish. A constant share of the nodes goes each round, so
-    rounds grow with the logarithm of the longest chain. The maps, each smaller than the one before, are then followed
-    back. Every group is summed up map-side; nothing but an emptiness test comes to the driver."""
+    Each round maps a node to the first of itself and its neighbours, and replaces the links by those between the images;
+    links inside an image vanish. In even rounds the smallest id is first, which takes in a star around its smallest node at
+    once; in odd rounds the smallest hash, which shortens a chain by a constant share. So rounds grow with the logarithm of the
+    longest chain. The maps, each smaller than the one before, are then followed back. Every group is summed up map-side;
+    nothing but an emptiness test comes to the driver."""
     left = scratch.put(links.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     maps = []
     while not left.isEmpty():
         if len(maps) == max_rounds:
             raise RuntimeError("components did not settle")
-        rank = lambda c: F.xxhash64(c, F.lit(len(maps)))
+        rank = lambda c: F.xxhash64(c, F.lit(len(maps))) if len(maps) % 2 else F.col(c)
+        ranked = lambda c: F.struct(rank(c).alias("h"), F.col(c).alias("node"))
         ends = left.select("a", "b").union(left.select("b", "a"))
-        first = ends.groupBy("a").agg(F.min(F.struct(rank("b").alias("h"), F.col("b").alias("node"))).alias("m"))
-        own = F.struct(rank("a").alias("h"), F.col("a").alias("node"))
-        one = scratch.put(first.select(F.col("a").alias("node"), F.least("m", own)["node"].alias("to")), "step")
-        again = one.select(F.col("node").alias("to"), F.col("to").alias("to2"))
-        step = scratch.put(one.join(again.hint("merge"), "to").select("node", F.col("to2").alias("to")), "map")
+        first = ends.groupBy("a").agg(F.min(ranked("b")).alias("m"))
+        step = scratch.put(first.select(F.col("a").alias("node"), F.least("m", ranked("a"))["node"].alias("to")), "map")
         of = lambda c: step.select(F.col("node").alias(c), F.col("to").alias(f"{c}2"))
         moved = left.join(of("a").hint("merge"), "a").join(of("b").hint("merge"), "b").where("a2 != b2")
         left = scratch.put(moved.select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct(), "links")

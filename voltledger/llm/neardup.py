@@ -169,10 +169,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: i
             found = rest.withColumnRenamed("id", "b").join(one.hint("merge"), ["key", "chunk"]).where("g != group")
         new = scratch.put(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried.hint("merge"), ["a", "b"], "left_anti"), "pairs")
         tried = tried.union(new)
-        links = scratch.put(links.union(verified(new, sets, least)), "links")
+        more = scratch.put(verified(new, sets, least), "links")
         if last:
-            groups = components(links, scratch)
+            groups = groups if more.isEmpty() else components(links.union(more), scratch)
             break
+        links = links.union(more)
     groups = groups.select(F.col("node").alias("id"), "component")
     named = scratch.put(reps.select("copy", "id").join(groups.hint("merge"), "id", "left").select("copy", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("group_id")), "result")
     rows_of = scratch.put(sketched.select("doc_id", "copy"), "result")
