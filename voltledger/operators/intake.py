@@ -18,7 +18,8 @@ def file_type(content: Column) -> Column:
 
 
 def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder with type, hash, and why they are turned away (null: they aren't)."""
+    """Files of a folder with type, hash, and why they are turned away (null: they aren't). Spark's reader itself leaves out
+    files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     reason = F.when(~F.lower("path").endswith(".pdf"), "not a pdf").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
     return files.select("path", "modificationTime", "length", file_type(F.col("content")).alias("file_type"), F.sha2("content", 256).alias("file_hash"), reason.alias("reject_reason"))
