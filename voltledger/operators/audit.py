@@ -32,3 +32,16 @@ def compare(bills: DataFrame, answers: DataFrame) -> DataFrame:
     other = F.trim("account_number") != F.col("extraction_id").cast("string")
     found = F.array_compact(F.array(F.when(off, F.lit("total_amount_due")), F.when(other, F.lit("account_number"))))
     return rows.select("extraction_id", F.explode(found).alias("field"), F.lit("fatal").alias("severity"))
+
+
+def filled(asked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Each question with its answer, by field, else by the question's words."""
+    by_field = answers.select("extraction_id", F.col("field").alias("field_to_check"), F.col("answer").alias("a"))
+    return asked.join(by_field, ["extraction_id", "field_to_check"], "left").select("extraction_id", "field_to_check", F.col("a").alias("answer"))
+
+
+def mismatch_counts(asked: DataFrame, answers: DataFrame, mismatches: DataFrame) -> DataFrame:
+    """Per bill: questions answered, matched, mismatched."""
+    checked = filled(asked, answers).groupBy("extraction_id").agg(F.count("answer").alias("checked"))
+    off = mismatches.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("mismatched"))
+    return checked.join(off, "extraction_id", "left").select("extraction_id", "checked", (F.col("checked") - F.coalesce("mismatched", F.lit(0))).alias("matched"), F.coalesce("mismatched", F.lit(0)).alias("mismatched"))

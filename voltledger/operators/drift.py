@@ -41,3 +41,10 @@ def summary(changes: DataFrame) -> DataFrame:
     rank = F.when(F.col("severity") == "fatal", 3).when(F.col("severity") == "high", 2).when(F.col("severity") == "medium", 1).otherwise(0)
     sums = changes.groupBy("extraction_id", "previous_id").agg(F.count(F.lit(1)).alias("n_changes"), F.max(rank).alias("r"), F.array_join(F.array_sort(F.collect_list("field_path")), ",").alias("fields"))
     return sums.select("extraction_id", "previous_id", "n_changes", F.element_at(F.array(*map(F.lit, ["low", "medium", "high", "fatal"])), F.col("r") + 1).alias("severity"), (F.col("r") == 0).alias("all_low"), "fields")
+
+
+def cause(pairs: DataFrame, summary_: DataFrame) -> DataFrame:
+    """Why runs differ: model, else prompts, else few-shot context differ; else sampling if all changes are low; else unknown."""
+    rows = summary_.join(pairs, ["extraction_id", "previous_id"])
+    differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"previous_{c}"))
+    return rows.select("extraction_id", "previous_id", F.when(differ("model"), "model_changed").when(differ("prompt"), "prompt_changed").when(differ("few_shot_hash"), "few_shot_changed").when(F.col("all_low"), "sampling").otherwise("unknown").alias("cause"))

@@ -58,3 +58,19 @@ def route(penalties: DataFrame, bills: DataFrame) -> DataFrame:
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.90, "green").when(score >= 0.70, "yellow").otherwise("red")
+
+
+def international_penalties(facts: DataFrame) -> DataFrame:
+    """facts (extraction_id, number_format_confidence, n_ambiguous_dates, n_vat_errors, n_conversion_errors, language):
+    0.10 for an unsure number format, 0.05 an ambiguous date, 0.12 a VAT error, 0.15 a conversion error, 0.05 a language
+    that isn't one of seven."""
+    known = ["en", "de", "fr", "es", "it", "nl", "pt"]
+    costs = {
+        "number_format": F.when(F.col("number_format_confidence") < 0.7, F.lit("0.10")),
+        "ambiguous_dates": F.when(F.col("n_ambiguous_dates") > 0, F.col("n_ambiguous_dates") * F.lit("0.05").cast("decimal(4,2)")),
+        "vat": F.when(F.col("n_vat_errors") > 0, F.col("n_vat_errors") * F.lit("0.12").cast("decimal(4,2)")),
+        "conversion": F.when(F.col("n_conversion_errors") > 0, F.col("n_conversion_errors") * F.lit("0.15").cast("decimal(4,2)")),
+        "language": F.when(~F.col("language").isin(known), F.lit("0.05")),
+    }
+    each = F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(n).alias("label"), c.cast("decimal(18,4)").alias("amount"), F.lit(False).alias("is_fatal"))) for n, c in costs.items())))
+    return facts.select("extraction_id", F.inline(each))

@@ -44,3 +44,53 @@ def budget_balance(orders: DataFrame) -> DataFrame:
     run = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
     off = F.col("o_totalprice").cast("decimal(18,2)") - F.lit("150000.00").cast("decimal(18,2)")
     return orders.select("o_orderkey", "o_custkey", F.sum(off).over(run).cast("double").alias("balance"))
+
+
+def account_balance(accounts: DataFrame) -> DataFrame:
+    """Previous balance, payments (negative), late fees and current charges against the amount due, beyond 0.01."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    due = F.coalesce("previous_balance", zero) + F.coalesce("payments", zero) + F.coalesce("late_fees", zero) + F.col("current_charges")
+    return accounts.select("extraction_id", due.cast("decimal(18,2)").alias("expected"), "amount_due").where("abs(expected - amount_due) > 0.01")
+
+
+def contracted_capacity(meters: DataFrame, charges: DataFrame) -> DataFrame:
+    """Demand above the contracted capacity on bills without a charge for it."""
+    over = meters.where("demand_value > contracted_value").select("extraction_id", "demand_value", "contracted_value")
+    return over.join(charges.where("category = 'demand'").select("extraction_id"), "extraction_id", "left_anti")
+
+
+def single_meter_linkage(charges: DataFrame, meters: DataFrame) -> DataFrame:
+    """Charges without a meter take their bill's, if it has just one."""
+    only = meters.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("n"), F.min("meter_number").alias("only")).where("n = 1")
+    return charges.join(only.select("extraction_id", "only"), "extraction_id", "left").withColumn("meter_number", F.coalesce("meter_number", "only")).drop("only")
+
+
+def sewer_cap(months: DataFrame) -> DataFrame:
+    """account, year, month, usage: billed sewer volume, at most the mean of the winter months (December to March) that
+    ended in the year; without winter months, the usage."""
+    season = F.when(F.col("month") == 12, F.col("year") + 1).otherwise(F.col("year"))
+    winter = months.where("month in (12, 1, 2, 3)").groupBy("account", season.alias("year")).agg(F.round(F.avg("usage"), 2).alias("cap"))
+    return months.join(winter, ["account", "year"], "left").select("account", "year", "month", F.least("usage", F.coalesce("cap", "usage")).alias("billed"))
+
+
+# Names of time-of-use periods in several markets.
+TOU_NAMES = [("ht", "peak"), ("nt", "off_peak"), ("hp", "peak"), ("hc", "off_peak"), ("p1", "peak"), ("p2", "shoulder"), ("p3", "off_peak"), ("p6", "off_peak"), ("f1", "peak"), ("f2", "shoulder"), ("f3", "off_peak"), ("day", "peak"), ("night", "off_peak")]
+
+
+def tou_periods(periods: DataFrame) -> DataFrame:
+    """Consumption by meter and standard period; unknown names stay as they are."""
+    names = F.broadcast(periods.sparkSession.createDataFrame(TOU_NAMES, "name string, std string"))
+    rows = periods.join(names, F.lower(F.trim("period")) == F.col("name"), "left")
+    return rows.groupBy("meter_number", F.coalesce("std", "period").alias("std_period")).agg(F.sum("consumption").alias("consumption"))
+
+
+def net_metering(meters: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Bills whose net isn't total less generation."""
+    return meters.where(F.abs(F.col("total") - F.col("generation") - F.col("net")) > tolerance)
+
+
+def candidate_confidence(corrections: DataFrame, bills: DataFrame) -> DataFrame:
+    """Corrections per utility, path and category as a share of that utility's bills."""
+    n_bills = bills.groupBy(F.col("utility_provider").alias("utility")).agg(F.count(F.lit(1)).alias("n_bills"))
+    n = corrections.groupBy("utility", "field_path", "category").agg(F.countDistinct("extraction_id").alias("n"))
+    return n.join(n_bills, "utility").select("utility", "field_path", "category", "n", F.round(F.col("n") / F.col("n_bills"), 6).alias("confidence"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions import locale
 from ..operators.intake import STOPWORDS
 from ..sources import dims
 
@@ -177,4 +178,36 @@ UNION ALL SELECT extraction_id, 'V19', 'meters.energy', 'error' FROM meters WHER
     "x20_block_allocation": "SELECT extraction_id, block, least(raw_value, hi) - lo AS part, round((least(raw_value, hi) - lo) * price, 2) AS cost FROM meters JOIN (VALUES (1, 0::DOUBLE, 100::DOUBLE, 0.10::DOUBLE), (2, 100, 500, 0.15), (3, 500, 'inf', 0.20)) b(block, lo, hi, price) ON raw_value > lo",
 }
 
+_ON_MODEL |= {
+    "b11_status_update": "SELECT extraction_id, CASE WHEN status = 'pending_review' AND extraction_id % 10 = 0 THEN 'accepted' ELSE status END AS status, confidence_score FROM extractions",
+    "b14_correction_patch": "SELECT correction_id, CASE WHEN correction_id % 14 = 0 THEN 'new' ELSE corrected_value END AS corrected_value, CASE WHEN correction_id % 7 = 0 THEN 'fixed' ELSE correction_category END AS correction_category FROM corrections WHERE correction_id % 11 <> 0",
+    "b16_document_to_rows": "SELECT extraction_id, count(*) AS n, sum(amount)::DOUBLE AS amount, round(sum(CASE WHEN line_number % 5 = 2 THEN 0.9 ELSE 0.7 END)::DOUBLE, 3) AS confidence, count(*) FILTER (WHERE line_number % 5 = 1) AS n_other, 0::BIGINT AS n_corrupt, count(*) AS n_dates, count(*) FILTER (WHERE line_number % 5 = 0) AS n_numbered FROM charges GROUP BY 1",
+    "b18_validation_flags": """SELECT extraction_id, count(*) FILTER (WHERE rule_id = 'V01') = 0 AS lines_ok, count(*) FILTER (WHERE rule_id IN ('V02', 'V03')) = 0 AS totals_ok, count(*) FILTER (WHERE rule_id IN ('V06', 'V07')) = 0 AS units_ok, count(*) FILTER (WHERE rule_id IN ('V08', 'V09', 'V10', 'V12')) = 0 AS logic_ok, coalesce(string_agg(DISTINCT CASE WHEN severity = 'fatal' THEN 'fatal:' || field END, ','), '') AS fatal_flags
+FROM extractions LEFT JOIN (SELECT extraction_id, rule_id, severity, field FROM issues UNION ALL SELECT extraction_id, CASE commodity_type WHEN 'electricity' THEN 'V06' ELSE 'V07' END, 'fatal', 'meters.unit' FROM meters WHERE (commodity_type = 'electricity' AND raw_unit IN ('therms', 'ccf')) OR (commodity_type = 'natural_gas' AND raw_unit = 'kWh' AND country_code = 'US')) USING (extraction_id) GROUP BY 1""",
+    "d23_mismatch_counts": "SELECT extraction_id, c AS checked, c - m AS matched, m AS mismatched FROM (SELECT extraction_id, CASE WHEN extraction_id % 5 = 4 THEN 1 ELSE 2 END::BIGINT AS c, CASE WHEN extraction_id % 5 IN (0, 2) THEN 1 ELSE 0 END::BIGINT AS m FROM extractions)",
+    "g13_within_tolerance": "SELECT country_code, count(*) FILTER (WHERE abs(expected - actual) <= i.base) AS within_base, count(*) FILTER (WHERE abs(expected - actual) <= tax) AS within_tax, count(*) AS n FROM line_issues i JOIN bills USING (extraction_id) GROUP BY 1",
+    "k03_international_score": f"""SELECT extraction_id, score, labels, {_TIER.format(fatal="false", s="score")} AS tier FROM (SELECT extraction_id, complexity_tier, greatest(0, 1 - a - b - c - d - e)::DOUBLE AS score,
+array_to_string(list_filter([CASE WHEN b > 0 THEN 'ambiguous_dates' END, CASE WHEN d > 0 THEN 'conversion' END, CASE WHEN e > 0 THEN 'language' END, CASE WHEN a > 0 THEN 'number_format' END, CASE WHEN c > 0 THEN 'vat' END], lambda x: x IS NOT NULL), ',') AS labels
+FROM (SELECT *, CASE WHEN extraction_id % 10 < 7 THEN 0.10 ELSE 0 END AS a, (extraction_id % 3) * 0.05 AS b, CASE WHEN extraction_id % 7 = 0 THEN 0.12 ELSE 0 END AS c, CASE WHEN extraction_id % 11 = 0 THEN 0.30 ELSE 0 END AS d, CASE WHEN extraction_id % 4 = 2 THEN 0.05 ELSE 0 END AS e FROM extractions))""",
+    "k06_audit_fill": """SELECT field_to_check, sum(n)::BIGINT AS asked, sum(a)::BIGINT AS answered FROM (SELECT unnest(['total_amount_due','account_number','billing_period','meter_count','utility']) AS field_to_check, 1 AS n, unnest([CASE WHEN extraction_id % 5 = 4 THEN 0 ELSE 1 END, 1, 0, 0, 0]) AS a FROM extractions
+UNION ALL SELECT 'demand_value', 1, 0 FROM extractions WHERE has_demand_charges UNION ALL SELECT 'supplier_name', 1, 0 FROM extractions WHERE has_supplier_split UNION ALL SELECT 'calorific_value', 1, 0 FROM extractions WHERE commodity_type = 'natural_gas') GROUP BY 1""",
+    "m01_load_corrections": "SELECT correction_id, category, utility, commodity FROM categorized ORDER BY created_at DESC, correction_id DESC LIMIT 1000",
+    "r03_drift_cause": """SELECT extraction_id, previous_id, CASE WHEN (extraction_id % 5 = 4) <> (previous_id % 5 = 4) THEN 'model_changed' WHEN extraction_id % 3 <> previous_id % 3 THEN 'prompt_changed' WHEN extraction_id % 2 <> previous_id % 2 THEN 'few_shot_changed' WHEN max(r) = 0 THEN 'sampling' ELSE 'unknown' END AS cause FROM changed GROUP BY 1, 2""",
+    "x02_contracted_capacity": "SELECT extraction_id, extraction_id % 100 AS demand_value, extraction_id % 70 AS contracted_value FROM extractions WHERE extraction_id % 100 > extraction_id % 70 AND extraction_id NOT IN (SELECT extraction_id FROM charges WHERE category = 'demand')",
+    "x10_single_meter_linkage": "SELECT CASE WHEN line_number = 1 THEN 'own' WHEN extraction_id % 3 <> 0 THEN 'M' || extraction_id % 500 END AS meter_number, count(*) AS n FROM charges GROUP BY 1",
+    "x11_merged_extractions": "SELECT extraction_id, CASE WHEN extraction_id % 2 = 0 AND extraction_id % 5 > extraction_id % 7 THEN 'b' ELSE 'a' END AS value, (CASE WHEN extraction_id % 2 = 0 THEN greatest(extraction_id % 7, extraction_id % 5) ELSE extraction_id % 7 END / 10)::DOUBLE AS confidence FROM extractions",
+    "x13_candidate_confidence": "SELECT e.utility_provider AS utility, field_path, category, count(DISTINCT extraction_id) AS n, round(count(DISTINCT extraction_id) / any_value(total), 6) AS confidence FROM categorized c JOIN extractions e USING (extraction_id) JOIN (SELECT utility_provider, count(*) AS total FROM extractions GROUP BY 1) t ON t.utility_provider = e.utility_provider GROUP BY 1, 2, 3",
+    "x23_net_metering": "SELECT extraction_id FROM extractions WHERE extraction_id % 9 = 0",
+}
+
+_CODES = list(locale.KEYWORDS)
+_PLAIN |= {
+    "g05_detect_country": f"SELECT o_orderkey, {_CODES}[o_orderkey % {len(_CODES)} + 1] AS country_code FROM orders",
+    "g06_detect_locale": "SELECT o_orderkey, 'DE' AS country_code, 'EUR' AS currency, 'EU' AS number_format, 'DD.MM.YYYY' AS date_format, 'eu_vat' AS tax_regime FROM orders",
+    "g24_template_version": "SELECT item_id, 'v1.0-' || left(sha256(text), 8) AS version FROM benchmark",
+    "x01_account_balance": "SELECT * FROM (SELECT o_orderkey AS extraction_id, (o_totalprice::DECIMAL(18,2) + CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END)::DOUBLE AS expected, (o_totalprice::DECIMAL(18,2) + CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 3 ELSE 0 END)::DOUBLE AS amount_due FROM orders) WHERE abs(expected - amount_due) > 0.5",
+    "x19_sewer_cap": "WITH m AS (SELECT o_custkey % 30 AS account, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*)::DOUBLE AS usage FROM orders GROUP BY ALL), w AS (SELECT account, CASE WHEN month = 12 THEN year + 1 ELSE year END AS year, round(avg(usage), 2) AS cap FROM m WHERE month IN (12, 1, 2, 3) GROUP BY ALL) SELECT m.account, m.year, m.month, least(usage, coalesce(cap, usage)) AS billed FROM m LEFT JOIN w USING (account, year)",
+    "x22_tou_periods": "SELECT 'M' || l_suppkey % 20 AS meter_number, ['peak','off_peak','peak','shoulder','off_peak','odd'][l_linenumber % 6 + 1] AS std_period, sum(l_quantity) AS consumption FROM lineitem GROUP BY 1, 2",
+}
+
 SQL = _PLAIN | {name: f"{MODEL}{sql}" for name, sql in _ON_MODEL.items()}

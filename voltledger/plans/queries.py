@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import complexity, text
-from ..operators import audit, drift, intake, learn, lists, rollups, score, usage, validate
+from ..functions import complexity, locale, text
+from ..operators import audit, documents, drift, intake, learn, lists, rollups, score, usage, validate
 from ..sources import dims, tables
 from ..sources.tables import MONEY
 
@@ -472,6 +472,156 @@ def x21_budget_balance(s, d):
     return usage.budget_balance(tables.load(s, d, "orders"))
 
 
+@query
+def b11_status_update(s, d):
+    bills = tables.extractions(s, d).select("extraction_id", "status", "confidence_score")
+    approved = bills.where("status = 'pending_review' and extraction_id % 10 = 0").select("extraction_id", F.lit("accepted").alias("status"))
+    return documents.updated(bills, approved, "extraction_id")
+
+
+@query
+def b14_correction_patch(s, d):
+    c = tables.corrections(s, d).select("correction_id", "corrected_value", "correction_category")
+    patch = c.where("correction_id % 7 = 0").select("correction_id", F.lit("fixed").alias("correction_category"), F.when(F.col("correction_id") % 2 == 0, F.lit("new")).alias("corrected_value"))
+    return documents.deleted(documents.updated(c, patch, "correction_id"), c.where("correction_id % 11 = 0"), "correction_id")
+
+
+@query
+def b16_document_to_rows(s, d):
+    rows = documents.charge_rows(documents.rendered(tables.charges(s, d)))
+    return rows.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("n"), F.sum("amount").cast("double").alias("amount"), F.round(F.sum("amount_confidence"), 3).alias("confidence"), F.count_if(F.col("category") == "other").alias("n_other"), F.count_if(F.col("corrupt")).alias("n_corrupt"), F.count("service_date").alias("n_dates"), F.count_if(F.startswith("line_id", F.lit("L"))).alias("n_numbered"))
+
+
+@query
+def b18_validation_flags(s, d):
+    bills = tables.extractions(s, d)
+    found = validate.run_validation(tables.charges(s, d), bills).unionByName(validate.unit_mismatch(meters(s, d), bills))
+    return documents.flags(found, bills)
+
+
+@query
+def d23_mismatch_counts(s, d):
+    bills = tables.extractions(s, d)
+    answers = audit.rendered_answers(bills)
+    return audit.mismatch_counts(audit.questions(bills), answers, audit.compare(bills, answers))
+
+
+@query
+def g05_detect_country(s, d):
+    return locale_rows(s, d).select("o_orderkey", locale.country(F.col("text"), F.lit("xx"), F.lit(None).cast("string")).alias("country_code"))
+
+
+@query
+def g06_detect_locale(s, d):
+    rows = locale_rows(s, d).withColumn("text", F.concat("text", F.lit(" 1.234,56 € am 03.02.2025")))
+    return locale.locale(rows.withColumn("language", F.lit("de"))).select("o_orderkey", "country_code", "currency", "number_format", "date_format", "tax_regime")
+
+
+@query
+def g13_within_tolerance(s, d):
+    rows = validate.with_tolerance(tables.charges(s, d).join(tables.extractions(s, d).select("extraction_id", "country_code"), "extraction_id"))
+    off = F.abs(validate.cents(F.col("quantity") * F.col("rate")) - F.col("amount"))
+    return rows.groupBy("country_code").agg(F.count_if(off <= F.col("base")).alias("within_base"), F.count_if(off <= F.col("tax")).alias("within_tax"), F.count(F.lit(1)).alias("n"))
+
+
+@query
+def g24_template_version(s, d):
+    return tables.load(s, d, "benchmark").select("item_id", F.concat(F.lit("v1.0-"), F.left(F.sha2("text", 256), F.lit(8))).alias("version"))
+
+
+@query
+def k03_international_score(s, d):
+    key = F.col("extraction_id")
+    facts = tables.extractions(s, d).select("extraction_id", ((key % 10) / 10).alias("number_format_confidence"), (key % 3).alias("n_ambiguous_dates"), F.when(key % 7 == 0, 1).otherwise(0).alias("n_vat_errors"), F.when(key % 11 == 0, 2).otherwise(0).alias("n_conversion_errors"), tables.pick(key % 4, "en", "de", "pl", "fr").alias("language"))
+    return score.route(score.international_penalties(facts), tables.extractions(s, d)).select("extraction_id", F.col("score").cast("double").alias("score"), "labels", "tier")
+
+
+@query
+def k06_audit_fill(s, d):
+    bills = tables.extractions(s, d)
+    return audit.filled(audit.questions(bills), audit.rendered_answers(bills)).groupBy("field_to_check").agg(F.count(F.lit(1)).alias("asked"), F.count("answer").alias("answered"))
+
+
+@query
+def m01_load_corrections(s, d):
+    newest = tables.corrections(s, d).orderBy(F.desc("created_at"), F.desc("correction_id")).limit(1000)
+    return learn.categorized(newest).select("correction_id", "category", "utility", "commodity")
+
+
+@query
+def r03_drift_cause(s, d):
+    pairs = lists.previous_run(tables.extractions(s, d))
+    known = lambda c: [tables.pick(F.col(c) % 5, "m1", "m1", "m1", "m1", "m2").alias("model"), (F.col(c) % 3).alias("prompt"), (F.col(c) % 2).alias("few_shot_hash")]
+    facts = pairs.select("extraction_id", "previous_id", *known("extraction_id"), *(x.alias(f"previous_{n}") for x, n in zip(known("previous_id"), ("model", "prompt", "few_shot_hash"))))
+    return drift.cause(facts, drift.summary(drift.changed_fields(pairs)))
+
+
+@query
+def x01_account_balance(s, d):
+    key = F.col("o_orderkey")
+    money = lambda c: c.cast(MONEY)
+    total = money(F.col("o_totalprice"))
+    rows = tables.load(s, d, "orders").select(key.alias("extraction_id"), money(key % 100).alias("previous_balance"), money(-(key % 100)).alias("payments"), F.when(key % 2 == 0, money(key % 3)).alias("late_fees"), total.alias("current_charges"), money(total + F.when(key % 5 == 0, money(key % 3)).otherwise(money(F.lit(0)))).alias("amount_due"))
+    return usage.account_balance(rows).select("extraction_id", F.col("expected").cast("double").alias("expected"), F.col("amount_due").cast("double").alias("amount_due"))
+
+
+@query
+def x02_contracted_capacity(s, d):
+    key = F.col("extraction_id")
+    m = tables.extractions(s, d).select("extraction_id", (key % 100).alias("demand_value"), (key % 70).alias("contracted_value"))
+    return usage.contracted_capacity(m, tables.charges(s, d)).select("extraction_id", "demand_value", "contracted_value")
+
+
+@query
+def x10_single_meter_linkage(s, d):
+    m = meters(s, d).select("extraction_id", "meter_number")
+    twice = m.union(m.where("extraction_id % 3 = 0").select("extraction_id", F.lit("second")))
+    c = tables.charges(s, d).select("extraction_id", "line_number", F.when(F.col("line_number") == 1, F.lit("own")).alias("meter_number"))
+    return rollups.count_by(usage.single_meter_linkage(c, twice), "meter_number")
+
+
+@query
+def x11_merged_extractions(s, d):
+    key = F.col("extraction_id")
+    one = tables.extractions(s, d).select("extraction_id", F.lit("a").alias("value"), ((key % 7) / 10).alias("confidence"))
+    two = tables.extractions(s, d).where("extraction_id % 2 = 0").select("extraction_id", F.lit("b").alias("value"), ((key % 5) / 10).alias("confidence"))
+    return documents.merged(one, two, ["extraction_id"])
+
+
+@query
+def x13_candidate_confidence(s, d):
+    bills = tables.extractions(s, d)
+    return usage.candidate_confidence(learn.categorized(lists.with_context(tables.corrections(s, d), bills)), bills)
+
+
+@query
+def x19_sewer_cap(s, d):
+    o = tables.load(s, d, "orders")
+    months = o.groupBy((F.col("o_custkey") % 30).alias("account"), F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count(F.lit(1)).cast("double").alias("usage"))
+    return usage.sewer_cap(months)
+
+
+@query
+def x22_tou_periods(s, d):
+    li = tables.load(s, d, "lineitem")
+    p = li.select(F.concat(F.lit("M"), (F.col("l_suppkey") % 20).cast("string")).alias("meter_number"), tables.pick(F.col("l_linenumber") % 6, "HT", " nt", "P1", "f2", "Night", "odd").alias("period"), F.col("l_quantity").alias("consumption"))
+    return usage.tou_periods(p)
+
+
+@query
+def x23_net_metering(s, d):
+    key = F.col("extraction_id")
+    m = tables.extractions(s, d).select("extraction_id", (key % 500 * 1.0).alias("total"), (key % 60 * 1.0).alias("generation"), (key % 500 - key % 60 + F.when(key % 9 == 0, 3).otherwise(0)).cast("double").alias("net"))
+    return usage.net_metering(m).select("extraction_id")
+
+
+def locale_rows(s: SparkSession, d: str) -> DataFrame:
+    """Two keywords of a country in each order's text."""
+    codes = list(locale.KEYWORDS)
+    words = [f"Bill: {locale.KEYWORDS[c][0]} and {locale.KEYWORDS[c][2]}" for c in codes]
+    return tables.load(s, d, "orders").select("o_orderkey", tables.pick(F.col("o_orderkey") % len(codes), *words).alias("text"))
+
+
 def text_rows(s: SparkSession, d: str) -> DataFrame:
     """Order totals rendered as a bill would print them."""
     o = tables.load(s, d, "orders").select("o_orderkey", "o_totalprice")
