@@ -117,7 +117,7 @@ _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
+_BYTE = (mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1))[_FOLD]
 
 
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +140,7 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     sizes = ends - at
     where = np.flatnonzero(inside)
     place = np.arange(len(where)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    terms = _BYTE[_FOLD[data[where]]] * powers(BASE, int(sizes.max()))[place]
+    terms = _BYTE[data[where]] * powers(BASE, int(sizes.max()))[place]
     h = mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     return h, np.searchsorted(starts, at, side="right") - 1, at, ends
 
