@@ -73,13 +73,13 @@ def numbered(df: DataFrame, key: str, order: list[str], chunks: int, out: str =
     return ranked.join(counts.hint("merge"), [key, "_chunk"]).withColumn(out, F.col("_before") + F.col("_at")).drop("_chunk", "_before", "_at")
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Splits Arrow batches so that each holds about chars bytes of column, or one longer text."""
+def blocks(batches: Iterator[pa.RecordBatch], column: str, chars: int = 1 << 20, rows: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Splits Arrow batches so that each holds about chars bytes of column, or one longer text, and at most rows rows."""
     for b in batches:
         if not b.num_rows:
             continue
         sizes = np.array([0 if s is None else s for s in pc.binary_length(b.column(column)).to_pylist()], dtype=np.int64)
-        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // chars)) + 1
+        cut = np.flatnonzero(np.diff(np.cumsum(sizes) // chars) | np.diff(np.arange(len(sizes)) // rows)) + 1
         for lo, hi in zip([0, *cut], [*cut, b.num_rows]):
             if hi > lo:
                 yield b.slice(lo, hi - lo)
