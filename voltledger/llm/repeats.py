@@ -238,13 +238,14 @@ def repeated_spans(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     return runs.join(copied.select("row").hint("merge"), "row", "left_anti").union(copied.select("row", "windows"))
 
 
-def cut_repeats(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """docs with columns kept (the text's bytes without repeated strings), n_bytes, n_removed, n_spans."""
+def cut_repeats(docs: DataFrame, size: int, scratch: Scratch, as_text: bool = False) -> DataFrame:
+    """docs with columns kept (the text's bytes without repeated strings), n_bytes, n_removed, n_spans. as_text: kept is
+    text; of a character that was cut in two nothing stays."""
     spans = scratch.put(repeated_spans(docs, size, scratch), "result")
     n, entries = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()
     rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
     joined = with_rows(rows, spans, n, entries, "left")
-    fields = [*docs.schema.fields, T.StructField("kept", T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
+    fields = [*docs.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
     names, text_at = docs.columns, docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +262,7 @@ def cut_repeats(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
                 sizes.append(len(data))
                 removed.append(int(gone.sum()))
                 spans_.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64())], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64())], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
 
     return joined.select(*names, "windows").mapInArrow(run, T.StructType(fields))
 

@@ -1,9 +1,9 @@
 """The corpus operators as steps that keep or change documents."""
 
-import pandas as pd
+from __future__ import annotations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import Scratch
 from .decontam import find_leaks
@@ -37,21 +37,16 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     return without(kept, twice, "doc_id").union(again).select(docs.columns)
 
 
-@F.pandas_udf(T.StringType())
-def decoded(data: pd.Series) -> pd.Series:
-    return data.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-
 def cut_repeated_strings(docs: DataFrame, size: int = 400) -> DataFrame:
     """Texts without the strings of size bytes that stand elsewhere too; a character cut in two goes as a whole. Documents
     of which nothing but blanks is left are dropped if something was removed."""
-    out = cut_repeats(docs, size, Scratch(docs.sparkSession, "cut"))
-    whole = docs.columns
-    out = out.withColumn("_text", F.when(F.col("n_removed") > 0, decoded(F.col("kept"))).otherwise(F.col("text")))
-    out = out.where((F.col("n_removed") == 0) | (F.trim("_text") != "")).withColumn("text", F.col("_text"))
-    if "n_chars" in whole:
+    scratch = Scratch(docs.sparkSession, "cut")
+    out = cut_repeats(docs, size, scratch, as_text=True)
+    scratch.clear(keep=("result",))
+    out = out.where((F.col("n_removed") == 0) | (F.trim("kept") != "")).withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(whole)
+    return out.select(docs.columns)
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
