@@ -17,3 +17,9 @@ def complexity_score(signals: Column, lines: Column, pages: Column) -> Column:
 
 def complexity_tier(score: Column) -> Column:
     return F.when(score <= 2, "simple").when(score <= 6, "standard").when(score <= 10, "complex").otherwise("pathological")
+
+
+def signal_flags(signals: Column) -> list[Column]:
+    """One boolean for each signal that later rules look at."""
+    names = ["demand_charges", "tou_present", "supplier_split", "net_metering", "prior_period_adjustments"]
+    return [F.coalesce(F.array_contains(signals, n), F.lit(False)).alias(f"has_{n}") for n in names]

@@ -81,3 +81,15 @@ def convert_units(rows: DataFrame) -> DataFrame:
     out = rows.join(factor, ["from_unit", "to_unit"], "left")
     value = F.when(a == b, F.col("value")).when((a == "m³") & (b == "kWh"), F.col("value") * cv).when((a == "kWh") & (b == "m³"), F.try_divide(F.col("value"), cv)).otherwise(F.col("value") * F.col("factor"))
     return out.withColumn("converted", value).withColumn("unit_error", F.when(value.isNull() & F.col("value").isNotNull(), F.when(a.isin("m³", "kWh") & b.isin("m³", "kWh"), "no calorific value").otherwise("no factor"))).drop("factor")
+
+
+def swiss_amount(text: Column) -> Column:
+    """1'234.56, either apostrophe."""
+    plain = F.regexp_replace(F.regexp_replace(text, r"CHF|\s", ""), "['’]", "")
+    return F.when(F.regexp_like(plain, F.lit(r"^-?\d+(\.\d+)?$")), plain.try_cast("decimal(18,2)"))
+
+
+def date_verdict(start: Column, end: Column, ambiguous: Column) -> Column:
+    """fatal for a period of negative or over 400 days, warning for over 95 with an ambiguous date, else null."""
+    days = F.datediff(end, start)
+    return F.when((days < 0) | (days > 400), "fatal").when((days > 95) & ambiguous, "warning")

@@ -57,3 +57,30 @@ def merged(first: DataFrame, second: DataFrame, key: list[str]) -> DataFrame:
     """Two partial extractions (key, value, confidence): per key the value of higher confidence, the first on a tie."""
     both = first.withColumn("o", F.lit(1)).unionByName(second.withColumn("o", F.lit(0)))
     return both.groupBy(*key).agg(F.max(F.struct("confidence", "o", "value")).alias("m")).select(*key, "m.value", "m.confidence")
+
+
+def never_vanish(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Each document's pages; a document without any has one page 1 without text, quality 0."""
+    rows = documents.join(pages, "doc_id", "left")
+    return rows.select("doc_id", F.coalesce("page_number", F.lit(1)).alias("page_number"), "text", F.when(F.col("page_number").isNull(), 0.0).otherwise(F.col("quality")).alias("quality"))
+
+
+def reprocess(ids: DataFrame, stored: DataFrame, files: DataFrame) -> DataFrame:
+    """Stored extractions asked for again whose file is still there."""
+    return stored.join(ids.select("extraction_id"), "extraction_id", "left_semi").join(files.select("file_hash"), "file_hash", "left_semi")
+
+
+def with_period(charges: DataFrame, bills: DataFrame) -> DataFrame:
+    """Charges without a period of their own take the bill's."""
+    b = bills.select("extraction_id", F.col("period_start").alias("_s"), F.col("period_end").alias("_e"))
+    return charges.join(b, "extraction_id", "left").withColumn("period_start", F.coalesce("period_start", "_s")).withColumn("period_end", F.coalesce("period_end", "_e")).drop("_s", "_e")
+
+
+def weighted_confidence(fields: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """fields (extraction_id, kind, confidence): mean by the kind's weight (1 if not listed), and whether it is below 0.7."""
+    w = None
+    for kind, x in weights.items():
+        w = F.when(F.col("kind") == kind, x) if w is None else w.when(F.col("kind") == kind, x)
+    w = w.otherwise(1.0)
+    mean = F.round(F.sum(w * F.col("confidence")) / F.sum(F.when(F.col("confidence").isNotNull(), w)), 6)
+    return fields.groupBy("extraction_id").agg(mean.alias("confidence")).withColumn("low", F.col("confidence") < 0.7)

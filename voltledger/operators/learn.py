@@ -81,3 +81,14 @@ def taxonomy_lookup(rows: DataFrame, taxonomy: DataFrame, text: str) -> DataFram
     hit = texts.join(F.broadcast(taxonomy), F.contains(F.lower(text), F.lower("keyword")))
     first = hit.groupBy(text).agg(F.min(F.struct("ordinal", "keyword", "tax_category", "tax_section")).alias("m")).select(text, "m.keyword", "m.tax_category", "m.tax_section")
     return rows.join(first, text, "left")
+
+# What each category means.
+MEANING = {"ocr_error": "misread characters", "format_normalize": "format evened out", "wrong_on_document": "the document itself is wrong", "missing_context": "context was missed", "calculation_error": "wrong arithmetic", "other": "another correction"}
+
+
+def reasoning(category: Column, path: Column) -> Column:
+    """A sentence on why a field, named by the last part of its path, was corrected."""
+    said = None
+    for name, meaning in MEANING.items():
+        said = F.when(category == name, meaning) if said is None else said.when(category == name, meaning)
+    return F.concat(F.element_at(F.split(path, r"\."), -1), F.lit(": "), F.coalesce(said, F.lit("another correction")))

@@ -210,4 +210,22 @@ _PLAIN |= {
     "x22_tou_periods": "SELECT 'M' || l_suppkey % 20 AS meter_number, ['peak','off_peak','peak','shoulder','off_peak','odd'][l_linenumber % 6 + 1] AS std_period, sum(l_quantity) AS consumption FROM lineitem GROUP BY 1, 2",
 }
 
+_ON_MODEL |= {
+    "a18_reprocess_select": "SELECT extraction_id, file_hash FROM extractions WHERE extraction_id % 6 = 0 AND file_hash IN (SELECT file_hash FROM extractions WHERE extraction_id % 5 = 0)",
+    "b13_result_update": "SELECT extraction_id, CASE WHEN extraction_id % 4 = 0 THEN 0.99::DOUBLE ELSE confidence_score END AS confidence_score, CASE WHEN extraction_id % 8 = 0 THEN 'simple' ELSE complexity_tier END AS complexity_tier FROM extractions",
+    "d15_any_demand": "SELECT extraction_id, extraction_id IN (SELECT extraction_id FROM charges WHERE category = 'demand') AS any_demand FROM extractions",
+    "d21_token_total": "SELECT sum(total_tokens)::BIGINT AS total_tokens FROM calls",
+    "g15_signal_flags": "SELECT extraction_id, extraction_id % 2 = 0 AS has_demand_charges, extraction_id % 3 = 0 AS has_tou_present, false AS has_supplier_split, extraction_id % 5 = 0 AS has_net_metering, false AS has_prior_period_adjustments FROM extractions",
+    "g17_category_reasoning": "SELECT correction_id, string_split(field_path, '.')[-1] || ': ' || CASE inferred WHEN 'format_normalize' THEN 'format evened out' WHEN 'missing_context' THEN 'context was missed' WHEN 'calculation_error' THEN 'wrong arithmetic' ELSE 'another correction' END AS reasoning FROM inferred",
+    "x09_charge_period": "SELECT extraction_id, min(a)::DATE::VARCHAR AS first_day, max(b)::DATE::VARCHAR AS last_day FROM (SELECT l_orderkey AS extraction_id, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate ELSE o_orderdate END::DATE AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate::DATE + 7 ELSE o_orderdate::DATE + 30 END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1",
+    "x16_mx_iva": "SELECT extraction_id, g::DOUBLE AS expected FROM (SELECT extraction_id, stated_total, round((round((stated_total * 0.86)::DECIMAL(28,4), 2) * 1.16)::DECIMAL(28,4), 2) AS g FROM extractions WHERE country_code = 'MX') WHERE abs(g - stated_total) > 500",
+}
+_PLAIN |= {
+    "a15_unsupported_rows": "SELECT coalesce(l_linenumber, 1) AS page_number, count(*) AS n, count(l_linestatus) AS n_text FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",
+    "l01_newest_page": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 25 OFFSET 40",
+    "x04_date_verdict": f"SELECT o_orderkey, CASE WHEN days < 0 OR days > 400 THEN 'fatal' ELSE 'warning' END AS severity FROM (SELECT o_orderkey, any_value(dd) AS dd, any_value(mm) AS mm, date_diff('day', any_value(o_orderdate)::DATE, max(l_shipdate)::DATE) AS days FROM ({_ORDERS}) JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1) WHERE days < 0 OR days > 400 OR (days > 95 AND dd <= 12 AND dd <> mm)",
+    "x12_weighted_confidence": "SELECT extraction_id, c AS confidence, c < 0.7::DOUBLE AS low FROM (SELECT l_orderkey AS extraction_id, round(sum(w * (1 - l_discount)) FILTER (WHERE l_linenumber <> 5) / sum(w) FILTER (WHERE l_linenumber <> 5), 6) AS c FROM (SELECT *, [1.0, 1.5, 2.0, 3.0][l_linenumber % 4 + 1]::DOUBLE AS w FROM lineitem) GROUP BY 1)",
+    "x17_swiss_amounts": "SELECT o_orderkey, round(o_totalprice, 2) AS amount FROM orders",
+}
+
 SQL = _PLAIN | {name: f"{MODEL}{sql}" for name, sql in _ON_MODEL.items()}

@@ -622,6 +622,91 @@ def locale_rows(s: SparkSession, d: str) -> DataFrame:
     return tables.load(s, d, "orders").select("o_orderkey", tables.pick(F.col("o_orderkey") % len(codes), *words).alias("text"))
 
 
+@query
+def a15_unsupported_rows(s, d):
+    docs = tables.load(s, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
+    pages = tables.load(s, d, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("page_number"), F.col("l_linestatus").alias("text"), F.col("l_discount").alias("quality"))
+    return documents.never_vanish(docs, pages).groupBy("page_number").agg(F.count(F.lit(1)).alias("n"), F.count("text").alias("n_text"))
+
+
+@query
+def a18_reprocess_select(s, d):
+    bills = tables.extractions(s, d)
+    ids = bills.where("extraction_id % 6 = 0").select("extraction_id")
+    files = bills.where("extraction_id % 5 = 0").select("file_hash").distinct()
+    return documents.reprocess(ids, bills, files).select("extraction_id", "file_hash")
+
+
+@query
+def b13_result_update(s, d):
+    bills = tables.extractions(s, d).select("extraction_id", "confidence_score", "complexity_tier")
+    new = bills.where("extraction_id % 4 = 0").select("extraction_id", F.lit(0.99).alias("confidence_score"), F.when(F.col("extraction_id") % 8 == 0, "simple").alias("complexity_tier"))
+    return documents.updated(bills, new, "extraction_id")
+
+
+@query
+def d15_any_demand(s, d):
+    any_demand = tables.charges(s, d).groupBy("extraction_id").agg(F.bool_or(F.col("category") == "demand").alias("x"))
+    return tables.extractions(s, d).select("extraction_id").join(any_demand, "extraction_id", "left").select("extraction_id", F.coalesce("x", F.lit(False)).alias("any_demand"))
+
+
+@query
+def d21_token_total(s, d):
+    return rollups.call_stats_by_model(tables.calls(s, d)).agg(F.sum("total_tokens").alias("total_tokens"))
+
+
+@query
+def g15_signal_flags(s, d):
+    key = F.col("extraction_id")
+    signals = F.array_compact(F.array(F.when(key % 2 == 0, "demand_charges"), F.when(key % 3 == 0, "tou_present"), F.when(key % 5 == 0, "net_metering")))
+    return tables.extractions(s, d).select("extraction_id", *complexity.signal_flags(signals))
+
+
+@query
+def g17_category_reasoning(s, d):
+    return learn.categorized(tables.corrections(s, d)).select("correction_id", learn.reasoning(F.col("inferred"), F.col("field_path")).alias("reasoning"))
+
+
+@query
+def l01_newest_page(s, d):
+    return lists.page(tables.load(s, d, "orders").select("o_orderkey", "o_orderdate"), [F.desc("o_orderdate"), "o_orderkey"], 40, 25)
+
+
+@query
+def x04_date_verdict(s, d):
+    li = tables.load(s, d, "lineitem").groupBy("l_orderkey").agg(F.max("l_shipdate").cast("date").alias("b"))
+    o = tables.load(s, d, "orders")
+    verdict = text.date_verdict(F.col("o_orderdate").cast("date"), F.col("b"), text.ambiguous_date(F.date_format("o_orderdate", "dd/MM/yyyy")))
+    return o.join(li, o["o_orderkey"] == li["l_orderkey"]).select("o_orderkey", verdict.alias("severity")).where("severity is not null")
+
+
+@query
+def x09_charge_period(s, d):
+    bills = tables.load(s, d, "orders").select(F.col("o_orderkey").alias("extraction_id"), F.col("o_orderdate").cast("date").alias("period_start"), F.date_add(F.col("o_orderdate").cast("date"), 30).alias("period_end"))
+    c = tables.charges(s, d).select("extraction_id", "line_number", F.when(F.col("line_number") % 2 == 0, F.col("service_date").cast("date")).alias("period_start"), F.when(F.col("line_number") % 2 == 0, F.date_add(F.col("service_date").cast("date"), 7)).alias("period_end"))
+    return documents.with_period(c, bills).groupBy("extraction_id").agg(F.min("period_start").cast("string").alias("first_day"), F.max("period_end").cast("string").alias("last_day"))
+
+
+@query
+def x12_weighted_confidence(s, d):
+    li = tables.load(s, d, "lineitem").select(F.col("l_orderkey").alias("extraction_id"), tables.pick(F.col("l_linenumber") % 4, "plain", "charge", "total", "account").alias("kind"), F.when(F.col("l_linenumber") != 5, 1 - F.col("l_discount")).alias("confidence"))
+    return documents.weighted_confidence(li, {"charge": 1.5, "total": 2.0, "account": 3.0})
+
+
+@query
+def x16_mx_iva(s, d):
+    rows = tables.extractions(s, d).where("country_code = 'MX'").withColumn("net", validate.cents(F.col("stated_total") * F.lit("0.86").cast("decimal(4,2)")))
+    gross = validate.cents(F.col("net") * F.lit("1.16").cast("decimal(4,2)"))
+    return rows.where(F.abs(gross - F.col("stated_total")) > 500).select("extraction_id", gross.cast("double").alias("expected"))
+
+
+@query
+def x17_swiss_amounts(s, d):
+    o = tables.load(s, d, "orders")
+    raw = F.concat(F.lit("CHF "), F.translate(F.format_number(F.col("o_totalprice").cast(MONEY), 2), ",", "'"))
+    return o.select("o_orderkey", text.swiss_amount(raw).cast("double").alias("amount"))
+
+
 def text_rows(s: SparkSession, d: str) -> DataFrame:
     """Order totals rendered as a bill would print them."""
     o = tables.load(s, d, "orders").select("o_orderkey", "o_totalprice")
