@@ -18,8 +18,11 @@ from .suffixes import suffix_ranks
 
 #: Bytes of the string that makes a place an anchor, and one place in how many is.
 GRAM, SPARSE = 16, 64
-#: Phrases that are compared behind an anchor.
-AHEAD = 8
+#: In a window without an anchor, one place in how many stands in for it.
+DENSE = 8
+#: Phrases that are compared behind an anchor, and levels of the suffix order: it must hold for more phrases than are compared,
+#: 3 to the power of the levels.
+AHEAD, LEVELS = 8, 2
 #: A table joined to the texts is broadcast up to so many rows and array entries; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 1_000_000, 4_000_000
 
@@ -40,13 +43,13 @@ class Hashes:
         return mix((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64))
 
 
-def anchors(h: Hashes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places where the next GRAM bytes hash to a multiple of SPARSE: position, text, bytes to the text's next anchor or end."""
+def anchors(h: Hashes, starts: np.ndarray, sparse: int = SPARSE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places where the next GRAM bytes hash to a multiple of sparse: position, text, bytes to the text's next anchor or end."""
     n = len(h.sums) - 1
     if n < GRAM:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     gram = mix((h.sums[GRAM:] - h.sums[:-GRAM]) * h.back[: n - GRAM + 1])
-    at = np.flatnonzero(gram % np.uint64(SPARSE) == 0)
+    at = np.flatnonzero(gram % np.uint64(sparse) == 0)
     of = np.searchsorted(starts, at, side="right") - 1
     inside = at + GRAM <= starts[of + 1]
     at, of = at[inside], of[inside]
@@ -92,7 +95,7 @@ def reaches(phrased: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     by_run = Window.partitionBy("run").orderBy("k")
     ahead = F.collect_list(F.struct((F.col("sym") % 2147483647).cast("int").alias("s"), F.col("len").cast("int").alias("l"), F.least("next", F.lit(size)).cast("int").alias("n"))).over(by_run.rowsBetween(0, AHEAD - 1))
     run = scratch.put(run.select("run", (F.row_number().over(by_run) - 1).cast("long").alias("i"), "sym", "row", "at", ahead.alias("ahead")), "runs")
-    ranks = suffix_ranks(run.select("run", "i", "sym"), scratch, 6)
+    ranks = suffix_ranks(run.select("run", "i", "sym"), scratch, LEVELS)
     placed = run.join(ranks.hint("merge"), ["run", "i"]).select("rank", "row", "at", "ahead")
     # neighbours in the order, in stretches that overlap by one
     stretch = 20_000
@@ -111,10 +114,43 @@ def reaches(phrased: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     return reach.groupBy("row").agg(F.collect_list(F.shiftleft(F.col("at"), 32) + F.col("reach")).alias("reach"))
 
 
+def without_anchor(h: Hashes, starts: np.ndarray, gaps: np.ndarray, size: int) -> list[tuple[np.ndarray, ...]]:
+    """Segments of the windows that start in gaps (rows text, first, last), none of which has an anchor: by the first denser
+    anchor in the window; a window without even that is a segment of its own."""
+    gaps = gaps[:, np.argsort(gaps[1], kind="stable")]
+    at, _, _ = anchors(h, starts, DENSE)
+    # each gap's windows are cut behind every dense anchor in the gap; the next dense anchor leads those before it
+    inner = at[(np.searchsorted(gaps[1], at, side="right") > 0)]
+    owner = np.searchsorted(gaps[1], inner, side="right") - 1
+    inside = inner < gaps[2][owner]
+    t = np.concatenate([gaps[0], gaps[0][owner[inside]]])
+    lo = np.concatenate([gaps[1], inner[inside] + 1])
+    order = np.argsort(lo, kind="stable")
+    t, lo = t[order], lo[order]
+    last = gaps[2][np.searchsorted(gaps[1], lo, side="right") - 1]
+    lead_at = np.searchsorted(at, lo)
+    first = np.append(at, 1 << 60)[lead_at]
+    hi = np.minimum(first, last)
+    led = first + GRAM <= lo + size  # the dense anchor is in the first window; later ones hold it as well
+    out = [(t[led], lo[led], hi[led] - lo[led] + 1, first[led] - lo[led], mix(h.of(first[led], first[led] + GRAM)), h.of(lo[led], hi[led] + size))]
+    far = ~led
+    if far.any():
+        # those before it comes into reach stand alone, the others follow it
+        reach = np.minimum(first[far] + GRAM - size, hi[far] + 1)
+        n = np.maximum(reach - lo[far], 0)
+        i = np.repeat(lo[far] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        whole = h.of(i, i + size)
+        out.append((np.repeat(t[far], n), i, np.ones(len(i), np.int64), np.full(len(i), -1), whole, whole))
+        some = reach <= hi[far]
+        a, z, f = reach[some], hi[far][some], first[far][some]
+        out.append((t[far][some], a, z - a + 1, f - a, mix(h.of(f, f + GRAM)), h.of(a, z + size)))
+    return out
+
+
 def open_segments(texts: DataFrame, size: int) -> DataFrame:
     """row, start, n, lead, key, content: stretches of n window starts from start on that the reaches leave open. All but those
     with lead -1 have the same first anchor, lead bytes after start, whose string's hash is key; content is a hash of all the
-    bytes of the stretch's windows. A window with no anchor is a stretch of its own."""
+    bytes of the stretch's windows. Windows with no anchor go by a denser kind of anchor, and without that each alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
@@ -142,10 +178,7 @@ def open_segments(texts: DataFrame, size: int) -> DataFrame:
             gaps = np.concatenate([np.stack([of, previous + 1, np.minimum(at - (size - GRAM) - 1, final)]), np.stack([np.arange(b.num_rows), behind + 1, starts[1:] - size])], axis=1)
             gaps = gaps[:, gaps[2] >= gaps[1]]
             if gaps.shape[1]:
-                n = gaps[2] - gaps[1] + 1
-                i = np.repeat(gaps[1] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                whole = h.of(i, i + size)
-                parts_.append((np.repeat(gaps[0], n), i, np.ones(len(i), np.int64), np.full(len(i), -1), whole, whole))
+                parts_ += without_anchor(h, starts, gaps, size)
             t, start, n, lead, key, content = (np.concatenate(x) for x in zip(*parts_))
             row = b.column("row").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(row[t]), pa.array(start - starts[t]), pa.array(n), pa.array(lead), as_long(key), as_long(mix(content ^ (lead.astype(np.uint64) * np.uint64(BASE))))], ["row", "start", "n", "lead", "key", "content"])
