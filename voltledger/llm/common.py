@@ -147,3 +147,20 @@ def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def as_long(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
+
+
+def squeezed(x: np.ndarray, in_order: bool = False) -> bytes:
+    """A compressed array of whole numbers: differences if in order, then byte by byte of all numbers."""
+    import zstandard
+
+    if in_order and len(x):
+        x = np.diff(x, prepend=x.dtype.type(0))
+    return zstandard.compress(np.ascontiguousarray(x.view("u1").reshape(len(x), x.dtype.itemsize).T).tobytes(), 1)
+
+
+def unsqueezed(data: bytes, kind: str, in_order: bool = False) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    x = np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), "u1").reshape(size, -1).T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if in_order else x
