@@ -193,13 +193,17 @@ def window_hashes(texts: DataFrame, size: int) -> DataFrame:
         for b in blocks(batches, "text", 1 << 20):
             data, starts = joined_bytes(b.column("text"))
             h = Hashes(data)
-            out = []
-            for t, segments in enumerate(b.column("segments").to_pylist()):
-                for s in segments or ():
-                    i = starts[t] + s["start"] + np.arange(s["n"])
-                    out.append((s["key"], s["content"], s["lead"], h.of(i, i + size).astype("<u8").view("u1").reshape(-1, 8)[:, :6].tobytes()))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["key", "content", "lead", "hashes"])
+            listed = b.column("segments")
+            t = np.repeat(np.arange(b.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
+            segments = listed.flatten()
+            start, n = (segments.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            if not len(n):
+                continue
+            ends = np.cumsum(n)
+            i = np.repeat(starts[t] + start - (ends - n), n) + np.arange(ends[-1])
+            packed = np.ascontiguousarray(h.of(i, i + size).astype("<u8").view("u1").reshape(-1, 8)[:, :6])
+            hashes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.insert(6 * ends, 0, 0).astype(np.int32)), pa.py_buffer(packed)])
+            yield pa.RecordBatch.from_arrays([*(segments.field(c) for c in ("key", "content", "lead")), hashes], ["key", "content", "lead", "hashes"])
 
     return texts.select("text", "segments").mapInArrow(run, "key long, content long, lead long, hashes binary")
 
