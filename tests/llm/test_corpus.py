@@ -253,6 +253,17 @@ def test_leaks(spark, docs, rows, empty):
     assert not decontam.contaminated(docs, benchmark.limit(0)).where("leaked").count()
 
 
+def test_leaks_of_an_item_in_a_third_of_the_rows(spark, empty):
+    rng = random.Random(19)
+    words = [f"{prose(rng, 1)}{i}" for i in range(4000)]
+    item = " ".join(rng.sample(words, 24))
+    own = lambda n: " ".join(rng.choices(words, k=n))
+    table = [(i, f"{own(37)} {item} {own(41)}" if i % 3 == 0 else own(90)) for i in range(300)]
+    got = decontam.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert {r["doc_id"] for r in got if r["leaked"]} == set(range(0, 300, 3))
+    assert all(r["overlap"] == 1.0 for r in got if r["leaked"])
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
