@@ -264,6 +264,20 @@ def test_leaks_of_an_item_in_a_third_of_the_rows(spark, empty):
     assert all(r["overlap"] == 1.0 for r in got if r["leaked"])
 
 
+def test_leaks_of_more_items_than_dimensions_and_of_long_items(spark):
+    rng = random.Random(20)
+    words = [f"{prose(rng, 1)}{i}" for i in range(3000)]
+    own = lambda n: " ".join(rng.choices(words, k=n))
+    items = [(i, own(rng.randint(15, 60))) for i in range(60)] + [(60 + i, own(700)) for i in range(2)]
+    table = [(i, f"{own(45)} {t} {own(39)}") for i, t in items] + [(100 + i, own(120)) for i in range(40)]
+    for i in range(60, 62):  # two thirds of a long item's words, each third one is another
+        w = items[i][1].split()
+        w[::3] = ["other"] * len(w[::3])
+        table.append((200 + i, " ".join(w)))
+    got = decontam.contaminated(spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), rank=32).collect()
+    assert {r["doc_id"]: r["item_ids"] for r in got if r["leaked"]} == {i: str(i % 200) for i in [*range(62), 260, 261]}
+
+
 def test_common_subsequence():
     def slow(a, b):
         t = np.zeros((len(a) + 1, len(b) + 1), int)
