@@ -232,6 +232,16 @@ def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
 
+def test_near_duplicates_that_repeat_lines_differently(spark):
+    rng = random.Random(31)
+    table = []
+    for i in range(120):
+        own, line = [f"{prose(rng, 1)}{rng.randrange(10**6)}" for _ in range(200)], [f"{prose(rng, 1)}{rng.randrange(10**6)}" for _ in range(100)]
+        table += [(2 * i, " ".join(own + line)), (2 * i + 1, " ".join(own + line * 20))]
+    got = neardup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["group_id"] for r in got} == {i: i - i % 2 for i in range(240)}
+
+
 def test_leaks(spark, docs, rows, empty):
     rng = random.Random(9)
     items = [(k, prose(rng, n)) for k, n in enumerate([15, 30, 59, 40, 0])]

@@ -1,4 +1,4 @@
-"""MinHash near-duplicates: ProbMinHash signatures of weighted word shingles, banding, exact verification."""
+"""MinHash near-duplicates: ProbMinHash signatures of word shingles of equal weight, banding, exact verification."""
 
 from __future__ import annotations
 
@@ -76,8 +76,8 @@ def sketch(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
-            e, of, n = shingles(b.column("text"), size)
-            sig = signatures(e, of, 1 + np.log(n), b.num_rows, bands * rows).reshape(b.num_rows, bands, rows)
+            e, of, _ = shingles(b.column("text"), size)
+            sig = signatures(e, of, np.ones(len(e)), b.num_rows, bands * rows).reshape(b.num_rows, bands, rows)
             key = np.zeros((b.num_rows, bands), np.uint64) + np.arange(bands, dtype=np.uint64)
             for i in range(rows):
                 key = mix(key * np.uint64(BASE) + sig[:, :, i])
@@ -128,8 +128,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: i
     """One row per row of docs: doc_id, class_id (smallest doc_id of the same text), group_id (smallest doc_id reachable
     by links between texts of similarity least or more), kept (doc_id is group_id).
 
-    Signatures weigh a shingle by 1 + ln of its count; similarity is the Jaccard similarity of the sets of shingles,
-    computed exactly for each candidate pair. Equal texts are one class, compared once. Candidates share one of bands
+    Signatures weigh all distinct shingles alike, so they estimate what is checked: the Jaccard similarity of the sets of
+    shingles, computed exactly for each candidate pair. Equal texts are one class, compared once. Candidates share one of bands
     keys of rows registers each (at similarity 0.8 all bands miss with probability 6e-5). A bucket's members are first
     compared with its smallest; after that only with members of other groups: with one of each chunk of about chunk
     members while more pairs are open than 20 a text, for at most rounds turns, then with all that are left.
