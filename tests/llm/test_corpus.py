@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -228,6 +229,27 @@ def test_repeats(docs, rows, size):
     assert multiset(repeats.remove_repeats(docs.withColumn("windows", F.lit(3)), size)) == want
 
 
+def test_repeats_split_a_frequent_anchor(spark, monkeypatch):
+    rng = random.Random(41)
+    passage = " ".join(f"{prose(rng, 1)}{rng.randrange(10**6)}" for _ in range(120))
+    table = [(i, f"{' '.join(str(rng.random()) for _ in range(30))} {passage}") for i in range(60)]
+    compared, plain = [], repeats.window_hashes
+
+    def kept(*args):
+        compared.append(plain(*args))
+        return compared[0]
+
+    monkeypatch.setattr(repeats, "window_hashes", kept)
+    monkeypatch.setattr(repeats, "HOT_WINDOWS", 500, raising=False)
+    monkeypatch.setattr(common.Scratch, "clear", lambda self, keep=(): None)
+    got = {r["doc_id"]: r["n_removed"] for r in repeats.remove_repeats(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    back = [t[::-1] for _, t in table]
+    assert got == {i: max(len(os.path.commonprefix([x, y])) for k, y in enumerate(back) if k != i) for i, x in enumerate(back)}
+    group = ["key", "sub"] if "sub" in compared[0].columns else ["key"]  # what one go compares
+    most = compared[0].groupBy(group).agg((F.sum(F.octet_length("hashes")) / 6).alias("n")).agg(F.max("n")).first()[0]
+    assert most <= 2 * 500
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 

@@ -25,6 +25,8 @@ DENSE = 8
 AHEAD, LEVELS = 8, 2
 #: A table joined to the texts is broadcast up to so many rows and array entries; beyond, the join shuffles.
 BROADCAST_ROWS, BROADCAST_ENTRIES = 1_000_000, 4_000_000
+#: Windows with the same first anchor that are compared in one go; more are split by their hashes.
+HOT_WINDOWS = 500_000
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _INVERSE = pow(BASE, -1, 2**64)
@@ -187,7 +189,9 @@ def open_segments(texts: DataFrame, size: int) -> DataFrame:
 
 
 def window_hashes(texts: DataFrame, size: int) -> DataFrame:
-    """key, content, lead, hashes: of the segments listed with each text (arrays start, n, ...), every window's hash."""
+    """key, sub, content, lead, hashes, places: of the segments listed with each text (arrays start, n, ..., split), every
+    window's hash. A segment with split above 1 has a row for each sub, a part of the hashes, that its windows fall in, with
+    their places; otherwise places is empty and stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
@@ -196,27 +200,48 @@ def window_hashes(texts: DataFrame, size: int) -> DataFrame:
             listed = b.column("segments")
             t = np.repeat(np.arange(b.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
             segments = listed.flatten()
-            start, n = (segments.field(c).to_numpy().astype(np.int64) for c in ("start", "n"))
+            start, n, split = (segments.field(c).to_numpy().astype(np.int64) for c in ("start", "n", "split"))
             if not len(n):
                 continue
             ends = np.cumsum(n)
-            i = np.repeat(starts[t] + start - (ends - n), n) + np.arange(ends[-1])
-            packed = np.ascontiguousarray(h.of(i, i + size).astype("<u8").view("u1").reshape(-1, 8)[:, :6])
-            hashes = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(np.insert(6 * ends, 0, 0).astype(np.int32)), pa.py_buffer(packed)])
-            yield pa.RecordBatch.from_arrays([*(segments.field(c) for c in ("key", "content", "lead")), hashes], ["key", "content", "lead", "hashes"])
-
-    return texts.select("text", "segments").mapInArrow(run, "key long, content long, lead long, hashes binary")
+            seg = np.repeat(np.arange(len(n)), n)
+            place = np.arange(ends[-1]) - (ends - n)[seg]
+            i = (starts[t] + start)[seg] + place
+            hashes = h.of(i, i + size)
+            sub = (mix(hashes) % split.astype(np.uint64)[seg]).astype(np.int64)
+            order = np.lexsort((place, sub, seg))
+            seg, sub, place = seg[order], sub[order], place[order]
+            first = np.flatnonzero(np.insert((seg[1:] != seg[:-1]) | (sub[1:] != sub[:-1]), 0, True))
+            edges = np.append(first, len(seg))
+            packed = np.ascontiguousarray(hashes[order].astype("<u8").view("u1").reshape(-1, 8)[:, :6])
+            hot = split[seg] > 1
+            kept = np.insert(np.cumsum(hot), 0, 0)[edges]
+            binary = lambda at, x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+            of = segments.take(pa.array(seg[first]))
+            yield pa.RecordBatch.from_arrays([of.field("key"), pa.array(sub[first]), of.field("content"), of.field("lead"), binary(6 * edges, packed), binary(4 * kept, place[hot].astype("<u4"))], ["key", "sub", "content", "lead", "hashes", "places"])
+
+    return texts.select("text", "segments").mapInArrow(run, "key long, sub long, content long, lead long, hashes binary, places binary")
+
+
+def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a binary column without nulls, and each row's size."""
+    sizes = pc.binary_length(column).to_numpy().astype(np.int64)
+    return np.concatenate([np.zeros(0, "u1"), *(joined_bytes(x)[0] for x in column.cast(pa.large_binary()).chunks)]), sizes
 
 
 def shared_windows(table: pa.Table) -> pa.Table:
     """Of segments with different contents: those with windows that another one has too, and which (a bit each)."""
     keys = table.column("key").to_numpy()
-    raw = table.column("hashes").to_pylist()
-    n = np.array([len(x) // 6 for x in raw])
+    raw, n = bytes_of(table.column("hashes"))
+    n = n // 6
     wide = np.zeros((int(n.sum()), 8), "u1")
-    wide[:, :6] = np.frombuffer(b"".join(raw), "u1").reshape(-1, 6)
+    wide[:, :6] = raw.reshape(-1, 6)
     seg = np.repeat(np.arange(len(n)), n)
-    lead = table.column("lead").to_numpy()[seg] - (np.arange(len(seg)) - (np.cumsum(n) - n)[seg])
+    at = np.cumsum(n) - n
+    place = np.arange(len(seg)) - at[seg]
+    own, listed = bytes_of(table.column("places"))
+    place[(listed > 0)[seg]] = own.view("<u4")
+    lead = table.column("lead").to_numpy()[seg] - place
     h = wide.view("<u8")[:, 0] | mix(keys.view(np.uint64)[seg] + lead.astype(np.uint64)) << np.uint64(48)
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -224,8 +249,11 @@ def shared_windows(table: pa.Table) -> pa.Table:
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
     some = np.flatnonzero(np.bincount(seg[hit], minlength=len(n)))
-    at = np.cumsum(n) - n
-    bits = [np.packbits(hit[at[i] : at[i] + n[i]]).tobytes() for i in some]
+    bits = []
+    for i in some:
+        mine = np.zeros(place[at[i] + n[i] - 1] + 1, bool)
+        mine[place[at[i] : at[i] + n[i]]] = hit[at[i] : at[i] + n[i]]
+        bits.append(np.packbits(mine).tobytes())
     return pa.table({"key": pa.array(keys[some]), "content": table.column("content").take(pa.array(some)), "bits": pa.array(bits, pa.binary())})
 
 
@@ -246,13 +274,14 @@ def repeated_spans(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     segments = scratch.put(open_segments(with_rows(single, reach, n, entries, "left"), size), "segments")
     contents = scratch.put(segments.groupBy("key", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "lead")).alias("s")), "contents")
     # only anchors with several different contents can hold windows in common beyond equal contents
-    mixed = contents.where("s.lead >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    mixed = contents.where("s.lead >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("s.n").alias("n")).where("k > 1").select("key", F.ceil(F.col("n") / HOT_WINDOWS).alias("split"))
     ask = contents.where("s.lead >= 0").join(mixed.hint("merge"), "key")
-    listed = scratch.put(ask.groupBy("s.row").agg(F.collect_list(F.struct("s.start", "s.n", "s.lead", "key", "content")).alias("segments")), "asked")
+    listed = scratch.put(ask.groupBy("s.row").agg(F.collect_list(F.struct("s.start", "s.n", "s.lead", "key", "content", "split")).alias("segments")), "asked")
     n, entries, windows = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("segments")), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(segments, 0L, (a, x) -> a + x.n)")), F.lit(0))).first()
     buckets = max(parts(docs.sparkSession), -(-windows // 4_000_000))
     asked = window_hashes(with_rows(single, listed, n, 3 * entries, "inner"), size)
-    part = scratch.put(asked.groupBy(F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("b")).applyInArrow(shared_windows, "key long, content long, bits binary"), "shared")
+    part = scratch.put(asked.groupBy(F.pmod(F.xxhash64("key", "sub"), F.lit(buckets)).alias("b")).applyInArrow(shared_windows, "key long, content long, bits binary"), "shared")
+    part = part.groupBy("key", "content").agg(F.collect_list("bits").alias("bits"))
     whole = contents.where("c > 1").select("key", "content")
     marked = segments.join(whole.withColumn("all", F.lit(True)).hint("merge"), ["key", "content"], "left").join(part.hint("merge"), ["key", "content"], "left").where("all or bits is not null")
 
@@ -264,8 +293,11 @@ def repeated_spans(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
                     row.append(r)
                     start.append(s << 32 | n)
                     continue
-                hit = np.unpackbits(np.frombuffer(bits, "u1"), count=n).astype(np.int8)
-                edge = np.diff(hit, prepend=0, append=0)
+                hit = np.zeros(n + 8, np.int8)
+                for x in bits:
+                    one = np.unpackbits(np.frombuffer(x, "u1"))
+                    hit[: len(one)] |= one.astype(np.int8)
+                edge = np.diff(hit[:n], prepend=0, append=0)
                 for lo, hi in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()):
                     row.append(r)
                     start.append((s + lo) << 32 | hi - lo)
@@ -311,7 +343,7 @@ def remove_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
     Texts are cut into phrases at anchors, places that their own next bytes choose, so equal strings are cut alike. Phrases that
     occur once can't be repeated; the others' suffixes are ordered by the difference-cover algorithm, and the phrases that a suffix
     shares with its neighbours in that order bound how far its text is repeated. Windows that this leaves open are compared by 64-bit
-    hashes, grouped by their first anchor, equal stretches of them once. Equal texts are settled beforehand and enter
+    hashes, grouped by their first anchor and, if many have the same, by parts of their hashes, equal stretches of them once. Equal texts are settled beforehand and enter
     once. A null text is empty; texts shorter than size stay as they are; of repeated rows each goes if long enough."""
     scratch = Scratch(docs.sparkSession, "repeats")
     out = cut_repeats(docs.select("doc_id", "text"), size, scratch)
