@@ -63,13 +63,15 @@ def multiset(df):
     return collections.Counter(tuple(r) for r in df.collect())
 
 
-def test_words_match_the_pattern(rows):
+def test_words_match_the_pattern(rows, monkeypatch):
     import pyarrow as pa
 
     texts = [t for _, t, _ in rows] + ["\t a\x1cb  c \n", " "]
     h, of, lo, hi = common.words(*common.joined_bytes(pa.array(texts)))
     data, _ = common.joined_bytes(pa.array(texts))
     assert [bytes(data[a:b]).decode() for a, b in zip(lo, hi)] == [w for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    monkeypatch.setattr(common, "WORD_BYTES", 16)  # long texts are cut at white space
+    assert all((x == y).all() for x, y in zip((h, of, lo, hi), common.words(*common.joined_bytes(pa.array(texts)))))
     by_hash = {}
     for t, x in zip((w for t in texts for w in tokens(t)), h):
         assert by_hash.setdefault(int(x), t) == t
@@ -93,9 +95,10 @@ def test_components_of_chains_and_stars(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(200)] + [(1000, i) for i in range(1001, 1300)] + [(rng.randint(2000, 2100), rng.randint(2000, 2100)) for _ in range(70)] + [(5, 5)]
     apart = [x for x in links if x[0] != x[1]]
-    got = graph.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "t"))
     want = components({n for x in apart for n in x}, apart)
-    assert dict((r[0], r[1]) for r in got.collect()) == want
+    for bound in (None, 30):  # all in one task, and contracted first
+        got = graph.components(spark.createDataFrame(links, "a long, b long"), common.Scratch(spark, "t"), task_links=bound)
+        assert dict((r[0], r[1]) for r in got.collect()) == want
 
 
 def test_near_duplicates(docs, rows, empty):
@@ -121,8 +124,9 @@ def test_near_duplicates_beyond_the_first_hub(spark):
     chain = []
     for k in range(6):
         chain.append((10 + k, " ".join(base[8 * k : 8 * k + 150])))
-    got = neardup.near_duplicates(spark.createDataFrame(chain, "doc_id long, text string"), rounds=0)
-    assert {r["group_id"] for r in got.collect()} == {10}
+    table = spark.createDataFrame(chain, "doc_id long, text string")
+    for settings in ({"rounds": 0}, {"rounds": 0, "pairs_a_text": 0, "block": 2}, {"pairs_a_text": 0, "chunk": 2, "block": 256}):  # pairs, blocks, turns and then blocks
+        assert {r["group_id"] for r in neardup.near_duplicates(table, **settings).collect()} == {10}
 
 
 def test_signatures_estimate_probability_jaccard():

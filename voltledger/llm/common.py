@@ -111,6 +111,8 @@ def powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+#: Bytes that words() works on at once.
+WORD_BYTES = 1 << 22
 #: Odd, for polynomials modulo 2**64.
 BASE = 0x9E3779B97F4A7C15
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -123,26 +125,41 @@ _BYTE = (mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1))[_FOLD]
 def words(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The words of texts joined as by joined_bytes, cut at ASCII white space, A-Z in lower case: a 64-bit hash of each,
     the text it is in, and its bytes' start and end."""
-    none = np.zeros(0, np.int64)
-    if not len(data):
+    found, lo = [], 0
+    while lo < len(data):  # the arrays take some 50 bytes a byte while they are made, so long stretches are cut at white space
+        hi = min(lo + WORD_BYTES, len(data))
+        while hi < len(data) and not len(blank := np.flatnonzero(_SPACE[data[max(lo, hi - WORD_BYTES) : hi]])):
+            hi = min(hi + WORD_BYTES, len(data))
+        if hi < len(data):
+            hi = max(lo, hi - WORD_BYTES) + int(blank[-1]) + 1
+        inner = starts[(starts > lo) & (starts < hi)] - lo
+        h, at, ends = _words(data[lo:hi], inner)
+        found.append((h, at + lo, ends + lo))
+        lo = hi
+    if not found:
+        none = np.zeros(0, np.int64)
         return np.zeros(0, np.uint64), none, none, none
+    h, at, ends = found[0] if len(found) == 1 else (np.concatenate(x) for x in zip(*found))
+    return h, np.searchsorted(starts, at, side="right") - 1, at, ends
+
+
+def _words(data: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, start and end of each word of data, in which a text begins at each of edges."""
     gap = _SPACE[data]
     inside = ~gap
     first = inside.copy()
     first[1:] &= gap[:-1]
-    edges = starts[1:-1]
-    edges = edges[edges < len(data)]
     first[edges] = inside[edges]
     at = np.flatnonzero(first)
     if not len(at):
-        return np.zeros(0, np.uint64), none, none, none
+        return np.zeros(0, np.uint64), at, at
     ends = np.flatnonzero(np.append(inside[:-1] & (gap[1:] | first[1:]), inside[-1])) + 1
     sizes = ends - at
     where = np.flatnonzero(inside)
     place = np.arange(len(where)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     terms = _BYTE[data[where]] * powers(BASE, int(sizes.max()))[place]
     h = mix(np.add.reduceat(terms, np.cumsum(sizes) - sizes) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h, np.searchsorted(starts, at, side="right") - 1, at, ends
+    return h, at, ends
 
 
 def as_long(x: np.ndarray) -> pa.Array:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
-from .graph import components
+from .graph import components, forest
 
 
 class CoverTree:
@@ -83,20 +83,6 @@ def matched(a: np.ndarray, b: np.ndarray, same: bool, least: float) -> tuple[np.
     return np.nonzero(hit)
 
 
-def forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
-    """Per node the smallest node that it is connected with by the links i, j."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[i], label[j])
-        new = label.copy()
-        np.minimum.at(new, i, low)
-        np.minimum.at(new, j, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, sample_size: int, max_leaves: int, block: int) -> DataFrame:
     """Of distinct vectors (id, n, embedding, n being how many rows share it): rows (a, b, links): links of a with other
     vectors counted in rows where b is null, else a and b connected by links."""
