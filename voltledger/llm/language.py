@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BASE, Scratch, mix
+from .common import BASE, Scratch, blocks, mix
 
 SIZES = (3, 4)
 _letters: np.ndarray | None = None
@@ -131,10 +131,10 @@ def train(labelled: DataFrame, max_documents: int = 20_000, least_rate: float =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            langs = np.array([code[x] for x in b.column(1).to_pylist()])
-            for lo, group in _groups(b.column(0).to_pylist(), 1 << 22):
-                h, of, _ = grams(group)
-                of = langs[lo : lo + len(group)][of]
+            for part_ in blocks([b], "text"):
+                langs = np.array([code[x] for x in part_.column(1).to_pylist()])
+                h, of, _ = grams(part_.column(0).to_pylist())
+                of = langs[of]
                 for c in np.unique(of).tolist():
                     g, n = np.unique(h[of == c], return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(np.full(len(g), c, np.int32)), pa.array(n)], ["gram", "lang", "n"])
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, model: LanguageFilter, text: str = "text") -> Data
     which = docs.columns.index(text)
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, text):
             said = model.predict(b.column(which).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x for x, _ in said], pa.string()), pa.array([s for _, s in said], pa.float64())], [*b.schema.names, "lang_pred", "score"])
 

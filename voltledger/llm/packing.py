@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, numbered, parts
+from .common import Scratch, blocks, numbered, parts
 
-#: Entries of the chunk -> ids table that a Python worker keeps. Chunks that come when it is full are encoded each time; after
-#: twice as many of them, it starts afresh.
-CACHE = 800_000
+#: Bytes of the chunk -> ids table that a task keeps, and of one of its entries beside key and value. Chunks that come when it is full
+#: are encoded each time; after twice as many of them, it starts afresh.
+CACHE_BYTES, ENTRY_BYTES = 96 << 20, 170
 
 
 class WordIds:
@@ -27,7 +27,11 @@ class WordIds:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.missed = Tokenizer.from_file(path), {b"": b""}, 0
+        self.tokenizer = Tokenizer.from_file(path)
+        self.start()
+
+    def start(self) -> None:
+        self.known, self.used, self.missed = {b"": b""}, 0, 0
 
     def ids(self, chunks: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -48,13 +52,15 @@ class WordIds:
         need = list(dict.fromkeys([*plain, *stems, b".", b","]))
         found = dict(zip(need, self.ids([c.decode() for c in need])))
         found |= {c: found.get(c[:-1], known.get(c[:-1])) + found[c[-1:]] for c in ended}
-        if len(known) + len(found) <= CACHE:
+        size = sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
+        if self.used + size <= CACHE_BYTES:
             known |= found
+            self.used += size
             return b"".join(map(known.__getitem__, chunks))
-        self.missed += len(new)
+        self.missed += size
         out = b"".join([known[c] if c in known else found[c] for c in chunks])
-        if self.missed > 2 * CACHE:
-            self.known, self.missed = {b"": b""}, 0
+        if self.missed > 2 * CACHE_BYTES:
+            self.start()
         return out
 
 
@@ -62,7 +68,7 @@ _open: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One table a Python worker, which outlives its tasks."""
+    """One tokenizer a Python worker, which outlives its tasks; its table doesn't."""
     if path not in _open:
         _open[path] = WordIds(path)
     return _open[path]
@@ -76,7 +82,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        for b in batches:
+        words.start()
+        for b in blocks(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
                 ids = words.encode(text.as_py() or b"") + b"\0\0\0\0"
@@ -84,6 +91,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
                     for to, x in zip(out, (doc, i // (4 * size), i // 4, min(size, (len(ids) - i) // 4), zlib.crc32(ids[i : i + 4 * size]))):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
+        words.start()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECE)
 

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: Pre-tokens in a leaf when a tree is built; a leaf that has grown past twice that is split.
 LEAF = 64
-#: Entries of the pre-token -> count table that a Python worker keeps before it starts afresh.
-CACHE = 500_000
+#: Entries of the pre-token -> count table (some 200 bytes each) that a task keeps before it starts afresh.
+CACHE = 200_000
 
 
 class PreTokens:
