@@ -39,6 +39,15 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def put_bucketed(self, df: DataFrame, key: str, name: str) -> DataFrame:
+        """As put(), in as many buckets of key as a shuffle has partitions: a join by key finds this side in place."""
+        path, table = f"{self.top}/{name}-{uuid.uuid4().hex[:8]}", f"t{uuid.uuid4().hex}"
+        n = parts(self.spark)
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).option("compression", "zstd").option("path", path).saveAsTable(table)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")  # the files stay, and what is read from them has found them
+        return out
+
     def clear(self, keep: tuple[str, ...] = ()) -> None:
         jvm = self.spark.sparkContext._jvm
         top = jvm.org.apache.hadoop.fs.Path(self.top)

@@ -20,26 +20,24 @@ from .suffixes import suffix_ranks
 GRAM, SPARSE = 16, 64
 #: In a window without an anchor, one place in how many stands in for it.
 DENSE = 8
-#: Phrases that are compared behind an anchor, and levels of the suffix order: it must hold for more phrases than are compared,
-#: 3 to the power of the levels.
-AHEAD, LEVELS = 8, 2
-#: A table joined to the texts is broadcast up to so many rows and array entries; beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_ENTRIES = 1_000_000, 4_000_000
+#: Phrases that are compared behind an anchor.
+AHEAD = 8
 #: Windows with the same first anchor that are compared in one go; more are split by their hashes.
 HOT_WINDOWS = 500_000
 
 _VALUE = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
-_INVERSE = pow(BASE, -1, 2**64)
+#: The base of a second, independent hash of the same bytes.
+OTHER_BASE = 0xC2B2AE3D27D4EB4F
 
 
 class Hashes:
     """Hashes of any substring of data in constant time, from sums of a polynomial modulo 2**64."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, base: int = BASE):
         n = len(data)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.add.accumulate(_VALUE[data] * powers(BASE, n)[:n], out=self.sums[1:])
-        self.back = powers(_INVERSE, n + 1)
+        np.add.accumulate(_VALUE[data] * powers(base, n)[:n], out=self.sums[1:])
+        self.back = powers(pow(base, -1, 2**64), n + 1)
 
     def of(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         return mix((self.sums[hi] - self.sums[lo]) * self.back[lo] + (hi - lo).astype(np.uint64))
@@ -79,10 +77,17 @@ def phrases(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "row long, syms array<long>, lens array<long>, at array<long>")
 
 
-def with_rows(texts: DataFrame, table: DataFrame, rows: int, entries: int, how: str) -> DataFrame:
-    """texts with table's columns, by row."""
-    small = rows <= BROADCAST_ROWS and entries <= BROADCAST_ENTRIES
-    return texts.join(F.broadcast(table) if small else table.hint("merge"), "row", how)
+def by_row(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs as a table bucketed by row, a new number of each row: columns c0, c1, ... in place of its own, text, n_bytes, md5. Joins
+    with it by row don't move its texts again."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(docs.columns) if c != "text"), F.col("text"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.md5(text.cast("binary"))).alias("md5"), F.monotonically_increasing_id().alias("row"))
+    return scratch.put_bucketed(rows, "row", "texts")
+
+
+def with_rows(texts: DataFrame, table: DataFrame, how: str) -> DataFrame:
+    """texts (from by_row) with table's columns, by row: the table goes to the texts' buckets."""
+    return texts.join(table.hint("shuffle_hash"), "row", how)
 
 
 def reaches(phrased: DataFrame, size: int, scratch: Scratch) -> DataFrame:
@@ -97,7 +102,7 @@ def reaches(phrased: DataFrame, size: int, scratch: Scratch) -> DataFrame:
     by_run = Window.partitionBy("run").orderBy("k")
     ahead = F.collect_list(F.struct((F.col("sym") % 2147483647).cast("int").alias("s"), F.col("len").cast("int").alias("l"), F.least("next", F.lit(size)).cast("int").alias("n"))).over(by_run.rowsBetween(0, AHEAD - 1))
     run = scratch.put(run.select("run", (F.row_number().over(by_run) - 1).cast("long").alias("i"), "sym", "row", "at", ahead.alias("ahead")), "runs")
-    ranks = suffix_ranks(run.select("run", "i", "sym"), scratch, LEVELS)
+    ranks = suffix_ranks(run.select("run", "i", "sym"), scratch)
     placed = run.join(ranks.hint("merge"), ["run", "i"]).select("rank", "row", "at", "ahead")
     # neighbours in the order, in stretches that overlap by one
     stretch = 20_000
@@ -117,8 +122,8 @@ def reaches(phrased: DataFrame, size: int, scratch: Scratch) -> DataFrame:
 
 
 def without_anchor(h: Hashes, starts: np.ndarray, gaps: np.ndarray, size: int) -> list[tuple[np.ndarray, ...]]:
-    """Segments of the windows that start in gaps (rows text, first, last), none of which has an anchor: by the first denser
-    anchor in the window; a window without even that is a segment of its own."""
+    """Segments (text, first, windows, lead, key) of the windows that start in gaps (rows text, first, last), none of which has an anchor:
+    by the first denser anchor in the window; a window without even that is a segment of its own."""
     gaps = gaps[:, np.argsort(gaps[1], kind="stable")]
     at, _, _ = anchors(h, starts, DENSE)
     # each gap's windows are cut behind every dense anchor in the gap; the next dense anchor leads those before it
@@ -134,30 +139,29 @@ def without_anchor(h: Hashes, starts: np.ndarray, gaps: np.ndarray, size: int) -
     first = np.append(at, 1 << 60)[lead_at]
     hi = np.minimum(first, last)
     led = first + GRAM <= lo + size  # the dense anchor is in the first window; later ones hold it as well
-    out = [(t[led], lo[led], hi[led] - lo[led] + 1, first[led] - lo[led], mix(h.of(first[led], first[led] + GRAM)), h.of(lo[led], hi[led] + size))]
+    out = [(t[led], lo[led], hi[led] - lo[led] + 1, first[led] - lo[led], mix(h.of(first[led], first[led] + GRAM)))]
     far = ~led
     if far.any():
         # those before it comes into reach stand alone, the others follow it
         reach = np.minimum(first[far] + GRAM - size, hi[far] + 1)
         n = np.maximum(reach - lo[far], 0)
         i = np.repeat(lo[far] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        whole = h.of(i, i + size)
-        out.append((np.repeat(t[far], n), i, np.ones(len(i), np.int64), np.full(len(i), -1), whole, whole))
+        out.append((np.repeat(t[far], n), i, np.ones(len(i), np.int64), np.full(len(i), -1), h.of(i, i + size)))
         some = reach <= hi[far]
         a, z, f = reach[some], hi[far][some], first[far][some]
-        out.append((t[far][some], a, z - a + 1, f - a, mix(h.of(f, f + GRAM)), h.of(a, z + size)))
+        out.append((t[far][some], a, z - a + 1, f - a, mix(h.of(f, f + GRAM))))
     return out
 
 
 def open_segments(texts: DataFrame, size: int) -> DataFrame:
-    """row, start, n, lead, key, content: stretches of n window starts from start on that the reaches leave open. All but those
-    with lead -1 have the same first anchor, lead bytes after start, whose string's hash is key; content is a hash of all the
-    bytes of the stretch's windows. Windows with no anchor go by a denser kind of anchor, and without that each alone."""
+    """row, start, n, lead, key, content, check: stretches of n window starts from start on that the reaches leave open. All but those
+    with lead -1 have the same first anchor, lead bytes after start, whose string's hash is key; content and check are two hashes of all
+    the bytes of the stretch's windows. Windows with no anchor go by a denser kind of anchor, and without that each alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
             data, starts = joined_bytes(b.column("text"))
-            h = Hashes(data)
+            h, other = Hashes(data), Hashes(data, OTHER_BASE)
             at, of, length = anchors(h, starts)
             reach = np.minimum(length + GRAM, size)
             known = b.column("reach")
@@ -173,7 +177,7 @@ def open_segments(texts: DataFrame, size: int) -> DataFrame:
             lo = np.maximum(previous + 1, at - (size - GRAM))
             hi = np.minimum(np.minimum(at, at - (size - reach)), final)
             use = hi >= lo
-            parts_ = [(of[use], lo[use], hi[use] - lo[use] + 1, at[use] - lo[use], h.of(at[use], at[use] + GRAM), h.of(lo[use], hi[use] + size))]
+            parts_ = [(of[use], lo[use], hi[use] - lo[use] + 1, at[use] - lo[use], h.of(at[use], at[use] + GRAM))]
             # windows without an anchor: long before an anchor, or behind a text's last one
             behind = starts[:-1] - 1
             np.maximum.at(behind, of, at)
@@ -181,22 +185,23 @@ def open_segments(texts: DataFrame, size: int) -> DataFrame:
             gaps = gaps[:, gaps[2] >= gaps[1]]
             if gaps.shape[1]:
                 parts_ += without_anchor(h, starts, gaps, size)
-            t, start, n, lead, key, content = (np.concatenate(x) for x in zip(*parts_))
+            t, start, n, lead, key = (np.concatenate(x) for x in zip(*parts_))
             row = b.column("row").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(row[t]), pa.array(start - starts[t]), pa.array(n), pa.array(lead), as_long(key), as_long(mix(content ^ (lead.astype(np.uint64) * np.uint64(BASE))))], ["row", "start", "n", "lead", "key", "content"])
+            content, check = (mix(x.of(start, start + n - 1 + size) ^ (lead.astype(np.uint64) * np.uint64(BASE))) for x in (h, other))
+            yield pa.RecordBatch.from_arrays([pa.array(row[t]), pa.array(start - starts[t]), pa.array(n), pa.array(lead), as_long(key), as_long(content), as_long(check)], ["row", "start", "n", "lead", "key", "content", "check"])
 
-    return texts.select("row", "text", "reach").mapInArrow(run, "row long, start long, n long, lead long, key long, content long")
+    return texts.select("row", "text", "reach").mapInArrow(run, "row long, start long, n long, lead long, key long, content long, check long")
 
 
 def window_hashes(texts: DataFrame, size: int) -> DataFrame:
-    """key, sub, content, lead, hashes, places: of the segments listed with each text (arrays start, n, ..., split), every
-    window's hash. A segment with split above 1 has a row for each sub, a part of the hashes, that its windows fall in, with
+    """key, sub, content, check, hashes, places: of the segments listed with each text (arrays start, n, ..., split), every
+    window's two hashes. A segment with split above 1 has a row for each sub, a part of the hashes, that its windows fall in, with
     their places; otherwise places is empty and stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches, "text", 1 << 20):
             data, starts = joined_bytes(b.column("text"))
-            h = Hashes(data)
+            h, other = Hashes(data), Hashes(data, OTHER_BASE)
             listed = b.column("segments")
             t = np.repeat(np.arange(b.num_rows), pc.list_value_length(listed).to_numpy(zero_copy_only=False).astype(np.int64))
             segments = listed.flatten()
@@ -207,20 +212,20 @@ def window_hashes(texts: DataFrame, size: int) -> DataFrame:
             seg = np.repeat(np.arange(len(n)), n)
             place = np.arange(ends[-1]) - (ends - n)[seg]
             i = (starts[t] + start)[seg] + place
-            hashes = h.of(i, i + size)
-            sub = (mix(hashes) % split.astype(np.uint64)[seg]).astype(np.int64)
-            order = np.lexsort((place, sub, seg))
-            seg, sub, place = seg[order], sub[order], place[order]
+            hashes = np.stack([h.of(i, i + size), other.of(i, i + size)], axis=1)
+            sub = (mix(hashes[:, 0]) % split.astype(np.uint64)[seg]).astype(np.int64)
+            if (split > 1).any():
+                order = np.lexsort((place, sub, seg))
+                seg, sub, place, hashes = seg[order], sub[order], place[order], hashes[order]
             first = np.flatnonzero(np.insert((seg[1:] != seg[:-1]) | (sub[1:] != sub[:-1]), 0, True))
             edges = np.append(first, len(seg))
-            packed = np.ascontiguousarray(hashes[order].astype("<u8").view("u1").reshape(-1, 8)[:, :6])
             hot = split[seg] > 1
             kept = np.insert(np.cumsum(hot), 0, 0)[edges]
             binary = lambda at, x: pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
             of = segments.take(pa.array(seg[first]))
-            yield pa.RecordBatch.from_arrays([of.field("key"), pa.array(sub[first]), of.field("content"), of.field("lead"), binary(6 * edges, packed), binary(4 * kept, place[hot].astype("<u4"))], ["key", "sub", "content", "lead", "hashes", "places"])
+            yield pa.RecordBatch.from_arrays([of.field("key"), pa.array(sub[first]), of.field("content"), of.field("check"), binary(16 * edges, hashes.astype("<u8")), binary(4 * kept, place[hot].astype("<u4"))], ["key", "sub", "content", "check", "hashes", "places"])
 
-    return texts.select("text", "segments").mapInArrow(run, "key long, sub long, content long, lead long, hashes binary, places binary")
+    return texts.select("text", "segments").mapInArrow(run, "key long, sub long, content long, check long, hashes binary, places binary")
 
 
 def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -231,20 +236,16 @@ def bytes_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 def shared_windows(table: pa.Table) -> pa.Table:
     """Of segments with different contents: those with windows that another one has too, and which (a bit each)."""
-    keys = table.column("key").to_numpy()
     raw, n = bytes_of(table.column("hashes"))
-    n = n // 6
-    wide = np.zeros((int(n.sum()), 8), "u1")
-    wide[:, :6] = raw.reshape(-1, 6)
+    n = n // 16
+    h = raw.view("<u8").reshape(-1, 2)
     seg = np.repeat(np.arange(len(n)), n)
     at = np.cumsum(n) - n
     place = np.arange(len(seg)) - at[seg]
     own, listed = bytes_of(table.column("places"))
     place[(listed > 0)[seg]] = own.view("<u4")
-    lead = table.column("lead").to_numpy()[seg] - place
-    h = wide.view("<u8")[:, 0] | mix(keys.view(np.uint64)[seg] + lead.astype(np.uint64)) << np.uint64(48)
-    order = np.argsort(h, kind="stable")
-    same = h[order][1:] == h[order][:-1]
+    order = np.lexsort((h[:, 1], h[:, 0]))
+    same = (h[order[1:]] == h[order[:-1]]).all(axis=1)
     hit = np.zeros(len(h), bool)
     hit[order[1:][same]] = True
     hit[order[:-1][same]] = True
@@ -254,36 +255,35 @@ def shared_windows(table: pa.Table) -> pa.Table:
         mine = np.zeros(place[at[i] + n[i] - 1] + 1, bool)
         mine[place[at[i] : at[i] + n[i]]] = hit[at[i] : at[i] + n[i]]
         bits.append(np.packbits(mine).tobytes())
-    return pa.table({"key": pa.array(keys[some]), "content": table.column("content").take(pa.array(some)), "bits": pa.array(bits, pa.binary())})
+    return pa.table({**{c: table.column(c).take(pa.array(some)) for c in ("key", "content", "check")}, "bits": pa.array(bits, pa.binary())})
 
 
-def repeated_spans(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
-    """row (hash of doc_id and text), windows: for texts with a string of size bytes that starts elsewhere too, the starts of such
+def repeated_spans(rows: DataFrame, size: int, scratch: Scratch) -> DataFrame:
+    """row, windows: for texts of rows (from by_row) with a string of size bytes that starts elsewhere too, the starts of such
     strings as runs: start << 32 | how many."""
-    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
-    long_ = rows.where(F.octet_length("text") >= size)
-    copies = scratch.put(long_.select("row", F.octet_length("text").alias("bytes"), F.unhex(F.md5(F.col("text").cast("binary"))).alias("md5")), "copies")
+    long_ = rows.where(F.col("n_bytes") >= size)
+    copies = scratch.put(long_.select("row", "n_bytes", "md5"), "copies")
     classes = copies.groupBy("md5").agg(F.count(F.lit(1)).alias("c"), F.min("row").alias("first")).where("c > 1")
-    copied = scratch.put(copies.join(classes.hint("merge"), "md5").select("row", "first", F.array(F.col("bytes").cast("long") - size + 1).alias("windows")).dropDuplicates(["row"]), "copied")
-    skip = copied.where("row != first").select("row")
-    n = skip.count()
-    single = with_rows(long_, skip, n, 0, "left_anti")  # one text of each class
+    copied = scratch.put(copies.join(classes.hint("merge"), "md5").select("row", "first", F.array(F.col("n_bytes") - size + 1).alias("windows")), "copied")
+    single = with_rows(long_, copied.where("row != first").select("row"), "left_anti").select("row", "text")  # one text of each class
     phrased = scratch.put(phrases(single), "phrases")
     reach = scratch.put(reaches(phrased, size, scratch), "reach")
-    n, entries = reach.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("reach")), F.lit(0))).first()
-    segments = scratch.put(open_segments(with_rows(single, reach, n, entries, "left"), size), "segments")
-    contents = scratch.put(segments.groupBy("key", "content").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "lead")).alias("s")), "contents")
+    segments = scratch.put(open_segments(with_rows(single, reach, "left"), size), "segments")
+    content = ["key", "content", "check"]
+    contents = scratch.put(segments.groupBy(content).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start", "n", "lead")).alias("s")), "contents")
     # only anchors with several different contents can hold windows in common beyond equal contents
-    mixed = contents.where("s.lead >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("s.n").alias("n")).where("k > 1").select("key", F.ceil(F.col("n") / HOT_WINDOWS).alias("split"))
-    ask = contents.where("s.lead >= 0").join(mixed.hint("merge"), "key")
-    listed = scratch.put(ask.groupBy("s.row").agg(F.collect_list(F.struct("s.start", "s.n", "s.lead", "key", "content", "split")).alias("segments")), "asked")
-    n, entries, windows = listed.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("segments")), F.lit(0)), F.coalesce(F.sum(F.expr("aggregate(segments, 0L, (a, x) -> a + x.n)")), F.lit(0))).first()
-    buckets = max(parts(docs.sparkSession), -(-windows // 4_000_000))
-    asked = window_hashes(with_rows(single, listed, n, 3 * entries, "inner"), size)
-    part = scratch.put(asked.groupBy(F.pmod(F.xxhash64("key", "sub"), F.lit(buckets)).alias("b")).applyInArrow(shared_windows, "key long, content long, bits binary"), "shared")
-    part = part.groupBy("key", "content").agg(F.collect_list("bits").alias("bits"))
-    whole = contents.where("c > 1").select("key", "content")
-    marked = segments.join(whole.withColumn("all", F.lit(True)).hint("merge"), ["key", "content"], "left").join(part.hint("merge"), ["key", "content"], "left").where("all or bits is not null")
+    mixed = contents.where("s.lead >= 0").groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.sum("s.n").alias("n")).where("k > 1").select("key", F.ceil(F.col("n") / HOT_WINDOWS).alias("split"), "n")
+    mixed = scratch.put(mixed, "mixed")
+    ask = contents.where("s.lead >= 0").join(mixed.drop("n").hint("merge"), "key")
+    listed = ask.groupBy("s.row").agg(F.collect_list(F.struct("s.start", "s.n", *content, "split")).alias("segments"))
+    windows = mixed.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    buckets = max(parts(rows.sparkSession), -(-windows // 2_000_000))
+    asked = window_hashes(with_rows(single, listed, "inner"), size)
+    types = "key long, content long, check long, bits binary"
+    part = asked.groupBy(F.pmod(F.xxhash64("key", "sub"), F.lit(buckets)).alias("b")).applyInArrow(shared_windows, types)
+    part = scratch.put(part.groupBy(content).agg(F.collect_list("bits").alias("bits")), "shared")
+    whole = contents.where("c > 1").select(content)
+    marked = segments.join(whole.withColumn("all", F.lit(True)).hint("merge"), content, "left").join(part.hint("merge"), content, "left").where("all or bits is not null")
 
     def to_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -304,25 +304,25 @@ def repeated_spans(docs: DataFrame, size: int, scratch: Scratch) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.array(start, pa.int64())], ["row", "w"])
 
     runs = marked.select("row", "start", "n", "all", "bits").mapInArrow(to_runs, "row long, w long").groupBy("row").agg(F.collect_list("w").alias("windows"))
-    return runs.join(copied.select("row").hint("merge"), "row", "left_anti").union(copied.select("row", "windows"))
+    return scratch.put(runs.join(copied.select("row").hint("merge"), "row", "left_anti").union(copied.select("row", "windows")), "spans")
 
 
 def cut_repeats(docs: DataFrame, size: int, scratch: Scratch, as_text: bool = False) -> DataFrame:
-    """docs with columns kept (the text's bytes without repeated strings), n_bytes, n_removed, n_spans. as_text: kept is
-    text; of a character that was cut in two nothing stays."""
-    spans = scratch.put(repeated_spans(docs, size, scratch), "result")
-    n, entries = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("windows")), F.lit(0))).first()
-    rows = docs.withColumn("row", F.xxhash64("doc_id", "text"))
-    joined = with_rows(rows, spans, n, entries, "left")
-    fields = [*docs.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans"))]
+    """docs with columns kept (the text's bytes without repeated strings), n_bytes, n_removed, n_spans in place of its own of these names.
+    as_text: kept is text; of a character that was cut in two nothing stays. Reads scratch tables texts and spans."""
+    new = ("kept", "n_bytes", "n_removed", "n_spans")
+    docs = docs.drop(*new)
     names, text_at = docs.columns, docs.columns.index("text")
+    rows = by_row(docs, scratch)
+    joined = with_rows(rows, repeated_spans(rows, size, scratch), "left")
+    fields = [*docs.schema.fields, T.StructField("kept", T.StringType() if as_text else T.BinaryType()), *(T.StructField(c, T.LongType()) for c in new[1:])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in blocks(batches, "text"):
             kept, sizes, removed, spans_ = [], [], [], []
             for text, windows in zip(b.column(text_at), b.column(len(names)).to_pylist()):
                 data = (text.as_py() or "").encode()
-                edge = np.zeros(len(data) + 1, np.int64)
+                edge = np.zeros(len(data) + 1, np.int32)
                 for w in windows or ():
                     edge[w >> 32] += 1
                     edge[(w >> 32) + (w & 0xFFFFFFFF) + size - 1] -= 1
@@ -331,9 +331,10 @@ def cut_repeats(docs: DataFrame, size: int, scratch: Scratch, as_text: bool = Fa
                 sizes.append(len(data))
                 removed.append(int(gone.sum()))
                 spans_.append(int((np.diff(gone.astype(np.int8), prepend=0) == 1).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64())], [*names, "kept", "n_bytes", "n_removed", "n_spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string()) if as_text else pa.array(kept, pa.binary()), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans_, pa.int64())], [*names, *new])
 
-    return joined.select(*names, "windows").mapInArrow(run, T.StructType(fields))
+    own = (F.col("text") if k == text_at else F.col(f"c{k}").alias(n) for k, n in enumerate(names))
+    return joined.select(*own, F.col("windows")).mapInArrow(run, T.StructType(fields))
 
 
 def remove_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
@@ -342,10 +343,10 @@ def remove_repeats(docs: DataFrame, size: int = 400) -> DataFrame:
 
     Texts are cut into phrases at anchors, places that their own next bytes choose, so equal strings are cut alike. Phrases that
     occur once can't be repeated; the others' suffixes are ordered by the difference-cover algorithm, and the phrases that a suffix
-    shares with its neighbours in that order bound how far its text is repeated. Windows that this leaves open are compared by 64-bit
-    hashes, grouped by their first anchor and, if many have the same, by parts of their hashes, equal stretches of them once. Equal texts are settled beforehand and enter
-    once. A null text is empty; texts shorter than size stay as they are; of repeated rows each goes if long enough."""
+    shares with its neighbours in that order bound how far its text is repeated. Windows that this leaves open are compared by two 64-bit
+    hashes of different bases (128 bits in all), grouped by their first anchor and, if many have the same, by parts of their hashes; equal
+    stretches of them once, by two such hashes too. Equal texts (by MD5) are settled beforehand and enter once. A null text is empty; texts shorter than size stay as they are; of repeated rows each goes if long enough."""
     scratch = Scratch(docs.sparkSession, "repeats")
     out = cut_repeats(docs.select("doc_id", "text"), size, scratch)
-    scratch.clear(keep=("result",))
+    scratch.clear(keep=("texts", "spans"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
