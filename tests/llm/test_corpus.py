@@ -358,9 +358,45 @@ def test_configurations_cover_every_histogram():
     for _ in range(8):
         h = np.zeros(65, np.int64)
         h[rng.integers(1, 65, rng.integers(1, 20))] = rng.integers(1, 400)
-        plan = packing.configuration_plan(h, rounds=40)
-        assert (sum(c * n for c, n in plan) == h).all()
-        assert all((c * np.arange(65)).sum() <= 64 for c, _ in plan)
+        plan, _ = packing.configuration_plan(h, rounds=40)
+        got = np.zeros(65, np.int64)
+        for config, n in plan:
+            assert n > 0 and sum(k * c for k, c in config.items()) <= 64
+            for k, c in config.items():
+                got[k] += c * n
+        assert (got == h).all()
+    assert packing.configuration_plan(np.zeros(65, np.int64)) == ([], 0)
+
+
+def test_the_linear_program_makes_most_of_the_plan():
+    rng = np.random.default_rng(1)
+    for pieces in (10_000, 3_000_000):
+        h = np.bincount(np.clip(rng.lognormal(5.6, 1.1, pieces), 1, 2048).astype(int), minlength=2049)
+        plan, priced = packing.configuration_plan(h)
+        total = sum(n for _, n in plan)
+        assert sum(n for _, n in plan[:priced]) >= 0.7 * total
+        # no plan has fewer sequences than the tokens need, and best fit alone doesn't have fewer than this by more than 0.1 %
+        left, alone = h.copy(), 0
+        while left.any():
+            config = packing.best_fit(left, 2048)
+            n = min(int(left[k]) // c for k, c in config.items())
+            alone += n
+            for k, c in config.items():
+                left[k] -= c * n
+        assert -(-(h * np.arange(2049)).sum() // 2048) <= total <= 1.001 * alone + 1
+
+
+def test_knapsack():
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        lengths = np.unique(rng.integers(1, 20, 5))
+        value = rng.random(31)
+        best, pick = packing.best_fills(value, lengths, 30)
+        want = np.zeros(31)
+        for c in range(1, 31):
+            want[c] = max([want[c - 1], *(value[k] + want[c - k] for k in lengths if k <= c)])
+        assert np.allclose(best, want)
+        assert all(math.isclose(sum(value[k] * n for k, n in packing.taken(pick, c).items()), want[c], abs_tol=1e-12) for c in range(31))
 
 
 def test_licenses(spark, docs, rows, empty):

@@ -96,94 +96,99 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECE)
 
 
-def best_fill(value: np.ndarray, limit: np.ndarray, size: int) -> np.ndarray:
-    """Knapsack by dynamic programming: how many of each length (index) fill size tokens with the largest total value,
-    none of a length without limit. Unbounded; what exceeds limit is left out afterwards."""
-    lengths = np.flatnonzero(limit > 0)
+def best_fills(value: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Knapsack by dynamic programming, any number of each of lengths (in order): for each room of 0 to size tokens the largest total
+    value that fits, and a length that it takes (0: none, as much fits in a token less)."""
     best, pick = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    v = value[lengths]
+    v, upto = value[lengths], np.searchsorted(lengths, np.arange(size + 1), side="right")
     for c in range(1, size + 1):
-        k = np.searchsorted(lengths, c, side="right")
         best[c] = best[c - 1]
-        if k:
+        if k := upto[c]:
             gain = v[:k] + best[c - lengths[:k]]
             i = int(gain.argmax())
             if gain[i] > best[c]:
                 best[c], pick[c] = gain[i], lengths[i]
-    config, c = np.zeros(size + 1, np.int64), size
-    while c > 0:
-        if pick[c]:
-            config[pick[c]] += 1
-            c -= pick[c]
-        else:
-            c -= 1
-    return np.minimum(config, limit)
-
+    return best, pick
 
-def configuration_plan(histogram: np.ndarray, rounds: int = 150, step: float = 0.15, eta: float = 8.0) -> list[tuple[np.ndarray, int]]:
-    """Configurations (how many of each length share a sequence) and how often each is used, covering histogram, whose
-    index is the length.
 
-    The fractional covering program is solved by multiplicative weights: each round prices the lengths by their weights,
-    takes the configuration of the largest price from the knapsack program, uses it until some length is covered by
-    a step's share, and lowers the weights of what it covers. The average is scaled down to feasibility and rounded down;
-    what is left is filled best fit first, each configuration used as often as the pieces left allow. Work depends on the number of lengths, not on the number of pieces."""
+def taken(pick: np.ndarray, room: int) -> dict[int, int]:
+    """The lengths, and how many of each, that fill room best."""
+    out: dict[int, int] = {}
+    while room > 0:
+        if length := int(pick[room]):
+            out[length] = out.get(length, 0) + 1
+            room -= length
+        else:
+            room -= 1
+    return out
+
+
+def best_fit(left: np.ndarray, size: int) -> dict[int, int]:
+    """The longest piece left, then again and again the longest that still fits."""
+    config, room, lengths = {}, size, np.flatnonzero(left)
+    while room > 0 and (k := int(np.searchsorted(lengths, room, side="right"))):
+        length = int(lengths[k - 1])
+        config[length] = min(room // length, int(left[length]))
+        room -= config[length] * length
+        lengths = lengths[: k - 1]
+    return config
+
+
+def configuration_plan(histogram: np.ndarray, rounds: int = 48, step: float = 0.2, eta: float = 0.02) -> tuple[list[tuple[dict[int, int], int]], int]:
+    """Configurations (length -> how many of it share a sequence) and how often each is used, covering histogram, whose
+    index is the length, exactly; and how many of them, from the first on, come from the linear program.
+
+    The covering program (least number of sequences, a row for each length) is solved by multiplicative weights. A piece's price starts at
+    its length, the dual solution where sequences can be filled, times a weight that is exp(eta * the share of its length not covered
+    yet): what lags behind gets dearer. Each round solves the knapsack program for the prices, which gives the best configuration
+    that holds a given length for every length at once, and uses those whose price comes near the best of all, by a step's share of
+    what is left. Uses are rounded to whole numbers as they are made and never go beyond what is left, so the plan stays feasible and
+    nothing is lost by rounding at the end. How near the best they must come is eased by and by; in the last rounds the steps are
+    whole. What no round has used is packed best fit. Work depends on the number of lengths and rounds, not on the number of pieces."""
     size = len(histogram) - 1
     left = histogram.astype(np.int64).copy()
-    plan: list[tuple[np.ndarray, int]] = []
+    need, plan = np.maximum(left, 1), []
     if left[size]:
-        full = np.zeros(size + 1, np.int64)
-        full[size] = 1
-        plan.append((full, int(left[size])))
+        plan.append(({size: 1}, int(left[size])))
         left[size] = 0
-    need = left.astype(float)
-    have = need > 0
-    if have.sum() > 1:
-        log_w, used, cover = np.zeros(size + 1), {}, np.zeros(size + 1)
-        for _ in range(rounds):
-            # value per piece: the weight of a unit of that length's coverage
-            price = np.where(have, np.exp(log_w - log_w[have].max()) / np.maximum(need, 1), 0)
-            price = price / price.max() + 1e-9 * np.arange(size + 1)
-            config = best_fill(price, left, size)
-            in_use = config > 0
-            times = float((need[in_use] / config[in_use]).min()) * step
-            key = config.tobytes()
-            used[key] = used.get(key, 0) + times
-            cover += config * times
-            log_w -= eta * config * times / np.maximum(need, 1)
-            if (cover[have] >= need[have]).all():
-                break
-        over = float((cover[have] / need[have]).max())
-        for key, times in used.items():
-            config = np.frombuffer(key, np.int64)
-            n = min(int(times / max(over, 1.0)), *(left[config > 0] // config[config > 0]))
-            if n > 0:
-                plan.append((config, int(n)))
-                left -= config * n
+    for turn in range(rounds):
+        lengths = np.flatnonzero(left)
+        if not len(lengths):
+            break
+        share = left / need
+        price = np.arange(size + 1) * np.exp(eta * (share - share[lengths].mean()))
+        best, pick = best_fills(price, lengths, size)
+        near = best[size] * (1 - min(0.02, 0.002 * 1.1**turn))
+        part = 1.0 if turn * 3 >= rounds * 2 else step
+        for length in lengths[::-1].tolist():
+            if not left[length] or price[length] + best[size - length] < near:
+                continue
+            config = taken(pick, size - length)
+            config[length] = config.get(length, 0) + 1
+            n = min(int(left[k]) // c for k, c in config.items())
+            if n:
+                n = max(1, int(n * part))
+                for k, c in config.items():
+                    left[k] -= c * n
+                plan.append((config, n))
+    priced = len(plan)
     while left.any():
-        # best fit: the longest piece left, then again and again the longest that still fits
-        config, room, lengths = np.zeros(size + 1, np.int64), size, np.flatnonzero(left)
-        while room > 0 and (k := int(np.searchsorted(lengths, room, side="right"))):
-            length = int(lengths[k - 1])
-            n = min(room // length, int(left[length]) - int(config[length]))
-            config[length] += n
-            room -= n * length
-            lengths = lengths[: k - 1]
-        n = int((left[config > 0] // config[config > 0]).min())
+        config = best_fit(left, size)
+        n = min(int(left[k]) // c for k, c in config.items())
         plan.append((config, n))
-        left -= config * n
-    return plan
+        for k, c in config.items():
+            left[k] -= c * n
+    return plan, priced
 
 
-def plan_slots(plan: list[tuple[np.ndarray, int]]) -> dict[int, np.ndarray]:
+def plan_slots(plan: list[tuple[dict[int, int], int]]) -> dict[int, np.ndarray]:
     """Per length: rows (first number, sequence, per sequence, offset) in order of the first number. The pieces of
     a length are numbered; from the first number on they go, per sequence, to consecutive sequences at offset."""
     slots: dict[int, list] = {}
     sequence, seen = 0, {}
     for config, times in plan:
         offset = 0
-        for length in np.flatnonzero(config)[::-1].tolist():
-            n = int(config[length])
+        for length, n in sorted(config.items(), reverse=True):
             slots.setdefault(length, []).append((seen.get(length, 0), sequence, n, offset))
             seen[length] = seen.get(length, 0) + n * times
             offset += n * length
@@ -202,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048) -> Da
     histogram = np.zeros(size + 1, np.int64)
     for r in pieces.groupBy("length").count().collect():
         histogram[r["length"]] = r["count"]
-    slots = plan_slots(configuration_plan(histogram))
+    slots = plan_slots(configuration_plan(histogram)[0])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
