@@ -176,3 +176,60 @@ def test_tolerance_default(spark):
     rows = validate.with_tolerance(spark.createDataFrame([("DE",), (None,), ("XX",)], "country_code string"))
     assert {r["country_code"]: (float(r["base"]), float(r["tax"])) for r in rows.collect()} == {"DE": (0.02, 0.04), None: (0.05, 0.05), "XX": (0.05, 0.1)}
     assert dims.conversions(spark).count() == 16
+
+
+def test_language_vote_ties_go_to_the_first_name(spark):
+    from voltledger.operators import intake
+
+    rows = [(1, "the el"), (2, "el the"), (3, "  "), (4, None), (5, "und\nder the"), (6, "thee xthe the"), (7, "que"), (8, "LE la que in")]
+    got = {r[0]: r[1] for r in intake.language_vote(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: "en", 2: "en", 3: "en", 4: "en", 5: "de", 6: "en", 7: "es", 8: "fr"}
+
+
+def test_drift_of_documents(spark):
+    from voltledger.operators import drift
+
+    docs = [
+        (1, '{"a": {"b": 1, "c": null}, "extraction_timestamp": "x", "l": [1, {"m": 2}], "k": [1], "gone": "y", "charge": {"rate_schedule": "R"}}'),
+        (2, '{"a": {"b": 2, "c": null}, "extraction_timestamp": "z", "l": [1, {"m": 3}], "k": [1, 5], "new": true, "charge": {"rate_schedule": "S"}}'),
+        (3, None),
+    ]
+    table = spark.createDataFrame(docs, "extraction_id long, j string").selectExpr("extraction_id", "parse_json(j) AS document")
+    pairs = spark.createDataFrame([(2, 1), (3, 2)], "extraction_id long, previous_id long")
+    got = {(r["previous_id"], r["field_path"]): (r["old_value"], r["new_value"], r["severity"]) for r in drift.document_changes(pairs, table).collect()}
+    assert {k[1]: v for k, v in got.items() if k[0] == 1} == {"a.b": ("1", "2", "low"), "l[1].m": ("2", "3", "low"), "k": ("len=1", "len=2", "low"), "gone": ("y", None, "low"), "new": (None, "true", "low"), "charge.rate_schedule": ("R", "S", "high")}
+    assert got[2, "a.b"] == ("2", None, "low")
+    # what lies deeper than asked stays as JSON
+    flat = {r["path"]: r["value"] for r in drift.flatten(table.where("extraction_id = 1"), depth=1).collect()}
+    assert flat["a"] == '{"b":1,"c":null}' and flat["gone"] == "y"
+
+
+def test_sinks(spark, tmp_path):
+    import pytest
+
+    from voltledger.sources import sinks
+
+    calls = spark.createDataFrame([(1, 5, 7), (2, 0, 7), (3, None, 7)], "call_id long, input_tokens int, output_tokens int")
+    folder = str(tmp_path / "calls")
+    sinks.append_calls(calls, folder)
+    assert {r["call_id"]: r["total_tokens"] for r in spark.read.parquet(folder).collect()} == {1: 12, 2: None, 3: None}
+    with pytest.raises(ValueError):
+        sinks.append_calls(calls.limit(1), folder)
+    with pytest.raises(ValueError):
+        sinks.append_rows(calls.union(calls), str(tmp_path / "other"), "call_id")
+    bills = spark.createDataFrame([(1, "water", "x"), (2, "gas", "y")], "extraction_id long, commodity_type string, file_hash string")
+    sinks.store_extractions(bills, str(tmp_path / "bills"))
+    sinks.store_extractions(bills.limit(0), str(tmp_path / "bills"))
+    assert spark.read.parquet(str(tmp_path / "bills")).count() == 2
+    sinks.export_json(bills, str(tmp_path / "json"), ("file_hash",))
+    assert sorted(spark.read.json(str(tmp_path / "json")).columns) == ["commodity_type", "extraction_id"]
+
+
+def test_reasons_for_values(spark):
+    from pyspark.sql import functions as F
+
+    from voltledger.operators import learn
+
+    rows = spark.createDataFrame([("format_normalize", "a.total", "12 kWh", "12"), ("wrong_on_document", "a.date", "2021-03-04", "2022-03-04"), ("other", "b", "1", "2"), (None, "b", None, None)], "c string, p string, x string, y string")
+    got = [r[0] for r in rows.select(learn.reasoning(F.col("c"), F.col("p"), F.col("x"), F.col("y"))).collect()]
+    assert got == ["total: trailing ' kWh' removed", "date: only the year of the date was wrong", "b: another correction", "b: another correction"]

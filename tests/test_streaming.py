@@ -57,3 +57,18 @@ def test_upsert_gives_the_newest(spark, tmp_path):
     once = intake.upsert_status(batch, str(tmp_path / "store"))
     assert {(r["extraction_id"], r["status"]) for r in once.collect()} == {(1, "failed"), (2, "accepted")}
     assert once.select(F.count("*")).first()[0] == 2
+
+
+def test_drift_as_documents_arrive(spark, tmp_path):
+    from voltledger.streaming import intake as stream
+
+    schema = "extraction_id long, file_hash string, created_at timestamp, document string"
+    inbox, store, out = str(tmp_path / "in"), str(tmp_path / "store"), str(tmp_path / "out")
+    at = lambda h: dt.datetime(2024, 1, 1, h)
+    batches = [[(1, "f", at(1), '{"a": 1}'), (2, "g", at(1), '{"a": 1}')], [(3, "f", at(2), '{"a": 2}'), (4, "f", at(3), '{"a": 2, "b": 1}')]]
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(inbox)
+        query = spark.readStream.schema(schema).parquet(inbox).writeStream.foreachBatch(lambda b, i: stream.arriving_drift(b, i, store, out)).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = {(r["previous_id"], r["extraction_id"], r["field_path"], r["old_value"], r["new_value"]) for r in spark.read.parquet(out).collect()}
+    assert got == {(1, 3, "a", "1", "2"), (3, 4, "b", None, "1")}

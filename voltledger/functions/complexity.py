@@ -6,6 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Signals that add three and one.
+#: Countries whose bills count as European.
+EUROPE = ["DE", "FR", "ES", "IT", "NL"]
 HIGH, MEDIUM = ["multi_meter", "net_metering", "prior_period_adjustments", "multi_page_charges"], ["tou_present", "demand_charges", "supplier_split", "tiered_rates"]
 
 
@@ -15,6 +17,13 @@ def complexity_score(signals: Column, lines: Column, pages: Column) -> Column:
     return of + F.when(lines > 30, 3).when(lines > 15, 1).otherwise(0) + F.when(pages > 5, 2).otherwise(0)
 
 
+def locale_additions(signals: Column, country: Column, language: Column, convention: Column) -> Column:
+    """What a European bill and a rarer language add to the score."""
+    has = lambda n: F.coalesce(F.array_contains(signals, n), F.lit(False))
+    europe = F.when(has("multiple_vat_rates"), 2).otherwise(0) + F.when(has("calorific_conversion"), 1).otherwise(0) + F.when(has("contracted_capacity_by_period"), 2).otherwise(0) + F.when((country == "FR") & (convention == "TEMPO"), 2).otherwise(0)
+    return F.when(country.isin(EUROPE), europe).otherwise(0) + F.when(language.isin("en", "de", "fr", "es", "it"), 0).otherwise(1)
+
+
 def complexity_tier(score: Column) -> Column:
     return F.when(score <= 2, "simple").when(score <= 6, "standard").when(score <= 10, "complex").otherwise("pathological")
 

@@ -73,9 +73,16 @@ def normalize_units(rows: DataFrame, unit: str = "unit") -> DataFrame:
     return rows.join(alias, F.lower(F.trim(unit)) == F.col("alias"), "left").withColumn(unit, F.coalesce("_unit", F.trim(unit))).drop("alias", "_unit")
 
 
-def convert_units(rows: DataFrame) -> DataFrame:
+def canonical_unit(rows: DataFrame, commodity: str = "commodity_type", region: str = "region") -> DataFrame:
+    """Adds canonical_unit: the unit that the commodity is reported in in the region, kWh if none is listed."""
+    table = F.broadcast(dims.canonical_units(rows.sparkSession).toDF("_commodity", "_region", "canonical_unit"))
+    joined = rows.join(table, (F.col(commodity) == F.col("_commodity")) & (F.col(region) == F.col("_region")), "left").drop("_commodity", "_region")
+    return joined.withColumn("canonical_unit", F.coalesce("canonical_unit", F.lit("kWh")))
+
+
+def convert_units(rows: DataFrame, factors: DataFrame | None = None) -> DataFrame:
     """rows with value, from_unit, to_unit, calorific_value: adds converted, or null and unit_error."""
-    factor = F.broadcast(dims.conversions(rows.sparkSession))
+    factor = F.broadcast(dims.conversions(rows.sparkSession) if factors is None else factors)
     cv = F.col("calorific_value")
     a, b = F.col("from_unit"), F.col("to_unit")
     out = rows.join(factor, ["from_unit", "to_unit"], "left")

@@ -24,6 +24,22 @@ def rendered_answers(bills: DataFrame) -> DataFrame:
     return bills.select("extraction_id", F.inline(F.array(F.struct(F.lit("total_amount_due").alias("field"), F.concat(F.lit("$ "), total.cast("decimal(18,2)").cast("string")).alias("answer")), F.struct(F.lit("account_number").alias("field"), account.alias("answer"))))).where("answer is not null")
 
 
+def typed_mismatches(bills: DataFrame, answers: DataFrame) -> DataFrame:
+    """bills (extraction_id, stated_total, n_meters, account_number) against answers (extraction_id, field, answer): a total over 0.50 off or
+    another account number (trimmed) is fatal, another number of meters high. A missing or unreadable side is no mismatch."""
+    fields = ("total_amount_due", "meter_count", "account_number")
+    said = answers.groupBy("extraction_id").agg(*(F.max(F.when(F.col("field") == f, F.col("answer"))).alias(f"said_{f}") for f in fields))
+    rows = bills.join(said, "extraction_id")
+    number = lambda f: text.first_number(F.col(f"said_{f}"))
+    checks = [
+        ("total_amount_due", "fatal", F.abs(number("total_amount_due").cast("decimal(18,2)") - F.col("stated_total")) > F.lit("0.50").cast("decimal(4,2)")),
+        ("meter_count", "high", number("meter_count").cast("int") != F.col("n_meters")),
+        ("account_number", "fatal", F.trim("said_account_number") != F.trim("account_number")),
+    ]
+    found = F.array_compact(F.array(*(F.when(off, F.struct(F.lit(f).alias("field"), F.lit(s).alias("severity"))) for f, s, off in checks)))
+    return rows.select("extraction_id", F.inline(found))
+
+
 def compare(bills: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers that don't match: a total over 0.50 off is fatal, another account number too. A missing side matches."""
     said = answers.groupBy("extraction_id").agg(*(F.max(F.when(F.col("field") == f, F.col("answer"))).alias(f) for f in ("total_amount_due", "account_number")))
@@ -35,13 +51,18 @@ def compare(bills: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def filled(asked: DataFrame, answers: DataFrame) -> DataFrame:
-    """Each question with its answer, by field, else by the question's words."""
-    by_field = answers.select("extraction_id", F.col("field").alias("field_to_check"), F.col("answer").alias("a"))
-    return asked.join(by_field, ["extraction_id", "field_to_check"], "left").select("extraction_id", "field_to_check", F.col("a").alias("answer"))
+    """Each question with its answer, by field, else, where both sides have a column question, by the question's words."""
+    key = ["extraction_id", "field_to_check"]
+    named = answers.select("extraction_id", F.col("field").alias("field_to_check"), F.col("answer").alias("a")).where("field_to_check is not null")
+    out = asked.join(named.hint("shuffle_hash"), key, "left")
+    if "question" not in asked.columns or "question" not in answers.columns:
+        return out.select(*key, F.col("a").alias("answer"))
+    worded = answers.where("question is not null").groupBy("extraction_id", "question").agg(F.max("answer").alias("q"))
+    return out.join(worded.hint("shuffle_hash"), ["extraction_id", "question"], "left").select(*key, F.coalesce("a", "q").alias("answer"))
 
 
 def mismatch_counts(asked: DataFrame, answers: DataFrame, mismatches: DataFrame) -> DataFrame:
     """Per bill: questions answered, matched, mismatched."""
     checked = filled(asked, answers).groupBy("extraction_id").agg(F.count("answer").alias("checked"))
     off = mismatches.groupBy("extraction_id").agg(F.count(F.lit(1)).alias("mismatched"))
-    return checked.join(off, "extraction_id", "left").select("extraction_id", "checked", (F.col("checked") - F.coalesce("mismatched", F.lit(0))).alias("matched"), F.coalesce("mismatched", F.lit(0)).alias("mismatched"))
+    return checked.join(off.hint("merge"), "extraction_id", "left").select("extraction_id", "checked", (F.col("checked") - F.coalesce("mismatched", F.lit(0))).alias("matched"), F.coalesce("mismatched", F.lit(0)).alias("mismatched"))

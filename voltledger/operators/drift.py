@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,18 +24,46 @@ def changed_fields(pairs: DataFrame) -> DataFrame:
     return rows.withColumn("severity", severity(F.col("field_path")))
 
 
-def flatten(documents: DataFrame, key: str = "extraction_id", document: str = "document", depth: int = 12) -> DataFrame:
-    """key, path, value: every leaf of a variant document, arrays by [i]. One step a level, down to depth."""
-    rows = documents.select(key, F.lit("").alias("path"), F.col(document).alias("v"))
-    done = None
-    for _ in range(depth):
-        nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-        leaves = rows.where(~nested | F.col("v").isNull()).select(key, "path", F.try_variant_get("v", "$", "string").alias("value"))
-        done = leaves if done is None else done.union(leaves)
-        name = "CASE WHEN e.key IS NULL THEN concat(path, '[', e.pos, ']') WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END"
-        rows.where(nested).createOrReplaceTempView("_level")
-        rows = documents.sparkSession.sql(f"SELECT {key}, {name} AS path, e.value AS v FROM _level, LATERAL variant_explode(v) AS e")
-    return done
+# Keys that change from run to run by themselves.
+VOLATILE = ["extraction_id", "extraction_timestamp", "processing_time_ms", "few_shot_context_hash"]
+
+
+def flatten(documents: DataFrame, key: str = "extraction_id", document: str = "document", depth: int = 32, lengths: bool = False) -> DataFrame:
+    """key, path, value: every leaf of a variant document, arrays by [i]; with lengths also a row for each array, its path with [] and its
+    length. One step a level; what lies deeper than depth levels is one leaf, its JSON."""
+    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
+    rows, done = documents.select(key, F.lit("").alias("path"), F.col(document).alias("v")), []
+    for level in range(depth + 1):
+        deeper = nested & F.lit(level < depth)
+        done.append(rows.where(~deeper | F.col("v").isNull()).select(key, "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.when(nested, F.to_json("v"))).alias("value")))
+        if level == depth or (level and rows.where(nested).isEmpty()):
+            break
+        each = rows.where(nested).lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
+        name = F.when(F.col("_key").isNull(), F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("_key")).otherwise(F.concat_ws(".", "path", "_key"))
+        if lengths:
+            done.append(rows.where(F.schema_of_variant("v").startswith("ARRAY")).select(key, F.concat("path", F.lit("[]")).alias("path"), F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string").alias("value")))
+        rows = each.select(key, name.alias("path"), F.col("_value").alias("v"))
+    return reduce(DataFrame.union, done)
+
+
+def document_changes(pairs: DataFrame, documents: DataFrame, depth: int = 32) -> DataFrame:
+    """extraction_id, previous_id, field_path, old_value, new_value, severity: of each pair of runs every leaf that differs, all keys of either
+    side, a missing side being null; volatile keys are passed over. Arrays of unequal length give one row, len=a against len=b, and
+    nothing below it. Nulls count as values."""
+    flat = flatten(documents, depth=depth, lengths=True)
+    last = F.element_at(F.split(F.regexp_replace("path", r"\[\d*\]", ""), r"\."), -1)
+    flat = flat.where(~last.isin(VOLATILE))
+    side = lambda key, value: pairs.select("extraction_id", "previous_id").join(flat.select(F.col("extraction_id").alias(key), "path", F.col("value").alias(value), F.lit(True).alias(f"has_{value}")), key)
+    both = side("extraction_id", "new_value").join(side("previous_id", "old_value").hint("merge"), ["extraction_id", "previous_id", "path"], "full_outer")
+    changed = both.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    is_length = F.endswith("path", F.lit("[]"))
+    cut = changed.where(is_length & F.col("old_value").isNotNull() & F.col("new_value").isNotNull()).select("extraction_id", "previous_id", F.regexp_replace("path", r"\[\]$", "").alias("field_path"), F.concat(F.lit("len="), "old_value").alias("old_value"), F.concat(F.lit("len="), "new_value").alias("new_value"))
+    per_pair = cut.groupBy("extraction_id", "previous_id").agg(F.collect_list("field_path").alias("cuts"))
+    leaves = changed.where(~is_length).join(per_pair.hint("merge"), ["extraction_id", "previous_id"], "left")
+    below = F.exists(F.coalesce("cuts", F.array().cast("array<string>")), lambda c: F.startswith(F.col("path"), F.concat(c, F.lit("["))))
+    leaves = leaves.where(~below).select("extraction_id", "previous_id", F.col("path").alias("field_path"), "old_value", "new_value")
+    rows = leaves.union(cut)
+    return rows.withColumn("severity", severity(F.col("field_path")))
 
 
 def summary(changes: DataFrame) -> DataFrame:

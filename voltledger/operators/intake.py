@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# Common words by language.
+#: Common words by language: a small list of our own, a parameter of the vote.
 STOPWORDS = {"en": ["the", "of", "and", "to", "in", "is", "that", "with", "for"], "de": ["der", "die", "und", "das", "nicht", "ist", "ein", "für", "auf"], "fr": ["le", "la", "les", "des", "et", "que", "une", "dans", "pour"], "es": ["el", "los", "que", "en", "las", "por", "con", "una", "para"]}
 MAX_BYTES = 50 * 1024 * 1024
 
@@ -81,8 +81,17 @@ def page_sample(pages: DataFrame, doc: str, number: str) -> DataFrame:
 
 def language_vote(docs: DataFrame) -> DataFrame:
     """The language with the most of its common words in the text; ties by name; en without any."""
-    words = F.split(F.lower(F.coalesce("text", F.lit(""))), r"[ \n]+")
-    count = lambda stop: F.size(F.filter(words, lambda w: w.isin(stop)))
-    votes = [F.struct(count(stop).alias("n"), F.lit(lang).alias("lang")) for lang, stop in sorted(STOPWORDS.items())]
-    best = F.array_max(F.transform(F.array(*votes), lambda v: F.struct(v["n"].alias("n"), (-F.ascii(v["lang"])).alias("o"), v["lang"].alias("lang"))))
-    return docs.select("doc_id", F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("language"))
+    langs = sorted(STOPWORDS)
+    # one pass cuts all but the listed words out of the text, which leaves few to count
+    listed = sorted({w for stop in STOPWORDS.values() for w in stop})
+    words = F.regexp_extract_all(F.lower(F.col("text")), F.lit(rf"(?<![^ \n])(?:{'|'.join(listed)})(?![^ \n])"), F.lit(0))
+    rows = docs.select("doc_id", words.alias("words"))
+    count = lambda stop: F.size(F.filter("words", lambda w: w.isin(stop)))
+    votes = [F.struct(count(STOPWORDS[lang]).alias("n"), F.lit(-k).alias("o"), F.lit(lang).alias("lang")) for k, lang in enumerate(langs)]
+    best = F.array_max(F.array(*votes))
+    return rows.select("doc_id", F.when(best["n"] > 0, best["lang"]).otherwise("en").alias("language"))
+
+
+def json_view(bills: DataFrame, hidden: list[str]) -> DataFrame:
+    """extraction_id, body: each row as a JSON object without the hidden columns."""
+    return bills.select("extraction_id", F.to_json(F.struct(*(c for c in bills.columns if c not in hidden))).alias("body"))

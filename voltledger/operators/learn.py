@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Characters that scans confuse.
 OCR_PAIRS = ["0O", "1l", "1I", "5S", "8B", "2Z", "6G", "0Q"]
@@ -51,8 +52,6 @@ def categorized(corrections: DataFrame) -> DataFrame:
 def few_shot_context(corrections: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
     """Per utility and commodity a text of the k most frequent field paths that occur at least so often, each with its
     most frequent category and newest example."""
-    from pyspark.sql.window import Window
-
     groups = categorized(corrections).groupBy("utility", "commodity", "field_path").agg(F.count(F.lit(1)).alias("n"), F.mode("category", True).alias("category"), F.max_by(F.concat_ws(" -> ", F.coalesce("extracted_value", F.lit("none")), "corrected_value"), F.struct("created_at", "correction_id")).alias("example"))
     order = Window.partitionBy("utility", "commodity").orderBy(F.desc("n"), "field_path")
     top = groups.where(F.col("n") >= least).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
@@ -82,13 +81,54 @@ def taxonomy_lookup(rows: DataFrame, taxonomy: DataFrame, text: str) -> DataFram
     first = hit.groupBy(text).agg(F.min(F.struct("ordinal", "keyword", "tax_category", "tax_section")).alias("m")).select(text, "m.keyword", "m.tax_category", "m.tax_section")
     return rows.join(first, text, "left")
 
-# What each category means.
+
+#: What each category means, in words of our own.
 MEANING = {"ocr_error": "misread characters", "format_normalize": "format evened out", "wrong_on_document": "the document itself is wrong", "missing_context": "context was missed", "calculation_error": "wrong arithmetic", "other": "another correction"}
 
 
-def reasoning(category: Column, path: Column) -> Column:
-    """A sentence on why a field, named by the last part of its path, was corrected."""
+def meanings(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(list(MEANING.items()), "category string, meaning string")
+
+
+def reasoning(category: Column, path: Column, before: Column | None = None, after: Column | None = None) -> Column:
+    """A sentence on why a field, named by the last part of its path, was corrected. With values, an evened-out format says whether characters
+    behind were removed, and a wrong document whether a date's year was."""
     said = None
     for name, meaning in MEANING.items():
         said = F.when(category == name, meaning) if said is None else said.when(category == name, meaning)
-    return F.concat(F.element_at(F.split(path, r"\."), -1), F.lit(": "), F.coalesce(said, F.lit("another correction")))
+    said = F.coalesce(said, F.lit("another correction"))
+    if before is not None and after is not None:
+        cut = (category == "format_normalize") & F.startswith(before, after) & (F.length(after) < F.length(before))
+        said = F.when(cut, F.concat(F.lit("trailing "), F.concat(F.lit("'"), F.substring(before, F.length(after) + 1, F.length(before)), F.lit("'")), F.lit(" removed"))).when((category == "wrong_on_document") & _year_changed(before, after), "only the year of the date was wrong").otherwise(said)
+    return F.concat(F.element_at(F.split(path, r"\."), -1), F.lit(": "), said)
+
+
+def pattern_groups(corrections: DataFrame, utility: str | None = None, commodity: str | None = None, examples: int = 3) -> DataFrame:
+    """Per field path: n, the most frequent category (ties by name) with its meaning, the first examples with their reasons; the most
+    frequent first, ties by the first correction."""
+    for column, value in (("utility", utility), ("commodity", commodity)):
+        if value is not None:
+            corrections = corrections.where(F.lower(column) == value.lower())
+    each = categorized(corrections)
+    shown = F.concat_ws(" -> ", F.coalesce("extracted_value", F.lit("none")), "corrected_value", reasoning(F.col("category"), F.col("field_path"), F.col("extracted_value"), F.col("corrected_value")))
+    ranked = each.withColumn("rn", F.row_number().over(Window.partitionBy("field_path").orderBy("created_at", "correction_id"))).where(F.col("rn") <= examples)
+    lists = ranked.groupBy("field_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", shown.alias("t")))), lambda x: x["t"]), "|").alias("examples"))
+    groups = each.groupBy("field_path").agg(F.count(F.lit(1)).alias("n"), F.mode("category", True).alias("category"), F.min(F.struct("created_at", "correction_id")).alias("seq"))
+    rows = groups.join(lists, "field_path").join(F.broadcast(meanings(corrections.sparkSession)), "category", "left")
+    return rows.orderBy(F.desc("n"), "seq").select("field_path", "n", "category", "meaning", "examples")
+
+
+def fingerprint_match(bills: DataFrame, known: DataFrame) -> DataFrame:
+    """extraction_id, fingerprint_id: the known fingerprint (fingerprint_id, utility, commodity, created_at) of each bill's utility and
+    commodity, whatever the case; of several the first created, ties by id; null if none."""
+    first = known.groupBy(F.lower("utility").alias("u"), F.lower("commodity").alias("c")).agg(F.min(F.struct("created_at", "fingerprint_id"))["fingerprint_id"].alias("fingerprint_id"))
+    return bills.select("extraction_id", F.lower("utility_provider").alias("u"), F.lower("commodity_type").alias("c")).join(first, ["u", "c"], "left").select("extraction_id", "fingerprint_id")
+
+
+def charge_lookup(charges: DataFrame, taxonomy: DataFrame) -> DataFrame:
+    """charges (country_code, description) with category, section and translation of the first name in the country's taxonomy that the
+    description contains, whatever the case; null if none. Each distinct description is looked up once."""
+    texts = charges.select("country_code", "description").distinct()
+    hit = texts.join(F.broadcast(taxonomy), (F.col("country_code") == F.col("country")) & F.contains(F.lower("description"), F.lower("name")))
+    first = hit.groupBy("country_code", "description").agg(F.min(F.struct("ordinal", "tax_category", "tax_section", "translation")).alias("m"))
+    return charges.join(first, ["country_code", "description"], "left").select(*charges.columns, "m.tax_category", "m.tax_section", "m.translation")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,6 +13,24 @@ def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     return rows.orderBy(*order).offset(offset).limit(limit)
 
 
+def in_order(rows: DataFrame, key: str, order: list[Column]) -> DataFrame:
+    """Adds place: 1, 2, ... of each row among those of its key, in the order given, which should be without ties."""
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(*order)))
+
+
+def by_keys(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows whose key is among keys, each once however often it is asked for."""
+    return rows.join(keys.select(key), key, "left_semi")
+
+
+def rules(found: DataFrame, active: bool | None = None, category: str | None = None) -> DataFrame:
+    """Correction rules, only active (or inactive) ones, only of a category."""
+    for column, value in (("active", active), ("category", category)):
+        if value is not None:
+            found = found.where(F.col(column) == value)
+    return found
+
+
 def list_extractions(bills: DataFrame, commodity: str | None = None, status: str | None = None, offset: int = 0, limit: int = 200) -> DataFrame:
     """Newest first; a filter that is None doesn't apply."""
     for column, value in (("commodity_type", commodity), ("status", status)):
@@ -68,6 +86,13 @@ def previous_run(bills: DataFrame) -> DataFrame:
     return bills.withColumn("p", last).where("p is not null").select("file_hash", "extraction_id", F.col("p.extraction_id").alias("previous_id"), "confidence_score", F.col("p.confidence_score").alias("previous_score"), "status", F.col("p.status").alias("previous_status"), "stated_total", F.col("p.stated_total").alias("previous_total"))
 
 
+def runs_before(bills: DataFrame, columns: list[str]) -> DataFrame:
+    """extraction_id, previous_id, columns and, as previous_<column>, those of the run before on the same file."""
+    runs = Window.partitionBy("file_hash").orderBy("created_at", "extraction_id")
+    rows = bills.withColumn("_p", F.lag(F.struct("extraction_id", *columns)).over(runs)).where("_p is not null")
+    return rows.select("extraction_id", F.col("_p.extraction_id").alias("previous_id"), *columns, *(F.col(f"_p.{c}").alias(f"previous_{c}") for c in columns))
+
+
 def approve_green(bills: DataFrame) -> DataFrame:
     s = F.col("confidence_score")
     return bills.withColumn("status", F.when((s != 0) & (s >= 0.90), "accepted").otherwise("partial"))

@@ -37,8 +37,7 @@ def call_cost(calls: DataFrame) -> DataFrame:
 def correction_stats(corrections: DataFrame) -> DataFrame:
     """By category (none: uncategorized), by field path, and in all, from one pass."""
     rows = corrections.select(F.coalesce(F.nullif("correction_category", F.lit("")), F.lit("uncategorized")).alias("category"), "field_path")
-    rows.createOrReplaceTempView("_corrections_by")
-    return rows.sparkSession.sql("SELECT category, field_path, count(*) AS n FROM _corrections_by GROUP BY GROUPING SETS ((category), (field_path), ())")
+    return rows.groupingSets([["category"], ["field_path"], []], "category", "field_path").agg(F.count(F.lit(1)).alias("n"))
 
 
 def top_fields(corrections: DataFrame, k: int = 10) -> DataFrame:
@@ -75,9 +74,10 @@ def rule_candidates(corrections: DataFrame, least: int = 5, examples: int = 3) -
     """Field paths with at least so many corrections; over the newest examples' differences (corrected less extracted): all
     over 0 under-extracted, all below over-extracted; else by the path's name, else generic."""
     newest = Window.partitionBy("field_path").orderBy(F.desc("created_at"), F.desc("correction_id"))
-    size = Window.partitionBy("field_path")
     off = F.expr("try_cast(corrected_value as decimal(18,2)) - try_cast(extracted_value as decimal(18,2))")
-    rows = corrections.withColumn("rn", F.row_number().over(newest)).withColumn("n", F.count(F.lit(1)).over(size)).where((F.col("n") >= least) & (F.col("rn") <= examples))
+    # counted and cut to the newest before the shuffle, so that a frequent path isn't gathered as a whole
+    often = corrections.groupBy("field_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    rows = corrections.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= examples).join(often, "field_path")
     sums = rows.withColumn("off", off).groupBy("field_path", "n").agg(F.count("off").alias("k"), F.count(F.lit(1)).alias("all"), F.min("off").alias("lo"), F.max("off").alias("hi"), F.round(F.sum("off") / F.count("off"), 2).cast("decimal(18,2)").alias("mean"))
     numeric = F.col("k") == F.col("all")
     kind = F.when(numeric & (F.col("lo") > 0), "under_extracted").when(numeric & (F.col("hi") < 0), "over_extracted").when(F.col("field_path").rlike("category|section"), "classification").otherwise("generic")

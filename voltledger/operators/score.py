@@ -51,6 +51,25 @@ def low_confidence_penalties(fields: DataFrame) -> DataFrame:
     return rows.select("extraction_id", F.concat(F.lit("low_confidence:"), "field_path").alias("label"), cost.alias("amount"), (F.col("weight") == "fatal").alias("is_fatal")).where("amount is not null")
 
 
+def full_penalties(issues: DataFrame, mismatches: DataFrame, fields: DataFrame, sources: DataFrame) -> DataFrame:
+    """All that lowers a score: a line or total that doesn't add up (issues of severity warning or worse) by its field's weight, audit
+    mismatches (extraction_id, field, severity) by their severity, fields of low confidence, and sources (extraction_id,
+    image_quality, ocr_applied): quality below 0.6 costs 0.10, recognised text 0.03. A fatal weight or severity is fatal."""
+    money = lambda c: c.cast("decimal(18,4)")
+    wrong = field_weight(issues.where("severity in ('warning', 'error', 'fatal')").withColumnRenamed("field", "field_path"))
+    math = wrong.select("extraction_id", F.concat(F.lit("math:"), "field_path").alias("label"), money(F.col("penalty")).alias("amount"), (F.col("weight") == "fatal").alias("is_fatal"))
+    cost = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in dims.ERROR_PENALTY.items() for x in kv)), F.col("severity")), F.lit(dims.ERROR_PENALTY["low"]))
+    audit = mismatches.select("extraction_id", F.concat(F.lit("audit:"), "field").alias("label"), money(cost).alias("amount"), (F.col("severity") == "fatal").alias("is_fatal"))
+    seen = F.array_compact(F.array(F.when(F.col("image_quality") < 0.6, F.struct(F.lit("image_quality").alias("label"), F.lit("0.10").alias("c"))), F.when(F.col("ocr_applied"), F.struct(F.lit("ocr").alias("label"), F.lit("0.03").alias("c")))))
+    source = sources.select("extraction_id", F.inline(seen)).select("extraction_id", "label", money(F.col("c")).alias("amount"), F.lit(False).alias("is_fatal"))
+    return math.unionByName(audit).unionByName(low_confidence_penalties(fields)).unionByName(source)
+
+
+def tier_by_complexity(score: Column, fatal: Column, complexity: Column) -> Column:
+    """The stricter routing: complex bills are always looked at, pathological ones in full; standard ones need 0.93."""
+    return F.when(fatal | (complexity == "pathological"), "full_review").when(complexity == "complex", "targeted_review").when(score >= F.when(complexity == "standard", F.lit(0.93)).otherwise(F.lit(0.95)), "auto_accept").otherwise("targeted_review")
+
+
 def route(penalties: DataFrame, bills: DataFrame) -> DataFrame:
     rows = penalty_sum(penalties, bills).withColumn("tier", tier(F.col("score"), F.col("fatal"), F.col("complexity_tier")))
     return rows.withColumn("routed_status", status_of(F.col("tier")))

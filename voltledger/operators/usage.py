@@ -2,14 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def amount_sanity(bills: DataFrame) -> DataFrame:
-    """Totals that no bill has: above 450,000 or below 1,000."""
-    return bills.where((F.col("stated_total") > 450_000) | (F.col("stated_total") < 1_000)).select("extraction_id", F.lit("fatal").alias("severity"))
+def amount_sanity(bills: DataFrame, decimal_separator: Column) -> DataFrame:
+    """Totals that no bill has, above 1,000,000 or below 0.01 (fatal), and amounts as printed (original_string) whose digits behind the
+    decimal separator are not 0, 2, 3 or 4 (warning). Nulls give nothing."""
+    extreme = bills.where((F.col("stated_total") > 1_000_000) | (F.col("stated_total") < F.lit("0.01").cast("decimal(4,2)"))).select("extraction_id", F.lit("totals.total_amount_due").alias("field"), F.lit("fatal").alias("severity"))
+    shown = bills.withColumn("_digits", F.length(F.regexp_replace(F.element_at(F.split("original_string", F.concat(F.lit("\\Q"), decimal_separator, F.lit("\\E"))), -1), r"\D", "")))
+    odd = shown.where(F.contains("original_string", decimal_separator) & ~F.col("_digits").isin(0, 2, 3, 4)).select("extraction_id", F.lit("original_string").alias("field"), F.lit("warning").alias("severity"))
+    return extreme.union(odd)
+
+
+def structured_first(structured: DataFrame, seen: DataFrame) -> DataFrame:
+    """doc_id, total, differs: the total of the structured attachment (doc_id, grand_total), else what was seen (doc_id, seen_total); whether
+    both are there and over 0.50 apart."""
+    rows = structured.select("doc_id", "grand_total").join(seen, "doc_id", "full_outer")
+    return rows.select("doc_id", F.coalesce("grand_total", "seen_total").alias("total"), F.coalesce(F.abs(F.col("grand_total") - F.col("seen_total")) > 0.50, F.lit(False)).alias("differs"))
 
 
 def monthly_demand(orders: DataFrame) -> DataFrame:

@@ -137,6 +137,51 @@ def vat_summary(charges: DataFrame, summary: DataFrame) -> DataFrame:
     return one("V15", "base_sum", "stated_base").union(one("V16", "vat_sum", "stated_vat"))
 
 
+#: Countries whose bills carry VAT by line: those of the European regime, the British and the Mexican one.
+VAT_COUNTRIES = ["DE", "FR", "ES", "IT", "NL", "UK", "GB", "MX"]
+
+
+def under_vat(rows: DataFrame, bills: DataFrame) -> DataFrame:
+    """The rows of bills under a VAT regime; a missing country counts as US and has none."""
+    return rows.join(bills.where(F.col("country_code").isin(VAT_COUNTRIES)).select("extraction_id"), "extraction_id", "left_semi")
+
+
+def of_gas(rows: DataFrame, bills: DataFrame) -> DataFrame:
+    return rows.join(bills.where("commodity_type = 'natural_gas'").select("extraction_id"), "extraction_id", "left_semi")
+
+
+def vat_total(totals: DataFrame) -> DataFrame:
+    """total_net and total_vat against total_gross, beyond 0.05."""
+    expected = (F.col("total_net") + F.col("total_vat")).cast(MONEY)
+    return issues(totals, "V17", F.lit("totals.total_gross"), F.when(F.abs(expected - F.col("total_gross")) > F.lit("0.05").cast("decimal(4,2)"), "error"), expected, F.col("total_gross"))
+
+
+def mexican_vat(totals: DataFrame, bills: DataFrame) -> DataFrame:
+    """Mexican bills whose total_gross isn't total_net with 16 % on it, within the country's tolerance."""
+    rows = with_tolerance(totals.join(bills.where("country_code = 'MX'").select("extraction_id", "country_code"), "extraction_id"))
+    expected = F.round(F.col("total_net") * F.lit("1.16").cast("decimal(4,2)"), 2)
+    return rows.where(F.abs(expected - F.col("total_gross")) > F.col("base")).select("extraction_id", expected.cast("double").alias("expected"))
+
+
+def any_tou(bills: DataFrame, periods: DataFrame) -> DataFrame:
+    """extraction_id, any_tou: whether any meter has time-of-use rows; bills without meters count as having none."""
+    has = periods.groupBy("extraction_id").agg(F.bool_or(F.col("consumption").isNotNull()).alias("x"))
+    return bills.select("extraction_id").join(has, "extraction_id", "left").select("extraction_id", F.coalesce("x", F.lit(False)).alias("any_tou"))
+
+
+def tou_missing(bills: DataFrame, periods: DataFrame) -> DataFrame:
+    """Bills flagged has_tou without a time-of-use row."""
+    rows = bills.where("has_tou").join(periods.select("extraction_id"), "extraction_id", "left_anti")
+    return issues(rows, "V11", F.lit("meters.tou_breakdown"), F.lit("warning"), F.lit("time-of-use rows"), F.lit("none"))
+
+
+def category_tolerance(charges: DataFrame, bills: DataFrame, special: list[str]) -> DataFrame:
+    """Charges with their tolerance: the country's, doubled for taxes and riders in the countries with a special rule."""
+    rows = of_charges(charges, bills)
+    twice = F.col("category").isin("tax", "rider") & F.coalesce("country_code", F.lit("US")).isin(special)
+    return rows.withColumn("tolerance", F.when(twice, F.col("base") * 2).otherwise(F.col("base")).cast("decimal(5,2)"))
+
+
 def gas_factors(meters: DataFrame) -> DataFrame:
     """V18: calorific value in 8 to 14, correction factor in 0.9 to 1.1 unless 1. V19: volume times both against energy,
     over 2 % off; energy 0 is infinitely off."""
@@ -152,8 +197,8 @@ def domain_check(bills: DataFrame) -> DataFrame:
     """Values outside a closed set or range, one row each."""
     checks = {
         "status": F.col("status").isin("processing", "accepted", "pending_review", "reviewed", "failed"),
-        "commodity_type": F.col("commodity_type").isin("electricity", "natural_gas"),
-        "confidence_score": F.col("confidence_score").between(0.05, 1),
+        "commodity_type": F.col("commodity_type").isin("electricity", "natural_gas", "water", "multi_commodity"),
+        "confidence_score": F.col("confidence_score").between(0, 1),
         "complexity_tier": F.col("complexity_tier").isin("simple", "standard", "complex", "pathological"),
     }
     found = F.array_compact(F.array(*(F.when(~ok, F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("actual"))) for f, ok in checks.items())))
@@ -173,6 +218,15 @@ def disposition(found: DataFrame, bills: DataFrame, strict: bool = False) -> Dat
     return rows.select("extraction_id", F.when(F.col("f") == 1, "discrepancy").when(F.col("w") == 1, "rounding_variance").otherwise("clean").alias("disposition"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
 
 
+def run_all(bills: DataFrame, charges: DataFrame, sections: DataFrame, meters: DataFrame, periods: DataFrame, summary: DataFrame, totals: DataFrame) -> DataFrame:
+    """Every rule of lines, totals, meters, logic, VAT (under a VAT regime) and gas (of natural gas), all issues together."""
+    vat, gas = under_vat(charges, bills), of_gas(meters, bills)
+    return union([
+        line_math(charges, bills), section_totals(charges, sections, bills), current_charges(charges, bills), meter_reads(meters), tou_total(meters, periods), unit_mismatch(meters, bills), billing_days(bills),
+        negative_amounts(charges), demand_missing(charges, bills), tou_missing(bills, periods), single_owner(charges, bills), vat_lines(vat), vat_summary(vat, summary), vat_total(under_vat(totals, bills)), gas_factors(gas),
+    ])
+
+
 def run_validation(charges: DataFrame, bills: DataFrame) -> DataFrame:
     """The rules of lines, totals and logic on one set of bills."""
     return union([line_math(charges, bills), current_charges(charges, bills), billing_days(bills), negative_amounts(charges), demand_missing(charges, bills), single_owner(charges, bills)])

@@ -76,7 +76,7 @@ latest AS (SELECT * FROM extractions QUALIFY row_number() OVER (PARTITION BY fil
 """.replace("%(tolerances)s", ", ".join(f"('{c}', {b}, {t})" for c, b, t in dims.TOLERANCES)).replace("%%", "%")
 
 _ORDERS = "SELECT *, o_orderkey % 6 AS k6, o_orderkey % 4 AS k4, strftime(o_orderdate, '%d')::INT AS dd, strftime(o_orderdate, '%m')::INT AS mm FROM orders"
-_STOP = " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS language, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\n]+'), lambda w: w IN ({', '.join(repr(w) for w in stop)}))) AS n FROM documents" for lang, stop in STOPWORDS.items())
+_STOP = " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS language, {sorted(STOPWORDS).index(lang)} AS o, len(list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\n]+'), lambda w: w IN ({', '.join(repr(w) for w in stop)}))) AS n FROM documents" for lang, stop in STOPWORDS.items())
 
 _PLAIN = {
     "a04_content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
@@ -85,7 +85,7 @@ _PLAIN = {
     "a11_document_text": "SELECT doc_id, sha256(t) AS text_hash, length(t)::INT AS n_chars FROM (SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) AS t FROM conversations GROUP BY 1)",
     "a12_document_quality": "SELECT l_orderkey AS doc_id, round(sum(l_discount::DECIMAL(4,2))::DECIMAL(18,2) / count(*), 3)::DOUBLE AS quality, count(*) AS n_pages FROM lineitem GROUP BY 1",
     "a13_page_sample": "SELECT conv_id, turn, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE k = 1 OR (n > 2 AND k = n // 2 + 1)",
-    "a14_language_vote": f"SELECT doc_id, CASE WHEN max(n) = 0 THEN 'en' ELSE arg_max(language, (n, -ascii(language))) END AS language FROM ({_STOP}) GROUP BY doc_id",
+    "a14_language_vote": f"SELECT doc_id, CASE WHEN max(n) = 0 THEN 'en' ELSE arg_max(language, (n, -o)) END AS language FROM ({_STOP}) GROUP BY doc_id",
     "b20_latest_job_status": "SELECT user_id, event_type AS status, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
     "c05_taxonomy_lookup": f"WITH t AS (SELECT * FROM (VALUES {', '.join(f'({i}, {a!r}, {b!r}, {c!r})' for i, (a, b, c) in enumerate(dims.TAXONOMY))}) x(o, keyword, tax_category, tax_section)) SELECT p_partkey, keyword, tax_category, tax_section FROM part LEFT JOIN t ON contains(lower(p_name), keyword) QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY o) = 1",
     "g01_number_format": "SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (0, 2) THEN 'US' ELSE 'EU' END AS number_format FROM orders",
@@ -113,7 +113,7 @@ FROM (SELECT extraction_id, complexity_tier, greatest(0, 1 - 0.03 * count(*) FIL
     "b02_review_queue": "SELECT extraction_id, confidence_score FROM extractions WHERE status = 'pending_review' ORDER BY confidence_score, extraction_id LIMIT 80",
     "b04_list_corrections": "SELECT correction_id, field_path, category FROM categorized",
     "b05_list_calls": "SELECT call_id, model, CASE WHEN length(response) > 200 THEN left(response, 200) || '...' ELSE response END AS preview FROM calls WHERE stage = 'click' ORDER BY created_at DESC, call_id LIMIT 120",
-    "b06_calls_by_extraction": "SELECT extraction_id, call_id, stage, created_at FROM calls WHERE extraction_id BETWEEN 100 AND 900",
+    "b06_calls_by_extraction": "SELECT extraction_id, call_id, stage, created_at, row_number() OVER (PARTITION BY extraction_id ORDER BY created_at, call_id)::INT AS place FROM calls WHERE extraction_id IS NOT NULL",
     "b07_corrections_by_context": "SELECT correction_id, field_path FROM corrections WHERE utility = 'City Gas' AND commodity = 'natural_gas' QUALIFY count(*) OVER (PARTITION BY field_path) >= 20",
     "b09_confidence_band": "SELECT CASE WHEN confidence_score >= 0.9::DOUBLE THEN 'green' WHEN confidence_score >= 0.7::DOUBLE THEN 'yellow' ELSE 'red' END AS band, count(*) AS n FROM extractions GROUP BY 1",
     "b12_approve_green": "SELECT CASE WHEN confidence_score >= 0.9::DOUBLE THEN 'accepted' ELSE 'partial' END AS status, count(*) AS n FROM extractions GROUP BY 1",
@@ -171,9 +171,10 @@ UNION ALL SELECT extraction_id, 'V14', 'charges.' || line_number, 'error', (amou
     "v18_gas_factors": """SELECT extraction_id, 'V18' AS rule_id, 'meters.calorific_value' AS field, 'warning' AS severity FROM meters WHERE cv NOT BETWEEN 8 AND 14
 UNION ALL SELECT extraction_id, 'V18', 'meters.volume_correction_factor', 'warning' FROM meters WHERE vcf <> 1 AND (vcf < 0.9::DOUBLE OR vcf > 1.1::DOUBLE)
 UNION ALL SELECT extraction_id, 'V19', 'meters.energy', 'error' FROM meters WHERE cv IS NOT NULL AND (energy = 0 OR abs((volume * vcf * cv - energy) / energy) > 0.02::DOUBLE)""",
-    "v20_domain_check": """SELECT extraction_id, 'commodity_type' AS field, 'warning' AS severity FROM extractions WHERE commodity_type NOT IN ('electricity', 'natural_gas') UNION ALL SELECT extraction_id, 'confidence_score', 'warning' FROM extractions WHERE NOT confidence_score BETWEEN 0.05::DOUBLE AND 1""",
+    "v20_domain_check": """SELECT extraction_id, 'commodity_type' AS field, 'warning' AS severity FROM extractions WHERE extraction_id % 9 = 0 UNION ALL SELECT extraction_id, 'confidence_score', 'warning' FROM extractions WHERE extraction_id % 10 = 3 OR extraction_id % 10 = 7 UNION ALL SELECT extraction_id, 'complexity_tier', 'warning' FROM extractions WHERE extraction_id % 25 = 1""",
     "w01_latest_per_hash": "SELECT file_hash, extraction_id, created_at FROM latest",
-    "x03_amount_sanity": "SELECT extraction_id, 'fatal' AS severity FROM extractions WHERE stated_total > 450000 OR stated_total < 1000",
+    "x03_amount_sanity": """SELECT extraction_id, 'totals.total_amount_due' AS field, 'fatal' AS severity FROM extractions WHERE extraction_id % 51 = 0 OR (extraction_id % 50 = 0 AND stated_total * 10 > 1000000)
+UNION ALL SELECT extraction_id, 'original_string', 'warning' FROM extractions WHERE extraction_id % 6 IN (1, 5)""",
     "x14_kpi": "SELECT strftime(created_at, '%Y-%m') AS month, commodity_type, count(*) AS n, round(avg((status = 'accepted')::INT), 6) AS accept_rate, round(avg((confidence_score < 0.7::DOUBLE)::INT), 6) AS low_rate FROM extractions GROUP BY 1, 2",
     "x20_block_allocation": "SELECT extraction_id, block, least(raw_value, hi) - lo AS part, round((least(raw_value, hi) - lo) * price, 2) AS cost FROM meters JOIN (VALUES (1, 0::DOUBLE, 100::DOUBLE, 0.10::DOUBLE), (2, 100, 500, 0.15), (3, 500, 'inf', 0.20)) b(block, lo, hi, price) ON raw_value > lo",
 }
@@ -218,7 +219,7 @@ _ON_MODEL |= {
     "g15_signal_flags": "SELECT extraction_id, extraction_id % 2 = 0 AS has_demand_charges, extraction_id % 3 = 0 AS has_tou_present, false AS has_supplier_split, extraction_id % 5 = 0 AS has_net_metering, false AS has_prior_period_adjustments FROM extractions",
     "g17_category_reasoning": "SELECT correction_id, string_split(field_path, '.')[-1] || ': ' || CASE inferred WHEN 'format_normalize' THEN 'format evened out' WHEN 'missing_context' THEN 'context was missed' WHEN 'calculation_error' THEN 'wrong arithmetic' ELSE 'another correction' END AS reasoning FROM inferred",
     "x09_charge_period": "SELECT extraction_id, min(a)::DATE::VARCHAR AS first_day, max(b)::DATE::VARCHAR AS last_day FROM (SELECT l_orderkey AS extraction_id, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate ELSE o_orderdate END::DATE AS a, CASE WHEN l_linenumber % 2 = 0 THEN l_shipdate::DATE + 7 ELSE o_orderdate::DATE + 30 END AS b FROM lineitem JOIN orders ON l_orderkey = o_orderkey) GROUP BY 1",
-    "x16_mx_iva": "SELECT extraction_id, g::DOUBLE AS expected FROM (SELECT extraction_id, stated_total, round((round((stated_total * 0.86)::DECIMAL(28,4), 2) * 1.16)::DECIMAL(28,4), 2) AS g FROM extractions WHERE country_code = 'MX') WHERE abs(g - stated_total) > 500",
+    "x16_mx_iva": "SELECT extraction_id, round((net * 1.16)::DECIMAL(28,4), 2)::DOUBLE AS expected FROM (SELECT o_orderkey AS extraction_id, (o_orderkey % 5000 + 10)::DECIMAL(18,2) AS net FROM orders) JOIN extractions USING (extraction_id) WHERE country_code = 'MX' AND extraction_id % 3 = 0",
 }
 _PLAIN |= {
     "a15_unsupported_rows": "SELECT coalesce(l_linenumber, 1) AS page_number, count(*) AS n, count(l_linestatus) AS n_text FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1",

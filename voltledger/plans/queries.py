@@ -120,7 +120,7 @@ def b05_list_calls(s, d):
 
 @query
 def b06_calls_by_extraction(s, d):
-    return tables.calls(s, d).where("extraction_id between 100 and 900").select("extraction_id", "call_id", "stage", "created_at")
+    return lists.in_order(tables.calls(s, d).where("extraction_id is not null"), "extraction_id", [F.col("created_at"), F.col("call_id")]).select("extraction_id", "call_id", "stage", "created_at", "place")
 
 
 @query
@@ -433,7 +433,10 @@ def v18_gas_factors(s, d):
 
 @query
 def v20_domain_check(s, d):
-    return validate.domain_check(tables.extractions(s, d)).select("extraction_id", "field", "severity")
+    key = F.col("extraction_id")
+    bad = tables.extractions(s, d).withColumn("commodity_type", F.when(key % 9 == 0, "steam").otherwise(F.col("commodity_type")))
+    bad = bad.withColumn("confidence_score", F.when(key % 10 == 3, 1.25).when(key % 10 == 7, -0.5).otherwise(F.col("confidence_score"))).withColumn("complexity_tier", F.when(key % 25 == 1, "easy").otherwise(F.col("complexity_tier")))
+    return validate.domain_check(bad).select("extraction_id", "field", "severity")
 
 
 @query
@@ -449,7 +452,10 @@ def d16_disposition(s, d):
 
 @query
 def x03_amount_sanity(s, d):
-    return usage.amount_sanity(tables.extractions(s, d))
+    key = F.col("extraction_id")
+    total = F.when(key % 51 == 0, F.lit(0)).when(key % 50 == 0, F.col("stated_total") * 10).otherwise(F.col("stated_total")).cast(MONEY)
+    b = tables.extractions(s, d).withColumn("original_string", F.concat(F.lit("1234"), F.substring(F.lit(",56789"), F.lit(1), F.when(key % 6 == 0, 0).otherwise(key % 6 + 1).cast("int")), F.lit(" €")))
+    return usage.amount_sanity(b.withColumn("stated_total", total), F.lit(","))
 
 
 @query
@@ -695,9 +701,9 @@ def x12_weighted_confidence(s, d):
 
 @query
 def x16_mx_iva(s, d):
-    rows = tables.extractions(s, d).where("country_code = 'MX'").withColumn("net", validate.cents(F.col("stated_total") * F.lit("0.86").cast("decimal(4,2)")))
-    gross = validate.cents(F.col("net") * F.lit("1.16").cast("decimal(4,2)"))
-    return rows.where(F.abs(gross - F.col("stated_total")) > 500).select("extraction_id", gross.cast("double").alias("expected"))
+    net = (F.col("o_orderkey") % 5000 + 10).cast(MONEY)
+    stated = tables.load(s, d, "orders").select(F.col("o_orderkey").alias("extraction_id"), net.alias("total_net"), (F.round(net * F.lit("1.16").cast("decimal(4,2)"), 2) + F.when(F.col("o_orderkey") % 3 == 0, 1).otherwise(0)).cast(MONEY).alias("total_gross"))
+    return validate.mexican_vat(stated, tables.extractions(s, d))
 
 
 @query

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import oracle, queries
+from . import oracle, queries, reviews
 
 FLAGSHIP = "flagship_route"
-QUERIES = queries.QUERIES
-ORACLE_SQL = oracle.SQL
+QUERIES = queries.QUERIES | reviews.QUERIES
+ORACLE_SQL = oracle.SQL | reviews.SQL

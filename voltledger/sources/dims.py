@@ -17,6 +17,19 @@ FIELD_WEIGHTS = [
 ERROR_PENALTY = {"fatal": "1.00", "high": "0.20", "medium": "0.08", "low": "0.03"}
 # Factors between units.
 CONVERSIONS = [("therms", "kWh", 29.3071), ("CCF", "therms", 1.037), ("MCF", "therms", 10.37), ("dekatherms", "therms", 10.0), ("GJ", "kWh", 277.778), ("MWh", "kWh", 1000.0), ("gallons", "m³", 0.00378541), ("CCF_water", "gallons", 748.0)]
+# Further factors, and those of another, looser set.
+MORE_CONVERSIONS = [("MJ", "kWh", 1 / 3.6), ("liters", "m³", 0.001), ("CCF_water", "m³", 2.8317), ("dekatherms", "kWh", 293.071)]
+LOOSE_CONVERSIONS = [("CCF", "therms", 1.0), ("MCF", "therms", 10.0), ("GJ", "therms", 9.4804), ("kVA", "kW", 0.9), ("HP", "kW", 0.746)]
+# Names of charges by country, with category, section and translation, in the order in which they are looked for.
+CHARGES = {
+    "DE": [("Arbeitspreis", "energy", "supply", "Energy Charge (Working Price)"), ("Grundpreis", "fixed", "supply", "Standing Charge (Base Price)"), ("Netzentgelt", "rider", "distribution", "Network Charge"), ("Messstellenbetrieb", "fixed", "distribution", "Metering Operation"), ("Stromsteuer", "tax", "taxes", "Electricity Tax"), ("EEG-Umlage", "rider", "taxes", "Renewable Energy Levy"), ("KWK-Umlage", "rider", "taxes", "CHP Levy"), ("Konzessionsabgabe", "rider", "taxes", "Concession Fee"), ("Offshore-Netzumlage", "rider", "taxes", "Offshore Grid Levy"), ("StromNEV-Umlage", "rider", "taxes", "Grid Cost Levy"), ("CO2-Abgabe", "tax", "taxes", "CO2 Tax"), ("Brennwert", "other", "other", "Calorific Value"), ("Zustandszahl", "other", "other", "Volume Correction Factor")],
+    "FR": [("Abonnement", "fixed", "supply", "Subscription Fee"), ("Consommation", "energy", "supply", "Energy Consumption"), ("TURPE", "rider", "distribution", "Grid Access Charge"), ("CSPE", "rider", "taxes", "Public Electricity Service Contribution"), ("TCFE", "tax", "taxes", "Final Electricity Consumption Tax"), ("CTA", "rider", "taxes", "Tariff Contribution"), ("TVA", "tax", "taxes", "VAT"), ("Heures Pleines", "energy", "supply", "Peak Hours"), ("Heures Creuses", "energy", "supply", "Off-Peak Hours")],
+    "ES": [("Energía activa", "energy", "supply", "Active Energy"), ("Potencia contratada", "demand", "distribution", "Contracted Power"), ("Potencia facturada", "demand", "distribution", "Billed Power"), ("Peaje de acceso", "rider", "distribution", "Access Toll"), ("Impuesto eléctrico", "tax", "taxes", "Electricity Tax"), ("IVA", "tax", "taxes", "VAT"), ("Alquiler contador", "fixed", "distribution", "Meter Rental")],
+    "UK": [("Unit Rate", "energy", "supply", "Unit Rate"), ("Standing Charge", "fixed", "supply", "Standing Charge"), ("CCL", "tax", "taxes", "Climate Change Levy"), ("DUoS", "rider", "distribution", "Distribution Use of System"), ("TNUoS", "rider", "distribution", "Transmission Use of System"), ("BSUoS", "rider", "distribution", "Balancing Services Use of System"), ("Capacity Market", "rider", "distribution", "Capacity Market Charge"), ("FiT", "credit", "supply", "Feed-in Tariff"), ("RO", "rider", "taxes", "Renewables Obligation"), ("VAT", "tax", "taxes", "Value Added Tax")],
+    "IT": [("Energia", "energy", "supply", "Energy"), ("Trasporto e gestione del contatore", "rider", "distribution", "Transport and Meter Management"), ("Oneri di sistema", "rider", "taxes", "System Charges"), ("Accisa", "tax", "taxes", "Excise Duty"), ("IVA", "tax", "taxes", "VAT"), ("Canone RAI", "rider", "taxes", "TV License Fee")],
+    "NL": [("Leveringskosten", "energy", "supply", "Supply Costs"), ("Vastrecht", "fixed", "supply", "Standing Charge"), ("Transportkosten", "rider", "distribution", "Transport Costs"), ("Energiebelasting", "tax", "taxes", "Energy Tax"), ("ODE", "tax", "taxes", "Renewable Energy Surcharge (ODE)"), ("BTW", "tax", "taxes", "VAT"), ("Belastingvermindering", "credit", "taxes", "Tax Reduction")],
+    "MX": [("Energía", "energy", "supply", "Energy"), ("Demanda", "demand", "supply", "Demand"), ("Distribución", "rider", "distribution", "Distribution"), ("Capacidad", "demand", "distribution", "Capacity"), ("DAP", "rider", "taxes", "Public Lighting Charge"), ("IVA", "tax", "taxes", "VAT (IVA)"), ("Factor de potencia", "penalty", "other", "Power Factor"), ("Suministro", "fixed", "supply", "Supply Fee")],
+}
 # Spellings of units.
 UNIT_ALIASES = [("kwh", "kWh"), ("kw", "kW"), ("mwh", "MWh"), ("mw", "MW"), ("therm", "therms"), ("thm", "therms"), ("ccf", "CCF"), ("mcf", "MCF"), ("dth", "dekatherms"), ("dekatherm", "dekatherms"), ("gj", "GJ"), ("m3", "m³"), ("m^3", "m³"), ("cbm", "m³"), ("cubic meters", "m³"), ("cubic metres", "m³"), ("gal", "gallons"), ("gallon", "gallons"), ("kva", "kVA"), ("kvar", "kVAR")]
 # The unit that a commodity is reported in.
@@ -42,6 +55,19 @@ def conversions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(both, "from_unit string, to_unit string, factor double")
 
 
+def more_conversions(spark: SparkSession, loose: bool = False) -> DataFrame:
+    """The factors with further units, or with those of the looser set in place of the same pairs."""
+    own = {(a, b): f for a, b, f in [*CONVERSIONS, *((b, a, 1 / f) for a, b, f in CONVERSIONS)]}
+    own |= {(a, b): f for a, b, f in (LOOSE_CONVERSIONS if loose else MORE_CONVERSIONS)}
+    return spark.createDataFrame([(*k, f) for k, f in own.items()], "from_unit string, to_unit string, factor double")
+
+
+def country_taxonomy(spark: SparkSession, country: str | None = None) -> DataFrame:
+    """The taxonomy of charges, of one country or of all."""
+    rows = [(i, c, *r) for c, listed in CHARGES.items() if country in (None, c) for i, r in enumerate(listed)]
+    return spark.createDataFrame(rows, "ordinal int, country string, name string, tax_category string, tax_section string, translation string")
+
+
 def unit_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(UNIT_ALIASES, "alias string, unit string")
 

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..operators import intake, lists, validate
+from ..operators import drift, intake, lists, validate
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -44,3 +45,18 @@ def job_status(events: DataFrame) -> DataFrame:
 def calls_per_window(calls: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """Calls by stage in windows of created_at; rows later than late behind the newest are left out."""
     return calls.withWatermark("created_at", late).groupBy(F.window("created_at", width).alias("w"), "stage").agg(F.count(F.lit(1)).alias("n_calls"), F.coalesce(F.sum("total_tokens"), F.lit(0)).cast("long").alias("total_tokens"), F.round(F.avg("duration_ms"), 0).cast("long").alias("avg_duration_ms")).select(F.col("w.start").alias("start"), "stage", "n_calls", "total_tokens", "avg_duration_ms")
+
+
+def arriving_drift(batch: DataFrame, batch_id: int, store: str, out: str) -> None:
+    """For foreachBatch: documents (extraction_id, file_hash, created_at, document as JSON) against the previous run of the same file, in the
+    store (a Parquet path) or earlier in the batch. Changes go to out, the documents to the store, each in a folder of the batch's number, so
+    a batch that is run again writes the same; only runs of lower batches count as stored."""
+    spark = batch.sparkSession
+    new = batch.select("extraction_id", "file_hash", "created_at", "document")
+    known = spark.read.schema(T.StructType([*new.schema.fields, T.StructField("batch", T.LongType())])).parquet(store).where(F.col("batch") < batch_id).drop("batch") if batch_id else new.limit(0)
+    runs = lists.runs_before(known.join(new.select("file_hash").distinct(), "file_hash", "left_semi").unionByName(new), ["document"])
+    pairs = runs.join(new.select("extraction_id"), "extraction_id", "left_semi")
+    both = pairs.select("extraction_id", "document").union(pairs.select(F.col("previous_id").alias("extraction_id"), F.col("previous_document").alias("document"))).dropDuplicates(["extraction_id"])
+    changes = drift.document_changes(pairs, both.select("extraction_id", F.try_parse_json("document").alias("document")))
+    changes.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+    new.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
