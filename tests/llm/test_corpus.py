@@ -446,8 +446,8 @@ def test_vectors(spark):
     group = components(range(400), [(int(a), int(b)) for a, b in zip(*np.nonzero(hit)) if a < b])
     want = {i: (int(hit[i].sum()), group[i], i == group[i]) for i in range(400)} | {i: (0, i, True) for i in range(400, 406)} | {406: (1, 406, True), 407: (1, 406, False), None: (0, None, None)}
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").withColumn("n_links", F.lit(7))
-    for block in (2048, 64):
-        got = vectors.near_duplicate_vectors(table, block=block, sample_size=100)
+    for block, kind in ((2048, "float"), (64, "float"), (64, "double")):
+        got = vectors.near_duplicate_vectors(table.withColumn("embedding", F.col("embedding").cast(f"array<{kind}>")), block=block, sample_size=100)
         assert {r[0]: tuple(r)[1:] for r in got.collect()} == want
     assert vectors.near_duplicate_vectors(table.limit(0)).count() == 0
 

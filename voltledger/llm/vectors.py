@@ -83,10 +83,10 @@ def matched(a: np.ndarray, b: np.ndarray, same: bool, least: float) -> tuple[np.
     return np.nonzero(hit)
 
 
-def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, sample_size: int, max_leaves: int, block: int) -> DataFrame:
-    """Of distinct vectors (id, n, embedding, n being how many rows share it): rows (a, b, links): links of a with other
+def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, sample_size: int, max_leaves: int, block: int, number: str) -> DataFrame:
+    """Of distinct vectors (id, n, embedding of number float or double, n being how many rows share it): rows (a, b, links): links of a with other
     vectors counted in rows where b is null, else a and b connected by links."""
-    total = vectors.count()
+    total, kind = vectors.count(), {"float": "<f4", "double": "<f8"}[number]
     leaves = max(1, min(max_leaves, total // block))
     picked = vectors.orderBy(F.xxhash64("id"), "id").limit(min(sample_size, max(total, 1))).select("embedding").toArrow()
     tree = CoverTree(unit(picked.column(0).combine_chunks(), dim), leaves)
@@ -99,7 +99,7 @@ def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, s
             apart = [np.sqrt(np.maximum(0, 2 - 2 * np.einsum("ij,ij->i", u, tree.centres[path[:, d]]))) for d in range(depth)]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(path[:, -1]), pa.array(list(path)), pa.array(list(np.stack(apart, axis=1)))], ["id", "n", "embedding", "leaf", "path", "apart"])
 
-    placed = scratch.put(vectors.mapInArrow(place, "id long, n long, embedding array<float>, leaf long, path array<long>, apart array<double>"), "placed")
+    placed = scratch.put(vectors.mapInArrow(place, f"id long, n long, embedding array<{number}>, leaf long, path array<long>, apart array<double>"), "placed")
     reach = [np.full(len(tree.centres), -1.0) for _ in range(depth)]
     widest = placed.select(F.posexplode("path").alias("depth", "node"), F.col("apart")).groupBy("depth", "node").agg(F.max(F.element_at("apart", F.col("depth") + 1)).alias("r"))
     for r in widest.collect():  # one row a node, and the tree's size is bounded
@@ -112,7 +112,7 @@ def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, s
     in_blocks = placed.select("leaf", F.pmod(F.xxhash64("id", F.lit(1)), n_blocks).alias("part"), "id", "n", "embedding")
 
     def gather(t: pa.Table) -> pa.Table:
-        values = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f4")
+        values = t.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(kind)
         return pa.table({"leaf": t.column("leaf")[:1], "part": t.column("part")[:1], "ids": [t.column("id").to_numpy().tobytes()], "ns": [t.column("n").to_numpy().tobytes()], "data": [values.tobytes()]})
 
     packed = scratch.put(in_blocks.groupBy("leaf", "part").applyInArrow(gather, "leaf long, part long, ids binary, ns binary, data binary"), "blocks")
@@ -128,7 +128,7 @@ def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, s
                 ns = [np.frombuffer(r[f"ns_{s}"], np.int64) for s in "ab"]
                 u = []
                 for s in "ab":
-                    x = np.frombuffer(r[f"data_{s}"], "<f4").astype(np.float64).reshape(-1, dim)
+                    x = np.frombuffer(r[f"data_{s}"], kind).astype(np.float64).reshape(-1, dim)
                     u.append(x / np.linalg.norm(x, axis=1, keepdims=True))
                 same = (r["leaf_a"], r["part_a"]) == (r["leaf_b"], r["part_b"])
                 i, j = matched(u[0], u[1], same, least)
@@ -154,13 +154,15 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.9, sample_siz
     on sample_size vectors and has at most max_leaves leaves; leaves are compared in blocks of about block vectors."""
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "vectors")
-    rows = embeddings.select("vec_id", "embedding")
+    # single numbers are kept as such where they are stored and moved; anything else is taken as double
+    number = "float" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{number}>").alias("embedding"))
     fine = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("_fine", fine)
     distinct = scratch.put(rows.where("_fine").groupBy("embedding").agg(F.min("vec_id").alias("id"), F.count(F.lit(1)).alias("n")), "distinct")
     found = None
     for r in distinct.groupBy(F.size("embedding").alias("dim")).count().collect():
-        one = near_vectors(distinct.where(F.size("embedding") == r["dim"]).select("id", "n", "embedding"), r["dim"], least, scratch, sample_size, max_leaves, block)
+        one = near_vectors(distinct.where(F.size("embedding") == r["dim"]).select("id", "n", "embedding"), r["dim"], least, scratch, sample_size, max_leaves, block, number)
         found = one if found is None else found.union(one)
     if found is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
