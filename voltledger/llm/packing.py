@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import struct
 import zlib
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks, numbered, parts
 
 #: Bytes of the chunk -> ids table that a task keeps, and of one of its entries beside key and value. Chunks that come when it is full
-#: are encoded each time; after twice as many of them, it starts afresh.
+#: are encoded each time; after twice as many of them, it shrinks to its first entries.
 CACHE_BYTES, ENTRY_BYTES = 96 << 20, 170
+#: Entries that a Python worker keeps from one task to the next: the first ones, which hold the most frequent chunks.
+KEPT = 60_000
 
 
 class WordIds:
@@ -28,11 +31,14 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.start()
-
-    def start(self) -> None:
         self.known, self.used, self.missed = {b"": b""}, 0, 0
 
+    def shrink(self) -> None:
+        """Keeps the first entries only."""
+        self.known = dict(itertools.islice(self.known.items(), KEPT))
+        self.used = sum(map(len, self.known)) + sum(map(len, self.known.values())) + ENTRY_BYTES * len(self.known)
+        self.missed = 0
+
     def ids(self, chunks: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
@@ -60,7 +66,7 @@ class WordIds:
         self.missed += size
         out = b"".join([known[c] if c in known else found[c] for c in chunks])
         if self.missed > 2 * CACHE_BYTES:
-            self.start()
+            self.shrink()
         return out
 
 
@@ -68,7 +74,7 @@ _open: dict[str, WordIds] = {}
 
 
 def word_ids(path: str) -> WordIds:
-    """One tokenizer a Python worker, which outlives its tasks; its table doesn't."""
+    """One tokenizer a Python worker, which outlives its tasks; of its table the first entries do."""
     if path not in _open:
         _open[path] = WordIds(path)
     return _open[path]
@@ -82,7 +88,6 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(tokenizer_path)
-        words.start()
         for b in blocks(batches, "text"):
             out: list[list] = [[], [], [], [], []]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
@@ -91,7 +96,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, size: int) -> DataFrame:
                     for to, x in zip(out, (doc, i // (4 * size), i // 4, min(size, (len(ids) - i) // 4), zlib.crc32(ids[i : i + 4 * size]))):
                         to.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
-        words.start()
+        words.shrink()
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, PIECE)
 
