@@ -494,3 +494,19 @@ def test_stages_keep_clashing_columns_and_rows_of_one_id(spark, docs, empty):
     one_id = spark.createDataFrame([(1, "the first text of this id"), (1, "quite another text under it"), (1, "the first text of this id"), (None, "no id"), (None, "no id"), (2, None)], "doc_id long, text string")
     got = multiset(stages.keep_one_of_each(one_id))
     assert got == collections.Counter([(1, "the first text of this id"), (1, "quite another text under it"), (None, "no id"), (2, None)])
+
+
+def test_pipeline(spark, docs, rows, tmp_path):
+    import corpus_pipeline
+
+    full = {i: t for i, t, _ in rows}
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, " ".join(full[3].split()[10:40]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = collections.Counter(r["doc_id"] for r in got if r["piece"] == 0)
+    # no letters, near and exact copies, the leak
+    assert not {82, 83, 85, 60, 61, 62, 63, 80, 81, 3} & set(ids)
+    assert {0, 1, 2, 4, 5, 70, 71, 72, None} <= set(ids) and set(ids.values()) == {1}
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    assert sum(r["length"] for r in got if r["doc_id"] == 4) == len(tokenizer.encode(full[4], add_special_tokens=False).ids) + 1
+    assert sum(r["length"] for r in got if r["doc_id"] == 71) < len(tokenizer.encode(full[71], add_special_tokens=False).ids)
