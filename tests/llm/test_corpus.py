@@ -144,29 +144,58 @@ def test_scores(docs, rows, empty):
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
     count = collections.Counter(w for i, t, _ in rows if not held(i) for w in [*tokens(t), ""])
     total, kinds = sum(count.values()), len(count)
-    for limit in (500_000, 50):
-        got = scoring.score_documents(docs.withColumn("row", F.lit(1)), max_words=limit).collect()
-        key = lambda r: (-1 if r[0] is None else r[0], round(r[1], 6))
-        want = []
-        for i, t, _ in rows:
-            w = [*tokens(t), ""]
-            want.append((i, sum(math.log10((count[x] + 1) / (total + kinds + 1)) for x in w), held(i), len(w), sum(count[x] > 0 for x in w)))
-        assert [(a[0], a[2], a[3], a[4]) for a in sorted(want, key=key)] == [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in sorted(got, key=lambda r: key((r["doc_id"], r["base_score"])))]
-        assert np.allclose(sorted(a[1] for a in want), sorted(r["base_score"] for r in got))
+    # the model by itself: counts of all words and pairs, weights from the tuning fold's tokens
+    fold_of = lambda i: -1 if i is None else zlib.crc32(str(i).encode()) % 7
+    pair, pair_rest, rest = collections.Counter(), collections.Counter(), collections.Counter()
+    for i, t, _ in rows:
+        w = [*tokens(t), ""]
+        if fold_of(i) != 2:
+            pair.update(zip(["", *w], w))
+        if fold_of(i) not in (2, 3):
+            pair_rest.update(zip(["", *w], w))
+            rest.update(w)
+    shares = lambda v, w, of, n: (scoring.bucket_of(np.array(n[v])), count[w] / total, of[v, w] / n[v] if n[v] else count[w] / total)
+    tuning = [shares(v, w, pair_rest, rest) for i, t, _ in rows if fold_of(i) == 3 for v, w in zip(["", *tokens(t)], [*tokens(t), ""])]
+    cells = collections.defaultdict(list)
+    for b, one, two in tuning:
+        cells[int(scoring.grid(b, np.array(one), np.array(two)))].append((one, two))
+    weights = scoring.mixture(np.array([[c >> 16, len(x), *np.mean(x, axis=0)] for c, x in sorted(cells.items())]), kinds)
+    want = []
+    for i, t, _ in rows:
+        w = [*tokens(t), ""]
+        parts = [shares(v, x, pair, count) for v, x in zip(["", *w], w)]
+        score = sum(math.log10(weights[b, 0] / (kinds + 1) + weights[b, 1] * one + weights[b, 2] * two) for b, one, two in parts)
+        want.append((i, sum(math.log10((count[x] + 1) / (total + kinds + 1)) for x in w), held(i), len(w), sum(count[x] > 0 for x in w), score))
+    key = lambda r: (-1 if r[0] is None else r[0], round(r[1], 6))
+    for limit in (500_000, 50, 1):  # how many words are broadcast changes nothing
+        got = scoring.score_documents(docs.withColumn("row", F.lit(1)), frequent=limit).collect()
+        in_order, got = sorted(want, key=key), sorted(got, key=lambda r: key((r["doc_id"], r["base_score"])))
+        assert [(a[0], a[2], a[3], a[4]) for a in in_order] == [(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"]) for r in got]
+        assert np.allclose([a[1] for a in in_order], [r["base_score"] for r in got])
+        assert np.allclose([a[5] for a in in_order], [r["score"] for r in got])
         assert {r["train_tokens"] for r in got} == {total}
-        assert all(r["score"] < 0 for r in got)
         assert sum(r["score"] for r in got if r["held_out"]) > sum(r["base_score"] for r in got if r["held_out"])
     assert scoring.score_documents(empty).count() == 0
 
 
+def test_scores_of_rare_words_repeated(spark):
+    """A text whose words occur in one other text only is likely to the model of the corpus, however few words are broadcast."""
+    rng = random.Random(3)
+    common = [prose(rng, 1) for _ in range(50)]
+    texts = [" ".join(rng.choices(common, k=200)) for _ in range(100)]
+    apart = " ".join(f"rare{k}" for k in range(200))
+    alone = " ".join(f"single{k}" for k in range(200))
+    taught = [i for i in range(200) if zlib.crc32(str(i).encode()) % 7 not in (2, 3)]
+    ids = iter(taught)
+    rows = [(next(ids), t) for t in [apart, apart, alone, *texts]] + [(i, " ".join(rng.choices(common, k=200)) + " " + " ".join(f"twice{i}x{k} twice{i}x{k}" for k in range(9))) for i in range(300, 330)]
+    score = {r["doc_id"]: r["score"] for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), frequent=20).collect()}
+    assert score[taught[0]] == score[taught[1]] > score[taught[2]]
+
+
 def test_score_is_a_distribution():
-    v = scoring.Vocabulary(np.array([0, 5, 9], np.uint64), np.array([4, 10, 6]), 25, 3)
-    ids = np.array([scoring.END, scoring.OTHER, *(scoring.FIRST + np.flatnonzero([False, True, True]))])
-    context = ids[2]
-    seen = np.array([2, 1, 3, 4])
-    _, one, two = scoring.parts_of(context << scoring.SHIFT | ids, seen, v.counts, v.others)
-    kinds = np.array([1, v.others, 1, 1])
-    assert math.isclose((one * kinds).sum(), 1) and math.isclose((two * kinds).sum(), 1)
+    word = np.array([4, 10, 6, 5])
+    bucket, one, two = scoring.shares(np.full(4, 10), word, np.array([2, 1, 3, 4]), 25)
+    assert math.isclose(one.sum(), 1) and math.isclose(two.sum(), 1) and set(bucket) == {3}
 
 
 def test_counts_follow_edits(spark, docs, rows, empty):
