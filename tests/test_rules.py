@@ -94,7 +94,7 @@ def test_amounts_and_formats(spark):
 
 
 def test_dates(spark):
-    rows = [("2025-03-15", "ISO", dt.date(2025, 3, 15), False), ("15.03.2025", "x", dt.date(2025, 3, 15), False), ("05/03/2025", "DD/MM/YYYY", dt.date(2025, 3, 5), True), ("05/03/2025", "MM/DD/YYYY", dt.date(2025, 5, 3), True), ("03/03/2025", "MM/DD/YYYY", dt.date(2025, 3, 3), False), ("31/02/2025", "DD/MM/YYYY", None, False), ("soon", "x", None, False), (None, "x", None, False)]
+    rows = [("2025-03-15", "ISO", dt.date(2025, 3, 15), False), ("15.03.2025", "x", dt.date(2025, 3, 15), False), ("05/03/2025", "DD/MM/YYYY", dt.date(2025, 3, 5), True), ("05/03/2025", "MM/DD/YYYY", dt.date(2025, 5, 3), True), ("03/03/2025", "MM/DD/YYYY", dt.date(2025, 3, 3), False), ("31/02/2025", "DD/MM/YYYY", None, False), (" 05-03-2025", "DD/MM/YYYY", dt.date(2025, 3, 5), False), ("12-31-2025", "x", dt.date(2025, 12, 31), False), ("soon", "x", None, False), (None, "x", None, False)]
     got = spark.createDataFrame([(a, f) for a, f, _, _ in rows], "a string, f string").select(text.date(F.col("a"), F.col("f")).alias("d"), text.ambiguous_date(F.col("a")).alias("m")).collect()
     assert [(r["d"], r["m"]) for r in got] == [(d, m) for _, _, d, m in rows]
     a = dt.date(2025, 1, 1)
@@ -135,11 +135,23 @@ def test_responses(spark):
     assert got == {1: ("whole", 1), 2: ("fenced", 2), 3: ("braces", 3), 4: ("none", None), 5: ("none", None)}
 
 
+def test_structured_invoices(spark):
+    xml = '<?xml version="1.0"?>\n<x:CrossIndustryInvoice a="1"><x:ID> </x:ID><ID>7</ID><x:ID>8</x:ID><GrandTotalAmount>1</GrandTotalAmount><y:GrandTotalAmount c="E">2.50</y:GrandTotalAmount><DueDateDateTime/></x:CrossIndustryInvoice>\n'
+    rows = [
+        (1, 0, "a.txt", xml), (1, 1, "A.XML", xml), (1, 2, "zugferd.pdf", xml), (2, 0, "My-Fattura.p7m", None), (3, 0, "factur-x.xml", xml[:-9]), (4, 0, "a.xml", "<a>FatturaElettronica</a>"),
+        (5, 0, "a.xml", "<a/>"), (6, 0, None, xml), (7, 0, "b.xml", xml), (7, 0, "b.xml", xml), (None, 0, "b.xml", xml),
+    ]
+    got = intake.structured_invoices(spark.createDataFrame(rows, "doc_id long, pos int, filename string, data string")).collect()
+    both = "factur-x/zugferd"
+    assert {r["doc_id"]: (r["kind"], r["invoice_id"], r["grand_total"]) for r in got} == {1: (both, "7", 2.5), 2: ("fatturapa", None, None), 3: (both, None, None), 4: ("fatturapa", None, None), 7: (both, "7", 2.5), None: (both, "7", 2.5)}
+    assert len(got) == 6 and {r["due_date"] for r in got} == {None}
+
+
 def test_file_scan(spark, tmp_path):
-    for name, data in {"a.pdf": b"%PDF-1", "b.pdf": b"%PDF-1", "c.png": b"\x89PNG..", "d.pdf": b"", "e.pdf": b"MM\0*", "f.PDF": b"\xff\xd8\xff\0"}.items():
+    for name, data in {"a.pdf": b"%PDF-1", "b.pdf": b"%PDF-1", "c.png": b"\x89PNG\r\n\x1a\n..", "g.png": b"\x89PNG..", "d.pdf": b"", "e.pdf": b"MM\0*", "f.PDF": b"\xff\xd8\xff\0"}.items():
         (tmp_path / name).write_bytes(data)
     got = {r["path"].rsplit("/", 1)[1]: r for r in intake.scan(spark, str(tmp_path)).collect()}
-    assert {k: (r["file_type"], r["reject_reason"]) for k, r in got.items()} == {"a.pdf": ("pdf", None), "b.pdf": ("pdf", None), "c.png": ("png", "not a pdf"), "e.pdf": ("tiff", None), "f.PDF": ("jpeg", None)}
+    assert {k: (r["file_type"], r["reject_reason"]) for k, r in got.items()} == {"a.pdf": ("pdf", None), "b.pdf": ("pdf", None), "c.png": ("png", "not a pdf"), "g.png": ("unknown", "not a pdf"), "e.pdf": ("tiff", None), "f.PDF": ("jpeg", None)}
     assert got["a.pdf"]["file_hash"] == got["b.pdf"]["file_hash"]
 
 

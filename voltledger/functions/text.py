@@ -46,12 +46,20 @@ def date_format_of(text: Column) -> Column:
 
 
 def date(text: Column, fmt: Column) -> Column:
+    """ISO, dotted (day first), and slashes or dashes in the order of fmt, day first if it starts with DD; null if none fits."""
+    text = F.trim(text)
     iso = F.when(F.regexp_like(text, F.lit(r"^\d{4}-\d{2}-\d{2}$")), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
     dotted = F.when(F.regexp_like(text, F.lit(r"^\d{1,2}\.\d{1,2}\.\d{4}$")), F.try_to_timestamp(text, F.lit("d.M.yyyy")).cast("date"))
-    slash = F.when(F.regexp_like(text, F.lit(r"^\d{1,2}/\d{1,2}/\d{4}$")), F.when(fmt == "DD/MM/YYYY", F.try_to_timestamp(text, F.lit("d/M/yyyy"))).otherwise(F.try_to_timestamp(text, F.lit("M/d/yyyy"))).cast("date"))
+    parts = F.translate(text, "-", "/")
+    slash = F.when(F.regexp_like(text, F.lit(r"^\d{1,2}[/-]\d{1,2}[/-]\d{4}$")), F.when(F.startswith(fmt, F.lit("DD")), F.try_to_timestamp(parts, F.lit("d/M/yyyy"))).otherwise(F.try_to_timestamp(parts, F.lit("M/d/yyyy"))).cast("date"))
     return F.coalesce(iso, dotted, slash)
 
 
+def date_error(text: Column, fmt: Column) -> Column:
+    """Why there is no date: no text, or one that isn't a date in this format; null if there is one."""
+    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "no date").when(date(text, fmt).isNull(), "not a date")
+
+
 def ambiguous_date(text: Column) -> Column:
     """Both parts could be the month, and they differ."""
     part = lambda i: F.nullif(F.regexp_extract(text, r"^(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}$", i), F.lit("")).cast("int")

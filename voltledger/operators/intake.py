@@ -13,18 +13,30 @@ MAX_BYTES = 50 * 1024 * 1024
 
 def file_type(content: Column) -> Column:
     """By the first bytes."""
-    starts = lambda n, *marks: F.hex(F.substring(content, 1, n)).isin(*marks)
-    return F.when(starts(4, "25504446"), "pdf").when(starts(4, "89504E47"), "png").when(starts(3, "FFD8FF"), "jpeg").when(starts(4, "49492A00", "4D4D002A"), "tiff").otherwise("unknown")
+    starts = lambda mark: F.coalesce(F.startswith(content, F.unhex(F.lit(mark))), F.lit(False))
+    return F.when(starts("25504446"), "pdf").when(starts("89504E470D0A1A0A"), "png").when(starts("FFD8"), "jpeg").when(starts("49492A00") | starts("4D4D002A"), "tiff").otherwise("unknown")
 
 
-def scan(spark: SparkSession, folder: str) -> DataFrame:
-    """Files of a folder with type, hash, and why they are turned away (null: they aren't). Spark's reader itself leaves out
-    files of no bytes."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+def judged(files: DataFrame) -> DataFrame:
+    """Files (path, modificationTime, length, content) with type, hash, and why they are turned away (null: they aren't)."""
     reason = F.when(~F.lower("path").endswith(".pdf"), "not a pdf").when(F.col("length") == 0, "empty").when(F.col("length") > MAX_BYTES, "too large")
     return files.select("path", "modificationTime", "length", file_type(F.col("content")).alias("file_type"), F.sha2("content", 256).alias("file_hash"), reason.alias("reject_reason"))
 
 
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """The files of a folder, judged. Spark's reader itself leaves out files of no bytes."""
+    return judged(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder))
+
+
+def rendered_files(orders: DataFrame) -> DataFrame:
+    """One file per order: of each type, some empty, misnamed or said to be over the largest size."""
+    k = F.col("o_orderkey")
+    mark = F.element_at(F.array(*map(F.lit, ("255044462D", "89504E470D0A1A0A", "89504E4731", "FFD8DB", "49492A00", "4D4D002A", "706C61696E"))), (k % 7 + 1).cast("int"))
+    content = F.when(k % 10 == 0, F.unhex(F.lit(""))).otherwise(F.unhex(F.concat(mark, F.hex(F.concat_ws("-", F.col("o_custkey").cast("string"), "o_orderstatus")))))
+    name = F.concat(k.cast("string"), F.when(k % 8 == 0, ".png").when(k % 8 == 1, ".PDF").otherwise(".pdf"))
+    return orders.select(name.alias("path"), F.col("o_orderdate").alias("modificationTime"), F.when(k % 13 == 0, MAX_BYTES + k).otherwise(F.octet_length(content)).alias("length"), content.alias("content"))
+
+
 def rendered_responses(orders: DataFrame) -> DataFrame:
     """Answers as models write them: bare JSON, a fenced block, JSON between words, or none."""
     body = F.concat(F.lit('{"id": '), F.col("o_orderkey").cast("string"), F.lit(', "status": "'), F.col("o_orderstatus"), F.lit('"}'))
@@ -45,22 +57,43 @@ def parsed_responses(calls: DataFrame) -> DataFrame:
 
 
 def rendered_attachments(orders: DataFrame) -> DataFrame:
-    """One XML attachment per order, named in one of three ways."""
-    k = F.col("o_orderkey") % 3
-    name = F.when(k == 0, "factur-x.xml").when(k == 1, "IT0001_fatturapa.xml").otherwise("data.xml")
-    total = F.col("o_totalprice").cast("decimal(18,2)").cast("string")
-    data = F.concat(F.lit('<inv:Invoice xmlns:inv="urn:x"><inv:ID>'), F.col("o_orderkey").cast("string"), F.lit("</inv:ID><inv:GrandTotalAmount>"), total, F.lit("</inv:GrandTotalAmount></inv:Invoice>"))
-    return orders.select(F.col("o_orderkey").alias("doc_id"), F.lit(0).alias("pos"), name.alias("filename"), data.alias("data"))
+    """Attachments of each order: for some a note, then an XML invoice that is told by its name or its content; some hold
+    no due date or tax, every one two totals and an empty ID, some break off."""
+    k, text = F.col("o_orderkey"), F.col("o_orderkey").cast("string")
+    name = F.when(k % 3 == 0, "Factur-X.xml").when(k % 3 == 1, "IT0001_fattura.xml").otherwise("data.xml")
+    root = F.when(k % 2 == 0, "CrossIndustryInvoice").otherwise("FatturaElettronica")
+    tag = lambda t, v: F.concat(F.lit(f"<r:{t}>"), v, F.lit(f"</r:{t}>"))
+    total, day = F.col("o_totalprice").cast("decimal(18,2)"), F.date_format("o_orderdate", "yyyy-MM-dd")
+    due = F.when(k % 5 == 0, F.lit("<r:DueDateDateTime/>")).otherwise(tag("DueDateDateTime", F.date_format(F.date_add("o_orderdate", 30), "yyyy-MM-dd")))
+    tax = F.when(k % 7 == 0, F.lit("")).otherwise(tag("TaxTotalAmount", (k % 90).cast("string")))
+    body = F.concat(tag("ID", F.lit("")), tag("ID", text), tag("ID", F.lit("other")), F.lit("<IssueDateTime>"), day, F.lit("</IssueDateTime>"), due, tag("GrandTotalAmount", F.lit("1.00")), F.lit('<GrandTotalAmount currencyID="EUR">'), total.cast("string"), F.lit("</GrandTotalAmount>"), tax)
+    data = F.concat(F.lit("<r:"), root, F.lit(' xmlns:r="urn:x">'), body, F.when(k % 11 == 0, F.lit("</r:")).otherwise(F.concat(F.lit("</r:"), root, F.lit(">"))))
+    invoice = F.struct(F.lit(1).alias("pos"), name.alias("filename"), data.alias("data"))
+    note = F.struct(F.lit(0).alias("pos"), F.lit("note.txt").alias("filename"), F.lit("see the CrossIndustryInvoice").alias("data"))
+    return orders.select(k.alias("doc_id"), F.inline(F.when(k % 2 == 0, F.array(note, invoice)).otherwise(F.array(invoice))))
+
+
+# Parts of names, and of contents of other XML files, that tell a structured invoice's kind.
+INVOICE_NAMES = {"factur-x": "factur-x/zugferd", "zugferd": "factur-x/zugferd", "fattura": "fatturapa"}
+INVOICE_TAGS = {"CrossIndustryInvoice": "factur-x/zugferd", "FatturaElettronica": "fatturapa"}
 
 
 def structured_invoices(attachments: DataFrame) -> DataFrame:
-    """The first attachment of each document that is a structured invoice: by file name, else by content."""
-    name = F.lower("filename")
-    kind = F.when(name.contains("factur-x") | name.contains("zugferd"), "factur-x").when(name.contains("fatturapa"), "fatturapa").when(name.endswith(".xml") & F.col("data").contains("Invoice"), "xml")
-    first = Window.partitionBy("doc_id").orderBy("pos")
+    """The first attachment of each document that is a structured invoice: by file name, else an XML file by content. Of its
+    fields the first ID and the last of the others that isn't blank. XML that breaks off gives no fields; entities in a
+    field are left as they are."""
+    name, data = F.lower("filename"), F.coalesce("data", F.lit(""))
+    kinds = [(name.contains(x), kind) for x, kind in INVOICE_NAMES.items()] + [(name.endswith(".xml") & data.contains(x), kind) for x, kind in INVOICE_TAGS.items()]
+    kind = F.coalesce(*(F.when(test, kind) for test, kind in kinds))
+    first = Window.partitionBy("doc_id").orderBy("pos", "filename", "data")
     rows = attachments.withColumn("kind", kind).where("kind is not null").withColumn("rn", F.row_number().over(first)).where("rn = 1")
-    tag = lambda t: F.nullif(F.xpath_string("data", F.lit(f'//*[local-name()="{t}"]')), F.lit(""))
-    return rows.select("doc_id", "kind", tag("ID").alias("invoice_id"), tag("GrandTotalAmount").try_cast("double").alias("grand_total"))
+    whole = F.regexp_like("data", F.lit(r"(?s)^\s*(?:<[?!].*?>\s*)*<([\w:.-]+)[\s>].*</\1\s*>\s*$"))
+    found = lambda t: F.filter(F.regexp_extract_all("data", F.lit(rf"<(?:[\w.-]+:)?{t}(?:\s[^>]*)?>([^<]*)<"), F.lit(1)), lambda x: F.trim(x) != "")
+    field = lambda t, at=-1: F.when(whole, F.try_element_at(found(t), F.lit(at)))
+    return rows.select(
+        "doc_id", "kind", field("ID", 1).alias("invoice_id"), field("GrandTotalAmount").try_cast("double").alias("grand_total"),
+        field("IssueDateTime").alias("issue_date"), field("DueDateDateTime").alias("due_date"), field("TaxTotalAmount").try_cast("double").alias("tax_total"),
+    )
 
 
 def document_text(pages: DataFrame) -> DataFrame:

@@ -6,6 +6,17 @@ from ..functions import locale
 from ..operators.intake import STOPWORDS
 from ..sources import dims
 
+#: The last attachment of each order, as text.
+ATTACHMENTS = """
+WITH r AS (SELECT *, CASE WHEN o_orderkey % 2 = 0 THEN 'CrossIndustryInvoice' ELSE 'FatturaElettronica' END AS root FROM orders),
+attachments AS (
+  SELECT o_orderkey AS doc_id, CASE o_orderkey % 3 WHEN 0 THEN 'Factur-X.xml' WHEN 1 THEN 'IT0001_fattura.xml' ELSE 'data.xml' END AS filename,
+    '<r:' || root || ' xmlns:r="urn:x"><r:ID></r:ID><r:ID>' || o_orderkey || '</r:ID><r:ID>other</r:ID><IssueDateTime>' || strftime(o_orderdate, '%Y-%m-%d') || '</IssueDateTime>'
+    || CASE WHEN o_orderkey % 5 = 0 THEN '<r:DueDateDateTime/>' ELSE '<r:DueDateDateTime>' || strftime(o_orderdate + INTERVAL 30 DAY, '%Y-%m-%d') || '</r:DueDateDateTime>' END
+    || '<r:GrandTotalAmount>1.00</r:GrandTotalAmount><GrandTotalAmount currencyID="EUR">' || o_totalprice::DECIMAL(18,2) || '</GrandTotalAmount>'
+    || CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE '<r:TaxTotalAmount>' || (o_orderkey % 90) || '</r:TaxTotalAmount>' END || '</r:' || CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE root || '>' END AS data
+  FROM r)
+"""
 #: The bill model's tables.
 MODEL = """
 WITH extractions AS (
@@ -81,7 +92,9 @@ _STOP = " UNION ALL ".join(f"SELECT doc_id, '{lang}' AS language, {sorted(STOPWO
 _PLAIN = {
     "a04_content_hash": "SELECT doc_id, sha256(text) AS file_hash FROM documents",
     "a09_response_json": "SELECT o_orderkey AS call_id, ['whole','fenced','braces','none'][o_orderkey % 4 + 1] AS strategy, CASE WHEN o_orderkey % 4 < 3 THEN o_orderkey END AS id, CASE WHEN o_orderkey % 4 < 3 THEN o_orderstatus END AS status FROM orders",
-    "a10_structured_invoice": "SELECT o_orderkey AS doc_id, ['factur-x','fatturapa','xml'][o_orderkey % 3 + 1] AS kind, o_orderkey::VARCHAR AS invoice_id, round(o_totalprice, 2) AS grand_total FROM orders",
+    "a10_structured_invoice": f"{ATTACHMENTS} SELECT doc_id, CASE WHEN contains(lower(filename), 'factur-x') OR NOT contains(lower(filename), 'fattura') AND contains(data, 'CrossIndustryInvoice') THEN 'factur-x/zugferd' ELSE 'fatturapa' END AS kind, "
+    + ", ".join(f"CASE WHEN suffix(data, 'Invoice>') OR suffix(data, 'Elettronica>') THEN {cast.format(f"regexp_extract_all(data, '<(?:r:)?{tag}(?: [^>]*)?>([^<]+)<', 1)[{at}]")} END AS {name}" for tag, at, name, cast in (("ID", 1, "invoice_id", "{}"), ("GrandTotalAmount", -1, "grand_total", "{}::DOUBLE"), ("IssueDateTime", -1, "issue_date", "{}"), ("DueDateDateTime", -1, "due_date", "{}"), ("TaxTotalAmount", -1, "tax_total", "{}::DOUBLE")))
+    + " FROM attachments",
     "a11_document_text": "SELECT doc_id, sha256(t) AS text_hash, length(t)::INT AS n_chars FROM (SELECT conv_id AS doc_id, string_agg(coalesce(text, ''), ' ' ORDER BY turn, text) AS t FROM conversations GROUP BY 1)",
     "a12_document_quality": "SELECT l_orderkey AS doc_id, round(sum(l_discount::DECIMAL(4,2))::DECIMAL(18,2) / count(*), 3)::DOUBLE AS quality, count(*) AS n_pages FROM lineitem GROUP BY 1",
     "a13_page_sample": "SELECT conv_id, turn, n FROM (SELECT *, count(*) OVER (PARTITION BY conv_id) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM (SELECT DISTINCT conv_id, turn FROM conversations)) WHERE k = 1 OR (n > 2 AND k = n // 2 + 1)",

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import complexity, text
 from ..operators import audit, drift, intake, learn, lists, rollups, score, usage, validate
-from ..sources import dims, tables
+from ..sources import dims, sinks, tables
 from ..sources.tables import MONEY
+from ..streaming import intake as streams
 from . import oracle
 from .queries import meters, vat_charges
 
@@ -258,7 +259,7 @@ def x24_loose_units(s, d):
     return text.convert_units(rows, dims.more_conversions(s, loose=True)).select("extraction_id", F.round("converted", 4).alias("converted"))
 
 
-@query("SELECT o_orderkey AS doc_id, round(o_totalprice, 2) AS total, o_orderkey % 4 = 0 AS differs FROM orders", model=False)
+@query("SELECT o_orderkey AS doc_id, round(o_totalprice, 2) + CASE WHEN o_orderkey % 44 = 0 THEN 2 ELSE 0 END AS total, o_orderkey % 4 = 0 AND o_orderkey % 11 <> 0 AS differs FROM orders", model=False)
 def x15_structured_first(s, d):
     o = tables.load(s, d, "orders")
     seen = o.select(F.col("o_orderkey").alias("doc_id"), (F.round("o_totalprice", 2) + F.when(F.col("o_orderkey") % 4 == 0, 2.0).otherwise(0.0)).alias("seen_total"))
@@ -269,3 +270,60 @@ def x15_structured_first(s, d):
 def a16_json_view(s, d):
     body = F.parse_json(F.col("body"))
     return intake.json_view(tables.extractions(s, d).select("extraction_id", "status", "commodity_type", "file_hash"), ["file_hash"]).where("body not like '%file_hash%'").select("extraction_id", F.try_variant_get(body, "$.status", "string").alias("status"), F.try_variant_get(body, "$.commodity_type", "string").alias("commodity_type"))
+
+
+_FILES = """
+WITH f AS (SELECT o_orderkey::VARCHAR || CASE o_orderkey % 8 WHEN 0 THEN '.png' WHEN 1 THEN '.PDF' ELSE '.pdf' END AS path, o_orderkey,
+    CASE WHEN o_orderkey % 10 = 0 THEN ''::BLOB ELSE unhex(['255044462D', '89504E470D0A1A0A', '89504E4731', 'FFD8DB', '49492A00', '4D4D002A', '706C61696E'][o_orderkey % 7 + 1]) || encode(o_custkey || '-' || o_orderstatus) END AS content FROM orders)
+"""
+
+
+@query(f"{_FILES} SELECT path, sha256(content) AS file_hash, CASE WHEN starts_with(hex(content), '25504446') THEN 'pdf' WHEN starts_with(hex(content), '89504E470D0A1A0A') THEN 'png' WHEN starts_with(hex(content), 'FFD8') THEN 'jpeg' WHEN starts_with(hex(content), '49492A00') OR starts_with(hex(content), '4D4D002A') THEN 'tiff' ELSE 'unknown' END AS file_type FROM f", model=False)
+def a02_file_type(s, d):
+    return intake.judged(intake.rendered_files(tables.load(s, d, "orders"))).select("path", "file_hash", "file_type")
+
+
+@query(f"{_FILES} SELECT path, CASE WHEN NOT regexp_matches(path, '[.](pdf|PDF)$') THEN 'not a pdf' WHEN n = 0 THEN 'empty' WHEN n > 52428800 THEN 'too large' END AS reject_reason FROM (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN 52428800 + o_orderkey ELSE octet_length(content) END AS n FROM f)", model=False)
+def a03_admission(s, d):
+    return intake.judged(intake.rendered_files(tables.load(s, d, "orders"))).select("path", "reject_reason")
+
+
+@query("SELECT call_id, input_tokens, output_tokens, total_tokens FROM calls")
+def a08_call_totals(s, d):
+    return sinks.with_total_tokens(tables.calls(s, d).drop("total_tokens")).select("call_id", "input_tokens", "output_tokens", "total_tokens")
+
+
+_LEAF_ROWS = _LEAVES[: _LEAVES.index(",\na AS (")]
+
+
+@query(f"{_LEAF_ROWS} SELECT extraction_id, path, v AS value FROM (SELECT * FROM leaf UNION ALL SELECT extraction_id, 'processing_time_ms', (extraction_id % 9000)::VARCHAR FROM doc UNION ALL SELECT extraction_id, 'extraction_id', extraction_id::VARCHAR FROM doc)")
+def g20_flatten(s, d):
+    return drift.flatten(documents(tables.extractions(s, d)), depth=4)
+
+
+_DATES = " ".join(f"WHEN {k} THEN strftime(o_orderdate, '{f}')" for k, f in enumerate(("%Y-%m-%d", " %d-%m-%Y", "%m-%d-%Y ", "%d/%m-%Y", "%m/%d/%Y", "%d.%m.%Y", "%Y/%m/%d", "31-02-%Y")))
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_orderkey % 8 IN (1, 3, 7) AS day_first, trim(CASE o_orderkey % 8 {_DATES} END) AS t FROM orders),
+p AS (SELECT o_orderkey, CASE WHEN regexp_full_match(t, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') THEN try_strptime(t, '%Y-%m-%d') WHEN contains(t, '.') THEN try_strptime(t, '%d.%m.%Y') WHEN day_first THEN try_strptime(replace(t, '-', '/'), '%d/%m/%Y') ELSE try_strptime(replace(t, '-', '/'), '%m/%d/%Y') END AS v FROM r)
+SELECT o_orderkey, strftime(v, '%Y-%m-%d') AS day, CASE WHEN v IS NULL THEN 'not a date' END AS date_error FROM p""", model=False)
+def g08_dates_and_errors(s, d):
+    at, k = F.col("o_orderdate"), F.col("o_orderkey")
+    raw = F.element_at(F.array(*(F.date_format(at, f) for f in ("yyyy-MM-dd", "' 'dd-MM-yyyy", "MM-dd-yyyy' '", "dd/MM-yyyy", "MM/dd/yyyy", "dd.MM.yyyy", "yyyy/MM/dd", "'31-02-'yyyy"))), (k % 8 + 1).cast("int"))
+    rows = tables.load(s, d, "orders").select("o_orderkey", raw.alias("raw"), F.when((k % 8).isin(1, 3, 7), "DD/MM/YYYY").otherwise("MM/DD/YYYY").alias("fmt"))
+    return rows.select("o_orderkey", text.date(F.col("raw"), F.col("fmt")).cast("string").alias("day"), text.date_error(F.col("raw"), F.col("fmt")).alias("date_error"))
+
+
+@query("SELECT * FROM v01 WHERE severity IS NOT NULL UNION ALL SELECT * FROM v09")
+def s03_line_issues(s, d):
+    return streams.arriving_issues(tables.charges(s, d), tables.extractions(s, d))
+
+
+@query("SELECT user_id AS job_id, event_type AS status, ts FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_type DESC) = 1", model=False)
+def s06_job_status(s, d):
+    return streams.job_status(tables.load(s, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), "ts"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, stage, count(*) AS n_calls, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens, round(avg(duration_ms))::BIGINT AS avg_duration_ms FROM calls GROUP BY 1, 2")
+def s07_call_windows(s, d):
+    return streams.calls_per_window(tables.calls(s, d))

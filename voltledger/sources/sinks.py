@@ -31,7 +31,12 @@ def append_rows(rows: DataFrame, folder: str, key: str) -> None:
     rows.write.mode("append").parquet(folder)
 
 
-def append_calls(calls: DataFrame, folder: str) -> None:
-    """Adds logged calls; total_tokens is the sum if both counts are there and not zero, else null."""
+def with_total_tokens(calls: DataFrame) -> DataFrame:
+    """total_tokens is the sum if both counts are there and not zero, else null."""
     both = (F.col("input_tokens") != 0) & (F.col("output_tokens") != 0)
-    append_rows(calls.withColumn("total_tokens", F.when(both, F.col("input_tokens") + F.col("output_tokens"))), folder, "call_id")
+    return calls.withColumn("total_tokens", F.when(both, F.col("input_tokens") + F.col("output_tokens")))
+
+
+def append_calls(calls: DataFrame, folder: str) -> None:
+    """Adds logged calls with their total_tokens."""
+    append_rows(with_total_tokens(calls), folder, "call_id")

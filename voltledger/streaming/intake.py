@@ -14,8 +14,7 @@ FILES = "path string, modificationTime timestamp, length long, content binary"
 def arriving_files(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """New files of a folder with type, hash and reason to turn them away."""
     files = spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", per_trigger).load(folder)
-    reason = F.when(~F.lower("path").endswith(".pdf"), "not a pdf").when(F.col("length") == 0, "empty").when(F.col("length") > intake.MAX_BYTES, "too large")
-    return files.select("path", "modificationTime", "length", intake.file_type(F.col("content")).alias("file_type"), F.sha2("content", 256).alias("file_hash"), reason.alias("reject_reason"))
+    return intake.judged(files)
 
 
 def first_of_each(files: DataFrame, store: DataFrame | None = None, within: str = "7 days") -> DataFrame:
@@ -38,8 +37,8 @@ def upsert_status(batch: DataFrame, store: str, key: str = "extraction_id") -> D
 
 
 def job_status(events: DataFrame) -> DataFrame:
-    """The latest status of each job; for update mode."""
-    return events.groupBy("job_id").agg(F.max_by("status", "ts").alias("status"), F.max("ts").alias("ts"))
+    """The latest status of each job, of several at once the last by name; for update mode."""
+    return events.groupBy("job_id").agg(F.max_by("status", F.struct("ts", "status")).alias("status"), F.max("ts").alias("ts"))
 
 
 def calls_per_window(calls: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
