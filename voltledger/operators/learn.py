@@ -49,18 +49,6 @@ def categorized(corrections: DataFrame) -> DataFrame:
     return corrections.withColumn("inferred", correction_category(F.col("field_path"), F.col("extracted_value"), F.col("corrected_value"))).withColumn("category", F.coalesce(F.nullif("correction_category", F.lit("")), "inferred"))
 
 
-def few_shot_context(corrections: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
-    """Per utility and commodity a text of the k most frequent field paths that occur at least so often, each with its
-    most frequent category and newest example."""
-    groups = categorized(corrections).groupBy("utility", "commodity", "field_path").agg(F.count(F.lit(1)).alias("n"), F.mode("category", True).alias("category"), F.max_by(F.concat_ws(" -> ", F.coalesce("extracted_value", F.lit("none")), "corrected_value"), F.struct("created_at", "correction_id")).alias("example"))
-    order = Window.partitionBy("utility", "commodity").orderBy(F.desc("n"), "field_path")
-    top = groups.where(F.col("n") >= least).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= k)
-    line = F.format_string("- %s (%d x, %s): %s", "field_path", "n", "category", "example")
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("rn", line.alias("t")))), lambda x: x["t"])
-    text = F.concat(F.lit("Known corrections\n"), F.array_join(lines, "\n"))
-    return top.groupBy("utility", "commodity").agg(text.alias("context")).withColumn("context_hash", F.sha2("context", 256))
-
-
 def fingerprint_candidates(bills: DataFrame, known: DataFrame, least: int = 3) -> DataFrame:
     """Utility and commodity pairs of at least so many bills that no known fingerprint covers, whatever the case."""
     keys = [F.lower("utility_provider").alias("utility"), F.lower("commodity_type").alias("commodity")]
@@ -103,6 +91,30 @@ def reasoning(category: Column, path: Column, before: Column | None = None, afte
     return F.concat(F.element_at(F.split(path, r"\."), -1), F.lit(": "), said)
 
 
+def few_shot_context(corrections: DataFrame, least: int = 2, k: int = 5, examples: int = 3) -> DataFrame:
+    """Per utility and commodity a text of the k most frequent field paths that occur at least so often (ties by path): each with
+    what its most frequent category means, if that is a known one, why by its first example, and its first examples with their
+    notes (column reason, if there is one). Pairs without such a path have no row."""
+    keys = ["utility", "commodity", "field_path"]
+    each = categorized(corrections)
+    note = F.col("reason") if "reason" in corrections.columns else F.lit(None).cast("string")
+    groups = each.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.mode("category", True).alias("category"))
+    order = Window.partitionBy("utility", "commodity").orderBy(F.desc("n"), "field_path")
+    top = groups.where(F.col("n") >= least).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    first = each.withColumn("rn", F.row_number().over(Window.partitionBy(*keys).orderBy("created_at", "correction_id"))).where(F.col("rn") <= examples)
+    shown = F.struct("rn", F.col("extracted_value").alias("a"), F.col("corrected_value").alias("b"), note.alias("note"))
+    lists = first.groupBy(*keys).agg(F.array_sort(F.collect_list(shown)).alias("shown"))
+    none = lambda c: F.coalesce(c, F.lit("none"))
+    line = lambda x: F.concat(F.lit("- `"), none(x["a"]), F.lit("` -> `"), none(x["b"]), F.lit("`"), F.coalesce(F.concat(F.lit(" ("), F.nullif(x["note"], F.lit("")), F.lit(")")), F.lit("")))
+    meaning = F.coalesce(*(F.when(F.col("category") == name, F.lit(f": {text}")) for name, text in MEANING.items()), F.lit(""))
+    at = F.element_at("shown", 1)
+    head = F.concat(F.format_string("### %s (%d corrections)", "field_path", "n"), meaning, F.lit("\nWhy: "), reasoning(F.col("category"), F.col("field_path"), at["a"], at["b"]))
+    block = F.concat(head, F.lit("\n"), F.array_join(F.transform("shown", line), "\n"))
+    rows = top.join(lists, keys).withColumn("block", block)
+    blocks = F.transform(F.array_sort(F.collect_list(F.struct("place", "block"))), lambda x: x["block"])
+    return rows.groupBy("utility", "commodity").agg(F.concat(F.lit("## Known corrections\n\n"), F.array_join(blocks, "\n\n")).alias("context")).withColumn("context_hash", F.sha2("context", 256))
+
+
 def pattern_groups(corrections: DataFrame, utility: str | None = None, commodity: str | None = None, examples: int = 3) -> DataFrame:
     """Per field path: n, the most frequent category (ties by name) with its meaning, the first examples with their reasons; the most
     frequent first, ties by the first correction."""

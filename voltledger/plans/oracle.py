@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import locale
 from ..operators.intake import STOPWORDS
+from ..operators.learn import MEANING
 from ..sources import dims
 
 #: The last attachment of each order, as text.
@@ -162,8 +163,15 @@ FROM (SELECT extraction_id, raw_value, ['therms','CCF','MWh','m³','gallons'][ex
     "k02_tier": f"SELECT extraction_id, {_TIER.format(fatal='extraction_id % 11 = 0', s='confidence_score')} AS tier FROM extractions",
     "k05_audit_compare": "SELECT extraction_id, 'total_amount_due' AS field, 'fatal' AS severity FROM extractions WHERE extraction_id % 5 = 0 UNION ALL SELECT extraction_id, 'account_number', 'fatal' FROM extractions WHERE extraction_id % 5 = 2",
     "l02_top_fields": "SELECT field_path, count(*) AS n FROM corrections GROUP BY 1 ORDER BY n DESC, field_path LIMIT 10",
-    "m02_few_shot_context": """SELECT utility, commodity, context, sha256(context) AS context_hash FROM (SELECT utility, commodity, 'Known corrections' || chr(10) || string_agg('- ' || field_path || ' (' || n || ' x, ' || category || '): ' || example, chr(10) ORDER BY rn) AS context
-FROM (SELECT *, row_number() OVER (PARTITION BY utility, commodity ORDER BY n DESC, field_path) AS rn FROM (SELECT utility, commodity, field_path, count(*) AS n, arg_max(coalesce(extracted_value, 'none') || ' -> ' || corrected_value, correction_id) AS example FROM categorized GROUP BY 1, 2, 3) JOIN (SELECT utility, commodity, field_path, category FROM (SELECT utility, commodity, field_path, category, count(*) AS c FROM categorized GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY utility, commodity, field_path ORDER BY c DESC, category) = 1) USING (utility, commodity, field_path) WHERE n >= 2) WHERE rn <= 5 GROUP BY 1, 2)""",
+    "m02_few_shot_context": f""", g AS (SELECT utility, commodity, field_path, count(*) AS n FROM categorized GROUP BY 1, 2, 3 HAVING count(*) >= 2 QUALIFY row_number() OVER (PARTITION BY utility, commodity ORDER BY n DESC, field_path) <= 5),
+c AS (SELECT utility, commodity, field_path, category FROM (SELECT utility, commodity, field_path, category, count(*) AS k FROM categorized GROUP BY 1, 2, 3, 4) QUALIFY row_number() OVER (PARTITION BY utility, commodity, field_path ORDER BY k DESC, category) = 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY utility, commodity, field_path ORDER BY created_at, correction_id) AS rn FROM categorized QUALIFY rn <= 3),
+l AS (SELECT utility, commodity, field_path, string_agg('- `' || coalesce(extracted_value, 'none') || '` -> `' || coalesce(corrected_value, 'none') || '`' || CASE WHEN correction_category = 'ocr_confusion' THEN ' (seen on the scan)' ELSE '' END, chr(10) ORDER BY rn) AS lines FROM e GROUP BY 1, 2, 3),
+m AS (SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in MEANING.items())}) t(category, meaning)),
+b AS (SELECT g.*, '### ' || field_path || ' (' || n || ' corrections)' || coalesce(': ' || meaning, '') || chr(10) || 'Why: ' || split_part(field_path, '.', -1) || ': '
+    || CASE WHEN c.category = 'format_normalize' AND starts_with(f.a, f.b) AND length(f.b) < length(f.a) THEN 'trailing ''' || substr(f.a, length(f.b)::INT + 1) || ''' removed' ELSE coalesce(meaning, 'another correction') END || chr(10) || lines AS block
+  FROM g JOIN c USING (utility, commodity, field_path) JOIN l USING (utility, commodity, field_path) JOIN (SELECT utility, commodity, field_path, extracted_value AS a, corrected_value AS b FROM e WHERE rn = 1) f USING (utility, commodity, field_path) LEFT JOIN m ON m.category = c.category)
+SELECT utility, commodity, context, sha256(context) AS context_hash FROM (SELECT utility, commodity, '## Known corrections' || chr(10) || chr(10) || string_agg(block, chr(10) || chr(10) ORDER BY n DESC, field_path) AS context FROM b GROUP BY 1, 2)""",
     "m03_fingerprint_candidates": "SELECT lower(utility_provider) AS utility, lower(commodity_type) AS commodity, count(*) AS n FROM extractions WHERE (lower(utility_provider), lower(commodity_type)) NOT IN (('nation_1', 'water'), ('nation_3', 'electricity')) GROUP BY 1, 2 HAVING count(*) >= 3",
     "r01_drift": "SELECT extraction_id, previous_id, field_path, old_value, new_value, severity FROM changed",
     "r02_drift_severity": "SELECT extraction_id, previous_id, count(*) AS n_changes, ['low','medium','high','fatal'][max(r) + 1] AS severity, max(r) = 0 AS all_low, string_agg(field_path, ',' ORDER BY field_path) AS fields FROM changed GROUP BY 1, 2",

@@ -336,7 +336,8 @@ def l02_top_fields(s, d):
 
 @query
 def m02_few_shot_context(s, d):
-    return learn.few_shot_context(tables.corrections(s, d))
+    noted = tables.corrections(s, d).withColumn("reason", F.when(F.col("correction_category") == "ocr_confusion", "seen on the scan").when(F.col("correction_category") == "", ""))
+    return learn.few_shot_context(noted)
 
 
 @query
