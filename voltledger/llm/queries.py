@@ -15,6 +15,7 @@ from .licenses import scan_licenses
 from .neardup import near_duplicates
 from .packing import pack_documents
 from .repeats import remove_repeats
+from .runs import collapse_runs, summarise_runs, with_derived_runs
 from .scoring import score_documents
 from .shards import shard_documents
 from .tokencount import count_with_edits, derived_edits
@@ -64,5 +65,9 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_vectors(read(spark, sf_dir, "embeddings"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise_runs(collapse_runs(with_derived_runs(read(spark, sf_dir, "documents"))))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup, op11_periodic_runs)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
