@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import oracle
+from .alignment import align_tokens, summarise_alignment
 from .common import read
 from .decontam import contaminated
 from .language import identify_documents
@@ -22,6 +23,7 @@ from .tokencount import count_with_edits, derived_edits
 from .vectors import near_duplicate_vectors
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+ALIGNED_TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 COUNT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
@@ -69,5 +71,9 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise_runs(collapse_runs(with_derived_runs(read(spark, sf_dir, "documents"))))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup, op11_periodic_runs)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return summarise_alignment(align_tokens(read(spark, sf_dir, "documents"), *ALIGNED_TOKENIZERS))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup, op11_periodic_runs, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
