@@ -20,6 +20,7 @@ from .runs import collapse_runs, summarise_runs, with_derived_runs
 from .scoring import score_documents
 from .shards import shard_documents
 from .tokencount import count_with_edits, derived_edits
+from .toxicity import score_documents as score_toxicity
 from .vectors import near_duplicate_vectors
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -71,9 +72,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise_runs(collapse_runs(with_derived_runs(read(spark, sf_dir, "documents"))))
 
 
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summarise_alignment(align_tokens(read(spark, sf_dir, "documents"), *ALIGNED_TOKENIZERS))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup, op11_periodic_runs, op13_token_alignment)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_lm_scoring, op3_token_counts, op4_language_id, op5_suffix_dedup, op6_decontamination, op7_packing, op8_license_scan, op9_sharding, op10_vector_dedup, op11_periodic_runs, op12_toxicity, op13_token_alignment)}
 ORACLE_SQL: dict[str, str] = oracle.SQL
