@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from voltledger.llm import alignment
 
 PATHS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+ALL = (*PATHS, public_tokenizers.PATTERN)
 SCHEMA = "doc_id long, text string, n_a string, block int"
 
 
@@ -80,14 +81,16 @@ def test_documents(spark, monkeypatch, limits):
         expected.append((i, len(xs), len(ys), groups.count(";") + 1 if groups else 0, len(links), hashlib.sha256(groups.encode()).hexdigest() if groups else "", best, sum(counts[p] for p in links)))
     docs = spark.createDataFrame([(i, t, "own", 1) for i, t in rows], SCHEMA).repartition(3)
     monkeypatch.setattr(alignment, "_open", {})
-    got = alignment.summarise_alignment(alignment.align_tokens(docs, *PATHS))
+    got = alignment.summarise_alignment(alignment.align_tokens(docs, *ALL))
     assert got.columns == ["doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
     assert sorted(map(tuple, got.collect()), key=str) == sorted(expected, key=str)
     assert sum(len(w[0]) == 0 for w in want) >= 4 and sum(len(w[0]) > 0 for w in want) > 100
 
 
-def test_cuts_leave_every_encoding_as_it_is(monkeypatch):
-    pair = alignment.TokenPair(*PATHS)
+@pytest.mark.parametrize("paths", [PATHS, ALL])
+def test_cuts_and_ranks_leave_every_encoding_as_it_is(monkeypatch, paths):
+    pair = alignment.TokenPair(*paths)
+    assert (pair.ranks is None) == (paths is PATHS)
     assert pair.cuts
     for t, (xs, ys, *_) in zip(texts(), by_hand(texts())):
         for kept in (5, 200_000):

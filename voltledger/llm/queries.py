@@ -24,7 +24,7 @@ from .toxicity import score_documents as score_toxicity
 from .vectors import near_duplicate_vectors
 
 PACK_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-ALIGNED_TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+ALIGNED_TOKENIZERS = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), public_tokenizers.PATTERN
 COUNT_RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
