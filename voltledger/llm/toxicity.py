@@ -174,7 +174,7 @@ def fit(at: np.ndarray, rows: np.ndarray, label: np.ndarray, swap_at: np.ndarray
     return v * scale, bias
 
 
-def train(labelled: DataFrame, groups: tuple[str, ...] = IDENTITY_TERMS, max_rows: int = 40_000, max_features: int = 16_384, least_rows: int = 5, fairness: float = 1.0, decay: float = 1e-5, steps: int = 150) -> Classifier:
+def train(labelled: DataFrame, groups: tuple[str, ...] = IDENTITY_TERMS, max_rows: int = 20_000, max_features: int = 16_384, least_rows: int = 5, fairness: float = 1.0, decay: float = 1e-5, steps: int = 150) -> Classifier:
     """Learns from rows of text and toxic (0 or 1); those with a null of either are left out.
 
     Of more than max_rows rows, a hash of the text picks about that many: the bound on the sample. Features are words and
@@ -273,7 +273,7 @@ def score_texts(docs: DataFrame, model: Classifier, text: str = "text") -> DataF
     return docs.mapInArrow(score, schema)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 40_000) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, folds: int = 5, max_rows: int = 20_000) -> DataFrame:
     """One row per document: doc_id, held_out (crc32 of doc_id as text mod folds is 0), score, predicted. Learns from the
     other documents that have a label; of a document with both labels it learns the greater one. Of more than max_rows
     labelled documents a hash of doc_id picks about that many, so their ids fit a broadcast. A null doc_id is neither held
