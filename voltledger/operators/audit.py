@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -24,26 +24,35 @@ def rendered_answers(bills: DataFrame) -> DataFrame:
     return bills.select("extraction_id", F.inline(F.array(F.struct(F.lit("total_amount_due").alias("field"), F.concat(F.lit("$ "), total.cast("decimal(18,2)").cast("string")).alias("answer")), F.struct(F.lit("account_number").alias("field"), account.alias("answer"))))).where("answer is not null")
 
 
-def typed_mismatches(bills: DataFrame, answers: DataFrame) -> DataFrame:
-    """bills (extraction_id, stated_total, n_meters, account_number) against answers (extraction_id, field, answer): a total over 0.50 off or
-    another account number (trimmed) is fatal, another number of meters high. A missing or unreadable side is no mismatch."""
-    fields = ("total_amount_due", "meter_count", "account_number")
-    said = answers.groupBy("extraction_id").agg(*(F.max(F.when(F.col("field") == f, F.col("answer"))).alias(f"said_{f}") for f in fields))
-    rows = bills.join(said, "extraction_id")
+TYPED = ("total_amount_due", "meter_count", "account_number")
+
+
+def answers_by_field(answers: DataFrame) -> DataFrame:
+    """Answers (extraction_id, field, answer) as one row per bill, said_ and the field's name; of several to one field the greatest."""
+    return answers.groupBy("extraction_id").agg(*(F.max(F.when(F.col("field") == f, F.col("answer"))).alias(f"said_{f}") for f in TYPED))
+
+
+def mismatches() -> Column:
+    """Of a bill (stated_total, n_meters, account_number) beside its answers by field, an array of field and severity: a total over
+    0.50 off or another account number (trimmed) is fatal, another number of meters high. A missing or unreadable side is no mismatch."""
     number = lambda f: text.first_number(F.col(f"said_{f}"))
     checks = [
         ("total_amount_due", "fatal", F.abs(number("total_amount_due").cast("decimal(18,2)") - F.col("stated_total")) > F.lit("0.50").cast("decimal(4,2)")),
         ("meter_count", "high", number("meter_count").cast("int") != F.col("n_meters")),
         ("account_number", "fatal", F.trim("said_account_number") != F.trim("account_number")),
     ]
-    found = F.array_compact(F.array(*(F.when(off, F.struct(F.lit(f).alias("field"), F.lit(s).alias("severity"))) for f, s, off in checks)))
-    return rows.select("extraction_id", F.inline(found))
+    return F.array_compact(F.array(*(F.when(off, F.struct(F.lit(f).alias("field"), F.lit(s).alias("severity"))) for f, s, off in checks)))
+
+
+def typed_mismatches(bills: DataFrame, answers: DataFrame) -> DataFrame:
+    """The mismatches of bills and answers, one row each."""
+    return bills.join(answers_by_field(answers).hint("merge"), "extraction_id").select("extraction_id", F.inline(mismatches()))
 
 
 def compare(bills: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers that don't match: a total over 0.50 off is fatal, another account number too. A missing side matches."""
     said = answers.groupBy("extraction_id").agg(*(F.max(F.when(F.col("field") == f, F.col("answer"))).alias(f) for f in ("total_amount_due", "account_number")))
-    rows = bills.join(said, "extraction_id")
+    rows = bills.join(said.hint("merge"), "extraction_id")
     off = F.abs(text.first_number(F.col("total_amount_due")).cast("decimal(18,2)") - F.col("stated_total")) > F.lit("0.50").cast("decimal(4,2)")
     other = F.trim("account_number") != F.col("extraction_id").cast("string")
     found = F.array_compact(F.array(F.when(off, F.lit("total_amount_due")), F.when(other, F.lit("account_number"))))

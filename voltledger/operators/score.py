@@ -10,15 +10,26 @@ from ..sources import dims
 SCORE = "decimal(18,4)"
 
 
+#: SQL of a map from weights to what an error costs.
+PENALTY_SQL = f"map({', '.join(f"'{w}', cast({cost} as decimal(4,2))" for w, cost in dims.ERROR_PENALTY.items())})"
+
+
+def weight_sql(path: str) -> str:
+    """SQL of the weight of a field: of the field of that name, else of the first in the list that the path contains, else low.
+    The list is in the order of weights, so the first field contained has the first weight that any field contained has."""
+    named = {w: [f for f, v in dims.FIELD_WEIGHTS if v == w] for w in dims.ERROR_PENALTY}
+    same = [f"WHEN {path} IN ({', '.join(repr(f) for f in names)}) THEN '{w}'" for w, names in named.items()]
+    inside = [f"WHEN rlike({path}, '{'|'.join(names)}') THEN '{w}'" for w, names in named.items() if w != "low"]
+    return f"CASE {' '.join([*same, *inside])} ELSE 'low' END"
+
+
+def penalty_of(weight: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.expr(PENALTY_SQL), weight), F.lit(dims.ERROR_PENALTY["low"]).cast("decimal(4,2)"))
+
+
 def field_weight(rows: DataFrame, path: str = "field_path") -> DataFrame:
-    """Adds weight and penalty: of the field of that name, else of the first in the list that the path contains, else low.
-    Looked up once per distinct path."""
-    table = F.broadcast(dims.field_weights(rows.sparkSession))
-    paths = rows.select(path).distinct().where(F.col(path).isNotNull())
-    hit = paths.join(table, F.contains(F.col(path), F.col("field")))
-    best = hit.groupBy(path).agg(F.min(F.struct((F.col("field") != F.col(path)).alias("part"), "ordinal", "weight", "penalty")).alias("m")).select(path, "m.weight", "m.penalty")
-    low = F.lit(dims.ERROR_PENALTY["low"]).cast("decimal(4,2)")
-    return rows.join(best, path, "left").withColumn("weight", F.coalesce("weight", F.lit("low"))).withColumn("penalty", F.coalesce("penalty", low))
+    """Adds weight and penalty of a field, as weight_sql and penalty_of give them."""
+    return rows.withColumn("weight", F.expr(weight_sql(path))).withColumn("penalty", penalty_of(F.col("weight")))
 
 
 def tier(score: Column, fatal: Column, complexity: Column) -> Column:
@@ -58,8 +69,7 @@ def full_penalties(issues: DataFrame, mismatches: DataFrame, fields: DataFrame,
     money = lambda c: c.cast("decimal(18,4)")
     wrong = field_weight(issues.where("severity in ('warning', 'error', 'fatal')").withColumnRenamed("field", "field_path"))
     math = wrong.select("extraction_id", F.concat(F.lit("math:"), "field_path").alias("label"), money(F.col("penalty")).alias("amount"), (F.col("weight") == "fatal").alias("is_fatal"))
-    cost = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in dims.ERROR_PENALTY.items() for x in kv)), F.col("severity")), F.lit(dims.ERROR_PENALTY["low"]))
-    audit = mismatches.select("extraction_id", F.concat(F.lit("audit:"), "field").alias("label"), money(cost).alias("amount"), (F.col("severity") == "fatal").alias("is_fatal"))
+    audit = mismatches.select("extraction_id", F.concat(F.lit("audit:"), "field").alias("label"), money(penalty_of(F.col("severity"))).alias("amount"), (F.col("severity") == "fatal").alias("is_fatal"))
     seen = F.array_compact(F.array(F.when(F.col("image_quality") < 0.6, F.struct(F.lit("image_quality").alias("label"), F.lit("0.10").alias("c"))), F.when(F.col("ocr_applied"), F.struct(F.lit("ocr").alias("label"), F.lit("0.03").alias("c")))))
     source = sources.select("extraction_id", F.inline(seen)).select("extraction_id", "label", money(F.col("c")).alias("amount"), F.lit(False).alias("is_fatal"))
     return math.unionByName(audit).unionByName(low_confidence_penalties(fields)).unionByName(source)
@@ -93,3 +103,21 @@ def international_penalties(facts: DataFrame) -> DataFrame:
     }
     each = F.array_compact(F.array(*(F.when(c.isNotNull(), F.struct(F.lit(n).alias("label"), c.cast("decimal(18,4)").alias("amount"), F.lit(False).alias("is_fatal"))) for n, c in costs.items())))
     return facts.select("extraction_id", F.inline(each))
+
+
+def routed(bills: DataFrame) -> DataFrame:
+    """Judged bills (cost, deadly, labels of rules) with arrays mismatches (field, severity) and fields (field_path, confidence), image_quality
+    and ocr_applied: adds score, fatal, labels (of all that cost something, in order, joined by commas), tier and routed_status. It
+    is what full_penalties and route give, worked out in the bill's own row."""
+    one = lambda label, amount, fatal: f"named_struct('label', {label}, 'amount', cast({amount} as {SCORE}), 'fatal', {fatal})"
+    low = dims.ERROR_PENALTY["low"]
+    off = f"""transform(coalesce(mismatches, array()), m -> {one("concat('audit:', m.field)", f"coalesce(try_element_at({PENALTY_SQL}, m.severity), {low})", "coalesce(m.severity = 'fatal', false)")})"""
+    weighed = f"transform(filter(coalesce(fields, array()), f -> f.confidence < 0.80D), f -> named_struct('path', f.field_path, 'weight', {weight_sql('f.field_path')}))"
+    unsure = f"""transform(filter({weighed}, f -> f.weight <> 'low'), f -> {one("concat('low_confidence:', f.path)", "CASE f.weight WHEN 'fatal' THEN 0.15 WHEN 'high' THEN 0.10 ELSE 0.04 END", "f.weight = 'fatal'")})"""
+    source = f"""array_compact(array(CASE WHEN image_quality < 0.6D THEN {one("'image_quality'", "0.10", "false")} END, CASE WHEN ocr_applied THEN {one("'ocr'", "0.03", "false")} END))"""
+    rows = bills.withColumn("penalties", F.expr(f"concat({off}, {unsure}, {source})")).withColumns({
+        "score": F.expr(f"greatest(cast(0 as {SCORE}), cast(1 - aggregate(penalties, cost, (a, p) -> cast(a + p.amount as {SCORE})) as {SCORE}))"), "fatal": F.expr("deadly OR exists(penalties, p -> p.fatal)"),
+        "labels": F.expr("array_join(array_sort(array_distinct(concat(labels, transform(penalties, p -> p.label)))), ',')"),
+    })
+    rows = rows.withColumn("tier", tier(F.col("score"), F.col("fatal"), F.col("complexity_tier")))
+    return rows.withColumn("routed_status", status_of(F.col("tier"))).drop("penalties")

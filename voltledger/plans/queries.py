@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexity, locale, text
@@ -27,27 +27,21 @@ def vat_charges(s: SparkSession, d: str) -> DataFrame:
     return c.withColumn("vat_amount", vat).withColumn("amount_gross", gross)
 
 
-def meters(s: SparkSession, d: str) -> DataFrame:
-    """One meter per bill."""
-    key = F.col("extraction_id")
-    b = tables.extractions(s, d).select("extraction_id")
-    return b.select(
-        key, F.concat(F.lit("M"), (key % 500).cast("string")).alias("meter_number"), (key % 90000).cast("double").alias("previous_read"),
+def meter_columns(key: Column) -> list[Column]:
+    return [
+        F.concat(F.lit("M"), (key % 500).cast("string")).alias("meter_number"), (key % 90000).cast("double").alias("previous_read"),
         (key % 90000 + key % 750).cast("double").alias("current_read"), F.when(key % 6 == 0, 10.0).when(key % 6 == 1, 1.0).alias("multiplier"),
         ((key % 750) * F.when(key % 6 == 0, 10).otherwise(1) + F.when(key % 13 == 0, 5).otherwise(0)).cast("double").alias("raw_value"),
         tables.pick(key % 4, "kWh", "therms", "m3", "ccf").alias("raw_unit"),
         F.when(key % 10 != 0, ((key % 40) / 4 + 6)).alias("calorific_value"), ((key % 30) / 100 + F.lit(0.85)).alias("volume_correction_factor"),
         (key % 1300).cast("double").alias("consumption_volume"), F.when(key % 7 != 0, (key % 1300) * 11.0).otherwise(0.0).alias("consumption_energy"),
-    )
+    ]
 
 
-@query
-def flagship_route(s, d):
-    bills, charges = tables.extractions(s, d), tables.charges(s, d)
-    found = validate.run_validation(charges, bills)
-    routed = score.route(score.issue_penalties(found), bills)
-    disposed = validate.disposition(found, bills)
-    return routed.join(disposed, "extraction_id").select("extraction_id", "disposition", "n_issues", F.col("score").cast("double").alias("score"), "labels", "tier", "routed_status")
+def meters(s: SparkSession, d: str) -> DataFrame:
+    """One meter per bill."""
+    key = F.col("extraction_id")
+    return tables.extractions(s, d).select(key, *meter_columns(key))
 
 
 @query

@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexity, text
-from ..operators import audit, drift, intake, learn, lists, rollups, score, usage, validate
+from ..operators import audit, drift, intake, learn, lists, rollups, rules, score, usage, validate
 from ..sources import dims, sinks, tables
 from ..sources.tables import MONEY
 from ..streaming import intake as streams
 from . import oracle
-from .queries import meters, vat_charges
+from .queries import meter_columns, meters, vat_charges
 
 QUERIES, SQL = {}, {}
 
@@ -51,8 +51,25 @@ def totals(s: SparkSession, d: str) -> DataFrame:
     return sums.withColumn("total_gross", (F.col("total_net") + F.col("total_vat") + off).cast(MONEY))
 
 
+def nested_bills(s: SparkSession, d: str) -> DataFrame:
+    """One row per bill: what its lines add up to, what it states of them (off for some bills), and its meters. The lines are read once."""
+    moved = lambda n, at: f"CASE WHEN extraction_id % {n} = 0 THEN {at} ELSE 0.00 END"
+    facts = rules.line_facts(vat_charges(s, d))
+    bills = rules.with_gates(flagged(s, d)).join(facts.hint("merge"), "extraction_id", "left")
+    total = lambda of: f"aggregate(cells, cast(0 as decimal(28,2)), (a, c) -> cast(a + c.{of} as decimal(28,2)), a -> cast(a as {MONEY}))"
+    stated = bills.selectExpr(
+        "*", f"transform(filter(array_distinct(transform(cells, c -> c.charge_section)), x -> x <> 'other'), x -> named_struct('charge_section', x, 'subtotal', cast({rules.added('amount', 'charge_section', 'x')} + {moved(4, '0.30')} as {MONEY}))) AS sections",
+        f"transform(filter(array_distinct(transform(cells, c -> c.vat_rate)), x -> x > 0.02), x -> named_struct('vat_rate', x, 'stated_base', cast({rules.added('net', 'vat_rate', 'x')} + {moved(5, '0.20')} as {MONEY}), 'stated_vat', {rules.added('vat', 'vat_rate', 'x')})) AS vat_summary",
+        f"{total('net')} AS total_net", f"{total('vat')} AS total_vat", "extraction_id % 10 = 0 AS any_tou",
+    ).selectExpr("*", f"cast(total_net + total_vat + CASE extraction_id % 6 WHEN 0 THEN 0.06 WHEN 1 THEN 0.05 ELSE 0.00 END as {MONEY}) AS total_gross")
+    tou = F.when(F.col("extraction_id") % 10 == 0, F.col("m.raw_value") + F.when(F.col("extraction_id") % 20 == 0, 2.0).otherwise(0.0))
+    one = rules.with_computed(stated).withColumn("m", F.struct(*meter_columns(F.col("extraction_id"))))
+    return one.withColumn("meters", F.array(F.col("m").withField("tou", tou))).drop("m")
+
+
 def all_issues(s: SparkSession, d: str) -> DataFrame:
-    return validate.run_all(flagged(s, d), vat_charges(s, d), sections(s, d), meters(s, d), periods(s, d), summary(s, d), totals(s, d))
+    sums = periods(s, d).groupBy("extraction_id", "meter_number").agg(F.sum(F.coalesce("consumption", F.lit(0.0))).alias("tou"))
+    return rules.all_issues(nested_bills(s, d), vat_charges(s, d), meters(s, d).join(sums.hint("merge"), ["extraction_id", "meter_number"], "left"))
 
 
 _PERIODS = "SELECT extraction_id, raw_value FROM meters WHERE extraction_id % 10 = 0"
@@ -95,12 +112,7 @@ def v21_all_rules(s, d):
 @query(f"""SELECT b.extraction_id, CASE WHEN max(CASE WHEN severity = 'fatal' THEN 1 END) = 1 THEN 'discrepancy' WHEN max(CASE WHEN severity = 'warning' THEN 1 END) = 1 THEN 'rounding_variance' ELSE 'clean' END AS disposition, count(severity) AS n_issues
 FROM bills b LEFT JOIN ({_ALL}) i ON i.extraction_id = b.extraction_id GROUP BY 1""")
 def v21_disposition(s, d):
-    return validate.disposition(all_issues(s, d), tables.extractions(s, d))
-
-
-@query("SELECT extraction_id, line_number, (CASE WHEN category IN ('tax', 'rider') AND country_code IN ('DE', 'ES') THEN 2 * base ELSE base END)::DOUBLE AS tolerance FROM charges JOIN bills USING (extraction_id)")
-def x07_category_tolerance(s, d):
-    return validate.category_tolerance(tables.charges(s, d), tables.extractions(s, d), ["DE", "ES"]).select("extraction_id", "line_number", F.col("tolerance").cast("double").alias("tolerance"))
+    return rules.judged(nested_bills(s, d)).select("extraction_id", rules.disposition().alias("disposition"), "n_issues")
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
@@ -146,6 +158,28 @@ def k01_full_score(s, d):
     return score.route(score.full_penalties(wrong, off, b.select("extraction_id", F.inline(seen)), sources), b).select("extraction_id", F.col("score").cast("double").alias("score"), "tier")
 
 
+_FLAGSHIP = f""", every AS ({_ALL}),
+m AS ({_MISMATCH}),
+p AS (SELECT extraction_id, rule_id AS label, CASE WHEN rule_id IN ('V03', 'V11') THEN 0.20 ELSE 0.03 END AS amount, 0 AS fatal FROM every WHERE severity <> 'info'
+  UNION ALL SELECT extraction_id, 'audit:' || field, CASE severity WHEN 'fatal' THEN 1.00 ELSE 0.20 END, CASE severity WHEN 'fatal' THEN 1 ELSE 0 END FROM m
+  UNION ALL SELECT extraction_id, 'low_confidence:invoice.account_number', 0.15, 1 FROM extractions WHERE extraction_id % 20 < 2 UNION ALL SELECT extraction_id, 'low_confidence:totals.current_charges', 0.10, 0 FROM extractions WHERE extraction_id % 15 < 12
+  UNION ALL SELECT extraction_id, 'image_quality', 0.10, 0 FROM extractions WHERE extraction_id % 10 < 6 UNION ALL SELECT extraction_id, 'ocr', 0.03, 0 FROM extractions WHERE extraction_id % 4 = 0),
+f AS (SELECT extraction_id, complexity_tier, greatest(0, 1 - coalesce(sum(amount), 0))::DOUBLE AS score, coalesce(max(fatal), 0) = 1 AS fatal, coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels FROM bills LEFT JOIN p USING (extraction_id) GROUP BY 1, 2),
+d AS (SELECT b.extraction_id, CASE WHEN max(CASE WHEN severity = 'fatal' THEN 1 END) = 1 THEN 'discrepancy' WHEN max(CASE WHEN severity = 'warning' THEN 1 END) = 1 THEN 'rounding_variance' ELSE 'clean' END AS disposition, count(severity) AS n_issues FROM bills b LEFT JOIN every i ON i.extraction_id = b.extraction_id GROUP BY 1)
+SELECT extraction_id, disposition, n_issues, score, labels, tier, CASE tier WHEN 'auto_accept' THEN 'accepted' ELSE 'pending_review' END AS routed_status FROM (SELECT *, {oracle._TIER.format(fatal="fatal", s="score")} AS tier FROM f) JOIN d USING (extraction_id)"""
+
+
+@query(_FLAGSHIP)
+def flagship_route(s, d):
+    """Every bill by all rules, audit answers, confidences and the source, scored in full and routed."""
+    key = F.col("extraction_id")
+    seen = F.array(F.struct(F.lit("invoice.account_number").alias("field_path"), F.when(key % 20 < 2, 0.5).otherwise(0.9).alias("confidence")), F.struct(F.lit("totals.current_charges").alias("field_path"), F.when(key % 15 < 12, 0.79).otherwise(0.8).alias("confidence")), F.struct(F.lit("notes").alias("field_path"), F.lit(0.1).alias("confidence")))
+    bills = rules.judged(nested_bills(s, d)).withColumns({"n_meters": F.size("meters"), "account_number": key.cast("string"), "fields": seen, "image_quality": (key % 10) / 10.0, "ocr_applied": key % 4 == 0})
+    said = audit.answers_by_field(answers(s, d))
+    routed = score.routed(bills.join(said.hint("merge"), "extraction_id", "left").withColumn("mismatches", audit.mismatches()))
+    return routed.select("extraction_id", rules.disposition().alias("disposition"), "n_issues", F.col("score").cast("double").alias("score"), "labels", "tier", "routed_status")
+
+
 @query("SELECT extraction_id, CASE WHEN extraction_id % 11 = 0 OR complexity_tier = 'pathological' THEN 'full_review' WHEN complexity_tier = 'complex' THEN 'targeted_review' WHEN confidence_score >= (CASE complexity_tier WHEN 'standard' THEN 0.93 ELSE 0.95 END)::DOUBLE THEN 'auto_accept' ELSE 'targeted_review' END AS tier FROM extractions")
 def x08_tier_by_complexity(s, d):
     return tables.extractions(s, d).select("extraction_id", score.tier_by_complexity(F.col("confidence_score"), F.col("extraction_id") % 11 == 0, F.col("complexity_tier")).alias("tier"))
