@@ -72,7 +72,12 @@ class CoverTree:
 
 
 def unit(embeddings: pa.Array, dim: int) -> np.ndarray:
-    x = embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return normed(embeddings.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
+
+
+def normed(x: np.ndarray) -> np.ndarray:
+    """Rows at length 1; scaled by their largest component first, as the squares of very large or small ones leave the range of doubles."""
+    x = x / np.abs(x).max(axis=1, keepdims=True, initial=0)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -128,8 +133,7 @@ def near_vectors(vectors: DataFrame, dim: int, least: float, scratch: Scratch, s
                 ns = [np.frombuffer(r[f"ns_{s}"], np.int64) for s in "ab"]
                 u = []
                 for s in "ab":
-                    x = np.frombuffer(r[f"data_{s}"], kind).astype(np.float64).reshape(-1, dim)
-                    u.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+                    u.append(normed(np.frombuffer(r[f"data_{s}"], kind).astype(np.float64).reshape(-1, dim)))
                 same = (r["leaf_a"], r["part_a"]) == (r["leaf_b"], r["part_b"])
                 i, j = matched(u[0], u[1], same, least)
                 if not len(i):
