@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 # Names in a path that make a change fatal, high or medium.
 FATAL, HIGH, MEDIUM = "total_amount_due|account_number|billing_period|commodity_type|meter_consumption", "current_charges|demand_value|rate_schedule|section_subtotals", "charge|amount|rate|quantity"
@@ -28,41 +27,57 @@ def changed_fields(pairs: DataFrame) -> DataFrame:
 VOLATILE = ["extraction_id", "extraction_timestamp", "processing_time_ms", "few_shot_context_hash"]
 
 
-def flatten(documents: DataFrame, key: str = "extraction_id", document: str = "document", depth: int = 32, lengths: bool = False) -> DataFrame:
+_OPENED = "array<struct<path:string,v:variant,value:string,open:boolean>>"
+
+
+def _opened(lengths: bool, last: bool) -> Column:
+    """Of a row (path, v, value, open) the rows that it becomes one level down: an object's or array's members, or the row itself with its
+    value if v is neither. Objects and arrays without members become nothing; at the last level they become their JSON."""
+    row = lambda path, v, value, open_: f"named_struct('path', {path}, 'v', {v}, 'value', {value}, 'open', {open_})"
+    leaf = f"array({row('path', 'cast(NULL as variant)', "try_variant_get(v, '$', 'string')", 'false')})"
+    if last:
+        return F.expr(f"CASE WHEN NOT open THEN array({row('path', 'v', 'value', 'false')}) WHEN schema_of_variant(v) LIKE 'OBJECT%' OR schema_of_variant(v) LIKE 'ARRAY%' THEN array({row('path', 'cast(NULL as variant)', 'to_json(v)', 'false')}) ELSE {leaf} END")
+    items, entries = "try_variant_get(v, '$', 'array<variant>')", "map_entries(try_variant_get(v, '$', 'map<string,variant>'))"
+    length = f"array({row("concat(path, '[]')", 'cast(NULL as variant)', f'cast(size({items}) as string)', 'false')})"
+    inner = f"transform({items}, (x, i) -> {row("concat(path, '[', i, ']')", 'x', 'cast(NULL as string)', 'true')})"
+    named = f"transform({entries}, e -> {row("CASE WHEN path = '' THEN e.key ELSE concat(path, '.', e.key) END", 'e.value', 'cast(NULL as string)', 'true')})"
+    return F.expr(f"CASE WHEN NOT open THEN array({row('path', 'v', 'value', 'false')}) WHEN schema_of_variant(v) LIKE 'ARRAY%' THEN {f'concat({length}, {inner})' if lengths else inner} WHEN schema_of_variant(v) LIKE 'OBJECT%' THEN {named} ELSE {leaf} END")
+
+
+def flatten(documents: DataFrame, key: str | list[str] = "extraction_id", document: str = "document", depth: int = 32, lengths: bool = False) -> DataFrame:
     """key, path, value: every leaf of a variant document, arrays by [i]; with lengths also a row for each array, its path with [] and its
-    length. One step a level; what lies deeper than depth levels is one leaf, its JSON."""
-    nested = F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)")
-    rows, done = documents.select(key, F.lit("").alias("path"), F.col(document).alias("v")), []
+    length. All levels are steps of one narrow pass over documents, which are read once, and no job runs while the plan is made; what
+    lies deeper than depth levels is one leaf, its JSON."""
+    keys = [key] if isinstance(key, str) else key
+    rows = documents.select(*keys, F.lit("").alias("path"), F.col(document).alias("v"), F.lit(None).cast("string").alias("value"), F.lit(True).alias("open"))
     for level in range(depth + 1):
-        deeper = nested & F.lit(level < depth)
-        done.append(rows.where(~deeper | F.col("v").isNull()).select(key, "path", F.coalesce(F.try_variant_get("v", "$", "string"), F.when(nested, F.to_json("v"))).alias("value")))
-        if level == depth or (level and rows.where(nested).isEmpty()):
-            break
-        each = rows.where(nested).lateralJoin(documents.sparkSession.tvf.variant_explode(F.col("v").outer()).toDF("_pos", "_key", "_value"))
-        name = F.when(F.col("_key").isNull(), F.concat("path", F.lit("["), F.col("_pos").cast("string"), F.lit("]"))).when(F.col("path") == "", F.col("_key")).otherwise(F.concat_ws(".", "path", "_key"))
-        if lengths:
-            done.append(rows.where(F.schema_of_variant("v").startswith("ARRAY")).select(key, F.concat("path", F.lit("[]")).alias("path"), F.size(F.try_variant_get("v", "$", "array<variant>")).cast("string").alias("value")))
-        rows = each.select(key, name.alias("path"), F.col("_value").alias("v"))
-    return reduce(DataFrame.union, done)
-
-
-def document_changes(pairs: DataFrame, documents: DataFrame, depth: int = 32) -> DataFrame:
+        rows = rows.select(*keys, F.inline(_opened(lengths, level == depth)))
+    return rows.select(*keys, "path", "value")
+
+
+def document_changes(pairs: DataFrame, documents: DataFrame, depth: int = 12) -> DataFrame:
     """extraction_id, previous_id, field_path, old_value, new_value, severity: of each pair of runs every leaf that differs, all keys of either
     side, a missing side being null; volatile keys are passed over. Arrays of unequal length give one row, len=a against len=b, and
-    nothing below it. Nulls count as values."""
-    flat = flatten(documents, depth=depth, lengths=True)
+    nothing below it. Nulls count as values.
+
+    A document is flattened once for each pair that it is part of; the leaves of both sides then meet in one aggregate."""
+    pair = ["extraction_id", "previous_id"]
+    part = lambda c, side: F.struct(F.col(c).alias("_run"), F.lit(side).alias("_side"))
+    sides = pairs.select(*pair).distinct().select(*pair, F.inline(F.array(part("extraction_id", "new"), part("previous_id", "old"))))
+    held = sides.hint("merge").join(documents.select(F.col("extraction_id").alias("_run"), "document").hint("merge"), "_run")
+    flat = flatten(held, [*pair, "_side"], depth=depth, lengths=True)
     last = F.element_at(F.split(F.regexp_replace("path", r"\[\d*\]", ""), r"\."), -1)
-    flat = flat.where(~last.isin(VOLATILE))
-    side = lambda key, value: pairs.select("extraction_id", "previous_id").join(flat.select(F.col("extraction_id").alias(key), "path", F.col("value").alias(value), F.lit(True).alias(f"has_{value}")), key)
-    both = side("extraction_id", "new_value").join(side("previous_id", "old_value").hint("merge"), ["extraction_id", "previous_id", "path"], "full_outer")
+    of = lambda side: F.max(F.when(F.col("_side") == side, F.col("value"))).alias(f"{side}_value")
+    both = flat.where(~last.isin(VOLATILE)).groupBy(*pair, "path").agg(of("old"), of("new"))
     changed = both.where(~F.col("old_value").eqNullSafe(F.col("new_value")))
+    # where both sides have an array and their lengths differ, the array's path cuts off all that is below it
     is_length = F.endswith("path", F.lit("[]"))
-    cut = changed.where(is_length & F.col("old_value").isNotNull() & F.col("new_value").isNotNull()).select("extraction_id", "previous_id", F.regexp_replace("path", r"\[\]$", "").alias("field_path"), F.concat(F.lit("len="), "old_value").alias("old_value"), F.concat(F.lit("len="), "new_value").alias("new_value"))
-    per_pair = cut.groupBy("extraction_id", "previous_id").agg(F.collect_list("field_path").alias("cuts"))
-    leaves = changed.where(~is_length).join(per_pair.hint("merge"), ["extraction_id", "previous_id"], "left")
-    below = F.exists(F.coalesce("cuts", F.array().cast("array<string>")), lambda c: F.startswith(F.col("path"), F.concat(c, F.lit("["))))
-    leaves = leaves.where(~below).select("extraction_id", "previous_id", F.col("path").alias("field_path"), "old_value", "new_value")
-    rows = leaves.union(cut)
+    cut = is_length & F.col("old_value").isNotNull() & F.col("new_value").isNotNull()
+    rows = changed.withColumn("_cuts", F.collect_list(F.when(cut, F.regexp_replace("path", r"\]$", ""))).over(Window.partitionBy(*pair)))
+    below = F.exists("_cuts", lambda c: F.startswith(F.col("path"), c) & ~(F.col("path") == F.concat(c, F.lit("]"))))
+    rows = rows.where(~below & (cut | ~is_length))
+    said = lambda c: F.when(is_length, F.concat(F.lit("len="), c)).otherwise(F.col(c)).alias(c)
+    rows = rows.select(*pair, F.regexp_replace("path", r"\[\]$", "").alias("field_path"), said("old_value"), said("new_value"))
     return rows.withColumn("severity", severity(F.col("field_path")))
 
 
@@ -75,6 +90,6 @@ def summary(changes: DataFrame) -> DataFrame:
 
 def cause(pairs: DataFrame, summary_: DataFrame) -> DataFrame:
     """Why runs differ: model, else prompts, else few-shot context differ; else sampling if all changes are low; else unknown."""
-    rows = summary_.join(pairs, ["extraction_id", "previous_id"])
+    rows = summary_.hint("merge").join(pairs.hint("merge"), ["extraction_id", "previous_id"])
     differ = lambda c: ~F.col(c).eqNullSafe(F.col(f"previous_{c}"))
     return rows.select("extraction_id", "previous_id", F.when(differ("model"), "model_changed").when(differ("prompt"), "prompt_changed").when(differ("few_shot_hash"), "few_shot_changed").when(F.col("all_low"), "sampling").otherwise("unknown").alias("cause"))

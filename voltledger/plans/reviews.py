@@ -203,8 +203,9 @@ _LEAVES = """, doc AS (SELECT *, extraction_id % 3 + 1 AS n FROM extractions),
 leaf AS (SELECT extraction_id, 'totals.total_amount_due' AS path, stated_total::VARCHAR AS v FROM doc UNION ALL SELECT extraction_id, 'totals.billing_days', billing_days::VARCHAR FROM doc UNION ALL SELECT extraction_id, 'status', status FROM doc
   UNION ALL SELECT extraction_id, 'invoice.rate_schedule', (extraction_id % 5)::VARCHAR FROM doc WHERE extraction_id % 4 <> 0
   UNION ALL SELECT extraction_id, 'charges[' || (i - 1) || '].line', i::VARCHAR FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM doc) UNION ALL SELECT extraction_id, 'charges[' || (i - 1) || '].amount', (extraction_id % 2 * 10 + i)::VARCHAR FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM doc)),
-a AS (SELECT p.extraction_id, previous_id, path, v FROM pairs p JOIN leaf USING (extraction_id)), b AS (SELECT p.extraction_id, previous_id, path, v FROM pairs p JOIN leaf l ON l.extraction_id = previous_id),
-moved AS (SELECT extraction_id, previous_id, path AS field_path, b.v AS old_value, a.v AS new_value FROM a FULL JOIN b USING (extraction_id, previous_id, path) WHERE a.v IS DISTINCT FROM b.v),
+sides AS (SELECT extraction_id, previous_id, extraction_id AS run, 1 AS side FROM pairs UNION ALL SELECT extraction_id, previous_id, previous_id, 0 FROM pairs),
+met AS (SELECT s.extraction_id, s.previous_id, path, max(CASE side WHEN 0 THEN v END) AS old_value, max(CASE side WHEN 1 THEN v END) AS new_value FROM sides s JOIN leaf l ON l.extraction_id = run GROUP BY 1, 2, 3),
+moved AS (SELECT extraction_id, previous_id, path AS field_path, old_value, new_value FROM met WHERE old_value IS DISTINCT FROM new_value),
 every AS (SELECT * FROM moved WHERE NOT (starts_with(field_path, 'charges[') AND extraction_id % 3 <> previous_id % 3)
   UNION ALL SELECT extraction_id, previous_id, 'charges', 'len=' || (previous_id % 3 + 1), 'len=' || (extraction_id % 3 + 1) FROM pairs WHERE extraction_id % 3 <> previous_id % 3)
 SELECT *, CASE WHEN field_path = 'totals.total_amount_due' THEN 'fatal' WHEN contains(field_path, 'rate_schedule') THEN 'high' WHEN contains(field_path, 'charge') THEN 'medium' ELSE 'low' END AS severity FROM every"""
@@ -327,7 +328,7 @@ def a08_call_totals(s, d):
     return sinks.with_total_tokens(tables.calls(s, d).drop("total_tokens")).select("call_id", "input_tokens", "output_tokens", "total_tokens")
 
 
-_LEAF_ROWS = _LEAVES[: _LEAVES.index(",\na AS (")]
+_LEAF_ROWS = _LEAVES[: _LEAVES.index(",\nsides AS (")]
 
 
 @query(f"{_LEAF_ROWS} SELECT extraction_id, path, v AS value FROM (SELECT * FROM leaf UNION ALL SELECT extraction_id, 'processing_time_ms', (extraction_id % 9000)::VARCHAR FROM doc UNION ALL SELECT extraction_id, 'extraction_id', extraction_id::VARCHAR FROM doc)")
