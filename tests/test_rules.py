@@ -245,3 +245,12 @@ def test_reasons_for_values(spark):
     rows = spark.createDataFrame([("format_normalize", "a.total", "12 kWh", "12"), ("wrong_on_document", "a.date", "2021-03-04", "2022-03-04"), ("other", "b", "1", "2"), (None, "b", None, None)], "c string, p string, x string, y string")
     got = [r[0] for r in rows.select(learn.reasoning(F.col("c"), F.col("p"), F.col("x"), F.col("y"))).collect()]
     assert got == ["total: trailing ' kWh' removed", "date: only the year of the date was wrong", "b: another correction", "b: another correction"]
+
+
+def test_forms_as_bills_have_them(spark):
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert [one(text.number_format(F.lit(t))) for t in ("1,50 2,50 1,234.56", "1.234,567", "7", "1,5 2.50")] == ["EU", "US", "US", "US"]
+    assert [one(text.currency(F.lit(t))) for t in ("$1,200.00 MXN", "100 PLN", "R$ 5 = €1", "R$ 5", "MXN 5", "$5", "5")] == ["MXN", "PLN", "EUR", "BRL", None, "USD", None]
+    of = lambda p, a, b: one(learn.correction_category(F.lit(p), F.lit(a), F.lit(b)))
+    assert [of("due_date", "21 AGO 23", "21 ago 25"), of("due_date", "21 AGO 23", "22 AGO 25"), of("note", "21 AGO 23", "21 AGO 25"), of("x", " 1ENO ", "1E"), of("x", "  ", "a")] == ["wrong_on_document", "other", "other", "format_normalize", "other"]
+    assert one(complexity.complexity_score(F.array().cast("array<string>"), F.lit(31), F.lit(6), F.lit(True), F.lit(None).cast("boolean"), F.lit(True))) == 8

@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Signals that add three and one.
 #: Countries whose bills count as European.
 EUROPE = ["DE", "FR", "ES", "IT", "NL"]
+# Signals that add three and one.
 HIGH, MEDIUM = ["multi_meter", "net_metering", "prior_period_adjustments", "multi_page_charges"], ["tou_present", "demand_charges", "supplier_split", "tiered_rates"]
 
 
-def complexity_score(signals: Column, lines: Column, pages: Column) -> Column:
-    """A signal counts as often as it is there; over 30 lines add three, over 15 one; over 5 pages two."""
+def complexity_score(signals: Column, lines: Column, pages: Column, vat_rates: Column | None = None, calorific: Column | None = None, capacity: Column | None = None) -> Column:
+    """A signal counts as often as it is there; over 30 lines add three, over 15 one; over 5 pages two; several VAT rates two, a
+    calorific conversion two, contracted capacity one."""
     of = F.aggregate(F.coalesce(signals, F.array().cast("array<string>")), F.lit(0), lambda a, s: a + F.when(s.isin(HIGH), 3).when(s.isin(MEDIUM), 1).otherwise(0))
+    for flag, points in ((vat_rates, 2), (calorific, 2), (capacity, 1)):
+        of = of if flag is None else of + F.when(flag, points).otherwise(0)
     return of + F.when(lines > 30, 3).when(lines > 15, 1).otherwise(0) + F.when(pages > 5, 2).otherwise(0)
 
 

@@ -7,29 +7,31 @@ from pyspark.sql import functions as F
 
 from ..sources import dims
 
-# Currency marks, longest first, and their ISO codes.
-SYMBOLS = [("MX$", "MXN"), ("R$", "BRL"), ("€", "EUR"), ("£", "GBP"), ("$", "USD"), ("¥", "JPY")]
-CODES = ["EUR", "USD", "GBP", "MXN", "CHF", "SEK", "BRL"]
+# Currency marks, and codes that are looked for where no mark of the euro, pound or dollar is.
+SYMBOLS, CODES = ["MX$", "R$", "€", "£", "$", "¥"], ["CHF", "SEK", "NOK", "DKK", "PLN", "CZK", "HUF"]
+MARKED = ["EUR", "GBP", "MXN", "USD", "BRL"]
 
 
 def number_format(text: Column) -> Column:
-    """EU (1.234,56) or US (1,234.56): the grouped form seen more often, else the plain decimal form; US by default."""
+    """EU (1.234,56) or US (1,234.56): the form of two decimals that is seen more often, groups of thousands counting whole, else the
+    plain decimal form; US by default."""
     n = lambda p: F.regexp_count(text, F.lit(p))
-    eu, us = n(r"\d{1,3}(\.\d{3})+,\d{2}"), n(r"\d{1,3}(,\d{3})+\.\d{2}")
+    eu, us = n(r"\d{1,3}(?:\.\d{3})*,\d{2}\b"), n(r"\d{1,3}(?:,\d{3})*\.\d{2}\b")
     return F.when(eu > us, "EU").when(us > eu, "US").when(n(r"\d+,\d{2}\b") > n(r"\d+\.\d{2}\b"), "EU").otherwise("US")
 
 
 def currency(text: Column) -> Column:
-    out = None
-    for mark, code in [*SYMBOLS, *((c, c) for c in CODES)]:
-        hit = F.contains(text, F.lit(mark))
-        out = F.when(hit, code) if out is None else out.when(hit, code)
+    """Euro, then pound, then the dollar, which is Mexican or Brazilian if the text says so anywhere, then the first of CODES."""
+    has = lambda *marks: F.greatest(*(F.contains(text, F.lit(m)) for m in (*marks, marks[0])))
+    out = F.when(has("€", "EUR"), "EUR").when(has("£", "GBP"), "GBP").when(has("$"), F.when(has("MXN", "MX$"), "MXN").when(has("R$"), "BRL").otherwise("USD"))
+    for code in CODES:
+        out = out.when(has(code), code)
     return out
 
 
 def amount(text: Column, fmt: Column) -> Column:
     """Decimal value of an amount: marks, codes and blanks dropped; (x), -x and x- are negative; null if it isn't a number."""
-    bare = F.regexp_replace(text, "MX\\$|R\\$|[€£$¥\\s]|" + "|".join(CODES), "")
+    bare = F.regexp_replace(text, "MX\\$|R\\$|[€£$¥\\s]|" + "|".join([*MARKED, *CODES]), "")
     negative = F.regexp_like(bare, F.lit(r"^\(.*\)$|^-|-$"))
     digits = F.regexp_replace(bare, r"[()\-]", "")
     plain = F.when(fmt == "EU", F.replace(F.replace(digits, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(digits, F.lit(","), F.lit("")))

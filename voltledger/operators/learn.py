@@ -13,8 +13,16 @@ DATE_WORDS, NUMBER_WORDS = "date|period|start|end|due|billing", "amount|total|ch
 
 
 def _year_changed(a: Column, b: Column) -> Column:
-    part = lambda c, i: F.regexp_extract(c, r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", i)
-    return (part(a, 1) != "") & (part(b, 1) != "") & (part(a, 1) != part(b, 1)) & (part(a, 2) == part(b, 2)) & (part(a, 3) == part(b, 3))
+    """Only the year of the first date differs, be it 2023-8-21 or 21 AGO 23."""
+
+    def differ(pattern: str, year: int, *others: int) -> Column:
+        part = lambda c, i: F.lower(F.regexp_extract(c, pattern, i))
+        out = (part(a, year) != "") & (part(b, year) != "") & (part(a, year) != part(b, year))
+        for i in others:
+            out = out & (part(a, i) == part(b, i))
+        return out
+
+    return differ(r"(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})", 1, 2, 3) | differ(r"(\d{1,2})\s+([A-Za-z]+)\s+(\d{2})", 3, 1, 2)
 
 
 def _confused(a: Column, b: Column) -> Column:
@@ -25,16 +33,17 @@ def _confused(a: Column, b: Column) -> Column:
 
 
 def correction_category(path: Column, before: Column, after: Column) -> Column:
-    """First that applies: nothing before or after: missing_context; after blank: other; only a year of a date changed:
+    """Of the values without blanks around them the first that applies: nothing before or after: missing_context; either blank: other; only a year of a date changed:
     wrong_on_document; characters cut off, or blanks or dashes evened out: format_normalize; ocr_error; both numbers in a number
     field: calculation_error; other."""
     squeezed = lambda c: F.regexp_replace(c, r"\s+", "")
     dashed = lambda c: F.regexp_replace(c, "[–—]", "-")
     number = lambda c: F.regexp_like(F.regexp_replace(c, r"[$€£¥,\s]", ""), F.lit(r"^[+-]?(\d+\.?\d*|\.\d+)$"))
+    before, after = (F.regexp_replace(c, r"^\s+|\s+$", "") for c in (before, after))
     shorter = F.length(after) < F.length(before)
     return (
         F.when(before.isNull() | after.isNull(), "missing_context")
-        .when(F.trim(after) == "", "other")
+        .when((before == "") | (after == ""), "other")
         .when(F.lower(path).rlike(DATE_WORDS) & _year_changed(before, after), "wrong_on_document")
         .when(shorter & (F.startswith(F.lower(before), F.lower(after)) | F.endswith(before, after)), "format_normalize")
         .when((squeezed(before) == squeezed(after)) | (dashed(before) == dashed(after)), "format_normalize")

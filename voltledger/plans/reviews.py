@@ -362,3 +362,34 @@ def s06_job_status(s, d):
 @query("SELECT time_bucket(INTERVAL 1 HOUR, created_at) AS start, stage, count(*) AS n_calls, coalesce(sum(total_tokens), 0)::BIGINT AS total_tokens, round(avg(duration_ms))::BIGINT AS avg_duration_ms FROM calls GROUP BY 1, 2")
 def s07_call_windows(s, d):
     return streams.calls_per_window(tables.calls(s, d))
+
+
+#: Pieces of which the texts below are made: formats and currencies mixed, malformed, or several at once.
+PIECES = ["1,50 2,50 1,234.56", "$1,200.00 MXN", "100 PLN", "R$ 5 = €1", "12.345,6 7.50", "1.234,567", "£3.00", "MX$ 4,00", "USD 5", "9,99 kr SEK", "1,234,567.89", "1.234.567,89", "", "CHF 2.00 NOK", "MXN 7", "HUF 1 DKK 2 CZK 3"]
+
+
+def mixed_texts(s: SparkSession, d: str) -> DataFrame:
+    """A text of three pieces for each order."""
+    key, pieces = F.col("o_orderkey"), F.array(*map(F.lit, PIECES))
+    at = lambda n: F.element_at(pieces, (F.floor(key / n) % len(PIECES) + 1).cast("int"))
+    return tables.load(s, d, "orders").select("o_orderkey", F.concat_ws(" ", at(1), at(16), at(4)).alias("t"))
+
+
+_MIXED = f"(SELECT o_orderkey, concat_ws(' ', p[o_orderkey % 16 + 1], p[o_orderkey // 16 % 16 + 1], p[o_orderkey // 4 % 16 + 1]) AS t FROM orders, (SELECT {PIECES!r} AS p))"
+_SEEN = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+
+
+@query(f"SELECT o_orderkey, CASE WHEN eu > us THEN 'EU' WHEN us > eu THEN 'US' WHEN e1 > u1 THEN 'EU' ELSE 'US' END AS number_format FROM (SELECT o_orderkey, {_SEEN(r'[0-9]{1,3}(?:[.][0-9]{3})*,[0-9]{2}' + chr(92) + 'b')} AS eu, {_SEEN(r'[0-9]{1,3}(?:,[0-9]{3})*[.][0-9]{2}' + chr(92) + 'b')} AS us, {_SEEN(r'[0-9]+,[0-9]{2}' + chr(92) + 'b')} AS e1, {_SEEN(r'[0-9]+[.][0-9]{2}' + chr(92) + 'b')} AS u1 FROM {_MIXED})", model=False)
+def g01_mixed_texts(s, d):
+    return mixed_texts(s, d).select("o_orderkey", text.number_format(F.col("t")).alias("number_format"))
+
+
+@query(f"SELECT o_orderkey, CASE WHEN contains(t, '€') OR contains(t, 'EUR') THEN 'EUR' WHEN contains(t, '£') OR contains(t, 'GBP') THEN 'GBP' WHEN contains(t, '$') THEN CASE WHEN contains(t, 'MXN') OR contains(t, 'MX$') THEN 'MXN' WHEN contains(t, 'R$') THEN 'BRL' ELSE 'USD' END {' '.join(f"WHEN contains(t, '{c}') THEN '{c}'" for c in text.CODES)} END AS currency FROM {_MIXED}", model=False)
+def g04_mixed_texts(s, d):
+    return mixed_texts(s, d).select("o_orderkey", text.currency(F.col("t")).alias("currency"))
+
+
+@query("SELECT extraction_id, (2 * (extraction_id % 2 = 0)::INT + 2 * (extraction_id % 3 = 0)::INT + (extraction_id % 5 = 0)::INT + CASE WHEN extraction_id % 40 > 30 THEN 3 WHEN extraction_id % 40 > 15 THEN 1 ELSE 0 END + 2 * (extraction_id % 8 > 5)::INT)::INT AS score FROM extractions")
+def g14_european_complexity(s, d):
+    key = F.col("extraction_id")
+    return tables.extractions(s, d).select(key, complexity.complexity_score(F.array().cast("array<string>"), key % 40, key % 8, key % 2 == 0, key % 3 == 0, key % 5 == 0).cast("int").alias("score"))

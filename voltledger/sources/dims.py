@@ -63,8 +63,8 @@ def more_conversions(spark: SparkSession, loose: bool = False) -> DataFrame:
 
 
 def country_taxonomy(spark: SparkSession, country: str | None = None) -> DataFrame:
-    """The taxonomy of charges, of one country or of all."""
-    rows = [(i, c, *r) for c, listed in CHARGES.items() if country in (None, c) for i, r in enumerate(listed)]
+    """The taxonomy of charges, of one country or of all; Britain is listed under both of its codes."""
+    rows = [(i, c, *r) for c, listed in (CHARGES | {"GB": CHARGES["UK"]}).items() if country in (None, c) for i, r in enumerate(listed)]
     return spark.createDataFrame(rows, "ordinal int, country string, name string, tax_category string, tax_section string, translation string")
 
 
