@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import drift, intake, lists, validate
+from ..operators import drift, intake, lists, rules, validate
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -28,6 +28,11 @@ def arriving_issues(lines: DataFrame, bills: DataFrame) -> DataFrame:
     return validate.line_math(lines, bills).unionByName(validate.negative_amounts(lines))
 
 
+def arriving_rule_issues(rows: DataFrame, on: str, bills: DataFrame) -> DataFrame:
+    """All rules of lines or of meters, as on says, on a stream of such rows against the table of bills: what the batch gives."""
+    return rules.found_in(rows, on, rules.with_gates(bills))
+
+
 def upsert_status(batch: DataFrame, store: str, key: str = "extraction_id") -> DataFrame:
     """The store's table (a path) after a batch of status changes: per key the newest of both. The caller writes it under the
     batch's number, so a batch that is run again gives the same table."""
