@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import drift
+
 CHARGES = "struct<charges:array<struct<line_id:string,description:struct<value:string,confidence:double>,category:string,amount:struct<value:string,confidence:double>,date:string>>>"
 DATE_FORMATS = ["yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "dd.MM.yyyy"]
 
@@ -84,3 +86,35 @@ def weighted_confidence(fields: DataFrame, weights: dict[str, float]) -> DataFra
     w = w.otherwise(1.0)
     mean = F.round(F.sum(w * F.col("confidence")) / F.sum(F.when(F.col("confidence").isNotNull(), w)), 6)
     return fields.groupBy("extraction_id").agg(mean.alias("confidence")).withColumn("low", F.col("confidence") < 0.7)
+
+
+def values_at(documents: DataFrame, asked: DataFrame, depth: int = 12) -> DataFrame:
+    """asked (extraction_id, path) with value: what the document has at the path, which comes in a column, keys joined by dots and places in
+    arrays as [i]; null where it has nothing or no single value there, and for a null path."""
+    wanted = asked.select("extraction_id", "path")
+    there = documents.hint("merge").join(wanted.select("extraction_id").distinct().hint("merge"), "extraction_id", "left_semi")
+    leaves = drift.flatten(there, depth=depth).groupBy("extraction_id", "path").agg(F.max("value").alias("value"))
+    return wanted.hint("merge").join(leaves.hint("merge"), ["extraction_id", "path"], "left")
+
+
+def overlaid(documents: DataFrame, corrections: DataFrame, depth: int = 12) -> DataFrame:
+    """extraction_id, path, value, corrected: the leaves of documents with the last correction of each field laid over them, at its
+    field_path and `.value`. A correction replaces all that is at its path and adds paths that the document lacks; one whose path leads
+    through a single value or an array is passed over. Corrections of unknown documents are left out. A document's corrections, one a
+    field, come together; its leaves don't."""
+    edits = corrections.groupBy("extraction_id", "field_path").agg(F.max_by("corrected_value", F.struct("created_at", "correction_id")).alias("value"))
+    edits = edits.where("field_path is not null").select("extraction_id", F.concat("field_path", F.lit(".value")).alias("path"), "value")
+    by_document = edits.groupBy("extraction_id").agg(F.collect_list("path").alias("edited"))
+    leaves = drift.flatten(documents, depth=depth).hint("merge").join(by_document.hint("merge"), "extraction_id", "left")
+    base = F.concat(F.substring_index("path", "[", 1), F.lit("."))
+    blocked = leaves.select("extraction_id", F.explode(F.filter("edited", lambda e: F.startswith(e, base))).alias("path")).distinct()
+    laid = edits.join(blocked.hint("merge"), ["extraction_id", "path"], "left_anti").join(documents.select("extraction_id").distinct().hint("merge"), "extraction_id", "left_semi")
+    replaced = F.exists("edited", lambda e: (F.col("path") == e) | F.startswith(F.col("path"), F.concat(e, F.lit("."))) | F.startswith(F.col("path"), F.concat(e, F.lit("["))))
+    stay = leaves.where(~F.coalesce(replaced, F.lit(False))).select("extraction_id", "path", "value", F.lit(False).alias("corrected"))
+    return stay.unionByName(laid.select("extraction_id", "path", "value", F.lit(True).alias("corrected")))
+
+
+def reviewed(bills: DataFrame, corrections: DataFrame) -> DataFrame:
+    """bills, those with a correction as reviewed."""
+    named = corrections.select("extraction_id").distinct().withColumn("_c", F.lit(True))
+    return bills.join(named.hint("merge"), "extraction_id", "left").withColumn("status", F.when(F.col("_c"), "reviewed").otherwise(F.col("status"))).drop("_c")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import complexity, text
+from ..operators import documents as results
 from ..operators import audit, drift, intake, learn, lists, rollups, rules, score, usage, validate
 from ..sources import dims, sinks, tables
 from ..sources.tables import MONEY
@@ -393,3 +394,27 @@ def g04_mixed_texts(s, d):
 def g14_european_complexity(s, d):
     key = F.col("extraction_id")
     return tables.extractions(s, d).select(key, complexity.complexity_score(F.array().cast("array<string>"), key % 40, key % 8, key % 2 == 0, key % 3 == 0, key % 5 == 0).cast("int").alias("score"))
+
+
+_ASKED = "['totals.total_amount_due', 'charges[1].amount', 'invoice.rate_schedule', 'charges'][extraction_id % 4 + 1]"
+
+
+@query(f"{_LEAF_ROWS} SELECT a.extraction_id, a.path, v AS value FROM (SELECT extraction_id, {_ASKED} AS path FROM doc) a LEFT JOIN leaf l ON l.extraction_id = a.extraction_id AND l.path = a.path")
+def g19_paths_of_a_table(s, d):
+    b = tables.extractions(s, d)
+    asked = b.select("extraction_id", tables.pick(F.col("extraction_id") % 4, "totals.total_amount_due", "charges[1].amount", "invoice.rate_schedule", "charges").alias("path"))
+    return results.values_at(documents(b), asked, depth=4)
+
+
+@query(f"""{_LEAF_ROWS}, e AS (SELECT c.extraction_id, correction_id % 4 AS k, arg_max(corrected_value, (c.created_at, correction_id)) AS value FROM corrections c JOIN extractions USING (extraction_id) GROUP BY 1, 2)
+SELECT extraction_id, path, v AS value, false AS corrected FROM (SELECT * FROM leaf UNION ALL SELECT extraction_id, 'processing_time_ms', (extraction_id % 9000)::VARCHAR FROM doc UNION ALL SELECT extraction_id, 'extraction_id', extraction_id::VARCHAR FROM doc)
+UNION ALL SELECT extraction_id, ['totals.value', 'invoice.rate_schedule.value', 'charges.value', 'notes.reason.value'][k + 1], value, true FROM e WHERE k IN (0, 3) OR k = 1 AND extraction_id % 4 = 0""")
+def b15_overlay(s, d):
+    b = tables.extractions(s, d)
+    edits = tables.corrections(s, d).withColumn("field_path", tables.pick(F.col("correction_id") % 4, "totals", "invoice.rate_schedule", "charges", "notes.reason"))
+    return results.overlaid(documents(b), edits, depth=4)
+
+
+@query("SELECT extraction_id, CASE WHEN extraction_id IN (SELECT extraction_id FROM corrections) THEN 'reviewed' ELSE status END AS status FROM extractions")
+def b15_status(s, d):
+    return results.reviewed(tables.extractions(s, d), tables.corrections(s, d)).select("extraction_id", "status")
