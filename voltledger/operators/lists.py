@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from . import score
+from . import learn, score
 
 
 def page(rows: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
@@ -31,12 +31,22 @@ def rules(found: DataFrame, active: bool | None = None, category: str | None = N
     return found
 
 
-def list_extractions(bills: DataFrame, commodity: str | None = None, status: str | None = None, offset: int = 0, limit: int = 200) -> DataFrame:
-    """Newest first; a filter that is None doesn't apply."""
-    for column, value in (("commodity_type", commodity), ("status", status)):
+def filtered(rows: DataFrame, **values) -> DataFrame:
+    """Rows whose columns have the values given; a value that is None doesn't apply."""
+    for column, value in values.items():
         if value is not None:
-            bills = bills.where(F.col(column) == value)
-    return page(bills, [F.desc("created_at"), "extraction_id"], offset, limit)
+            rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def list_extractions(bills: DataFrame, commodity: str | None = None, status: str | None = None, tier: str | None = None, offset: int = 0, limit: int = 200) -> DataFrame:
+    """Newest first; a filter that is None doesn't apply. tier is the tier that a bill was routed to (confidence_tier)."""
+    return page(filtered(bills, commodity_type=commodity, status=status, confidence_tier=tier), [F.desc("created_at"), "extraction_id"], offset, limit)
+
+
+def list_corrections(corrections: DataFrame, field_path: str | None = None, category: str | None = None) -> DataFrame:
+    """Corrections by field path and by their stored category, which is inferred only afterwards where it is missing."""
+    return learn.categorized(filtered(corrections, field_path=field_path, correction_category=category))
 
 
 def review_queue(bills: DataFrame, order: str = "created", offset: int = 0, limit: int = 50) -> DataFrame:
@@ -49,18 +59,15 @@ def preview(text: str, size: int = 200):
     return F.when(F.length(text) > size, F.concat(F.left(F.col(text), F.lit(size)), F.lit("..."))).otherwise(F.col(text))
 
 
-def list_calls(calls: DataFrame, stage: str | None = None, model: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
-    for column, value in (("stage", stage), ("model", model)):
-        if value is not None:
-            calls = calls.where(F.col(column) == value)
+def list_calls(calls: DataFrame, stage: str | None = None, model: str | None = None, extraction: int | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """Newest first, with previews; a filter that is None doesn't apply."""
+    calls = filtered(calls, stage=stage, model=model, extraction_id=extraction)
     return page(calls.withColumn("preview", preview("response")), [F.desc("created_at"), "call_id"], offset, limit)
 
 
-def corrections_by_context(corrections: DataFrame, utility: str | None = None, commodity: str | None = None, least: int = 1) -> DataFrame:
+def corrections_by_context(corrections: DataFrame, utility: str | None = None, commodity: str | None = None, least: int = 1, fingerprint: str | None = None, field_path: str | None = None) -> DataFrame:
     """Corrections of a context whose field path occurs at least so often among them."""
-    for column, value in (("utility", utility), ("commodity", commodity)):
-        if value is not None:
-            corrections = corrections.where(F.col(column) == value)
+    corrections = filtered(corrections, utility=utility, commodity=commodity, fingerprint=fingerprint, field_path=field_path)
     often = corrections.groupBy("field_path").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return corrections.join(often, "field_path", "left_semi")
 

@@ -418,3 +418,38 @@ def b15_overlay(s, d):
 @query("SELECT extraction_id, CASE WHEN extraction_id IN (SELECT extraction_id FROM corrections) THEN 'reviewed' ELSE status END AS status FROM extractions")
 def b15_status(s, d):
     return results.reviewed(tables.extractions(s, d), tables.corrections(s, d)).select("extraction_id", "status")
+
+
+_TIERED = f"(SELECT *, {oracle._TIER.format(fatal='extraction_id % 11 = 0', s='confidence_score')} AS confidence_tier FROM extractions)"
+
+
+def tiered(s: SparkSession, d: str) -> DataFrame:
+    """Bills with the tier that they were routed to."""
+    return tables.extractions(s, d).withColumn("confidence_tier", score.tier(F.col("confidence_score"), F.col("extraction_id") % 11 == 0, F.col("complexity_tier")))
+
+
+@query(f"SELECT extraction_id, created_at FROM {_TIERED} WHERE confidence_tier = 'targeted_review' AND commodity_type = 'water' ORDER BY created_at DESC, extraction_id LIMIT 150")
+def b01_list_by_tier(s, d):
+    return lists.list_extractions(tiered(s, d), commodity="water", tier="targeted_review", limit=150).select("extraction_id", "created_at")
+
+
+@query("SELECT correction_id, category FROM categorized WHERE field_path = 'charges.click.amount' AND correction_category = ''")
+def b04_filtered_corrections(s, d):
+    return lists.list_corrections(tables.corrections(s, d), field_path="charges.click.amount", category="").select("correction_id", "category")
+
+
+@query("SELECT call_id, stage FROM calls WHERE extraction_id = 401 ORDER BY created_at DESC, call_id LIMIT 100")
+def b05_calls_of_extraction(s, d):
+    return lists.list_calls(tables.calls(s, d), extraction=401).select("call_id", "stage")
+
+
+@query("SELECT correction_id, field_path FROM (SELECT * FROM corrections WHERE correction_id % 5 = 2 AND utility = 'City Gas') QUALIFY count(*) OVER (PARTITION BY field_path) >= 3")
+def b07_corrections_by_fingerprint(s, d):
+    rows = tables.corrections(s, d).withColumn("fingerprint", F.concat(F.lit("f"), (F.col("correction_id") % 5).cast("string")))
+    return lists.corrections_by_context(rows, utility="City Gas", fingerprint="f2", least=3).select("correction_id", "field_path")
+
+
+@query(f"SELECT confidence_tier, count(*) AS n FROM (SELECT CASE WHEN extraction_id % 13 <> 0 THEN confidence_tier END AS confidence_tier FROM {_TIERED}) GROUP BY 1")
+def d01_count_by_tier(s, d):
+    """Bills without a tier are a group of their own."""
+    return rollups.count_by(tiered(s, d).withColumn("confidence_tier", F.when(F.col("extraction_id") % 13 != 0, F.col("confidence_tier"))), "confidence_tier")
