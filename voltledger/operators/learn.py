@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import names
+
 # Characters that scans confuse.
 OCR_PAIRS = ["0O", "1l", "1I", "5S", "8B", "2Z", "6G", "0Q"]
 # What in a path tells a date or a number.
@@ -73,10 +75,9 @@ def fingerprint_accuracy(bills: DataFrame) -> DataFrame:
 
 def taxonomy_lookup(rows: DataFrame, taxonomy: DataFrame, text: str) -> DataFrame:
     """Adds the category of the first keyword of the taxonomy that the text contains. Each distinct text is looked up once."""
-    texts = rows.select(text).distinct()
-    hit = texts.join(F.broadcast(taxonomy), F.contains(F.lower(text), F.lower("keyword")))
-    first = hit.groupBy(text).agg(F.min(F.struct("ordinal", "keyword", "tax_category", "tax_section")).alias("m")).select(text, "m.keyword", "m.tax_category", "m.tax_section")
-    return rows.join(first, text, "left")
+    hit = names.contained(rows.select(F.col(text).alias("text")), taxonomy.select("ordinal", F.col("keyword").alias("name"), "tax_category", "tax_section"))
+    first = hit.groupBy(F.col("text").alias(text)).agg(F.min(F.struct("ordinal", "name", "tax_category", "tax_section")).alias("m")).select(text, F.col("m.name").alias("keyword"), "m.tax_category", "m.tax_section", "m.ordinal")
+    return rows.hint("merge").join(first.hint("merge"), text, "left")
 
 
 #: What each category means, in words of our own.
@@ -149,7 +150,6 @@ def fingerprint_match(bills: DataFrame, known: DataFrame) -> DataFrame:
 def charge_lookup(charges: DataFrame, taxonomy: DataFrame) -> DataFrame:
     """charges (country_code, description) with category, section and translation of the first name in the country's taxonomy that the
     description contains, whatever the case; null if none. Each distinct description is looked up once."""
-    texts = charges.select("country_code", "description").distinct()
-    hit = texts.join(F.broadcast(taxonomy), (F.col("country_code") == F.col("country")) & F.contains(F.lower("description"), F.lower("name")))
-    first = hit.groupBy("country_code", "description").agg(F.min(F.struct("ordinal", "tax_category", "tax_section", "translation")).alias("m"))
-    return charges.join(first, ["country_code", "description"], "left").select(*charges.columns, "m.tax_category", "m.tax_section", "m.translation")
+    hit = names.contained(charges.select(F.col("country_code").alias("country"), F.col("description").alias("text")), taxonomy, ("country",))
+    first = hit.groupBy(F.col("country").alias("country_code"), F.col("text").alias("description")).agg(F.min(F.struct("ordinal", "tax_category", "tax_section", "translation")).alias("m"))
+    return charges.hint("merge").join(first.hint("merge"), ["country_code", "description"], "left").select(*charges.columns, "m.tax_category", "m.tax_section", "m.translation")

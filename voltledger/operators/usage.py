@@ -105,3 +105,37 @@ def candidate_confidence(corrections: DataFrame, bills: DataFrame) -> DataFrame:
     n_bills = bills.groupBy(F.col("utility_provider").alias("utility")).agg(F.count(F.lit(1)).alias("n_bills"))
     n = corrections.groupBy("utility", "field_path", "category").agg(F.countDistinct("extraction_id").alias("n"))
     return n.join(n_bills, "utility").select("utility", "field_path", "category", "n", F.round(F.col("n") / F.col("n_bills"), 6).alias("confidence"))
+
+
+# Words of a charge for use above the contracted capacity.
+EXCESS = ["excess", "exceso", "dépassement", "überschreitung"]
+#: Years that contracts and readings are sorted into; what lies outside goes to the first or the last.
+YEARS = (2000, 2050)
+
+
+def contract_in_force(readings: DataFrame, contracts: DataFrame, day: str = "day") -> DataFrame:
+    """readings (meter_number, a day, any others) with the columns of the contract (contract_id, meter_number, valid_from, valid_to, others)
+    of their meter that is in force that day, both ends included; of several the last begun, ties by the larger contract_id;
+    null columns if none. No valid_from means since ever, no valid_to until further notice. Columns of contracts but for
+    meter_number shouldn't be those of readings.
+
+    Contracts are laid into the years that they are valid in, so that readings meet those of their meter and year only, however
+    many contracts a meter has had. Of overlapping contracts the one that counts is chosen as rows meet, by key of the reading."""
+    year = lambda c: F.when(F.col(c).isNotNull(), F.least(F.greatest(F.year(c), F.lit(YEARS[0])), F.lit(YEARS[1])))
+    first, last = F.coalesce(year("valid_from"), F.lit(YEARS[0])), F.coalesce(year("valid_to"), F.lit(YEARS[1]))
+    terms = contracts.where("meter_number is not null and coalesce(valid_from <= valid_to, true)").withColumn("_year", F.explode(F.sequence(first, last)))
+    mine = [c for c in contracts.columns if c != "meter_number"]
+    packed = terms.select("meter_number", "_year", F.struct(F.coalesce("valid_from", F.lit("0001-01-01").cast("date")).alias("_from"), *mine).alias("_c"))
+    places = readings.select("meter_number", day).distinct().where(F.col(day).isNotNull())
+    met = places.withColumn("_year", year(day)).hint("merge").join(packed.hint("merge"), ["meter_number", "_year"])
+    valid = (F.col("_c._from") <= F.col(day)) & F.coalesce(F.col(day) <= F.col("_c.valid_to"), F.lit(True))
+    chosen = met.where(valid).groupBy("meter_number", day).agg(F.max_by("_c", F.struct("_c._from", "_c.contract_id")).alias("_c"))
+    return readings.hint("merge").join(chosen.hint("merge"), ["meter_number", day], "left").select(*readings.columns, *(F.col(f"_c.{c}") for c in mine))
+
+
+def capacity_exceeded(readings: DataFrame, contracts: DataFrame, charges: DataFrame) -> DataFrame:
+    """Readings (extraction_id, meter_number, day, demand_value) above the capacity of the contract in force, on bills without a charge whose
+    description names it, unless the contract says that it is known (exceeded). Without a contract there is no warning."""
+    over = contract_in_force(readings, contracts).where("demand_value > capacity AND NOT coalesce(exceeded, false)")
+    named = F.lower("description").rlike("|".join(EXCESS))
+    return over.hint("merge").join(charges.where(named).select("extraction_id").distinct().hint("merge"), "extraction_id", "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import silver
+from ..operators import learn, silver, usage
 from ..sources import tables
 from .reviews import query
 
@@ -85,3 +85,44 @@ def b16_vat_rows(s, d):
 UNION ALL SELECT extraction_id, 'meters', 1, 'read_type' FROM whole WHERE extraction_id % 5 = 0 UNION ALL SELECT extraction_id, 'vat', 1, 'vat_category' FROM whole UNION ALL SELECT extraction_id, 'totals', NULL, 'total_net' FROM whole UNION ALL SELECT extraction_id, 'document', NULL, 'statement_type' FROM whole WHERE extraction_id % 7 = 0""")
 def b16_skipped(s, d):
     return silver.skipped(projected(s, d)).select("extraction_id", "kind", F.col("place").cast("long"), "problem")
+
+
+def contracts(s: SparkSession, d: str) -> DataFrame:
+    """Contracts of customers, as meters: each order is one from its day on, for 100 to 499 days or, every ninth, until further notice, so
+    that they overlap."""
+    key = F.col("o_orderkey")
+    start = F.col("o_orderdate").cast("date")
+    return tables.load(s, d, "orders").select(key.alias("contract_id"), F.concat(F.lit("M"), F.col("o_custkey").cast("string")).alias("meter_number"), start.alias("valid_from"), F.when(key % 9 != 0, F.date_add(start, (100 + key % 400).cast("int"))).alias("valid_to"), (key % 60 + 10).alias("capacity"), (key % 8 == 0).alias("exceeded"))
+
+
+def readings(s: SparkSession, d: str) -> DataFrame:
+    """A demand per bill of its customer's meter, 40 days after the order; some bills have no day."""
+    key = F.col("o_orderkey")
+    return tables.load(s, d, "orders").select(key.alias("extraction_id"), F.concat(F.lit("M"), F.col("o_custkey").cast("string")).alias("meter_number"), F.when(key % 17 != 0, F.date_add(F.col("o_orderdate").cast("date"), 40)).alias("day"), (key % 97).alias("demand_value"))
+
+
+_FORCE = """WITH contract AS (SELECT o_orderkey AS contract_id, o_custkey AS meter, o_orderdate::DATE AS a, CASE WHEN o_orderkey % 9 <> 0 THEN o_orderdate::DATE + (100 + o_orderkey % 400)::INT END AS b, o_orderkey % 60 + 10 AS capacity, o_orderkey % 8 = 0 AS exceeded FROM orders),
+reading AS (SELECT o_orderkey AS extraction_id, o_custkey AS meter, CASE WHEN o_orderkey % 17 <> 0 THEN o_orderdate::DATE + 40 END AS day, o_orderkey % 97 AS demand_value FROM orders),
+force AS (SELECT r.*, contract_id, capacity, exceeded FROM reading r LEFT JOIN contract c ON c.meter = r.meter AND r.day >= a AND (b IS NULL OR r.day <= b) QUALIFY row_number() OVER (PARTITION BY extraction_id ORDER BY a DESC, contract_id DESC) = 1)"""
+
+
+@query(f"{_FORCE} SELECT extraction_id, contract_id FROM force", model=False)
+def c20_contract_in_force(s, d):
+    return usage.contract_in_force(readings(s, d), contracts(s, d)).select("extraction_id", "contract_id")
+
+
+@query(f"{_FORCE} SELECT extraction_id, contract_id, demand_value, capacity FROM force WHERE demand_value > capacity AND NOT exceeded AND extraction_id NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 7 = 0)", model=False)
+def c20_capacity_exceeded(s, d):
+    lines = tables.load(s, d, "lineitem").select(F.col("l_orderkey").alias("extraction_id"), F.when(F.col("l_suppkey") % 7 == 0, "Leistung: ÜBERSCHREITUNG").otherwise(F.col("l_returnflag")).alias("description"))
+    return usage.capacity_exceeded(readings(s, d), contracts(s, d), lines).select("extraction_id", "contract_id", "demand_value", "capacity")
+
+
+@query("""WITH names AS (SELECT c_custkey AS ordinal, CASE WHEN c_custkey % 3 = 0 THEN c_custkey::VARCHAR ELSE 'Customer#' || c_custkey END AS keyword FROM customer), texts AS (SELECT DISTINCT 'paid by CUSTOMER#' || o_custkey || ', ' || o_orderpriority AS t FROM orders)
+SELECT t AS description, ordinal FROM texts LEFT JOIN names ON contains(lower(t), lower(keyword)) QUALIFY row_number() OVER (PARTITION BY t ORDER BY ordinal) = 1""", model=False)
+def c05_many_names(s, d):
+    """Which customer's name, of all of them, comes first in each distinct text; names are parts of other names."""
+    key = F.col("c_custkey")
+    listed = tables.load(s, d, "customer").select(key.alias("ordinal"), F.when(key % 3 == 0, key.cast("string")).otherwise(F.concat(F.lit("Customer#"), key.cast("string"))).alias("keyword"), F.lit("").alias("tax_category"), F.lit("").alias("tax_section"))
+    texts = tables.load(s, d, "orders").select(F.concat(F.lit("paid by CUSTOMER#"), F.col("o_custkey").cast("string"), F.lit(", "), "o_orderpriority").alias("description")).distinct()
+    first = learn.taxonomy_lookup(texts, listed, "description")
+    return first.select("description", "ordinal")
