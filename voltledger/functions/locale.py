@@ -22,7 +22,10 @@ KEYWORDS = {
 CURRENCY_COUNTRY = {"GBP": "GB", "USD": "US", "MXN": "MX", "CHF": "CH", "SEK": "SE", "NOK": "NO", "DKK": "DK", "PLN": "PL", "CZK": "CZ", "HUF": "HU", "BRL": "BR"}
 EURO_COUNTRY = {"de": "DE", "fr": "FR", "it": "IT", "es": "ES", "nl": "NL", "pt": "PT", "el": "GR", "fi": "FI"}
 # Tax rules by country.
-TAX_REGIME = {"DE": "eu_vat", "FR": "eu_vat", "ES": "eu_vat", "IT": "eu_vat", "NL": "eu_vat", "GB": "uk_vat", "MX": "mx_iva", "US": "us_sales_tax"}
+TAX_REGIME = dict.fromkeys(["DE", "FR", "ES", "IT", "NL", "PT", "GR", "FI", "AT", "BE", "IE"], "eu_vat") | {"GB": "uk_vat", "MX": "mx_iva", "US": "us_sales_tax"}
+# Markets by country, signs of currencies.
+MARKET = dict.fromkeys(["DE", "FR", "ES", "IT", "NL", "GB", "AT", "BE", "FI", "SE", "NO", "DK"], "liberalized_eu") | {"US": "deregulated"}
+SIGNS = {"EUR": "€", "GBP": "£", "USD": "$", "MXN": "$", "CHF": "CHF", "SEK": "kr", "NOK": "kr", "DKK": "kr"}
 
 
 def _mapped(c: Column, table: dict[str, str]) -> Column:
@@ -42,3 +45,14 @@ def locale(rows: DataFrame, text: str = "text", language: str = "language") -> D
     t = F.col(text)
     out = rows.withColumn("currency", texts.currency(t)).withColumn("country_code", country(t, F.col(language), F.col("currency")))
     return out.withColumn("number_format", texts.number_format(t)).withColumn("date_format", texts.date_format_of(t)).withColumn("tax_regime", F.coalesce(_mapped(F.col("country_code"), TAX_REGIME), F.lit("us_sales_tax")))
+
+
+def whole_locale(rows: DataFrame, text: str = "text", language: str = "language") -> DataFrame:
+    """locale, and language_code, currency_code, currency_symbol, decimal_separator, thousands_separator, market_model: English, the
+    dollar, US separators and a regulated market where the text tells nothing else."""
+    out = locale(rows, text, language).withColumn("currency_code", F.coalesce("currency", F.lit("USD")))
+    european = F.col("number_format") == "EU"
+    return out.withColumns({
+        "language_code": F.coalesce(F.nullif(language, F.lit("")), F.lit("en")), "currency_symbol": F.coalesce(_mapped(F.col("currency_code"), SIGNS), F.lit("$")),
+        "decimal_separator": F.when(european, ",").otherwise("."), "thousands_separator": F.when(european, ".").otherwise(","), "market_model": F.coalesce(_mapped(F.col("country_code"), MARKET), F.lit("regulated")),
+    })

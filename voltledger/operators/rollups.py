@@ -44,13 +44,16 @@ def top_fields(corrections: DataFrame, k: int = 10) -> DataFrame:
     return count_by(corrections, "field_path").orderBy(F.desc("n"), "field_path").limit(k)
 
 
-def field_path_groups(corrections: DataFrame, k: int = 5) -> DataFrame:
-    """Per field path its count and the newest k examples, in one pass."""
+def field_path_groups(corrections: DataFrame, k: int = 5, utility: str | None = None, commodity: str | None = None) -> DataFrame:
+    """Per field path its count and the newest k examples, in one pass; of one utility or commodity if given. The most frequent
+    first, ties by path."""
+    for column, value in (("utility", utility), ("commodity", commodity)):
+        corrections = corrections if value is None else corrections.where(F.col(column) == value)
     newest = Window.partitionBy("field_path").orderBy(F.desc("created_at"), F.desc("correction_id"))
     examples = corrections.withColumn("rn", F.row_number().over(newest)).where(F.col("rn") <= k)
     text = F.concat_ws(">", F.coalesce("extracted_value", F.lit("∅")), "corrected_value")
     lists = examples.groupBy("field_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", text.alias("t")))), lambda x: x["t"]), "|").alias("examples"))
-    return count_by(corrections, "field_path").join(lists, "field_path")
+    return count_by(corrections, "field_path").join(lists, "field_path").orderBy(F.desc("n"), "field_path")
 
 
 def correction_rules(corrections: DataFrame, least: int = 2, k: int = 5) -> DataFrame:
@@ -88,3 +91,25 @@ def kpi(bills: DataFrame) -> DataFrame:
     """Per month and commodity: bills, share accepted, share with a score below 0.7, mean score."""
     month = F.date_format("created_at", "yyyy-MM")
     return bills.groupBy(month.alias("month"), "commodity_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.count_if(F.col("status") == "accepted") / F.count(F.lit(1)), 6).alias("accept_rate"), F.round(F.count_if(F.col("confidence_score") < 0.7) / F.count(F.lit(1)), 6).alias("low_rate"))
+
+
+def kpi_report(bills: DataFrame, fields: DataFrame, changes: DataFrame, calls: DataFrame, review_cost: str = "2.00", compute_cost: str = "0.01") -> DataFrame:
+    """Per month and commodity of bills (extraction_id, created_at, commodity_type, confidence_tier, known_format): n_bills, auto_accept_rate,
+    format_coverage, fatal_rate and field_accuracy (of fields, a row a field with corrected and fatal: the share of fatal fields
+    corrected, and of fields not corrected), drift_rate (of changes, a row a field of a second run with changed), blended_cost (mean of what
+    calls cost, computing, and a review for bills that aren't accepted by themselves). A rate of nothing is null."""
+    per = lambda rows, *sums: rows.groupBy("extraction_id").agg(*sums).hint("merge")
+    count = lambda test, name: F.count_if(test).alias(name)
+    f = per(fields, F.count(F.lit(1)).alias("_f"), count(F.col("fatal"), "_ff"), count(F.col("corrected"), "_c"), count(F.col("corrected") & F.col("fatal"), "_cf"))
+    d = per(changes, F.count(F.lit(1)).alias("_d"), count(F.col("changed"), "_dc"))
+    c = per(calls, F.sum("cost").alias("_cost"))
+    rows = bills.hint("merge").join(f, "extraction_id", "left").join(d, "extraction_id", "left").join(c, "extraction_id", "left")
+    accepted = F.col("confidence_tier") == "auto_accept"
+    money = lambda x: F.lit(x).cast("decimal(18,6)")
+    cost = F.coalesce(F.col("_cost").cast("decimal(18,6)"), money("0")) + money(compute_cost) + F.when(F.coalesce(accepted, F.lit(False)), money("0")).otherwise(money(review_cost))
+    rate = lambda a, b, name: F.round(F.try_divide(F.sum(a), F.sum(b)), 6).alias(name)
+    n = F.count(F.lit(1))
+    return rows.groupBy(F.date_format("created_at", "yyyy-MM").alias("month"), "commodity_type").agg(
+        n.alias("n_bills"), F.round(F.count_if(accepted) / n, 6).alias("auto_accept_rate"), F.round(F.count_if("known_format") / n, 6).alias("format_coverage"),
+        rate("_cf", "_ff", "fatal_rate"), F.round(1 - F.try_divide(F.sum("_c"), F.sum("_f")), 6).alias("field_accuracy"), rate("_dc", "_d", "drift_rate"), F.round(F.sum(cost) / n, 4).cast("double").alias("blended_cost"),
+    )

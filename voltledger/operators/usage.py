@@ -85,7 +85,9 @@ def sewer_cap(months: DataFrame) -> DataFrame:
 
 
 # Names of time-of-use periods in several markets.
-TOU_NAMES = [("ht", "peak"), ("nt", "off_peak"), ("hp", "peak"), ("hc", "off_peak"), ("p1", "peak"), ("p2", "shoulder"), ("p3", "off_peak"), ("p6", "off_peak"), ("f1", "peak"), ("f2", "shoulder"), ("f3", "off_peak"), ("day", "peak"), ("night", "off_peak")]
+TOU_NAMES = [("ht", "peak"), ("nt", "off_peak"), ("hp", "peak"), ("hc", "off_peak"), ("p1", "peak"), ("p2", "shoulder"), ("p3", "off_peak"), ("p4", "off_peak"), ("p5", "off_peak"), ("p6", "off_peak"), ("f1", "peak"), ("f2", "shoulder"), ("f3", "off_peak"), ("day", "peak"), ("night", "off_peak")]
+# The colours of a French tariff stand before or behind its full and low hours.
+TOU_NAMES += [(name, std) for hours, std in (("hp", "peak"), ("hc", "off_peak")) for colour in ("bleu", "blanc", "rouge") for name in (f"{hours} {colour}", f"{colour} {hours}")]
 
 
 def tou_periods(periods: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources import dims
+from . import silver
 
 MONEY = "decimal(18,2)"
 ISSUES = ["extraction_id", "rule_id", "field", "severity", "expected", "actual"]
@@ -206,6 +207,39 @@ def domain_check(bills: DataFrame) -> DataFrame:
     return issues(rows, "V20", F.col("field"), F.lit("warning"), F.lit("in domain"), F.col("actual"))
 
 
+# Names that a column may have beside those of documents, and how long a text may be.
+DOMAINS = silver.LISTED | {
+    "commodity_type": ["natural_gas", "electricity", "water", "multi_commodity"],
+    "complexity_tier": ["simple", "standard", "complex", "pathological"],
+    "confidence_tier": ["auto_accept", "targeted_review", "full_review"],
+    "math_disposition": ["clean", "rounding_variance", "minimum_bill", "utility_adjustment", "discrepancy"],
+    "market_model": ["regulated", "deregulated", "liberalized_eu", "unknown"],
+    "correction_type": ["value_change", "missing_field", "wrong_classification", "split_merge"],
+    "correction_category": ["ocr_error", "format_normalize", "wrong_on_document", "missing_context", "calculation_error", "other"],
+}
+LONGEST = {"file_hash": 64, "blob_name": 512, "status": 50, "confidence_tier": 50, "commodity_type": 50, "utility_provider": 200, "field_path": 500, "correction_type": 50, "correction_category": 50, "corrector_id": 200, "utility": 200, "commodity": 50, "action": 100, "stage": 50, "model": 100, "provider": 50}
+
+
+def out_of_domain(rows: DataFrame, key: str) -> DataFrame:
+    """key, field, rule, actual: of every column that is known by its name the values that aren't listed (listed), texts that are too long
+    (length, actual being how long) and confidences outside 0 to 1 (range). Nulls are in every domain."""
+    found = []
+    said = lambda c, rule, actual: F.struct(F.lit(c).alias("field"), F.lit(rule).alias("rule"), actual.cast("string").alias("actual"))
+    for c in rows.columns:
+        if c in DOMAINS:
+            found.append(F.when(~F.col(c).isin(DOMAINS[c]), said(c, "listed", F.col(c))))
+        if c in LONGEST:
+            found.append(F.when(F.length(c) > LONGEST[c], said(c, "length", F.length(c))))
+        if c == "confidence" or c.endswith(("_confidence", "confidence_score")):
+            found.append(F.when(~F.col(c).between(0, 1) | F.isnan(c), said(c, "range", F.col(c))))
+    return rows.select(key, F.inline(F.array_compact(F.array(*found)))) if found else rows.select(key, F.lit("").alias("field"), F.lit("").alias("rule"), F.lit("").alias("actual")).limit(0)
+
+
+def normalized_rates(lines: DataFrame, rate: str = "vat_rate") -> DataFrame:
+    """lines with rates over 1 taken as percentages, and rate_changed, whether it was one; null rates stay."""
+    return lines.withColumn("rate_changed", F.coalesce(F.col(rate) > 1, F.lit(False))).withColumn(rate, F.when(F.col(rate) > 1, F.col(rate) / 100).otherwise(F.col(rate)))
+
+
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 

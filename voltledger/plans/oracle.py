@@ -225,7 +225,7 @@ UNION ALL SELECT 'demand_value', 1, 0 FROM extractions WHERE has_demand_charges
 _CODES = list(locale.KEYWORDS)
 _PLAIN |= {
     "g05_detect_country": f"SELECT o_orderkey, {_CODES}[o_orderkey % {len(_CODES)} + 1] AS country_code FROM orders",
-    "g06_detect_locale": "SELECT o_orderkey, 'DE' AS country_code, 'EUR' AS currency, 'EU' AS number_format, 'DD.MM.YYYY' AS date_format, 'eu_vat' AS tax_regime FROM orders",
+    "g06_detect_locale": "SELECT o_orderkey, 'DE' AS country_code, 'EUR' AS currency, 'US' AS number_format, 'DD.MM.YYYY' AS date_format, 'eu_vat' AS tax_regime FROM orders",
     "g24_template_version": "SELECT item_id, 'v1.0-' || left(sha256(text), 8) AS version FROM benchmark",
     "x01_account_balance": "SELECT * FROM (SELECT o_orderkey AS extraction_id, (o_totalprice::DECIMAL(18,2) + CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 3 ELSE 0 END)::DOUBLE AS expected, (o_totalprice::DECIMAL(18,2) + CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 3 ELSE 0 END)::DOUBLE AS amount_due FROM orders) WHERE abs(expected - amount_due) > 0.5",
     "x19_sewer_cap": "WITH m AS (SELECT o_custkey % 30 AS account, year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, count(*)::DOUBLE AS usage FROM orders GROUP BY ALL), w AS (SELECT account, CASE WHEN month = 12 THEN year + 1 ELSE year END AS year, round(avg(usage), 2) AS cap FROM m WHERE month IN (12, 1, 2, 3) GROUP BY ALL) SELECT m.account, m.year, m.month, least(usage, coalesce(cap, usage)) AS billed FROM m LEFT JOIN w USING (account, year)",

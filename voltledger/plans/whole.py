@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import learn, silver, usage
+from ..functions import locale
+from ..operators import learn, rollups, silver, usage, validate
 from ..sources import tables
-from .reviews import query
+from .reviews import _TIERED, query, tiered
 
 
 def _json(form: str, *columns: str) -> Column:
@@ -126,3 +127,55 @@ def c05_many_names(s, d):
     texts = tables.load(s, d, "orders").select(F.concat(F.lit("paid by CUSTOMER#"), F.col("o_custkey").cast("string"), F.lit(", "), "o_orderpriority").alias("description")).distinct()
     first = learn.taxonomy_lookup(texts, listed, "description")
     return first.select("description", "ordinal")
+
+
+@query("""WITH t AS (SELECT o_orderkey, o_orderkey % 5 AS k FROM orders) SELECT o_orderkey, ['en','de','en','pt','en'][k + 1] AS language_code, ['GB','DE','MX','PT','PL'][k + 1] AS country_code, ['GBP','EUR','MXN','EUR','PLN'][k + 1] AS currency_code, ['£','€','$','€','$'][k + 1] AS currency_symbol,
+  CASE WHEN k = 3 THEN ',' ELSE '.' END AS decimal_separator, CASE WHEN k = 3 THEN '.' ELSE ',' END AS thousands_separator, ['uk_vat','eu_vat','mx_iva','eu_vat','us_sales_tax'][k + 1] AS tax_regime, ['liberalized_eu','liberalized_eu','regulated','regulated','regulated'][k + 1] AS market_model FROM t""", model=False)
+def g06_whole_locale(s, d):
+    """A date with dots counts as a US number, so that a text with one of each is US."""
+    k = F.col("o_orderkey") % 5
+    rows = tables.load(s, d, "orders").select("o_orderkey", tables.pick(k, "£1,234.56", "1.234,56 € am 03.02.2025", "$1,200.00 MXN", "1.234,56 €", "100.00 PLN").alias("text"), F.when(k == 1, "de").when(k == 3, "pt").when(k == 2, "").alias("language"))
+    return locale.whole_locale(rows).select("o_orderkey", "language_code", "country_code", "currency_code", "currency_symbol", "decimal_separator", "thousands_separator", "tax_regime", "market_model")
+
+
+@query(""", mine AS (SELECT * FROM corrections WHERE utility = 'City Gas' AND commodity = 'electricity'), newest AS (SELECT *, row_number() OVER (PARTITION BY field_path ORDER BY created_at DESC, correction_id DESC) AS rn FROM mine)
+SELECT field_path, count(*) AS n, string_agg(CASE WHEN rn <= 5 THEN coalesce(extracted_value, '∅') || '>' || corrected_value END, '|' ORDER BY rn) AS examples FROM newest GROUP BY 1""")
+def d03_groups_of_context(s, d):
+    return rollups.field_path_groups(tables.corrections(s, d), utility="City Gas", commodity="electricity")
+
+
+_TOU = ["P4", "p5", "HP Bleu", "rouge hc", "Blanc HP", "P7"]
+
+
+@query("SELECT 'M' || l_suppkey % 20 AS meter_number, ['off_peak','off_peak','peak','off_peak','peak','P7'][l_linenumber % 6 + 1] AS std_period, sum(l_quantity) AS consumption FROM lineitem GROUP BY 1, 2", model=False)
+def x22_more_periods(s, d):
+    li = tables.load(s, d, "lineitem")
+    return usage.tou_periods(li.select(F.concat(F.lit("M"), (F.col("l_suppkey") % 20).cast("string")).alias("meter_number"), tables.pick(F.col("l_linenumber") % 6, *_TOU).alias("period"), F.col("l_quantity").alias("consumption")))
+
+
+@query(f"""{_B16.rstrip()}, f AS (SELECT extraction_id, count(*) AS f, count(*) FILTER (WHERE category = 'energy') AS ff, count(*) FILTER (WHERE case_no = 2) AS c, count(*) FILTER (WHERE case_no = 2 AND category = 'energy') AS cf FROM charges GROUP BY 1),
+d AS (SELECT extraction_id, count(*) AS d, count(*) FILTER (WHERE correction_id % 4 = 0) AS dc FROM corrections GROUP BY 1), c AS (SELECT extraction_id, sum(input_tokens) * 0.001 AS cost FROM calls GROUP BY 1)
+SELECT strftime(created_at, '%Y-%m') AS month, commodity_type, count(*) AS n_bills, round(avg((confidence_tier = 'auto_accept')::INT), 6) AS auto_accept_rate, round(avg((extraction_id % 3 <> 0)::INT), 6) AS format_coverage, round(sum(cf) / nullif(sum(ff), 0), 6) AS fatal_rate, round(1 - sum(c) / nullif(sum(f), 0), 6) AS field_accuracy,
+  round(sum(dc) / nullif(sum(d), 0), 6) AS drift_rate, round(sum(coalesce(cost, 0) + 0.01 + CASE WHEN confidence_tier = 'auto_accept' THEN 0 ELSE 2 END) / count(*), 4)::DOUBLE AS blended_cost FROM {_TIERED} LEFT JOIN f USING (extraction_id) LEFT JOIN d USING (extraction_id) LEFT JOIN c USING (extraction_id) GROUP BY 1, 2""")
+def x14_kpi_report(s, d):
+    bills = tiered(s, d).withColumn("known_format", F.col("extraction_id") % 3 != 0)
+    fields = tables.charges(s, d).select("extraction_id", (F.col("case_no") == 2).alias("corrected"), (F.col("category") == "energy").alias("fatal"))
+    changes = tables.corrections(s, d).select("extraction_id", (F.col("correction_id") % 4 == 0).alias("changed"))
+    spent = tables.calls(s, d).select("extraction_id", (F.col("input_tokens") * F.lit("0.001").cast("decimal(4,3)")).alias("cost"))
+    return rollups.kpi_report(bills, fields, changes, spent)
+
+
+@query("""SELECT correction_id, 'utility' AS field, 'length' AS rule, (length(utility) * 30)::VARCHAR AS actual FROM corrections WHERE correction_id % 10 = 0 UNION ALL SELECT correction_id, 'correction_category', 'listed', correction_category FROM corrections WHERE correction_category IN ('', 'ocr_confusion')
+UNION ALL SELECT correction_id, 'confidence', 'range', '1.5' FROM corrections WHERE correction_id % 7 = 0 UNION ALL SELECT correction_id, 'read_type', 'listed', 'guessed' FROM corrections WHERE correction_id % 6 = 1""")
+def v20_all_domains(s, d):
+    key = F.col("correction_id")
+    rows = tables.corrections(s, d).withColumn("utility", F.when(key % 10 == 0, F.repeat("utility", F.lit(30))).otherwise(F.col("utility"))).withColumn("confidence", F.when(key % 7 == 0, 1.5).when(key % 7 == 1, 1.0)).withColumn("read_type", F.when(key % 6 == 1, "guessed").otherwise("actual"))
+    return validate.out_of_domain(rows, "correction_id")
+
+
+@query("SELECT country_code, count(*) AS n, count(*) FILTER (WHERE vat_rate > 0.05) AS n_changed, round(max(vat_rate), 4)::DOUBLE AS top FROM charges JOIN extractions USING (extraction_id) GROUP BY 1")
+def v13_rates_changed(s, d):
+    """Rates of lines, those above 5 % printed as percentages."""
+    lines = tables.charges(s, d).select("extraction_id", F.when(F.col("vat_rate") > F.lit("0.05").cast("decimal(4,2)"), F.col("vat_rate").cast("decimal(9,4)") * 100).otherwise(F.col("vat_rate")).cast("decimal(9,4)").alias("vat_rate"))
+    both = validate.normalized_rates(lines).hint("merge").join(tables.extractions(s, d).select("extraction_id", "country_code").hint("merge"), "extraction_id")
+    return both.groupBy("country_code").agg(F.count(F.lit(1)).alias("n"), F.count_if("rate_changed").alias("n_changed"), F.round(F.max("vat_rate"), 4).cast("double").alias("top"))
