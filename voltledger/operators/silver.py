@@ -29,8 +29,26 @@ TOTALS = ["supply_subtotal", "distribution_subtotal", "taxes_subtotal", "current
 FORMATS = ["yyyy-M-d", "d/M/yyyy", "M/d/yyyy", "d-M-yyyy", "d.M.yyyy"]
 
 
+# Fields of a child that its table reads: they are looked up once a child, each a variant.
+FIELDS = {
+    "charges": ["line_id", "description", "category", "subcategory", "charge_owner", "charge_section", "quantity", "rate", "amount", "charge_period", "applies_to_meter", "vat_rate", "vat_category", "math_check"],
+    "meters": ["meter_number", "service_point_id", "read_type", "read_date_start", "read_date_end", "previous_read", "current_read", "generation", "net_consumption", "multiplier", "loss_factor", "consumption", "demand", "tou_breakdown"],
+    "vat": ["vat_rate", "vat_category", "taxable_base", "vat_amount"],
+    "tou": ["period", "consumption", "demand"],
+}
+PLACES = {"charges": "charges", "meters": "meters", "vat": "totals.vat_summary"}
+
+
 def _at(v: str, path: str, kind: str) -> str:
-    return f"try_variant_get({v}, '$.{path}', '{kind}')"
+    """The value at a path of the document, or of a child, whose fields are columns of v."""
+    if v == "document":
+        return f"try_variant_get({v}, '$.{path}', '{kind}')"
+    field, _, rest = path.partition(".")
+    return f"try_variant_get({v}.{field}, '${'.' * bool(rest)}{rest}', '{kind}')"
+
+
+def _list(of: str) -> str:
+    return f"array<struct<{', '.join(f'{name}: variant' for name in FIELDS[of])}>>"
 
 
 def _given(v: str, path: str) -> str:
@@ -39,7 +57,7 @@ def _given(v: str, path: str) -> str:
 
 
 def _object(v: str, path: str) -> str:
-    return f"coalesce(schema_of_variant({_at(v, path, 'variant')}) LIKE 'OBJECT%', false)"
+    return f"({_at(v, path, 'struct<value: variant>')} IS NOT NULL)"
 
 
 def _value(v: str, path: str, kind: str) -> str:
@@ -76,13 +94,12 @@ def _no_number(v: str, path: str, kind: str = "double") -> str:
 
 def _bad_value(v: str, path: str) -> str:
     """Given with something that isn't null and not a number."""
-    text = _value(v, path, "string")
-    return f"(({text}) IS NOT NULL AND ({_value(v, path, 'double')}) IS NULL)"
+    return f"(({_value(v, path, 'double')}) IS NULL AND ({_value(v, path, 'string')}) IS NOT NULL)"
 
 
 def _bad_confidence(v: str, path: str) -> str:
     c = _at(v, f"{path}.confidence", "double")
-    return f"({_object(v, path)} AND ({_no_number(v, path + '.confidence')} OR coalesce({c} < 0 OR {c} > 1, false)))"
+    return f"({_given(v, path + '.confidence')} AND exists(array({c}), c -> coalesce(c < 0 OR c > 1, true)))"
 
 
 def _bad_money(v: str, path: str) -> str:
@@ -103,18 +120,18 @@ def _first(**problems: str) -> str:
     return f"CASE {' '.join(f"WHEN {test} THEN '{name}'" for name, test in problems.items())} END"
 
 
-def _children(path: str, fields: dict[str, str], problem: str) -> str:
-    """SQL of an array with the fields of each child, its place from 0, its problem (null if none) and, with one, its JSON."""
-    each = ", ".join(f"'{name}', {sql}" for name, sql in fields.items())
-    checked = f"CASE WHEN coalesce(schema_of_variant(x) LIKE 'OBJECT%', false) THEN {problem} ELSE 'form' END"
-    return f"transform({_at('document', path, 'array<variant>')}, (x, i) -> named_struct('place', i, {each}, 'problem', {checked}, 'raw', to_json(x)))"
+def _children(of: str, problem: str) -> str:
+    """SQL of an array of the children in their places from 0, each with its fields (x, null if it is no object) and its problem (null if none)."""
+    checked = f"CASE WHEN x IS NULL THEN 'form' ELSE {problem} END"
+    return f"transform({_at('document', PLACES[of], _list(of))}, (x, i) -> named_struct('place', i, 'x', x, 'problem', {checked}))"
 
 
-def _charges() -> str:
+def _charges() -> tuple[dict[str, str], str]:
+    """SQL of the fields of a child x in its place, and of its problem."""
     period = f"{_object('x', 'charge_period')} AND coalesce({_at('x', 'charge_period.start', 'string')}, '') <> '' AND coalesce({_at('x', 'charge_period.end', 'string')}, '') <> ''"
     day = lambda p: f"CASE WHEN {period} THEN {_day(_at('x', f'charge_period.{p}', 'string'), FORMATS[:1])} END"
     fields = {
-        "line_id": f"coalesce({_at('x', 'line_id', 'string')}, format_string('L%03d', i + 1))",
+        "line_id": f"coalesce({_at('x', 'line_id', 'string')}, concat('L', lpad(cast(place + 1 as string), greatest(3, length(cast(place + 1 as string))), '0')))",
         "description": f"coalesce({_value('x', 'description', 'string')}, '')", "description_confidence": _confidence("x", "description"),
         "category": _name("x", "category", "other"), "subcategory": _at("x", "subcategory", "string"),
         "charge_owner": _name("x", "charge_owner", "utility"), "charge_section": _name("x", "charge_section", "other"),
@@ -130,16 +147,16 @@ def _charges() -> str:
         amount=_bad_money("x", "amount"), description=_bad_confidence("x", "description"), category=_unlisted("x", "category", default="other"), charge_owner=_unlisted("x", "charge_owner"), charge_section=_unlisted("x", "charge_section", default="other"),
         quantity=_bad_value("x", "quantity"), rate=_bad_value("x", "rate"),
         charge_period=f"({period} AND ({_bad_day('x', 'charge_period.start')} OR {_bad_day('x', 'charge_period.end')} OR {_unlisted('x', 'attribution_type', 'charge_period.attribution_type')}))",
-        vat_rate=f"({_at('x', 'vat_rate', 'string')} IS NOT NULL AND {_at('x', 'vat_rate', 'double')} IS NULL)", vat_category=f"coalesce({_at('x', 'vat_category', 'string')} NOT IN ('', {listed}), false)",
+        vat_rate=f"({_at('x', 'vat_rate', 'double')} IS NULL AND {_at('x', 'vat_rate', 'string')} IS NOT NULL)", vat_category=f"coalesce({_at('x', 'vat_category', 'string')} NOT IN ('', {listed}), false)",
     )
-    return _children("charges", fields, problem)
+    return fields, problem
 
 
-def _meters() -> str:
+def _meters() -> tuple[dict[str, str], str]:
     has_demand = f"{_object('x', 'demand')} AND coalesce({_at('x', 'demand.value', 'string')} NOT IN ('', '0', '0.0'), false)"
     with_demand = lambda sql: f"CASE WHEN {has_demand} THEN {sql} END"
     period = f"named_struct('period', coalesce({_at('t', 'period', 'string')}, ''), 'consumption', {_value('t', 'consumption', 'double')}, 'confidence', {_confidence('t', 'consumption')}, 'demand', {_optional('t', 'demand')})"
-    rows = _at("x", "tou_breakdown", "array<variant>")
+    rows = _at("x", "tou_breakdown", _list("tou"))
     day = lambda p: _day(_at("x", p, "string"), FORMATS[:1])
     plain = ["previous_read", "current_read", "generation", "net_consumption"]
     fields = {
@@ -151,25 +168,28 @@ def _meters() -> str:
         "demand_value": with_demand(_at("x", "demand.value", "double")), "demand_unit": with_demand(f"coalesce({_at('x', 'demand.unit', 'string')}, 'kW')"), "demand_type": with_demand(_name("x", "demand_type", "non_coincident", "demand.demand_type")),
         "tou": f"transform({rows}, t -> {period})",
     }
-    bad_plain = " OR ".join(f"({_at('x', c, 'string')} IS NOT NULL AND {_at('x', c, 'double')} IS NULL)" for c in plain)
+    bad_plain = " OR ".join(f"({_at('x', c, 'double')} IS NULL AND {_at('x', c, 'string')} IS NOT NULL)" for c in plain)
     problem = _first(
         consumption=f"(({_given('x', 'consumption')} AND NOT {_object('x', 'consumption')}) OR {_no_number('x', 'consumption.raw_value')})", meter_number=_bad_confidence("x", "meter_number"), read_type=_unlisted("x", "read_type"),
         read_dates=f"({_bad_day('x', 'read_date_start')} OR {_bad_day('x', 'read_date_end')})", reads=f"({bad_plain})", multiplier=f"({_bad_value('x', 'multiplier')} OR {_bad_value('x', 'loss_factor')})",
         demand=f"({has_demand} AND ({_at('x', 'demand.value', 'double')} IS NULL OR {_unlisted('x', 'demand_type', 'demand.demand_type')}))", tou_breakdown=f"exists({rows}, t -> coalesce({_value('t', 'consumption', 'double')} IS NULL, true))",
     )
-    return _children("meters", fields, problem)
+    return fields, problem
 
 
-def _vat() -> str:
+def _vat() -> tuple[dict[str, str], str]:
     fields = {"vat_rate": f"coalesce({_at('x', 'vat_rate', 'double')}, 0.0D)", "vat_category": _name("x", "vat_category", "standard"), "taxable_base": _money("x", "taxable_base"), "vat_amount": _money("x", "vat_amount")}
     wrong = lambda p: f"({_no_number('x', p + '.value', MONEY)} OR {_bad_confidence('x', p)})"
-    return _children("totals.vat_summary", fields, _first(vat_rate=_no_number("x", "vat_rate"), vat_category=_unlisted("x", "vat_category"), taxable_base=wrong("taxable_base"), vat_amount=wrong("vat_amount")))
+    return fields, _first(vat_rate=_no_number("x", "vat_rate"), vat_category=_unlisted("x", "vat_category"), taxable_base=wrong("taxable_base"), vat_amount=wrong("vat_amount"))
+
+
+KINDS = {"charges": _charges, "meters": _meters, "vat": _vat}
 
 
 def projected(documents: DataFrame) -> DataFrame:
     """documents (extraction_id, document as a variant): one row each with the bill's fields and arrays of charges, meters, vat
-    and totals, children in their places with their problems. A document that is null or no object has null fields and
-    no children."""
+    and totals, children in their places with their problems; a view reads the rest of a child's fields. _charges, _meters and _vat
+    are the children as they came. A document that is null or no object has null fields and no children."""
     text = lambda p: f"coalesce({_value('document', p, 'string')}, '')"
     day = lambda p: _day(_value("document", p, "string"), FORMATS)
     sure = lambda p, v: f"CASE WHEN {v} IS NULL THEN 0.0D ELSE {_confidence('document', p)} END"
@@ -183,20 +203,24 @@ def projected(documents: DataFrame) -> DataFrame:
     for c in ("account_number", "customer_name", "service_address", "utility_provider"):
         columns |= {c: text(f"account.{c}"), f"{c}_confidence": _confidence("document", f"account.{c}")}
     columns |= {c: f"coalesce({_at('document', f'totals.{c}', 'boolean')}, false)" for c in ("minimum_bill_applied", "reverse_charge_applied")}
-    one = lambda c: f"named_struct('name', '{c}', 'given', coalesce(schema_of_variant({_at('document', f'totals.{c}', 'variant')}) LIKE 'OBJECT<_%>', false), 'value', {_money('document', f'totals.{c}')}, 'currency', coalesce({_at('document', f'totals.{c}.currency', 'string')}, 'USD'), 'confidence', coalesce({_at('document', f'totals.{c}.confidence', 'double')}, 0.9D), 'problem', CASE WHEN {_no_number('document', f'totals.{c}.value', MONEY)} OR {_bad_confidence('document', f'totals.{c}')} THEN 'value' END, 'raw', to_json({_at('document', f'totals.{c}', 'variant')}))"
-    columns |= {"charges": _charges(), "meters": _meters(), "vat": _vat(), "totals": f"filter(array({', '.join(map(one, TOTALS))}), t -> t.given)"}
-    columns["problem"] = f"CASE WHEN NOT coalesce(schema_of_variant(document) LIKE 'OBJECT%', false) THEN 'form' WHEN {_unlisted('document', 'statement_type', 'invoice.statement_type')} THEN 'statement_type' END"
+    sums = ", ".join(f"named_struct('name', '{c}', 'x', {_at('document', f'totals.{c}', 'variant')})" for c in TOTALS)
+    given = f"filter(array({sums}), t -> coalesce(size({_at('t', 'x', 'map<string, variant>')}) > 0, false))"
+    one = f"named_struct('name', t.name, 'value', {_money('t', 'x')}, 'currency', coalesce({_at('t', 'x.currency', 'string')}, 'USD'), 'confidence', coalesce({_at('t', 'x.confidence', 'double')}, 0.9D), 'problem', CASE WHEN {_no_number('t', 'x.value', MONEY)} OR {_bad_confidence('t', 'x')} THEN 'value' END, 'x', t.x)"
+    columns |= {**{of: _children(of, read()[1]) for of, read in KINDS.items()}, **{f"_{of}": _at("document", path, "array<variant>") for of, path in PLACES.items()}, "totals": f"transform({given}, t -> {one})"}
+    columns["problem"] = f"CASE WHEN try_variant_get(document, '$', 'struct<value: variant>') IS NULL THEN 'form' WHEN {_unlisted('document', 'statement_type', 'invoice.statement_type')} THEN 'statement_type' END"
     return documents.selectExpr("extraction_id", *(f"{sql} AS {name}" for name, sql in columns.items()))
 
 
 def bill_rows(whole: DataFrame) -> DataFrame:
     """One row per document, one whose form or statement type isn't known included, with its problem."""
     kept = lambda c: F.size(F.filter(F.coalesce(c, F.array()), lambda x: x["problem"].isNull()))
-    return whole.select("*", kept("charges").alias("n_charges"), kept("meters").alias("n_meters")).drop("charges", "meters", "vat", "totals")
+    return whole.select("*", kept("charges").alias("n_charges"), kept("meters").alias("n_meters")).drop(*PLACES, *(f"_{of}" for of in PLACES), "totals")
 
 
 def _rows(whole: DataFrame, of: str) -> DataFrame:
-    return whole.select("extraction_id", F.inline(F.filter(of, lambda x: x["problem"].isNull()))).drop("problem", "raw", "given")
+    """Children without a problem, a row each, their fields read after that."""
+    rows = whole.select("extraction_id", F.inline(of)).where("problem IS NULL")
+    return rows.selectExpr("extraction_id", "place", *(f"{sql} AS {name}" for name, sql in KINDS[of]()[0].items()))
 
 
 def charge_lines(whole: DataFrame) -> DataFrame:
@@ -214,7 +238,7 @@ def tou_rows(whole: DataFrame) -> DataFrame:
 
 def total_rows(whole: DataFrame) -> DataFrame:
     """One row per sum that the document gives as an object that isn't empty."""
-    return _rows(whole, "totals")
+    return whole.select("extraction_id", F.inline(F.filter("totals", lambda x: x["problem"].isNull()))).drop("problem", "x")
 
 
 def vat_rows(whole: DataFrame) -> DataFrame:
@@ -223,7 +247,7 @@ def vat_rows(whole: DataFrame) -> DataFrame:
 
 def skipped(whole: DataFrame) -> DataFrame:
     """extraction_id, kind, place, problem, raw: everything that the tables leave out; a sum has no place, a whole document neither."""
-    child = lambda of: F.transform(F.filter(of, lambda x: x["problem"].isNotNull()), lambda x: F.struct(F.lit(of).alias("kind"), x["place"].alias("place"), x["problem"].alias("problem"), x["raw"].alias("raw")))
-    sums = F.transform(F.filter("totals", lambda x: x["problem"].isNotNull()), lambda x: F.struct(F.lit("totals").alias("kind"), F.lit(None).cast("int").alias("place"), x["name"].alias("problem"), x["raw"].alias("raw")))
+    child = lambda of: F.transform(F.filter(of, lambda x: x["problem"].isNotNull()), lambda x: F.struct(F.lit(of).alias("kind"), x["place"].alias("place"), x["problem"].alias("problem"), F.to_json(F.get(f"_{of}", x["place"])).alias("raw")))
+    sums = F.transform(F.filter("totals", lambda x: x["problem"].isNotNull()), lambda x: F.struct(F.lit("totals").alias("kind"), F.lit(None).cast("int").alias("place"), x["name"].alias("problem"), F.to_json(x["x"]).alias("raw")))
     own = F.when(F.col("problem").isNotNull(), F.array(F.struct(F.lit("document").alias("kind"), F.lit(None).cast("int").alias("place"), F.col("problem"), F.lit(None).cast("string").alias("raw"))))
     return whole.select("extraction_id", F.inline(F.concat(*(F.coalesce(x, F.array()) for x in (child("charges"), child("meters"), child("vat"), sums, own)))))

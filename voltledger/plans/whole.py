@@ -12,7 +12,9 @@ from .reviews import _TIERED, query, tiered
 
 
 def _json(form: str, *columns: str) -> Column:
-    return F.format_string(form, *(F.col(c) for c in columns))
+    """form with each %s replaced by a column in turn; null reads null."""
+    parts = form.split("%s")
+    return F.concat(F.lit(parts[0]), *(x for c, after in zip(columns, parts[1:], strict=True) for x in (F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(after))))
 
 
 def whole_documents(s: SparkSession, d: str) -> DataFrame:
@@ -22,19 +24,19 @@ def whole_documents(s: SparkSession, d: str) -> DataFrame:
     n = F.col("line_number") % 6
     c = tables.charges(s, d).withColumn("number", F.col("amount").cast("string"))
     line = (
-        F.when(n == 0, _json('{"line_id":"X%d","description":{"value":"%s","confidence":0.8},"category":"%s","charge_owner":"%s","charge_section":"%s","quantity":{"value":%s},"rate":%s,"amount":{"value":%s,"currency":"EUR","confidence":0.7},"charge_period":{"start":"2024-01-01","end":"2024-1-31"}}', "line_number", "category", "category", "charge_owner", "charge_section", "quantity", "rate", "number"))
+        F.when(n == 0, _json('{"line_id":"X%s","description":{"value":"%s","confidence":0.8},"category":"%s","charge_owner":"%s","charge_section":"%s","quantity":{"value":%s},"rate":%s,"amount":{"value":%s,"currency":"EUR","confidence":0.7},"charge_period":{"start":"2024-01-01","end":"2024-1-31"}}', "line_number", "category", "category", "charge_owner", "charge_section", "quantity", "rate", "number"))
         .when(n == 1, _json('{"description":"%s","amount":{"value":"%s"}}', "category", "number"))
         .when(n == 2, _json('{"category":"listed nowhere","amount":{"value":%s}}', "number"))
         .when(n == 3, F.lit('{"amount":{"value":null}}'))
         .when(n == 4, _json('{"category":"%s","amount":{"value":%s,"confidence":0.5}}', "category", "number"))
         .otherwise(_json('{"amount":{"value":%s},"charge_period":{"start":"31/01/2024","end":"2024-01-31"}}', "number"))
     )
-    lines = c.groupBy("extraction_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_number", "amount", "category", "charge_owner", "charge_section", line.alias("j")))), lambda x: x["j"]), ",").alias("lines"))
+    lines = c.groupBy("extraction_id").agg(F.array_join(F.sort_array(F.collect_list(F.struct("line_number", "amount", "category", "charge_owner", "charge_section", line.alias("j"))))["j"], ",").alias("lines"))
     key = F.col("extraction_id")
     bills = tables.extractions(s, d).select("extraction_id", "utility_provider", F.col("stated_total").cast("string").alias("total"), F.date_format("created_at", "dd.MM.yyyy").alias("day"), (key % 500).alias("m"), F.when(key % 7 == 0, "unheard of").otherwise("final").alias("kind"), F.when(key % 5 == 0, ',{"read_type":"guessed"}').otherwise("").alias("more"))
     text = _json(
-        '{"invoice":{"invoice_number":%d,"invoice_date":{"value":"%s","confidence":0.75},"statement_type":"%s"},"account":{"utility_provider":{"value":"%s","confidence":1.0}},"charges":[%s],'
-        '"meters":[{"meter_number":"M%d","consumption":{"raw_value":%d},"demand":{"value":%d},"tou_breakdown":[{"period":"P1","consumption":%d},{"period":"P2","consumption":{"value":1.5,"confidence":0.25}}]}%s],'
+        '{"invoice":{"invoice_number":%s,"invoice_date":{"value":"%s","confidence":0.75},"statement_type":"%s"},"account":{"utility_provider":{"value":"%s","confidence":1.0}},"charges":[%s],'
+        '"meters":[{"meter_number":"M%s","consumption":{"raw_value":%s},"demand":{"value":%s},"tou_breakdown":[{"period":"P1","consumption":%s},{"period":"P2","consumption":{"value":1.5,"confidence":0.25}}]}%s],'
         '"totals":{"total_amount_due":{"value":%s},"late_fees":{},"current_charges":7,"total_net":{"value":"n"},"vat_summary":[{"vat_rate":0.19,"taxable_base":{"value":%s},"vat_amount":3},{"vat_category":"odd"}]}}',
         "extraction_id", "day", "kind", "utility_provider", "lines", "m", "extraction_id", "m", "m", "more", "total", "total",
     )
