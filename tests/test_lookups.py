@@ -53,3 +53,14 @@ def test_ten_thousand_names_without_a_nested_loop(spark):
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
     got = {(x["text"], x["ordinal"]) for x in found.collect()}
     assert got == {(f"a NAME {33 * i} b", int(str(33 * i)[:n])) for i in range(300) for n in range(1, len(str(33 * i)) + 1) if i or n == 1}
+
+
+def test_many_names_leave_texts_where_they_are(spark, monkeypatch):
+    """With more names than are broadcast, words travel to the names, the characters of a text don't."""
+    monkeypatch.setattr(names, "FEW", 100)
+    listed = spark.range(400).selectExpr("cast(id as int) AS ordinal", "concat('name ', id) AS name").unionByName(spark.createDataFrame([(900, "name 7"), (901, "name 7"), (902, "")], "ordinal int, name string"))
+    texts = spark.createDataFrame([("x Name 71 name 7",), ("x Name 71 name 7",), ("na",), ("",), (None,)], "text string")
+    found = names.contained(texts, listed)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1
+    assert sorted((x["text"], x["ordinal"]) for x in found.collect()) == sorted([("x Name 71 name 7", i) for i in (7, 71, 900, 901, 902)] + [("na", 902), ("", 902)])
