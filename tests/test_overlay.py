@@ -24,3 +24,18 @@ def test_values_at_paths_of_a_table(spark):
     asked = spark.createDataFrame([(1, "a.b[0]"), (1, "a.b[1].c"), (1, "a.b[2]"), (1, "d"), (1, "d.e"), (1, "a"), (1, None), (2, "a"), (3, "a"), (1, "d")], "extraction_id long, path string")
     got = sorted((tuple(r) for r in documents.values_at(table, asked).collect()), key=str)
     assert got == sorted([(1, "a.b[0]", "1"), (1, "a.b[1].c", None), (1, "a.b[2]", "x"), (1, "d", "true"), (1, "d", "true"), (1, "d.e", None), (1, "a", None), (1, None, None), (2, "a", None), (3, "a", None)], key=str)
+
+
+def test_leaves_stay_beside_their_documents(spark):
+    """A document's leaves are many times its rows: what is laid over or asked for comes to the document before it is flattened."""
+    table = docs(spark, (1, '{"a": {"value": "1"}, "l": [[], {}, [2]]}'), (2, "{}"))
+    edits = spark.createDataFrame([(1, 1, "a", "2", 1), (2, 1, "l", "3", 1)], "correction_id long, extraction_id long, field_path string, corrected_value string, created_at int")
+    asked = spark.createDataFrame([(1, "l[2][0]"), (2, "a")], "extraction_id long, path string")
+    for rows in (documents.overlaid(table, edits), documents.values_at(table, asked)):
+        plan = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "schema_of_variant" not in plan
+        lines = plan.splitlines()
+        deep = [i for i, line in enumerate(lines) if "Generate inline" in line]
+        assert any("strategy=shuffle_hash" in line for line in lines[max(deep) :])
+    assert {(r["path"], r["value"]) for r in documents.overlaid(table, edits).collect()} == {("a.value", "2"), ("l[2][0]", "2")}
+    assert {tuple(r) for r in documents.values_at(table, asked).collect()} == {(1, "l[2][0]", "2"), (2, "a", None)}

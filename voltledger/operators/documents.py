@@ -92,23 +92,30 @@ def values_at(documents: DataFrame, asked: DataFrame, depth: int = 12) -> DataFr
     """asked (extraction_id, path) with value: what the document has at the path, which comes in a column, keys joined by dots and places in
     arrays as [i]; null where it has nothing or no single value there, and for a null path."""
     wanted = asked.select("extraction_id", "path")
-    there = documents.hint("merge").join(wanted.select("extraction_id").distinct().hint("merge"), "extraction_id", "left_semi")
-    leaves = drift.flatten(there, depth=depth).groupBy("extraction_id", "path").agg(F.max("value").alias("value"))
-    return wanted.hint("merge").join(leaves.hint("merge"), ["extraction_id", "path"], "left")
+    by_document = wanted.where("path is not null").groupBy("extraction_id").agg(F.collect_set("path").alias("asked"))
+    # leaves that nobody asks for go no further, and documents, the wider side, aren't sorted
+    held = documents.select("extraction_id", "document").join(by_document.hint("shuffle_hash"), "extraction_id")
+    leaves = drift.flatten(held, ["extraction_id", "asked"], depth=depth).where(F.expr("array_contains(asked, path)"))
+    found = leaves.groupBy("extraction_id", "path").agg(F.max("value").alias("value"))
+    return wanted.hint("merge").join(found.hint("merge"), ["extraction_id", "path"], "left")
 
 
 def overlaid(documents: DataFrame, corrections: DataFrame, depth: int = 12) -> DataFrame:
     """extraction_id, path, value, corrected: the leaves of documents with the last correction of each field laid over them, at its
     field_path and `.value`. A correction replaces all that is at its path and adds paths that the document lacks; one whose path leads
     through a single value or an array is passed over. Corrections of unknown documents are left out. A document's corrections, one a
-    field, come together; its leaves don't."""
+    field, come together and go with it; its leaves stay where it is."""
     edits = corrections.groupBy("extraction_id", "field_path").agg(F.max_by("corrected_value", F.struct("created_at", "correction_id")).alias("value"))
     edits = edits.where("field_path is not null").select("extraction_id", F.concat("field_path", F.lit(".value")).alias("path"), "value")
     by_document = edits.groupBy("extraction_id").agg(F.collect_list("path").alias("edited"))
-    leaves = drift.flatten(documents, depth=depth).hint("merge").join(by_document.hint("merge"), "extraction_id", "left")
+    # corrections meet documents, not their leaves, which are many times as many rows
+    held = documents.select("extraction_id", "document").join(by_document.hint("shuffle_hash"), "extraction_id", "left")
+    leaves = drift.flatten(held, ["extraction_id", "edited"], depth=depth)
     base = F.concat(F.substring_index("path", "[", 1), F.lit("."))
-    blocked = leaves.select("extraction_id", F.explode(F.filter("edited", lambda e: F.startswith(e, base))).alias("path")).distinct()
-    laid = edits.join(blocked.hint("merge"), ["extraction_id", "path"], "left_anti").join(documents.select("extraction_id").distinct().hint("merge"), "extraction_id", "left_semi")
+    changed = documents.select("extraction_id", "document").join(by_document.hint("shuffle_hash"), "extraction_id")
+    blocked = drift.flatten(changed, ["extraction_id", "edited"], depth=depth).select("extraction_id", F.explode(F.filter("edited", lambda e: F.startswith(e, base))).alias("path")).distinct()
+    known = changed.select("extraction_id").distinct()
+    laid = edits.join(blocked.hint("merge"), ["extraction_id", "path"], "left_anti").join(known.hint("merge"), "extraction_id", "left_semi")
     replaced = F.exists("edited", lambda e: (F.col("path") == e) | F.startswith(F.col("path"), F.concat(e, F.lit("."))) | F.startswith(F.col("path"), F.concat(e, F.lit("["))))
     stay = leaves.where(~F.coalesce(replaced, F.lit(False))).select("extraction_id", "path", "value", F.lit(False).alias("corrected"))
     return stay.unionByName(laid.select("extraction_id", "path", "value", F.lit(True).alias("corrected")))
