@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from voltledger.operators import documents
+from voltledger.operators import documents, drift
 
 
 def docs(spark, *rows):
@@ -39,3 +39,11 @@ def test_leaves_stay_beside_their_documents(spark):
         assert any("strategy=shuffle_hash" in line for line in lines[max(deep) :])
     assert {(r["path"], r["value"]) for r in documents.overlaid(table, edits).collect()} == {("a.value", "2"), ("l[2][0]", "2")}
     assert {tuple(r) for r in documents.values_at(table, asked).collect()} == {(1, "l[2][0]", "2"), (2, "a", None)}
+
+
+def test_flattening_asks_for_no_schemas(spark):
+    """A schema is made of all that lies below a value, so a document would be walked once a level."""
+    table = docs(spark, (1, '{"a": [], "o": {}, "l": [1, [true, null], {"x": "y"}]}'), (2, "[3]"), (3, "4"))
+    leaves = drift.flatten(table, depth=2, lengths=True)
+    assert "schemaofvariant" not in leaves._jdf.queryExecution().optimizedPlan().toString().lower().replace("_", "")
+    assert {tuple(r) for r in leaves.collect()} == {(1, "a[]", "0"), (1, "l[]", "3"), (1, "l[0]", "1"), (1, "l[1]", "[true,null]"), (1, "l[2]", '{"x":"y"}'), (2, "[]", "1"), (2, "[0]", "3"), (3, "", "4")}
