@@ -254,3 +254,12 @@ def test_forms_as_bills_have_them(spark):
     of = lambda p, a, b: one(learn.correction_category(F.lit(p), F.lit(a), F.lit(b)))
     assert [of("due_date", "21 AGO 23", "21 ago 25"), of("due_date", "21 AGO 23", "22 AGO 25"), of("note", "21 AGO 23", "21 AGO 25"), of("x", " 1ENO ", "1E"), of("x", "  ", "a")] == ["wrong_on_document", "other", "other", "format_normalize", "other"]
     assert one(complexity.complexity_score(F.array().cast("array<string>"), F.lit(31), F.lit(6), F.lit(True), F.lit(None).cast("boolean"), F.lit(True))) == 8
+
+
+def test_issues_are_worked_out_where_there_are_any():
+    """Most rows have no issue; what it says and its field's weight aren't made for them."""
+    from voltledger.operators import rules
+
+    for one in rules.RULES:
+        sql = one.issue()
+        assert sql.startswith("CASE WHEN ") and sql.index("IS NOT NULL THEN named_struct(") < sql.index("'rule_id'")

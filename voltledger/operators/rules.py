@@ -40,8 +40,10 @@ class Rule:
         return getattr(self, of).format(r=r, base=base)
 
     def issue(self, r: str = "") -> str:
+        """What the issue says is worked out only where there is one."""
         said = ", ".join(f"'{x}', cast({self.sql(x, r)} as string)" for x in ("expected", "actual"))
-        return f"named_struct('rule_id', '{self.name}', 'field', {self.sql('field', r)}, 'severity', CASE WHEN {self.gate} THEN {self.sql('severity', r)} END, {said}, 'weight', {weight_sql(self.sql('field', r))})"
+        found = f"named_struct('rule_id', '{self.name}', 'field', {self.sql('field', r)}, 'severity', {self.sql('severity', r)}, {said}, 'weight', {weight_sql(self.sql('field', r))})"
+        return f"CASE WHEN {self.gate} AND ({self.sql('severity', r)}) IS NOT NULL THEN {found} END"
 
 
 def _when(test: str, level: str = "warning") -> str:
@@ -82,7 +84,7 @@ def issues_of(on: str, over: str | None = None) -> Column:
     """Array of the issues that the rules on this kind of row find, each with the weight of its field. The row's columns stand beside base and the gates, or,
     with over, in the elements of that array."""
     each = [f"coalesce(transform({x}, r -> {one.issue('r.')}), cast(array() as {ISSUE}))" if (x := over or one.over) else f"array({one.issue()})" for one in _rules(on)]
-    return F.expr(f"filter(concat({', '.join(each)}), i -> i.severity IS NOT NULL)")
+    return F.expr(f"filter(concat({', '.join(each)}), i -> i IS NOT NULL)")
 
 
 def with_gates(bills: DataFrame) -> DataFrame:
