@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -539,3 +540,27 @@ def test_pipeline(spark, docs, rows, tmp_path):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
     assert sum(r["length"] for r in got if r["doc_id"] == 4) == len(tokenizer.encode(full[4], add_special_tokens=False).ids) + 1
     assert sum(r["length"] for r in got if r["doc_id"] == 71) < len(tokenizer.encode(full[71], add_special_tokens=False).ids)
+
+
+def test_the_latent_space_is_fitted_on_all_texts(spark):
+    rng = random.Random(11)
+    said = [prose(rng, rng.randint(0, 40)) for _ in range(3500)] + [None, "", "onlyhere andhere onlyhere"]
+    item = fold("onlyhere andhere " + prose(rng, 60))
+    hashes = [common.words(*common.joined_bytes(pa.array([w])))[0][0] for w in item.split()]
+    lists = [np.unique(hashes[:30]), np.unique(hashes[30:])]
+    table = spark.createDataFrame([(t,) for t in said], "text string").repartition(3)
+    df, n, together = decontam.corpus_counts(table, lists, 16, 20)
+    word = {int(h): w for h, w in zip(hashes, item.split())}
+    assert n == len(said)
+    for held, got in zip(lists, together):
+        names = [word[int(h)] for h in held]
+        runs = np.array([[part.count(x) for x in names] for t in said for ws in [tokens(t)] for part in (ws[i : i + 16] for i in range(0, len(ws), 16))], float)
+        assert (got == runs.T @ runs).all()
+        assert all(df[decontam.slots(held[k : k + 1], 20)[0]] >= sum(x in tokens(t) for t in said) for k, x in enumerate(names))
+        # of all texts' runs and the items, the leading directions
+        idf = np.linspace(1, 2, len(names))
+        items = np.eye(2, len(names))
+        space = decontam.latent_space(got, items, idf, len(names)).astype(float)
+        u, share, _ = np.linalg.svd(space.T @ (np.diag(idf) @ runs.T @ runs @ np.diag(idf)) @ space)
+        want = np.linalg.eigvalsh(np.diag(idf) @ runs.T @ runs @ np.diag(idf))[::-1]
+        assert np.allclose(share, want, rtol=1e-3, atol=1e-3 * want[0]) and np.allclose(items @ space @ space.T, items, atol=1e-4)

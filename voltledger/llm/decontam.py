@@ -6,14 +6,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, joined_bytes, words
+from .common import Scratch, blocks, joined_bytes, squeezed, unsqueezed, words
 
 #: Items that one pass over the documents looks for; a longer list takes several passes.
 ITEM_BLOCK = 1024
+#: Of a task's counts, how many go together to where they are added up.
+PART = 1 << 14
+#: Pieces, of like length, that share a bound on their products.
+BOUND_PIECES = 16
 
 
 def slots(hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -28,26 +31,70 @@ def runs_of(of: np.ndarray, n: int, stride: int) -> tuple[np.ndarray, np.ndarray
     return (np.cumsum(runs) - runs)[of] + place // stride, np.repeat(np.arange(n), runs)
 
 
-def document_frequencies(docs: DataFrame, bits: int) -> tuple[np.ndarray, int]:
-    """Of each hashed word, how many texts hold it, over all texts; and their number."""
+def add_together(acc: np.ndarray, column: np.ndarray, run: np.ndarray, n: int) -> None:
+    """Adds to acc (n x n, flat), on and above its diagonal, the products of how often two columns stand in a run, run by run. Words
+    without a column have -1; runs are in order."""
+    has = np.flatnonzero(column >= 0)
+    c, of = column[has], run[has]
+    np.add.at(acc, c * (n + 1), np.uint32(1))
+    apart, at = 1, np.arange(len(c))
+    while True:
+        at = at[at + apart < len(c)]
+        at = at[of[at] == of[at + apart]]
+        if not len(at):
+            return
+        x, y = c[at], c[at + apart]
+        np.add.at(acc, np.minimum(x, y) * n + np.maximum(x, y), (1 + (x == y)).astype(np.uint32))
+        apart += 1
+
+
+def corpus_counts(docs: DataFrame, lists: list[np.ndarray], stride: int, bits: int) -> tuple[np.ndarray, int, list[np.ndarray]]:
+    """Over all texts: of each hashed word, how many texts hold it; the number of texts; and for each of lists (words' hashes, in order)
+    the matrix of how often two of its words stand in one run of stride words (the products of their counts, summed over all runs)."""
+    held = np.unique(np.concatenate([np.zeros(0, np.uint64), *lists]))
+    weights, places = Weights(np.zeros(1 << bits, np.float32), held, bits), [columns_in(held, x) for x in lists]
+    edges = np.cumsum([0, 1 << bits, 1, *(len(x) ** 2 for x in lists)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc, n = np.zeros(1 << bits, np.int64), 0
+        acc = np.zeros(edges[-1], np.uint32)
         for b in blocks(batches, "text", 1 << 20):
             h, of, _, _ = words(*joined_bytes(b.column("text")))
             narrow = np.uint32 if b.num_rows << bits < 1 << 32 else np.int64
             seen = np.sort((of << bits | slots(h, bits)).astype(narrow))
             seen = seen[np.insert(seen[1:] != seen[:-1], 0, True)[: len(seen)]].astype(np.int64)
-            acc += np.bincount(seen & ((1 << bits) - 1), minlength=1 << bits)
-            n += b.num_rows
-        at = np.flatnonzero(acc)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(acc[at], n))], ["term", "n"])
-
-    got = docs.select("text").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    at, n = got["term"].to_numpy(), got["n"].to_numpy()
-    out = np.zeros(1 << bits, np.int64)
-    out[at[at >= 0]] = n[at >= 0]
-    return out, int(n[at < 0].sum())
+            np.add.at(acc, seen & ((1 << bits) - 1), np.uint32(1))
+            acc[edges[1]] += b.num_rows
+            if len(held):
+                run_, _ = runs_of(of, b.num_rows, stride)
+                column, _ = weights.look(h)
+                for place, lo, hi, x in zip(places, edges[2:], edges[3:], lists):
+                    add_together(acc[lo:hi], place[column], run_, len(x))
+        for lo in range(0, len(acc), PART):
+            if (part := acc[lo : lo + PART]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([lo // PART]), pa.array([squeezed(part)], pa.binary())], ["part", "n"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = np.zeros(0, np.uint64)
+        for x in t.column("n"):
+            one = unsqueezed(x.as_py(), "<u4")
+            total = total + one if len(total) else one.astype(np.uint64)
+        return pa.table({"part": t.column("part")[:1], "n": pa.array([squeezed(total)], pa.binary())})
+
+    # a group holds one compressed part a task
+    types = "part long, n binary"
+    got = docs.select("text").mapInArrow(run, types).groupBy("part").applyInArrow(add, types).toArrow()
+    out = np.zeros(edges[-1], np.uint64)
+    for part, n in zip(got["part"].to_pylist(), got["n"]):
+        one = unsqueezed(n.as_py(), "<u8")
+        out[part * PART : part * PART + len(one)] = one
+    together = [np.triu(out[lo:hi].reshape(len(x), -1)).astype(np.float64) for lo, hi, x in zip(edges[2:], edges[3:], lists)]
+    return out[: edges[1]].astype(np.int64), int(out[edges[1]]), [x + np.triu(x, 1).T for x in together]
+
+
+def columns_in(held: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """Of each of held, its place in part (-1: none), both in order; and -1 behind them, for words not held."""
+    at = np.minimum(np.searchsorted(part, held), len(part) - 1)
+    return np.append(np.where(part[at] == held, at, -1), -1)
 
 
 class Weights:
@@ -70,19 +117,6 @@ class Weights:
         return column, self.idf[slot]
 
 
-def summed(values: np.ndarray, by: np.ndarray, n: int, step: int = 1 << 15) -> np.ndarray:
-    """values, a function of row numbers lo to hi, added up by their group (in order)."""
-    out = None
-    for lo in range(0, len(by), step):
-        g = by[lo : lo + step]
-        first = np.flatnonzero(np.insert(g[1:] != g[:-1], 0, True))
-        part = np.add.reduceat(values(lo, lo + len(g)), first, axis=0)
-        if out is None:
-            out = np.zeros((n, *part.shape[1:]), np.float32)
-        out[g[first]] += part
-    return out
-
-
 def row_sums(rows: np.ndarray, at: np.ndarray, weight: np.ndarray, by: np.ndarray, n: int, step: int = 1 << 15) -> np.ndarray:
     """rows[at] * weight added up by group (by, in order): the first members of all groups at once, then the second, ..."""
     out = np.zeros((n, rows.shape[1]), np.float32)
@@ -105,14 +139,18 @@ def added_next(x: np.ndarray, text: np.ndarray) -> np.ndarray:
 
 
 def passages(column: np.ndarray, w: np.ndarray, run: np.ndarray, text: np.ndarray, most: np.ndarray, floor: np.ndarray, space: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The passages whose product with some item can reach floor (a bound for each passage), and their latent vectors. No item
-    has more of a column than most: what a passage has of that bounds all its products."""
+    """The passages whose product with some item can reach floor, and their latent vectors. Items come in groups: most (columns x
+    groups) is the most that an item of the group has of a column, floor (passages x groups) what its products must reach. What a
+    passage has of most bounds all its products."""
     none = np.zeros(0, np.int64), np.zeros((0, space.shape[1]), np.float32)
     has = np.flatnonzero(column >= 0)
     if not len(has):
         return none
-    bound = np.bincount(run[has], weights=w[has].astype(float) * most[column[has]], minlength=len(text))
-    at = np.flatnonzero(added_next(bound, text) >= floor * (1 - 1e-6))
+    of = run[has]
+    first = np.flatnonzero(np.insert(of[1:] != of[:-1], 0, True))
+    bound = np.zeros((len(text), most.shape[1]), np.float32)
+    bound[of[first]] = np.add.reduceat(most[column[has]] * w[has, None], first, axis=0)
+    at = np.flatnonzero((added_next(bound, text) >= floor * (1 - 1e-5)).any(axis=1))
     if not len(at):
         return none
     follows = np.zeros(len(text), bool)
@@ -129,57 +167,29 @@ def passages(column: np.ndarray, w: np.ndarray, run: np.ndarray, text: np.ndarra
     return at, out
 
 
-def latent_space(docs: DataFrame, items: np.ndarray, weights: Weights, stride: int, rank: int, sample: int, n_docs: int, scratch: Scratch) -> np.ndarray:
-    """columns x rank: the leading right singular vectors of the TF-IDF matrix A of passages, by randomised SVD: a random
-    start, then twice G -> A'AG with an orthogonal basis in between. Tasks sum A'AG over their passages. A holds the passages
-    of about sample documents, picked by a hash of the text, and the items, each as heavy as all sampled passages together."""
-    rng = np.random.default_rng(7)
-    part = min(1.0, sample / max(n_docs, 1))
-    spark = docs.sparkSession
+def bounds(full: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For passages(): columns x groups, the most that a piece of the group has of a column; and the least of the group's lengths."""
+    order = np.argsort(size, kind="stable")
+    first = np.arange(0, len(order), BOUND_PIECES)
+    return np.ascontiguousarray(np.maximum.reduceat(full[order], first, axis=0).T), size[order][first]
+
+
+def latent_space(together: np.ndarray, items: np.ndarray, idf: np.ndarray, rank: int) -> np.ndarray:
+    """columns x rank: the leading right singular vectors of the TF-IDF matrix A of the runs of all texts and of the items, by
+    randomised SVD: a random start, then twice G -> A'AG with an orthogonal basis in between. Of the texts' part of A'A, together holds
+    the sums of products of counts, idf the columns' weights. Each item is as heavy as all texts together."""
     columns = items.shape[1]
     width = min(columns, rank + 8)
     if not width:
         return np.zeros((0, 0), np.float32)
-    picked = scratch.put(docs.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(part * (1 << 20))).select("text"), "sample")
-    basis = np.linalg.qr(rng.standard_normal((columns, width)))[0].astype(np.float32)
-    out = basis
+    items = items.astype(np.float64)
+    own = together * idf[:, None] * idf
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((columns, width)))[0]
     for _ in range(2):
-        sent = spark.sparkContext.broadcast(basis)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            g = sent.value
-            acc, n = np.zeros_like(g), 0
-            for b in blocks(batches, "text", 1 << 20):
-                h, of, _, _ = words(*joined_bytes(b.column("text")))
-                run_, text = runs_of(of, b.num_rows, stride)
-                column, w = weights.look(h)
-                has = np.flatnonzero(column >= 0)
-                if not len(has):
-                    continue
-                col, wt = column[has], w[has]
-                length = np.sqrt(np.bincount(run_, weights=w.astype(float) ** 2, minlength=len(text)))[run_[has]]
-                wt = (wt / np.maximum(length, 1e-9)).astype(np.float32)
-                y = row_sums(g, col, wt, run_[has], len(text))
-                order = np.argsort(col, kind="stable")
-                acc += summed(lambda lo, hi: y[run_[has][order[lo:hi]]] * wt[order[lo:hi], None], col[order], columns)
-                n += len(text)
-            at = np.flatnonzero(np.abs(acc).sum(axis=1))
-            for lo in range(0, len(at), 1024):
-                yield pa.RecordBatch.from_arrays([pa.array(at[lo : lo + 1024]), pa.array([x.astype("<f4").tobytes() for x in acc[at[lo : lo + 1024]]], pa.binary()), pa.array(np.full(len(at[lo : lo + 1024]), n))], ["term", "v", "n"])
-
-        def add(t: pa.Table) -> pa.Table:
-            total = np.sum([np.frombuffer(x, "<f4") for x in t.column("v").to_pylist()], axis=0, dtype=np.float64)
-            return pa.table({"term": t.column("term")[:1], "v": pa.array([total.astype("<f4").tobytes()], pa.binary()), "n": [int(pc.max(t.column("n")).as_py())]})
-
-        # a group holds one row a task of the sample, whose size is bounded
-        got = picked.mapInArrow(run, "term long, v binary, n long").groupBy("term").applyInArrow(add, "term long, v binary, n long").toArrow()
-        out = np.zeros((columns, width), np.float32)
-        if got.num_rows:
-            out[got["term"].to_numpy()] = np.stack([np.frombuffer(x, "<f4") for x in got["v"].to_pylist()])
+        out = own @ basis
         heavy = max(1.0, float(np.abs(out).max()) * columns)
-        out = out + heavy * (items.T @ (items @ basis))
-        sent.unpersist()
-        basis = np.linalg.qr(out)[0].astype(np.float32)
+        out += heavy * (items.T @ (items @ basis))
+        basis = np.linalg.qr(out)[0]
     u = np.linalg.svd(basis.T @ out, full_matrices=False)[0]  # directions in order of their share
     return np.ascontiguousarray((basis @ u)[:, :rank]).astype(np.float32)
 
@@ -223,13 +233,13 @@ def piece_matrix(parts: list[np.ndarray], weights: Weights) -> tuple[np.ndarray,
     return out / np.maximum(length[:, None], 1e-9), length
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 16, rank: int = 256, bits: int = 20, sample: int = 3000, near: float = 0.35, verbatim: float = 0.6, paraphrase: float = 0.4, answer: float = 0.8) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 16, rank: int = 256, bits: int = 20, near: float = 0.35, verbatim: float = 0.6, paraphrase: float = 0.4, answer: float = 0.8) -> DataFrame:
     """row (hash of doc_id and text), item_id, overlap: the best match of each text with each item that it leaks.
 
     Items are cut into pieces of at most stride words. Passages of two runs of stride words, each a run further on, so that any
     stride words of a text lie in one passage, are compared with the pieces in latent spaces of rank dimensions: TF-IDF with
-    document frequencies over all texts (words hashed to 2**bits slots; a word that all texts hold still weighs ln 2), randomised SVD fitted on the passages of about sample
-    documents and on the pieces. A space serves at most rank pieces, which it spans, so products with them are those of the full
+    document frequencies over all texts (words hashed to 2**bits slots; a word that all texts hold still weighs ln 2), randomised SVD fitted on the runs of all
+    texts and on the pieces. A space serves at most rank pieces, which it spans, so products with them are those of the full
     space; passages whose products can't be large enough are skipped. A passage is checked against a piece's item if it
     reaches, along the piece's direction, near times the length of the shorter of the two: at a cosine of near, and also if rarer
     words beside a frequent item make the passage long. Checked is the longest common subsequence of words, of the item and the passage
@@ -241,39 +251,40 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, stride: int = 16, rank: in
     rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.coalesce("text", F.lit("")).alias("text"))
     has_answer = "answer" in benchmark.columns
     listed = benchmark.select("item_id", "text", *(["answer"] if has_answer else [])).toArrow()
-    df, n_docs = document_frequencies(rows, bits)
-    idf = np.log1p((n_docs + 1.0) / (df + 0.5)).astype(np.float32)
     found = None
     for lo in range(0, max(listed.num_rows, 1), ITEM_BLOCK):
         some = listed.slice(lo, ITEM_BLOCK)
         items = Items(some["item_id"].to_pylist(), some["text"].to_pylist(), some["answer"].to_pylist() if has_answer else None)
         cut = pieces(items, stride)
+        groups = [cut[first : first + rank] for first in range(0, len(cut), rank)]
+        lists = [np.unique(np.concatenate([h for _, h in g])) for g in groups]
+        df, n_docs, together = corpus_counts(rows, lists, stride, bits) if groups else (np.zeros(1 << bits, np.int64), 0, [])
+        idf = np.log1p((n_docs + 1.0) / (df + 0.5)).astype(np.float32)
+        held = np.unique(np.concatenate([np.zeros(0, np.uint64), *lists]))
         spaces = []
-        for first in range(0, len(cut), rank):
-            of_item, parts = zip(*cut[first : first + rank])
-            weights = Weights(idf, np.unique(np.concatenate(parts)), bits)
-            full, size = piece_matrix(list(parts), weights)
-            space = latent_space(rows, full, weights, stride, rank, sample, n_docs, scratch)
-            spaces.append((weights.held, np.array(of_item), full.max(axis=0), size, space, (full @ space).T.copy()))
-        sent = spark.sparkContext.broadcast((items, idf, spaces))
+        for g, own, counts in zip(groups, lists, together):
+            of_item, parts = zip(*g)
+            full, size = piece_matrix(list(parts), Weights(idf, own, bits))
+            space = latent_space(counts, full, idf[slots(own, bits)], rank)
+            spaces.append((columns_in(held, own), np.array(of_item), *bounds(full, size), size, space, (full @ space).T.copy()))
+        sent = spark.sparkContext.broadcast((items, idf, held, spaces))
 
         def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            items, idf, spaces = sent.value
-            weighing = [Weights(idf, held, bits) for held, *_ in spaces]
+            items, idf, held, spaces = sent.value
+            weights = Weights(idf, held, bits) if spaces else None
             for b in blocks(batches, "text", 1 << 20) if spaces else ():
                 h, of, _, _ = words(*joined_bytes(b.column("text")))
                 if not len(h):
                     continue
                 run, text = runs_of(of, b.num_rows, stride)
-                w = idf[slots(h, bits)]
+                found_at, w = weights.look(h)
                 length = np.sqrt(added_next(np.bincount(run, weights=w.astype(float) ** 2, minlength=len(text)), text))
                 word_at = np.searchsorted(of, np.arange(b.num_rows + 1))
                 run_at = np.searchsorted(text, np.arange(b.num_rows))
                 best: dict[tuple[int, int], float] = {}
                 checked: set[tuple[int, int]] = set()
-                for weights, (_, of_item, most, size, space, latent) in zip(weighing, spaces):
-                    column, _ = weights.look(h)
-                    reach, vectors = passages(column, w, run, text, most, near * np.minimum(length, size.min()), space)
+                for place, of_item, most, least, size, space, latent in spaces:
+                    reach, vectors = passages(place[found_at], w, run, text, most, near * np.minimum(length[:, None], least), space)
                     for lo in range(0, len(reach), 8192):
                         at = reach[lo : lo + 8192]
                         hit = vectors[lo : lo + 8192] @ latent >= near * np.minimum(length[at, None], size)
