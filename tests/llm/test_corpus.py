@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import os
 import random
@@ -383,6 +384,34 @@ def test_packing(docs, rows, empty):
     assert packing.pack_documents(empty, path).count() == 0
 
 
+def test_packing_by_ranks():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = packing.WordIds(path)
+    model = json.loads(words.tokenizer.to_str())["model"]
+    # each token's own bytes are encoded as that token by the listed merges, so ranks, which merge whatever gives a token, merge alike
+    merges = {(model["vocab"][a], model["vocab"][b]): 512 + i for i, (a, b) in enumerate(model["merges"])}
+    for token, i in model["vocab"].items():
+        plain = token.removesuffix("</w>")
+        if 256 <= i < 49406 and plain:
+            ids = [model["vocab"][c + "</w>" * (token != plain and k == len(plain) - 1)] for k, c in enumerate(plain)]
+            while len(ids) > 1 and (best := min((merges.get(p, 1 << 30), k) for k, p in enumerate(zip(ids, ids[1:]))))[0] < 1 << 30:
+                ids[best[1] : best[1] + 2] = [best[0]]
+            assert ids == [i], token
+    rng = random.Random(11)
+    alphabet = "aaeiionrstlzqßéñöÉÑÖŸſŉİĳŒµª²×÷0179.,'*&$-_<|>\\\"日σςЖ\t\x1c\x85́’"
+    chunks = {"".join(rng.choices(alphabet if k % 3 else "etaoinshr'.,é", k=rng.randint(1, 14))) for k in range(6000)}
+    chunks |= {"it's", "IT'S", "l'été", "don't,", "'re'ves", ",'s", "a" * 199, "a" * 200, "ab" * 300, "é" * 200, "*" * 150, "x1y22z", "(935)", "555-4584"}
+    for k in range(0xC0, 0x250):
+        chunks |= {chr(k), f"a{chr(k)}b"}
+    asked = []
+    plain = words.ids
+    words.ids = lambda found: asked.extend(found) or plain(found)
+    got = words.encoded([c.encode() for c in chunks])
+    want = {c.encode(): np.array(e.ids, "<u4").tobytes() for c, e in zip(chunks, words.tokenizer.encode_batch_fast(list(chunks), add_special_tokens=False))}
+    assert got == want
+    assert not {"it's", "l'été", "don't,", "x1y22z", "(935)"} & set(asked) and "日" in "".join(asked)
+
+
 def test_configurations_cover_every_histogram():
     rng = np.random.default_rng(0)
     for _ in range(8):

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, bytes_of_characters
 
 #: White space as the first tokenizer's rules know it, without and with blanks and line ends.
 _RARE = r"\t\x0b-\r\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -34,14 +34,6 @@ BLOCK_BYTES, MERGE_TOKENS, LOOKUP = 4 << 20, 400_000, 1 << 16
 KEPT, LONGEST = 300_000, 48
 
 
-def _bytes_of_characters() -> dict[str, int]:
-    """The byte that each character of a byte-level vocabulary stands for: visible Latin-1 characters are themselves, the
-    other bytes follow from 256 on in order."""
-    seen = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    rest = [b for b in range(256) if b not in seen]
-    return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(rest)}
-
-
 class TokenPair:
     """Ids of a blank and a text by a byte-level vocabulary (a), and of the text by a piece vocabulary (b), which puts the
     blank before it itself."""
@@ -53,7 +45,7 @@ class TokenPair:
 
         self.a, self.b = Tokenizer.from_file(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.a.encode_special_tokens = True
-        byte, size = _bytes_of_characters(), self.a.get_vocab_size()
+        byte, size = bytes_of_characters(), self.a.get_vocab_size()
         # an added token stands as it is, all others in the byte-level characters
         names = [self.a.id_to_token(i) or "" for i in range(size)]
         self.a_bytes = [bytes(map(byte.__getitem__, s)) if set(s) <= byte.keys() else s.encode() for s in names]

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, numbered, parts
+from .common import Scratch, blocks, bytes_of_characters, numbered, parts
 
 #: Bytes of the chunk -> ids table that a task keeps, and of one of its entries beside key and value. Chunks that come when it is full
 #: are encoded each time; after twice as many of them, it shrinks to its first entries.
@@ -21,16 +24,45 @@ CACHE_BYTES, ENTRY_BYTES = 96 << 20, 170
 #: Entries that a Python worker keeps from one task to the next: the first ones, which hold the most frequent chunks.
 KEPT = 60_000
 
+#: Chunks that are encoded by ranks: visible ASCII and Latin letters whose lower case is one letter of them too; cut into what the
+#: vocabulary's pattern finds in their lower case. Longer ones are left to the tokenizer.
+_LATIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]{1,200}")
+_RUNS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ſ]+|[0-9]|[!-/:-@\[-`{-~]+")
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Stands for a run's end, which the vocabulary's tokens of words' ends hold; no byte of a text in UTF-8.
+_END, _SUFFIX = b"\xff", "</w>"
+
+
+def end_ranks(whole: dict) -> dict[bytes, int] | None:
+    """The vocabulary's tokens as ranks: a byte with a run's end comes before all merges, so that the end goes to the last byte first, as
+    in the vocabulary. None if its merges are not in the order of ids or its rules are others than those that chunks are cut by."""
+    model, rules = whole["model"], json.dumps([whole["normalizer"], whole["pre_tokenizer"]])
+    split = {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True}
+    wanted = json.dumps([{"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}, {"type": "Sequence", "pretokenizers": [split, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}])
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", ())]
+    vocab, byte = model["vocab"], bytes_of_characters()
+    if rules != wanted or model.get("end_of_word_suffix") != _SUFFIX or any(vocab["".join(m)] != 512 + i for i, m in enumerate(merges)):
+        return None
+    ends = lambda t: len(t) > len(_SUFFIX) and t.endswith(_SUFFIX)
+    ranks = {bytes(map(byte.__getitem__, t.removesuffix(_SUFFIX) if ends(t) else t)) + _END * ends(t): i for t, i in vocab.items() if i < 512 + len(merges)}
+    return ranks if len(ranks) == 512 + len(merges) and all(len(t) == 1 + (i > 255) for t, i in ranks.items() if i < 512) else None
+
 
 class WordIds:
     """Token ids of texts as little-endian unsigned 32-bit bytes. The vocabulary's rules fold case and never look across
-    a blank or line end, so each piece between them is encoded once and remembered, in lower-case ASCII."""
+    a blank or line end, so each piece between them is encoded once and remembered, in lower-case ASCII. Pieces of ASCII and Latin letters
+    are encoded by the vocabulary's tokens as ranks; these merge alike, as each token's own bytes are encoded as that token."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks side by side
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_rank = None
+        if ranks := end_ranks(json.loads(self.tokenizer.to_str())):
+            from tiktoken import _tiktoken
+
+            self.by_rank = _tiktoken.CoreBPE(ranks, {}, r"\S+").encode_single_piece
         self.known, self.used, self.missed = {b"": b""}, 0, 0
 
     def shrink(self) -> None:
@@ -42,6 +74,21 @@ class WordIds:
     def ids(self, chunks: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        found, rest, by_rank = {}, [], self.by_rank
+        for c in chunks:
+            if by_rank is None:
+                rest.append(c)
+            elif c.isalpha() and len(c) <= 200:  # ASCII letters alone
+                found[c] = array("I", by_rank(c + _END)).tobytes()
+            elif _LATIN.fullmatch(s := c.decode()):
+                found[c] = array("I", [i for run in _RUNS.findall(s.lower()) for i in by_rank(run.encode() + _END)]).tobytes()
+            else:
+                rest.append(c)
+        if rest:
+            found |= zip(rest, self.ids([c.decode() for c in rest]))
+        return found
+
     def encode(self, text: bytes) -> bytes:
         if b"<|" in text:  # perhaps a special token, whose case counts
             return self.ids([text.decode()])[0]
@@ -51,13 +98,7 @@ class WordIds:
             return b"".join(map(known.__getitem__, chunks))
         except KeyError:
             new = [c for c in dict.fromkeys(chunks) if c not in known]
-        # a comma or full stop after an ASCII letter is a token of its own
-        plain = [c for c in new if not (c[-1:] in b".," and c[-2:-1].isalpha())]
-        ended = [c for c in new if c[-1:] in b".," and c[-2:-1].isalpha()]
-        stems = [c for c in dict.fromkeys(c[:-1] for c in ended) if c not in known]
-        need = list(dict.fromkeys([*plain, *stems, b".", b","]))
-        found = dict(zip(need, self.ids([c.decode() for c in need])))
-        found |= {c: found.get(c[:-1], known.get(c[:-1])) + found[c[-1:]] for c in ended}
+        found = self.encoded(new)
         size = sum(map(len, found)) + sum(map(len, found.values())) + ENTRY_BYTES * len(found)
         if self.used + size <= CACHE_BYTES:
             known |= found
