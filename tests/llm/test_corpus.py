@@ -286,6 +286,24 @@ def test_repeats_split_a_frequent_anchor(spark, monkeypatch):
     assert most <= 2 * 500
 
 
+def test_repeats_leave_no_scratch_behind(docs, spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "TASK_SYMBOLS", 20)  # the sequences of names are ordered at several depths
+    held, plain = {}, common.Scratch.put
+
+    def put(self, df, name):
+        out = plain(self, df, name)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.top)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        held.setdefault(name, []).append({s.getPath().getName().rsplit("-", 1)[0] for s in fs.listStatus(path)})
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", put)
+    assert repeats.remove_repeats(docs, 60).where("n_removed > 0").count()
+    assert len(held["triples"]) > 1
+    assert held["reach"] == [{"texts", "copied", "runs", "ranks", "reach"}]
+    assert held["spans"] == [{"texts", "copied", "segments", "contents", "mixed", "shared", "spans"}]
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
