@@ -304,6 +304,53 @@ def test_repeats_leave_no_scratch_behind(docs, spark, monkeypatch):
     assert held["spans"] == [{"texts", "copied", "segments", "contents", "mixed", "shared", "spans"}]
 
 
+def test_repeats_within_a_block_are_settled_there(spark, monkeypatch):
+    table = [(i, f"{w} " * (150 + i)) for i, w in enumerate(["thanor", "ening the", "of", "thanor", "la"])] + [(9, " ".join(str(random.Random(k).random()) for k in range(90)))]
+    found, plain = [], common.Scratch.put
+
+    def put(self, df, name):
+        out = plain(self, df, name)
+        if name == "segments":
+            found.append(out.count())
+        return out
+
+    monkeypatch.setattr(common.Scratch, "put", put)
+    got = {r["doc_id"]: (r["n_removed"], r["n_spans"]) for r in repeats.remove_repeats(spark.createDataFrame(table, "doc_id long, text string").coalesce(1)).collect()}
+    count = collections.Counter(t[k : k + 400] for _, t in table for k in range(len(t) - 399))
+    want = {}
+    for i, t in table:
+        gone = np.zeros(len(t), bool)
+        for k in range(len(t) - 399):
+            gone[k : k + 400] |= count[t[k : k + 400]] > 1
+        want[i] = int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+    assert got == want and want[0][0] > 1000 and want[9] == (0, 0)
+    assert found[0] < 300  # not one a window
+
+
+def test_phrases_beside_each_other_across_batches():
+    rng = np.random.default_rng(5)
+    row, k = np.repeat(np.arange(40), 30), np.tile(np.arange(30) + (np.arange(30) > 11), 40)
+    table = pa.table({"row": row, "k": k, "sym": rng.integers(0, 3, 1200), "at": k * 50, "len": rng.integers(16, 90, 1200), "next": rng.integers(16, 90, 1200)})
+    cut = [table.to_batches(max_chunksize=n) for n in (1200, 7, 30, 31)]
+    runs = [pa.Table.from_batches(list(repeats.in_runs(400)(iter(c)))).combine_chunks() for c in cut]
+    assert all(r.equals(runs[0]) for r in runs) and runs[0].column("i").to_pylist() == [x for _ in range(40) for x in [*range(12), *range(18)]]
+    near = pa.table({"w": np.arange(1200) // 100, "own": np.arange(1200) % 100 > 0, **{c: runs[0].column(c) for c in ("row", "at", "ahead")}})
+    reach = [pa.Table.from_batches(list(repeats.beside(400)(near.to_batches(max_chunksize=n)))).combine_chunks() for n in (1200, 1, 7, 100)]
+    assert all(r.equals(reach[0]) for r in reach)
+    of = [np.frombuffer(x, "<i4").reshape(3, -1).tolist() for x in runs[0].column("ahead").to_pylist()]
+
+    def bound(x, y):
+        n, more = 0, x[1][0]
+        for a, b, size, then in zip(x[0], y[0], x[1], x[2]):
+            if a < 0 or a != b:
+                return min(400, n + more + 16)
+            n, more = n + size, then
+        return 400
+
+    want = [max(bound(of[p], of[q] if 0 <= q < 1200 and q // 100 == p // 100 else [[-2] * 8]) for q in (p - 1, p + 1)) for p in range(1200) if p % 100]
+    assert [x & 0xFFFFFFFF for x in reach[0].column("reach").to_pylist()] == want
+
+
 def test_repeats_of_nothing(empty):
     assert repeats.remove_repeats(empty).count() == 0
 
