@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 from .common import Scratch
 from .graph import components, forest
 
-#: Bytes of vectors in a slab, which travels as one row, and blocks in it at most.
-SLAB_BYTES, SLAB_BLOCKS = 1 << 22, 8
+#: Bytes of vectors in a slab, which travels as one row: so many at least, if there are more so that SLABS of them suffice, but so many at most, as blocks too.
+SLAB_BYTES, SLABS, MOST_BYTES, MOST_BLOCKS = 1 << 22, 16, 1 << 24, 32
 #: A slab is covered by balls, so many at once, while they take in so many vectors each on average.
 PIVOTS, BALL = 64, 8
+#: Bytes of vectors at length 1 that a task keeps of slabs that come again with the next one on the left.
+HELD_BYTES = 1 << 26
 
 
 class CoverTree:
@@ -129,12 +131,12 @@ def bits(sets: np.ndarray) -> list[int]:
 class Slab:
     """Vectors by segment: those of one ball, or the rest of a leaf, none further than its radius from its centre."""
 
-    def __init__(self, row: dict[str, pa.Scalar], dim: int, kind: str):
+    def __init__(self, row: dict[str, pa.Scalar], dim: int, kind: str, unit: np.ndarray | None = None):
         get = lambda c, k: np.frombuffer(row[c].as_buffer(), k)
         self.ids, self.ns, self.x = get("ids", np.int64), get("ns", np.int64), get("data", kind).reshape(-1, dim)
         self.sizes, self.radii, self.centres = get("sizes", np.int64), get("radii", np.float64), get("centres", np.float32).reshape(-1, dim)
         self.ends = np.cumsum(self.sizes)
-        self.unit = normed(self.x).astype(np.float32)
+        self.unit = normed(self.x).astype(np.float32) if unit is None else unit
 
 
 def matched(a: Slab, b: Slab, same: bool, least: float, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -142,23 +144,27 @@ def matched(a: Slab, b: Slab, same: bool, least: float, block: int) -> Iterator[
     can't reach; the others are computed in double precision."""
     dim = a.x.shape[1]
     slack = (dim + 4) * 2.0**-22
-    reach = a.radii + np.sqrt(max(0.0, 2 - 2 * least)) + 1e-9
-    floor = np.where(reach < 2, 1 - reach * reach / 2 - slack, -np.inf)
-    for k in range(len(a.sizes)):
-        if k % PIVOTS == 0:
-            within = a.centres[k : k + PIVOTS] @ b.unit.T >= floor[k : k + PIVOTS, None]
-        near, end = np.flatnonzero(within[k % PIVOTS]), int(a.ends[k])
+    reach = float(np.sqrt(max(0.0, 2 - 2 * least))) + 1e-9
+    floor = lambda apart: np.where(apart < 2, 1 - apart * apart / 2 - slack, -np.inf)  # noqa: E731  # of the cosine, where no two are further apart
+    meets = a.centres @ b.centres.T >= floor(a.radii[:, None] + b.radii + reach)
+    least_of = floor(a.radii + reach)
+    places = np.arange(len(b.ids))
+    for k in np.flatnonzero(meets.any(axis=1)):
+        end = int(a.ends[k])
         start = end - int(a.sizes[k])
+        near = np.concatenate([places[b.ends[s] - b.sizes[s] : b.ends[s]] for s in np.flatnonzero(meets[k])])
         if same:
             near = near[near > start]
+        if least_of[k] > -1:
+            near = near[b.unit[near] @ a.centres[k] >= least_of[k]]
         for lo in range(start, end, block):
             own = a.unit[lo : min(lo + block, end)]
             for at in range(0, len(near), block):
                 other = near[at : at + block]
                 cosine = own @ b.unit[other].T
-                i, j = np.nonzero(cosine >= least - slack)
-                if not len(i):
+                if cosine.max() < least - slack:
                     continue
+                i, j = np.divmod(np.flatnonzero(cosine.ravel() >= least - slack), len(other))
                 unsure = np.flatnonzero(cosine[i, j] < least + slack)
                 i, j = i + lo, other[j]
                 keep = j > i if same else np.ones(len(i), bool)
@@ -220,7 +226,8 @@ def near_vectors(vectors: DataFrame, sample: np.ndarray, total: int, dim: int, l
     for a, b in tree.near_leaves(radii, reach):
         near[a, b] = near[b, a] = True
     # a slab takes the next vectors by leaf, leaves of one parent side by side; within its leaf a vector's hash places it
-    slab_rows = max(1, min(SLAB_BLOCKS * block, SLAB_BYTES // (dim * np.dtype(kind).itemsize)))
+    width = dim * np.dtype(kind).itemsize
+    slab_rows = max(1, min(MOST_BLOCKS * block, min(max(total * width // SLABS, SLAB_BYTES), MOST_BYTES) // width))
     order = np.lexsort(path.T[::-1])
     starts = np.zeros(n_leaves, np.int64)
     starts[order] = np.cumsum(sizes[order]) - sizes[order]
@@ -262,6 +269,7 @@ def near_vectors(vectors: DataFrame, sample: np.ndarray, total: int, dim: int, l
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, a = None, None
+        units: dict[int, np.ndarray] = {}
         counts: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         edges: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
@@ -271,7 +279,9 @@ def near_vectors(vectors: DataFrame, sample: np.ndarray, total: int, dim: int, l
                 if at[0] != last:
                     last, a = at[0], Slab({c[:-2]: v for c, v in row.items() if c.endswith("_a")}, dim, kind)
                 same = at[0] == at[1]
-                b = a if same else Slab({c[:-2]: v for c, v in row.items() if c.endswith("_b")}, dim, kind)
+                b = a if same else Slab({c[:-2]: v for c, v in row.items() if c.endswith("_b")}, dim, kind, units.get(at[1]))
+                if not same and sum(u.nbytes for u in units.values()) < HELD_BYTES:
+                    units[at[1]] = b.unit
                 own, other = (counts.setdefault(s, (x.ids.copy(), np.zeros(len(x.ids))))[1] for s, x in zip(at, (a, b)))
                 nodes = a.ids if same else np.concatenate([a.ids, b.ids])
                 for i, j in pooled(matched(a, b, same, least, block)):
@@ -289,8 +299,7 @@ def near_vectors(vectors: DataFrame, sample: np.ndarray, total: int, dim: int, l
             a_, b_ = joined(edges)
             yield pa.RecordBatch.from_arrays([pa.array(a_), pa.array(b_), pa.array(np.zeros(len(a_), np.int64))], ["a", "b", "links"])
 
-    columns = [f"{c}_{s}" for s in "ab" for c in ("slab", "ids", "ns", "data", "sizes", "radii", "centres")]
-    return slabs, scratch.put(met.select(*columns).mapInArrow(compare, "a long, b long, links long"), "met")
+    return slabs, scratch.put(met.mapInArrow(compare, "a long, b long, links long"), "met")
 
 
 def members(slabs: DataFrame, dim: int, number: str, whole: bool) -> DataFrame:
@@ -324,9 +333,10 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.9, sample_siz
     # single numbers are kept as such where they are stored and moved; anything else is taken as double
     number = "float" if embeddings.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
     rows = embeddings.select("vec_id", F.col("embedding").cast(f"array<{number}>").alias("embedding"))
-    fine = F.coalesce(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("hash", F.when(fine, F.xxhash64("embedding")))
-    vectors = rows.where("hash is not null").select(F.col("vec_id").cast("long").alias("id"), "hash", "embedding")
+    # an array is known not to contain NaN only if it holds no null either; NaN is above infinity
+    least_of, most_of = F.array_min("embedding"), F.array_max("embedding")
+    fine = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~F.array_contains("embedding", F.lit(float("nan")).cast(number)) & (least_of > -float("inf")) & (most_of < float("inf")) & ((least_of != 0) | (most_of != 0))
+    vectors = rows.where(fine).select(F.col("vec_id").cast("long").alias("id"), F.xxhash64("embedding").alias("hash"), "embedding")
     hashes = scratch.put(vectors.select(F.size("embedding").alias("dim"), "hash").distinct(), "hashes")
     parts = []
     for r in hashes.groupBy("dim").count().collect():
@@ -350,7 +360,7 @@ def near_duplicate_vectors(embeddings: DataFrame, least: float = 0.9, sample_siz
     groups = components(found.where("b is not null").select("a", "b"), scratch).withColumnRenamed("node", "id")
     each = distinct.join(links.hint("merge"), "id", "left").join(groups.hint("merge"), "id", "left")
     each = scratch.put(each.select(*key, (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component_id")), "result")
-    out = rows.select("vec_id", *key).join(each.hint("merge"), key, "left")
+    out = rows.withColumn("hash", F.when(fine, F.xxhash64("embedding"))).select("vec_id", *key).join(each.hint("merge"), key, "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     scratch.clear(keep=("result",))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))
