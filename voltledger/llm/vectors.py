@@ -148,7 +148,7 @@ def matched(a: Slab, b: Slab, same: bool, least: float, block: int) -> Iterator[
     floor = lambda apart: np.where(apart < 2, 1 - apart * apart / 2 - slack, -np.inf)  # noqa: E731  # of the cosine, where no two are further apart
     meets = a.centres @ b.centres.T >= floor(a.radii[:, None] + b.radii + reach)
     least_of = floor(a.radii + reach)
-    places = np.arange(len(b.ids))
+    places, chunk = np.arange(len(b.ids)), max(1, (1 << 22) // dim)
     for k in np.flatnonzero(meets.any(axis=1)):
         end = int(a.ends[k])
         start = end - int(a.sizes[k])
@@ -168,7 +168,7 @@ def matched(a: Slab, b: Slab, same: bool, least: float, block: int) -> Iterator[
                 unsure = np.flatnonzero(cosine[i, j] < least + slack)
                 i, j = i + lo, other[j]
                 keep = j > i if same else np.ones(len(i), bool)
-                for some in np.split(unsure, range(1 << 16, len(unsure), 1 << 16)):
+                for some in np.split(unsure, range(chunk, len(unsure), chunk)):
                     keep[some] &= np.einsum("ij,ij->i", normed(a.x[i[some]]), normed(b.x[j[some]])) >= least
                 yield i[keep], j[keep]
 
@@ -176,12 +176,14 @@ def matched(a: Slab, b: Slab, same: bool, least: float, block: int) -> Iterator[
 def pooled(pairs: Iterator[tuple[np.ndarray, np.ndarray]], size: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same pairs, about size at a time."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    n = 0
     for one in pairs:
         held.append(one)
-        if sum(len(i) for i, _ in held) >= size:
+        n += len(one[0])
+        if n >= size:
             yield tuple(np.concatenate(x) for x in zip(*held))
-            held = []
-    if any(len(i) for i, _ in held):
+            held, n = [], 0
+    if n:
         yield tuple(np.concatenate(x) for x in zip(*held))
 
 
@@ -264,7 +266,7 @@ def near_vectors(vectors: DataFrame, sample: np.ndarray, total: int, dim: int, l
     # is compared, in turns, so that all tasks have alike to do.
     side = lambda s: slabs.select(*(F.col(c).alias(f"{c}_{s}") for c in slabs.columns if c != "hashes"))
     overlap = lambda x, y: F.exists(F.zip_with(x, y, lambda p, q: p.bitwiseAND(q)), lambda z: z != 0)
-    turn = (F.col("slab_a") == F.col("slab_b")) | ((F.col("slab_a") < F.col("slab_b")) == ((F.col("slab_a") + F.col("slab_b")) % 2 == 0)) & (F.col("slab_a") != F.col("slab_b"))
+    turn = (F.col("slab_a") == F.col("slab_b")) | ((F.col("slab_a") < F.col("slab_b")) == ((F.col("slab_a") + F.col("slab_b")) % 2 == 0))
     met = side("a").join(side("b").hint("shuffle_replicate_nl"), turn & (overlap("meets_a", "leaves_b") | overlap("meets_b", "leaves_a")))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
